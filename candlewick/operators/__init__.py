@@ -1 +1 @@
-
+"""Operators over bars, signals, trades and reports."""

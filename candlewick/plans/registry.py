@@ -1,19 +1,704 @@
-"""Registered queries over the driver's tables, and the same in DuckDB's SQL."""
+"""Registered queries over the driver's tables, and the same in DuckDB's SQL.
+
+Money and indicator values are settled to 1e-6 on both sides, since engines add in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import clock
+from ..functions.numeric import settle
+from ..operators import bars as B
+from ..operators import joins as J
+from ..operators import metrics as M
+from ..operators import quality as Q
+from ..operators import rules as R
+from ..operators import stats as S
+from ..operators.indicators import recursive as X
+from ..operators.indicators import windowed as I
+from . import tables as T
+
+#: Bars of the events in SQL.
+BARS = """t AS (SELECT event_type AS symbol, epoch_ms(ts) AS ts_ms, ts, event_id, value AS price FROM events),
+bars AS (SELECT symbol, ts_ms - ts_ms % 3600000 AS ts_ms, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close,
+  count(*) AS tick_volume, 0::BIGINT AS real_volume, first((event_id % 4)::INT ORDER BY ts, event_id) AS spread_points FROM t GROUP BY 1, 2)"""
+TR = "tr AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS true_range, (high + low + close) / 3 AS tp FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms))"
+TRADES = """m AS (SELECT o_orderpriority, avg(o_totalprice) AS mean FROM orders GROUP BY 1),
+trades AS (SELECT o_orderpriority AS run_id, o_orderkey AS trade_no, CASE WHEN o_orderkey % 2 = 0 THEN 'long' ELSE 'short' END AS side, epoch_ms(o_orderdate) AS entry_ms,
+  epoch_ms(o_orderdate) + (o_orderkey % 48) * 3600000 AS exit_ms, o_orderkey % 48 AS bars_held, o_totalprice AS entry_price,
+  (floor(o_totalprice * 100 + 0.5) - floor(mean * 100 + 0.5)) / 100 AS net_profit FROM orders JOIN m USING (o_orderpriority))"""
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def s6(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
+
+
+def values(frame: DataFrame, keys: list[str], columns: dict) -> DataFrame:
+    """keys and settled values."""
+    return frame.select(*keys, *[settle(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
+
+
+def over(n: int) -> str:
+    return f"(PARTITION BY symbol ORDER BY ts_ms ROWS {n - 1} PRECEDING)"
+
+
+def when_full(value: str, n: int) -> str:
+    return f"CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) >= {n} THEN {value} END"
+
+
+def indicators(names: dict[str, str], source: str = "bars") -> str:
+    cols = ", ".join(f"{s6(v)} AS {k}" for k, v in names.items())
+    return f"WITH {BARS}, {TR} SELECT symbol, ts_ms, {cols} FROM {'tr' if source == 'bars' else source}"
+
+
+def feature(frame_columns: dict, spark, sf_dir) -> DataFrame:
+    return values(T.hourly(spark, sf_dir).withColumns(frame_columns), ["symbol", "ts_ms"], {k: k for k in frame_columns})
+
+
+KEYS = ["symbol", "ts_ms"]
+
+# -- shaping
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms - ts_ms % 60000 AS ts_ms, first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, event_id) AS close, count(*) AS tick_volume FROM t GROUP BY 1, 2")
+def tick_to_m1(spark, sf_dir):
+    return B.ticks_to_bars(T.ticks(spark, sf_dir)).select(*KEYS, "open", "high", "low", "close", "tick_volume")
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms - ts_ms % 14400000 AS ts_ms, arg_min(open, ts_ms) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts_ms) AS close, sum(tick_volume)::BIGINT AS tick_volume, arg_min(spread_points, ts_ms) AS spread_points FROM bars GROUP BY symbol, ts_ms - ts_ms % 14400000")
+def resample_h4(spark, sf_dir):
+    return T.four_hours(spark, sf_dir).select(*KEYS, "open", "high", "low", "close", "tick_volume", "spread_points")
+
+
+@query(
+    f"WITH {BARS}, g AS (SELECT DISTINCT symbol, ts_ms - ts_ms % 7200000 + 1800000 AS g FROM bars) SELECT symbol, g AS ts_ms, arg_min(open, b.ts_ms) AS open, max(high) AS high, min(low) AS low, arg_max(close, b.ts_ms) AS close, sum(tick_volume)::BIGINT AS tick_volume FROM g JOIN bars b USING (symbol) WHERE b.ts_ms >= g AND b.ts_ms < g + 7200000 GROUP BY symbol, g"
+)
+def resample_grid(spark, sf_dir):
+    bars = T.hourly(spark, sf_dir)
+    grid = bars.select("symbol", (B.bucket(F.col("ts_ms"), 2 * B.HOUR) + 30 * B.MINUTE).alias("ts_ms"))
+    return B.resample_on_grid(bars, grid, 2 * B.HOUR).select(*KEYS, "open", "high", "low", "close", "tick_volume")
+
+
+@query(f"WITH {BARS}, d AS (SELECT symbol, ts_ms - lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms) AS d FROM bars), l AS (SELECT symbol, list_sort(list(d)) AS v FROM d WHERE d > 0 GROUP BY 1) SELECT symbol, v[len(v) // 2 + 1] AS interval_ms FROM l")
+def infer_interval(spark, sf_dir):
+    return B.infer_interval(T.hourly(spark, sf_dir))
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms, coalesce(last_value(nullif(spread_points, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ms), spread_points) AS spread_points FROM bars")
+def ffill_spread(spark, sf_dir):
+    return B.fill_spread(T.hourly(spark, sf_dir)).select(*KEYS, "spread_points")
+
+
+@query(f"WITH {BARS}, f AS (SELECT symbol, spread_points, coalesce(last_value(nullif(spread_points, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ms), spread_points) AS g FROM bars) SELECT symbol, bool_or(g IS DISTINCT FROM spread_points) AS fillable FROM f GROUP BY 1")
+def need_fill(spark, sf_dir):
+    return B.needs_fill(T.hourly(spark, sf_dir))
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms, strftime(make_timestamp(ts_ms * 1000) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' + INTERVAL 7 HOUR, '%Y.%m.%d %H:%M:%S') AS local_time FROM bars")
+def local_clock(spark, sf_dir):
+    return T.hourly(spark, sf_dir).select(*KEYS, clock.shown(clock.local(F.col("ts_ms"), clock.NEW_YORK_CLOSE)).alias("local_time"))
+
+
+@query(
+    f"WITH {BARS}, n AS (SELECT symbol, ts_ms, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), s AS (SELECT *, CASE WHEN i < greatest(floor(n * 0.6), 1) THEN 'dev' WHEN i < greatest(floor(n * 0.6), 1) + greatest(floor(n * 0.2), 1) THEN 'validation' ELSE 'sealed' END AS segment FROM n) SELECT symbol, segment, count(*) AS bars, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms FROM s GROUP BY 1, 2"
+)
+def split_plan(spark, sf_dir):
+    return B.split_bounds(B.split_chronologically(T.hourly(spark, sf_dir)))
+
+
+@query(f"WITH {BARS}, n AS (SELECT symbol, ts_ms, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), f AS (SELECT *, unnest(range(0, 7)) AS fold FROM n) SELECT symbol, ts_ms, fold::INT AS fold FROM f WHERE i >= n * fold // 7 AND i < n * (fold + 1) // 7")
+def contiguous_folds(spark, sf_dir):
+    return B.contiguous_folds(T.hourly(spark, sf_dir), 7).select(*KEYS, "fold")
+
+
+@query(
+    "WITH d AS (SELECT l_returnflag AS symbol, epoch_ms(l_shipdate) - epoch_ms(l_shipdate) % 86400000 AS ts_ms FROM lineitem GROUP BY 1, 2) SELECT symbol, year(make_timestamp(ts_ms * 1000))::INT AS year, count(*) AS bars, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms FROM d GROUP BY 1, 2 HAVING count(*) >= 50"
+)
+def calendar_folds(spark, sf_dir):
+    return B.calendar_folds(T.daily(spark, sf_dir), F.year(clock.utc(F.col("ts_ms"))))
+
+
+@query(
+    f"WITH {BARS}, n AS (SELECT symbol, ts_ms, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars), f AS (SELECT *, unnest(range(0, 5)) AS fold FROM n), r AS (SELECT *, CASE WHEN i < n * fold // 5 - 10 THEN 'context' WHEN i >= n * fold // 5 AND i < n * (fold + 1) // 5 THEN 'test' WHEN i >= n * (fold + 1) // 5 AND i < n * (fold + 1) // 5 + 5 THEN 'embargo' END AS role FROM f) SELECT symbol, ts_ms, fold::INT AS fold, role FROM r WHERE role IS NOT NULL"
+)
+def purged_fold_rows(spark, sf_dir):
+    return B.purged_folds(T.hourly(spark, sf_dir), 5, 10, 5).select(*KEYS, "fold", "role")
+
+
+@query(f"WITH {BARS} SELECT * FROM (SELECT symbol, ts_ms, close FROM bars) WHERE ts_ms >= 1704844800000 - 604800000 AND ts_ms < 1705708800000")
+def slice_padded(spark, sf_dir):
+    return B.slice_time(T.hourly(spark, sf_dir), 1_704_844_800_000, 1_705_708_800_000, 7).select(*KEYS, "close")
+
+
+# -- quality
+
+_GAPS = """d AS (SELECT symbol, ts_ms, lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms) AS b FROM bars), e AS (SELECT symbol, list_sort(list(ts_ms - b)) AS v FROM d WHERE b < ts_ms GROUP BY 1),
+g AS (SELECT d.symbol, ts_ms, ts_ms - b AS delta_ms, floor((ts_ms - b) / v[len(v) // 2 + 1])::BIGINT - 1 AS missing FROM d JOIN e USING (symbol) WHERE ts_ms - b > 1.5 * v[len(v) // 2 + 1]
+ AND NOT (dayofweek(make_timestamp(b * 1000)) = 5 AND hour(make_timestamp(b * 1000)) >= 18 AND dayofweek(make_timestamp(ts_ms * 1000)) = 1 AND date_diff('day', make_timestamp(b * 1000)::DATE, make_timestamp(ts_ms * 1000)::DATE) <= 3))"""
+_SPIKES = "u AS (SELECT symbol, list_sort(list(high - low)) AS v FROM bars WHERE high - low > 0 GROUP BY 1), k AS (SELECT b.symbol, ts_ms, high - low AS range FROM bars b JOIN u USING (symbol) WHERE high - low > {times} * v[len(v) // 2 + 1])"
+
+
+@query(f"WITH {BARS}, {_GAPS} SELECT symbol, ts_ms, delta_ms, missing FROM g")
+def dq_gaps(spark, sf_dir):
+    return Q.gaps(T.hourly(spark, sf_dir))
+
+
+@query(f"WITH {BARS}, {_SPIKES.format(times=2)} SELECT symbol, ts_ms, {s6('range')} AS range FROM k")
+def dq_spikes(spark, sf_dir):
+    return values(Q.spikes(T.hourly(spark, sf_dir), 2), KEYS, {"range": "range"})
+
+
+@query(
+    f"""WITH {BARS}, {_GAPS}, {_SPIKES.format(times=20)}, a AS (SELECT symbol, count(*) AS bars, count(*) FILTER (high = low) AS zero_range, 0 AS invalid, count(*) FILTER (dayofweek(make_timestamp(ts_ms * 1000)) IN (0, 6)) AS weekend FROM bars GROUP BY 1),
+j AS (SELECT a.*, coalesce((SELECT count(*) FROM g WHERE g.symbol = a.symbol), 0) AS gap_events, coalesce((SELECT sum(missing) FROM g WHERE g.symbol = a.symbol), 0)::BIGINT AS missing, coalesce((SELECT count(*) FROM k WHERE k.symbol = a.symbol), 0) AS spikes FROM a),
+s AS (SELECT *, greatest(100 - least(missing * 100 / (bars + missing), 50) - least(zero_range * 100 / bars, 10) - least(weekend * 100 / bars, 10) - least(spikes * 100 / bars, 10), 0) AS score FROM j)
+SELECT symbol, bars, zero_range, weekend, gap_events, missing, spikes, {s6("score")} AS score, CASE WHEN score >= 90 THEN 'pass' WHEN score >= 70 THEN 'warn' ELSE 'fail' END AS grade FROM s"""
+)
+def dq_report(spark, sf_dir):
+    r = Q.report(T.hourly(spark, sf_dir))
+    return r.select("symbol", "bars", "zero_range", "weekend", "gap_events", "missing", "spikes", settle(F.col("score")).alias("score"), "grade")
+
+
+# -- window indicators
+
+
+@query(indicators({"sma": when_full(f"avg(close) OVER {over(20)}", 20)}))
+def ind_sma(spark, sf_dir):
+    return feature({"sma": I.sma("close", 20)}, spark, sf_dir)
+
+
+@query(indicators({"wma": when_full(f"list_sum(list_transform(list(close) OVER {over(10)}, lambda x, i: x * i)) / 55", 10)}))
+def ind_wma(spark, sf_dir):
+    return feature({"wma": I.wma("close", 10)}, spark, sf_dir)
+
+
+@query(indicators({"atr": when_full(f"avg(true_range) OVER {over(14)}", 14)}))
+def ind_atr_mt5(spark, sf_dir):
+    bars = T.hourly(spark, sf_dir).withColumn("true_range", I.true_range())
+    return values(bars.withColumn("atr", I.atr(14)), KEYS, {"atr": "atr"})
+
+
+@query(indicators({"high": when_full(f"max(high) OVER {over(20)}", 20), "low": when_full(f"min(low) OVER {over(20)}", 20)}))
+def ind_donchian(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumns({"dh": I.donchian_high(20), "dl": I.donchian_low(20)})
+    return values(b, KEYS, {"high": "dh", "low": "dl"})
+
+
+@query(indicators({"highest": f"coalesce({when_full(f'max(high) OVER {over(20)}', 20)}, 0)", "lowest": f"coalesce({when_full(f'min(low) OVER {over(20)}', 20)}, 0)"}))
+def ind_highest_sqx(spark, sf_dir):
+    return feature({"highest": I.highest("high", 20, I.SQX), "lowest": I.lowest("low", 20, I.SQX)}, spark, sf_dir)
+
+
+@query(indicators({"stddev": when_full(f"stddev_pop(close) OVER {over(20)}", 20)}))
+def ind_stddev(spark, sf_dir):
+    return feature({"stddev": I.stddev("close", 20)}, spark, sf_dir)
+
+
+_Z = f"CASE WHEN stddev_pop(close) OVER {over(20)} > 1e-12 THEN (close - avg(close) OVER {over(20)}) / stddev_pop(close) OVER {over(20)} END"
+
+
+@query(indicators({"zscore": when_full(_Z, 20)}))
+def ind_zscore_mt5(spark, sf_dir):
+    return feature({"zscore": I.zscore("close", 20)}, spark, sf_dir)
+
+
+@query(indicators({"zscore": f"coalesce({when_full(_Z, 20)}, 0)"}))
+def ind_zscore_sqx(spark, sf_dir):
+    return feature({"zscore": I.zscore("close", 20, I.SQX)}, spark, sf_dir)
+
+
+@query(indicators({"pct": when_full(f"(close - min(close) OVER {over(20)}) / nullif(max(close) OVER {over(20)} - min(close) OVER {over(20)}, 0) * 100", 20)}))
+def ind_pct_range(spark, sf_dir):
+    return feature({"pct": I.percentile_in_range("close", 20)}, spark, sf_dir)
+
+
+@query(indicators({"roc": "(close / nullif(lag(close, 10) OVER (PARTITION BY symbol ORDER BY ts_ms), 0) - 1) * 100", "roc_sqx": "coalesce((close / nullif(lag(close, 10) OVER (PARTITION BY symbol ORDER BY ts_ms), 0) - 1) * 100, 0)"}))
+def ind_roc(spark, sf_dir):
+    return feature({"roc": I.rate_of_change("close", 10), "roc_sqx": I.rate_of_change("close", 10, I.SQX)}, spark, sf_dir)
+
+
+@query(
+    f"""WITH {BARS}, d AS (SELECT *, make_timestamp(ts_ms * 1000)::DATE AS day, hour(make_timestamp(ts_ms * 1000)) >= 8 AS inside FROM bars),
+n AS (SELECT *, sum(inside::INT) OVER (PARTITION BY symbol, day ORDER BY ts_ms) AS nth FROM d),
+e AS (SELECT *, max(CASE WHEN inside AND nth <= 3 THEN high END) OVER w AS h, min(CASE WHEN inside AND nth <= 3 THEN low END) OVER w AS l FROM n WINDOW w AS (PARTITION BY symbol, day ORDER BY ts_ms))
+SELECT symbol, ts_ms, {s6("CASE WHEN nth >= 3 THEN h END")} AS range_high, {s6("CASE WHEN nth >= 3 THEN l END")} AS range_low FROM e"""
+)
+def ind_session_range(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("local_time", clock.utc(F.col("ts_ms")))
+    return values(b.withColumns({"h": I.session_range("high", 8, 3), "l": I.session_range("low", 8, 3)}), KEYS, {"range_high": "h", "range_low": "l"})
+
+
+@query(indicators({"body": "abs(close - open) / nullif(high - low, 0)", "location": "(close - low) / nullif(high - low, 0)"}))
+def ind_body_close(spark, sf_dir):
+    return feature({"body": I.body_range_ratio(), "location": I.close_location()}, spark, sf_dir)
+
+
+@query(
+    f"""WITH {BARS}, {TR}, a AS (SELECT *, {when_full(f"avg(true_range) OVER {over(14)}", 14)} AS atr, avg(true_range) OVER {over(14)} AS atr_x FROM tr),
+l AS (SELECT *, list(atr) FILTER (atr IS NOT NULL) OVER {over(50)} AS v, list(atr_x) OVER {over(50)} AS vx FROM a)
+SELECT symbol, ts_ms, {s6(when_full("CASE WHEN atr IS NOT NULL THEN len(list_filter(v, lambda x: x <= atr)) * 100 / len(v) END", 50))} AS mt5, {s6("CASE WHEN len(vx) >= 2 AND atr_x > 0 THEN len(list_filter(vx, lambda x: x <= atr_x)) * 100 / len(vx) ELSE 0 END")} AS sqx FROM l"""
+)
+def ind_atr_percentile(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("true_range", I.true_range())
+    mean, percentile = I.atr_percentile_sqx(14, 50)
+    b = b.withColumns({"atr": settle(I.atr(14), 1e9), "atr_x": settle(mean, 1e9)})
+    return values(b.withColumns({"mt5": I.atr_percentile("atr", 50), "sqx": percentile("atr_x")}), KEYS, {"mt5": "mt5", "sqx": "sqx"})
+
+
+def _swing_sql() -> str:
+    lag = lambda c, k: f"lag({c}, {k}) OVER w" if k else c
+    low = " AND ".join([f"{lag('low', 4)} <= {lag('low', 4 + k)}" for k in (1, 2, 3)] + [f"{lag('low', 4)} < {lag('low', 4 - k)}" for k in (1, 2)])
+    high = " AND ".join([f"{lag('high', 4)} >= {lag('high', 4 + k)}" for k in (1, 2, 3)] + [f"{lag('high', 4)} > {lag('high', 4 - k)}" for k in (1, 2)])
+    return f"""WITH {BARS}, z AS (SELECT symbol, ts_ms, CASE WHEN {low} THEN max(high) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS h, CASE WHEN {high} THEN min(low) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS l FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms))
+SELECT symbol, ts_ms, {s6("last_value(h IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ms)")} AS zone_high, {s6("last_value(l IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ms)")} AS zone_low FROM z"""
+
+
+@query(_swing_sql())
+def ind_swing_zone(spark, sf_dir):
+    return feature({"zone_high": I.swing_base_zone("high", 3, 2, 4), "zone_low": I.swing_base_zone("low", 3, 2, 4)}, spark, sf_dir)
+
+
+_PRIOR = "(PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+
+
+@query(indicators({"sweep": when_full(f"CASE WHEN low < min(low) OVER {_PRIOR} AND close > min(low) OVER {_PRIOR} THEN 1 WHEN high > max(high) OVER {_PRIOR} AND close < max(high) OVER {_PRIOR} THEN -1 ELSE 0 END", 11)}))
+def ind_sweep(spark, sf_dir):
+    return feature({"sweep": I.sweep_score(10)}, spark, sf_dir)
+
+
+def _last_swing_sql(n: int) -> str:
+    lag = lambda c, k: f"lag({c}, {k}) OVER w" if k else c
+    others = [k for k in range(2 * n + 1) if k != n]
+    low, high = (" AND ".join(f"{lag(c, n)} {op} {lag(c, k)}" for k in others) for c, op in (("low", "<"), ("high", ">")))
+    return f"sw AS (SELECT *, CASE WHEN {low} THEN {lag('low', n)} END AS pl, CASE WHEN {high} THEN {lag('high', n)} END AS ph FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)), lv AS (SELECT *, last_value(pl IGNORE NULLS) OVER w AS sl, last_value(ph IGNORE NULLS) OVER w AS sh, lag(close) OVER w AS pc FROM sw WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms))"
+
+
+@query(f"WITH {BARS}, {_last_swing_sql(3)} SELECT symbol, ts_ms, CASE WHEN sl > 0 AND low < sl AND close > sl THEN 1.0::DOUBLE WHEN sh > 0 AND high > sh AND close < sh THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS sweep FROM lv")
+def ind_sweep_sqx(spark, sf_dir):
+    return feature({"sweep": I.sweep_score(3, I.SQX)}, spark, sf_dir)
+
+
+_BOLL = f"avg(close) OVER {over(20)}", f"2.5 * stddev_pop(close) OVER {over(20)}"
+
+
+@query(indicators({"mid": when_full(_BOLL[0], 20), "upper": when_full(f"{_BOLL[0]} + {_BOLL[1]}", 20), "lower": when_full(f"{_BOLL[0]} - {_BOLL[1]}", 20), "bandwidth": when_full(f"2 * {_BOLL[1]} / nullif({_BOLL[0]}, 0) * 100", 20), "width_ratio": when_full(f"2 * {_BOLL[1]} / nullif({_BOLL[0]}, 0)", 20)}))
+def ind_bollinger(spark, sf_dir):
+    return feature(I.bollinger("close", 20, 25), spark, sf_dir)
+
+
+def _mid(n: int) -> str:
+    return when_full(f"(max(high) OVER {over(n)} + min(low) OVER {over(n)}) / 2", n)
+
+
+@query(
+    f"WITH {BARS}, m AS (SELECT symbol, ts_ms, {_mid(9)} AS tenkan, {_mid(26)} AS kijun, {_mid(52)} AS b FROM bars) SELECT symbol, ts_ms, {s6('tenkan')} AS tenkan, {s6('kijun')} AS kijun, {s6('lag((tenkan + kijun) / 2, 26) OVER (PARTITION BY symbol ORDER BY ts_ms)')} AS senkou_a, {s6('lag(b, 26) OVER (PARTITION BY symbol ORDER BY ts_ms)')} AS senkou_b FROM m"
+)
+def ind_ichimoku(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumns({"tenkan": I.midpoint(9), "kijun": I.midpoint(26), "b52": I.midpoint(52)})
+    b = b.withColumns(I.ichimoku("tenkan", "kijun", "b52", 26))
+    return values(b, KEYS, {k: k for k in ("tenkan", "kijun", "senkou_a", "senkou_b")})
+
+
+@query(indicators({"vwap": when_full(f"sum(tp * greatest(tick_volume, 1)) OVER {over(20)} / sum(greatest(tick_volume, 1)) OVER {over(20)}", 20)}))
+def ind_vwap(spark, sf_dir):
+    return feature({"vwap": I.vwap(20)}, spark, sf_dir)
+
+
+@query(
+    f"WITH {BARS}, {TR}, l AS (SELECT symbol, ts_ms, tp, avg(tp) OVER {over(20)} AS m, list(tp) OVER {over(20)} AS v FROM tr), d AS (SELECT *, list_avg(list_transform(v, lambda x: abs(x - m))) AS mad FROM l) SELECT symbol, ts_ms, {s6(when_full('(tp - m) / nullif(0.015 * mad, 0)', 20))} AS cci FROM d"
+)
+def ind_cci(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("tp", I.typical())
+    return values(b.withColumn("cci", I.cci("tp", 20)), KEYS, {"cci": "cci"})
+
+
+# -- the additional pack, window forms
+
+
+@query(
+    f"WITH {BARS}, l AS (SELECT *, list(high) OVER {over(14)} AS vh, list(low) OVER {over(14)} AS vl FROM bars) SELECT symbol, ts_ms, {s6(when_full('100 - (14 - list_position(vh, list_max(vh))) * 100 / 14', 14))} AS up, {s6(when_full('100 - (14 - list_position(vl, list_min(vl))) * 100 / 14', 14))} AS down FROM l"
+)
+def ind_aroon(spark, sf_dir):
+    return feature(I.aroon(14), spark, sf_dir)
+
+
+@query(indicators({"avg_volume": when_full(f"avg(tick_volume) OVER {over(14)}", 14), "rvol": when_full(f"tick_volume / avg(tick_volume) OVER {over(14)}", 14), "volume_z": f"coalesce(CASE WHEN stddev_pop(tick_volume) OVER {over(14)} > 0 THEN (tick_volume - avg(tick_volume) OVER {over(14)}) / stddev_pop(tick_volume) OVER {over(14)} END, 0)"}))
+def ind_volume(spark, sf_dir):
+    return feature({"avg_volume": I.average_volume(14), "rvol": I.relative_volume(14), "volume_z": I.volume_zscore(14)}, spark, sf_dir)
+
+
+@query(indicators({"choppiness": when_full(f"least(greatest(100 * log10(nullif(sum(true_range) OVER {over(14)}, 0) / nullif(max(high) OVER {over(14)} - min(low) OVER {over(14)}, 0)) / log10(14), 0), 100)", 14)}))
+def ind_choppiness(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("true_range", I.true_range())
+    return values(b.withColumn("choppiness", I.choppiness(14)), KEYS, {"choppiness": "choppiness"})
+
+
+@query(indicators({"up": when_full(f"CASE WHEN lag(high, 2) OVER (PARTITION BY symbol ORDER BY ts_ms) = max(high) OVER {over(5)} THEN lag(high, 2) OVER (PARTITION BY symbol ORDER BY ts_ms) END", 5), "down": when_full(f"CASE WHEN lag(low, 2) OVER (PARTITION BY symbol ORDER BY ts_ms) = min(low) OVER {over(5)} THEN lag(low, 2) OVER (PARTITION BY symbol ORDER BY ts_ms) END", 5)}))
+def ind_fractal(spark, sf_dir):
+    return feature({"up": I.fractal("high", 5), "down": I.fractal("low", 5)}, spark, sf_dir)
+
+
+@query(
+    f"WITH {BARS}, m AS (SELECT symbol, ts_ms, close, {when_full(f'avg(high) OVER {over(10)}', 10)} AS mh, {when_full(f'avg(low) OVER {over(10)}', 10)} AS ml FROM bars), t2 AS (SELECT *, CASE WHEN close > lag(mh) OVER w THEN 1 WHEN close < lag(ml) OVER w THEN -1 END AS turn FROM m WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)), r AS (SELECT *, last_value(turn IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ms) AS trend FROM t2) SELECT symbol, ts_ms, trend, {s6('CASE WHEN trend > 0 THEN ml WHEN trend < 0 THEN mh END')} AS line FROM r"
+)
+def ind_gann_hilo(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumns(I.gann_hilo(10))
+    b = b.withColumn("trend", I.gann_trend("mean_high", "mean_low"))
+    return b.select(*KEYS, "trend", settle(F.when(F.col("trend") > 0, F.col("mean_low")).when(F.col("trend") < 0, F.col("mean_high"))).alias("line"))
+
+
+@query(indicators({"mid": when_full(f"avg(tp) OVER {over(20)}", 20), "upper": when_full(f"avg(tp) OVER {over(20)} + avg(high - low) OVER {over(20)} * 1.5", 20), "lower": when_full(f"avg(tp) OVER {over(20)} - avg(high - low) OVER {over(20)} * 1.5", 20)}))
+def ind_keltner(spark, sf_dir):
+    k = I.keltner(I.typical(), 20, 1.5)
+    b = T.hourly(spark, sf_dir)
+    return values(b.withColumns({"mid": k["mid"], "upper": I.full(k["upper"], 20), "lower": I.full(k["lower"], 20)}), KEYS, {c: c for c in ("mid", "upper", "lower")})
+
+
+@query(
+    f"WITH {BARS}, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY ts_ms))::DOUBLE AS pos FROM bars) SELECT symbol, ts_ms, {s6(when_full(f'avg(close) OVER {over(14)} + regr_slope(close, pos) OVER {over(14)} * (pos - avg(pos) OVER {over(14)})', 14))} AS linreg FROM n"
+)
+def ind_linreg(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("at", F.row_number().over(I.W()).cast("double"))
+    return values(b.withColumn("linreg", I.linreg("close", "at", 14)), KEYS, {"linreg": "linreg"})
+
+
+@query(indicators({"parkinson": when_full(f"sqrt(avg(ln(high / nullif(low, 0)) * ln(high / nullif(low, 0))) OVER {over(14)} / (4 * ln(2))) * close", 14), "range_high": when_full(f"max(high) OVER {over(30)}", 30), "range_low": when_full(f"min(low) OVER {over(30)}", 30), "equilibrium": _mid(30)}, "tr WHERE symbol NOT IN (SELECT symbol FROM bars WHERE low <= 0)"))
+def ind_ranges(spark, sf_dir):
+    b = T.hourly(spark, sf_dir)
+    low = b.where("low <= 0").select("symbol").distinct()
+    b = b.join(low, "symbol", "left_anti").withColumns({"parkinson": I.parkinson(14), **I.premium_discount(30)})
+    return values(b, KEYS, {c: c for c in ("parkinson", "range_high", "range_low", "equilibrium")})
+
+
+@query(indicators({"tr": "greatest(high, lag(close) OVER w1) - least(low, lag(close) OVER w1)"}, "tr WINDOW w1 AS (PARTITION BY symbol ORDER BY ts_ms)"))
+def ind_true_range(spark, sf_dir):
+    return feature({"tr": I.true_range_joined()}, spark, sf_dir)
+
+
+@query(
+    f"WITH {BARS}, l AS (SELECT *, list({{'lo': low - 1, 'hi': high + 1}}) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS v FROM bars) SELECT symbol, ts_ms, {s6(when_full('len(list_filter(v, lambda x: x.lo <= close AND x.hi >= close)) * 100 / 20', 21))} AS rank FROM l"
+)
+def ind_sr_rank(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("reach", F.lit(1.0))
+    return values(b.withColumn("rank", I.sr_percent_rank(20, "reach")), KEYS, {"rank": "rank"})
+
+
+@query(
+    f"WITH {BARS}, k AS (SELECT symbol, ts_ms, {when_full(f'coalesce((close - min(low) OVER {over(14)}) / nullif(max(high) OVER {over(14)} - min(low) OVER {over(14)}, 0) * 100, 0)', 14)} AS k FROM bars) SELECT symbol, ts_ms, {s6(when_full(f'least(greatest(avg(k) OVER {over(3)}, 0), 100)', 16))} AS stochastic FROM k"
+)
+def ind_stochastic(spark, sf_dir):
+    raw, smooth = I.stochastic(14, 3)
+    b = T.hourly(spark, sf_dir).withColumn("k", raw)
+    return values(b.withColumn("stochastic", smooth("k")), KEYS, {"stochastic": "stochastic"})
+
+
+@query(f"WITH {BARS}, {_last_swing_sql(3)} SELECT symbol, ts_ms, CASE WHEN close > sh AND pc <= sh THEN 1 WHEN close < sl AND pc >= sl THEN -1 ELSE 0 END AS broke FROM lv")
+def ind_break_of_structure(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumns(I.swing_levels(3))
+    return b.select(*KEYS, I.crossed("swing_high", "swing_low").alias("broke"))
+
+
+# -- recurrences
+
+
+def _ema_sql(n: int, src: str = "close", table: str = "bars", name: str = "e") -> str:
+    """Recursive CTEs: numbered rows, and the seeded exponential mean."""
+    return f"""{name}n AS (SELECT symbol, ts_ms, {src} AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) AS i FROM {table}),
+{name} AS (SELECT symbol, {n}::BIGINT AS i, avg(x) AS v FROM {name}n WHERE i <= {n} GROUP BY symbol HAVING count(*) = {n} UNION ALL SELECT p.symbol, q.i, 2 / ({n} + 1) * q.x + (1 - 2 / ({n} + 1)) * p.v FROM {name} p JOIN {name}n q ON q.symbol = p.symbol AND q.i = p.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {BARS}, {_ema_sql(12)} SELECT symbol, ts_ms, {s6('v')} AS ema FROM en LEFT JOIN e USING (symbol, i)")
+def ind_ema(spark, sf_dir):
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), {"ema": X.ema("close", 12)}), KEYS, {"ema": "ema"})
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}, n AS (SELECT symbol, ts_ms, row_number() OVER w - 1 AS i, greatest(close - lag(close) OVER w, 0) AS u, greatest(lag(close) OVER w - close, 0) AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)),
+r AS (SELECT symbol, 14::BIGINT AS i, avg(u) AS g, avg(d) AS l FROM n WHERE i BETWEEN 1 AND 14 GROUP BY symbol HAVING count(*) = 14 UNION ALL SELECT p.symbol, q.i, (p.g * 13 + q.u) / 14, (p.l * 13 + q.d) / 14 FROM r p JOIN n q ON q.symbol = p.symbol AND q.i = p.i + 1),
+v AS (SELECT n.symbol, ts_ms, CASE WHEN l IS NULL THEN NULL WHEN l = 0 THEN CASE WHEN g = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + g / l) END AS v FROM n LEFT JOIN r USING (symbol, i)) SELECT symbol, ts_ms, {s6("v")} AS rsi, {s6("coalesce(v, 0)")} AS rsi_sqx FROM v"""
+)
+def ind_rsi(spark, sf_dir):
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), {"rsi": X.rsi("close", 14), "rsi_sqx": X.rsi("close", 14, "sqx")}), KEYS, {"rsi": "rsi", "rsi_sqx": "rsi_sqx"})
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}, {TR}, n AS (SELECT symbol, ts_ms, true_range AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) - 1 AS i FROM tr),
+r AS (SELECT symbol, i, x AS v FROM n WHERE i = 0 UNION ALL SELECT p.symbol, q.i, ((least(q.i + 1, 14) - 1) * p.v + q.x) / least(q.i + 1, 14) FROM r p JOIN n q ON q.symbol = p.symbol AND q.i = p.i + 1) SELECT symbol, ts_ms, {s6("v")} AS atr FROM n JOIN r USING (symbol, i)"""
+)
+def ind_atr_sqx(spark, sf_dir):
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), {"atr": X.atr_sqx(14)}), KEYS, {"atr": "atr"})
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}, {_ema_sql(12, name="f")}, {_ema_sql(26, name="s")}, mm AS (SELECT symbol, fn.ts_ms, i, f.v - s.v AS m FROM fn JOIN f USING (symbol, i) JOIN s USING (symbol, i)), {_ema_sql(9, "m", "mm", "g")}
+SELECT b.symbol, b.ts_ms, {s6("m")} AS macd, {s6("g.v")} AS signal, {s6("m - g.v")} AS histogram FROM bars b LEFT JOIN mm USING (symbol, ts_ms) LEFT JOIN gn ON gn.symbol = b.symbol AND gn.ts_ms = b.ts_ms LEFT JOIN g ON g.symbol = gn.symbol AND g.i = gn.i"""
+)
+def ind_macd(spark, sf_dir):
+    made = {"macd": X.macd("close", 12, 26, 9, "main"), "signal": X.macd("close", 12, 26, 9, "signal"), "histogram": X.macd("close", 12, 26, 9, "histogram")}
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
+
+
+@query(f"WITH RECURSIVE {BARS}, {_ema_sql(13)} SELECT symbol, ts_ms, {s6('high - v')} AS bulls, {s6('low - v')} AS bears FROM bars JOIN en USING (symbol, ts_ms) LEFT JOIN e USING (symbol, i)")
+def ind_power(spark, sf_dir):
+    made = {"bulls": X.power("high", 13), "bears": X.power("low", 13)}
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
+
+
+@query(
+    f"""WITH RECURSIVE {BARS}, n AS (SELECT *, (open + high + low + close) / 4 AS hc, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) AS i FROM bars), r AS (SELECT symbol, i, (open + close) / 2 AS o, hc FROM n WHERE i = 1 UNION ALL SELECT p.symbol, q.i, (p.o + p.hc) / 2, q.hc FROM r p JOIN n q ON q.symbol = p.symbol AND q.i = p.i + 1)
+SELECT symbol, ts_ms, {s6("o")} AS ha_open, {s6("greatest(high, o, n.hc)")} AS ha_high, {s6("least(low, o, n.hc)")} AS ha_low, {s6("n.hc")} AS ha_close FROM n JOIN r USING (symbol, i)"""
+)
+def ind_heiken_ashi(spark, sf_dir):
+    made = {f"ha_{p}": X.heiken_ashi(p) for p in ("open", "high", "low", "close")}
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
+
+
+@query()
+def ind_directional(spark, sf_dir):
+    made = {f"{p}_{d}": X.directional(14, p, d) for p in ("adx", "plus", "minus") for d in ("mt5", "sqx")}
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
+
+
+@query()
+def ind_qqe(spark, sf_dir):
+    made = {"line": X.qqe(14, 5), "trail": X.qqe(14, 5, 42)}
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
+
+
+@query()
+def ind_structure(spark, sf_dir):
+    made = {
+        "kama": X.kama("close", 10), "sar": X.parabolic_sar(), "gap": X.fair_value_gap(0.2, 14), "bull_block": X.order_block(0.5, 14, "bull"), "bear_block": X.order_block(0.5, 14, "bear"), "demand": X.supply_demand(3, 0.5, 14, "demand"),
+        "supply": X.supply_demand(3, 0.5, 14, "supply"), "swing_high": X.market_structure(3, "high"), "swing_low": X.market_structure(3, "low"), "trend": X.market_structure(3, "trend"), "change": X.market_structure(3, "change"),
+        "stoch_ema": X.stochastic_smoothed(14, 3, "ema"), "stoch_smma": X.stochastic_smoothed(14, 3, "smma"),
+    }
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
+
+
+# -- rules
+
+_FAST, _SLOW = (when_full(f"avg(close) OVER {over(n)}", n) for n in (8, 24))
+_RULE = f"""WITH {BARS}, f AS (SELECT *, {_FAST} AS fast, {_SLOW} AS slow FROM bars), l AS (SELECT *, lag(fast) OVER w AS f1, lag(slow) OVER w AS s1, lag(fast, 2) OVER w AS f2, lag(slow, 2) OVER w AS s2, lag(close) OVER w AS c1 FROM f WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms))"""
+
+
+@query(f"{_RULE}, x AS (SELECT *, coalesce(f1 > s1 AND f2 <= s2, false) AS up, coalesce(f1 < s1 AND f2 >= s2, false) AS down FROM l) SELECT symbol, ts_ms, CASE WHEN up AND down THEN 'conflict' WHEN up THEN 'long' WHEN down THEN 'short' ELSE 'none' END AS side, not coalesce(f1 > s1, false) AS not_above, coalesce(c1 >= s1 AND c1 <= f1, false) AS inside FROM x")
+def rule_cross(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumns({"fast": I.sma("close", 8), "slow": I.sma("close", 24)})
+    fast, slow, close = R.Value("indicator", "fast"), R.Value("indicator", "slow"), R.Value("price", "close")
+    long, short = R.Test("cross_above", fast, slow).column(), R.Test("cross_below", fast, slow).column()
+    return b.select(*KEYS, R.side(long, short).alias("side"), R.Junction("not", (R.Test("gt", fast, slow),)).column().alias("not_above"), R.Test("between", close, slow, fast).column().alias("inside"))
+
+
+@query(
+    f"WITH {BARS}, d AS (SELECT *, make_timestamp(ts_ms * 1000) AS l FROM bars) SELECT symbol, ts_ms, dayofweek(l) BETWEEN 1 AND 5 AND hour(l) * 60 + minute(l) >= 480 AND hour(l) * 60 + minute(l) < 1020 AS in_session, hour(l) >= 2 AND hour(l) < 19 AS in_window, CASE WHEN spread_points > 0 THEN spread_points WHEN dayofweek(l) = 1 AND hour(l) < 2 THEN 9 ELSE 7 END AS spread FROM d"
+)
+def join_windows(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("local_time", clock.utc(F.col("ts_ms")))
+    local = F.col("local_time")
+    window = J.window_lookup(local, [(1, 0, 120, 9)])
+    return b.select(*KEYS, R.in_session(local, [(d, 480, 1020) for d in range(1, 6)]).alias("in_session"), R.in_entry_window(local).alias("in_window"), J.resolved_spread(F.col("spread_points"), window, 7).alias("spread"))
+
+
+@query(f"WITH {BARS}, h AS (SELECT symbol, ts_ms - ts_ms % 14400000 AS ts_ms, count(*) AS hours, {s6('sum(close)')} AS closes FROM bars GROUP BY 1, ts_ms - ts_ms % 14400000) SELECT * FROM h")
+def join_interval(spark, sf_dir):
+    fine = T.hourly(spark, sf_dir)
+    joined = J.interval_join(B.resample(fine, 4 * B.HOUR), fine, 4 * B.HOUR)
+    return joined.groupBy(*KEYS).agg(F.count("*").alias("hours"), settle(F.sum("m_close")).alias("closes"))
+
+
+@query(f"WITH {BARS}, d AS (SELECT symbol, make_timestamp(ts_ms * 1000) AS a, ts_ms, lag(make_timestamp(ts_ms * 1000)) OVER (PARTITION BY symbol ORDER BY ts_ms) AS b FROM bars) SELECT symbol, ts_ms, coalesce(list_sum(list_transform(range(b::DATE, a::DATE, INTERVAL 1 DAY), lambda x: CASE WHEN dayofweek(x) IN (0, 6) THEN 0.0::DOUBLE WHEN dayofweek(x) = 3 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END)), 0.0) AS swap_days FROM d WHERE b IS NOT NULL")
+def swap_multiplier(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("a", clock.utc(F.col("ts_ms")))
+    return b.withColumn("b", F.lag("a").over(I.W())).where("b is not null").select(*KEYS, J.rollovers(F.col("b"), F.col("a")).alias("swap_days"))
+
+
+@query(f"WITH {BARS}, h AS (SELECT symbol, ts_ms - ts_ms % 14400000 + 14400000 AS ts_ms, arg_max(close, ts_ms) AS close FROM bars GROUP BY symbol, ts_ms - ts_ms % 14400000) SELECT b.symbol, b.ts_ms, h.close AS asof_close FROM bars b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.ts_ms >= h.ts_ms")
+def asof_nearest(spark, sf_dir):
+    fine = T.hourly(spark, sf_dir)
+    coarse = B.resample(fine, 4 * B.HOUR).select("symbol", (F.col("ts_ms") + 4 * B.HOUR).alias("ts_ms"), "close")
+    return J.as_of(fine.select(*KEYS), coarse, "close").select(*KEYS, "asof_close")
+
+
+# -- metrics
+
+_RUN = "run AS (SELECT *, 10000 + sum(net_profit) OVER (PARTITION BY run_id ORDER BY exit_ms, trade_no ROWS UNBOUNDED PRECEDING) AS balance FROM trades), pk AS (SELECT *, greatest(10000, max(balance) OVER (PARTITION BY run_id ORDER BY exit_ms, trade_no ROWS UNBOUNDED PRECEDING)) AS peak FROM run)"
+
+
+@query(
+    f"""WITH {TRADES}, {_RUN} SELECT run_id, count(*) AS trades, count(*) FILTER (net_profit > 0) AS wins, count(*) FILTER (net_profit < 0) AS losses, floor(sum(net_profit) * 100 + 0.5) / 100 AS net_profit,
+{s6("sum(net_profit) FILTER (net_profit > 0) / -sum(net_profit) FILTER (net_profit < 0)")} AS profit_factor, floor(max(peak - balance) * 100 + 0.5) / 100 AS max_drawdown, {s6("count(*) FILTER (net_profit > 0) * 100 / count(*)")} AS win_rate FROM pk GROUP BY 1"""
+)
+def trade_metrics(spark, sf_dir):
+    m = M.trade_metrics(T.trades(spark, sf_dir), ["run_id"])
+    return m.select("run_id", "trades", "wins", "losses", settle(F.col("net_profit"), 100.0).alias("net_profit"), settle(F.col("profit_factor")).alias("profit_factor"), settle(F.col("max_drawdown"), 100.0).alias("max_drawdown"), settle(F.col("win_rate")).alias("win_rate"))
+
+
+_EQUITY = "eq AS (SELECT symbol, ts_ms, 10000 + sum(close - open) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS equity FROM bars)"
+
+
+@query(f"WITH {BARS}, {_EQUITY}, p AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS UNBOUNDED PRECEDING)) AS peak FROM eq) SELECT symbol, ts_ms, {s6('peak - equity')} AS drawdown, {s6('(peak - equity) / peak * 100')} AS drawdown_percent FROM p")
+def drawdown(spark, sf_dir):
+    return values(M.drawdown(T.equity(spark, sf_dir), ["symbol"], 10_000.0), KEYS, {"drawdown": "drawdown", "drawdown_percent": "drawdown_percent"})
+
+
+@query(f"WITH {BARS}, {_EQUITY}, r AS (SELECT symbol, equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts_ms), 10000) - 1 AS r FROM eq) SELECT symbol, count(*) AS returns, {s6('avg(r) / stddev_samp(r) * sqrt(count(*))')} AS sharpe FROM r GROUP BY 1")
+def equity_sharpe(spark, sf_dir):
+    return values(M.equity_sharpe(T.equity(spark, sf_dir), ["symbol"], 10_000.0), ["symbol", "returns"], {"sharpe": "sharpe"})
+
+
+@query(f"WITH {TRADES} SELECT run_id, {s6('avg(net_profit) FILTER (entry_ms < 800000000000)')} AS before, {s6('avg(net_profit) FILTER (entry_ms >= 800000000000)')} AS since, count(*) FILTER (entry_ms < 800000000000) AS n_before, count(*) FILTER (entry_ms >= 800000000000) AS n_since FROM trades GROUP BY 1")
+def expectancy_split(spark, sf_dir):
+    return values(M.expectancy_split(T.trades(spark, sf_dir), ["run_id"], 800_000_000_000), ["run_id", "n_before", "n_since"], {"before": "before", "since": "since"})
+
+
+@query(f"WITH {TRADES} SELECT run_id, CASE WHEN entry_ms < 780000000000 THEN 'is' WHEN entry_ms < 840000000000 THEN 'oos1' ELSE 'oos2' END AS part, count(*) AS trades, floor(sum(net_profit) * 100 + 0.5) / 100 AS net_profit, {s6('avg(net_profit)')} AS expectancy FROM trades GROUP BY 1, 2")
+def partition_metrics(spark, sf_dir):
+    m = M.partition_metrics(T.trades(spark, sf_dir), ["run_id"], [780_000_000_000, 840_000_000_000])
+    return m.select("run_id", "part", "trades", settle(F.col("net_profit"), 100.0).alias("net_profit"), settle(F.col("expectancy")).alias("expectancy"))
+
+
+@query(f"WITH {BARS}, {_EQUITY}, e AS (SELECT symbol, CASE WHEN ts_ms < 1704844800000 THEN 0 WHEN ts_ms < 1705708800000 THEN 1 ELSE 2 END AS part, arg_max(equity, ts_ms) AS last FROM eq GROUP BY 1, 2), s AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY symbol ORDER BY part), 10000) AS start FROM e) SELECT symbol, part, {s6('(last - start) / start * 100')} AS return_percent FROM s")
+def segment_return(spark, sf_dir):
+    return values(M.segment_return(T.equity(spark, sf_dir), ["symbol"], 10_000.0, [1_704_844_800_000, 1_705_708_800_000]), ["symbol", "part"], {"return_percent": "return_percent"})
+
+
+@query(
+    f"""WITH d AS (SELECT l_orderkey AS position_id, epoch_ms(l_shipdate) AS ts, CASE WHEN l_linestatus = 'O' THEN 'OUT' ELSE 'IN' END AS e, l_extendedprice / l_quantity AS p, l_quantity AS q, l_extendedprice * l_discount - l_tax AS m FROM lineitem)
+SELECT position_id, CASE WHEN position_id % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, min(ts) FILTER (e = 'IN') AS entry_ms, max(ts) FILTER (e = 'OUT') AS exit_ms, {s6("sum(p * q) FILTER (e = 'IN') / sum(q) FILTER (e = 'IN')")} AS entry_price, {s6("sum(p * q) FILTER (e = 'OUT') / sum(q) FILTER (e = 'OUT')")} AS exit_price, {s6("sum(m)")} AS net_profit
+FROM d GROUP BY 1 HAVING min(ts) FILTER (e = 'IN') IS NOT NULL AND max(ts) FILTER (e = 'OUT') IS NOT NULL"""
+)
+def deal_pairing(spark, sf_dir):
+    return values(M.pair_deals(T.deals(spark, sf_dir)), ["position_id", "side", "entry_ms", "exit_ms"], {"entry_price": "entry_price", "exit_price": "exit_price", "net_profit": "net_profit"})
+
+
+_DESC = "ds AS (SELECT run_id, count(*) * 1000 / 40000 AS f, avg(bars_held) AS h, (count(*) FILTER (side = 'long') - count(*) FILTER (side = 'short')) / count(*) AS k, count(*) FILTER (net_profit > 0) * 100 / count(*) AS w FROM trades GROUP BY 1)"
+
+
+@query(f"WITH {TRADES}, {_DESC} SELECT run_id, {s6('f')} AS trades_per_1000, {s6('h')} AS mean_hold, {s6('k')} AS skew, {s6('w')} AS win_rate, CASE WHEN f < 5 THEN 0 WHEN f < 20 THEN 1 ELSE 2 END AS frequency, CASE WHEN h < 4 THEN 0 WHEN h < 24 THEN 1 ELSE 2 END AS holding, CASE WHEN w < 35 THEN 0 WHEN w < 55 THEN 1 ELSE 2 END AS wins_bucket, CASE WHEN k < -0.25 THEN 0 WHEN k <= 0.25 THEN 1 ELSE 2 END AS bias FROM ds")
+def descriptor_niche(spark, sf_dir):
+    d = M.niche(M.descriptor(T.trades(spark, sf_dir), ["run_id"], 40_000), "win_rate")
+    return values(d, ["run_id", "frequency", "holding", "wins_bucket", "bias"], {c: c for c in ("trades_per_1000", "mean_hold", "skew", "win_rate")})
+
+
+@query("SELECT c_custkey AS id, " + s6("least(greatest(100 * ln(greatest(1 + c_acctbal / 10000, 1e-9)), -100), 100) + 5 * ln(greatest(least(coalesce(CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 / 2 END, 10), 10), 1e-9)) + 0.02 * least(c_custkey % 300, 100) - 0.5 * (c_nationkey % 20) - 0.05 * (c_custkey % 30)") + " AS evidence FROM customer")
+def evidence_score(spark, sf_dir):
+    c = T.load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    score = M.evidence_score(F.col("c_acctbal") / 100, F.when(k % 5 > 0, k % 5 / 2), k % 300, F.col("c_nationkey") % 20, k % 30)
+    return c.select(k.alias("id"), settle(score).alias("evidence"))
+
+
+@query("WITH e AS (SELECT (c_custkey % 3)::INT AS a, (c_nationkey % 2)::INT AS b FROM customer), x AS (SELECT a::INT AS a, b::INT AS b FROM range(3) p(a), range(3) q(b)) SELECT a, b, (SELECT count(*) FROM e WHERE e.a = x.a AND e.b = x.b) AS elites FROM x")
+def coverage_cells(spark, sf_dir):
+    c = T.load(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).cast("int").alias("a"), (F.col("c_nationkey") % 2).cast("int").alias("b"))
+    return M.coverage(c, ["a", "b"])
+
+
+@query(f"WITH {TRADES}, r AS (SELECT run_id, net_profit, row_number() OVER (PARTITION BY run_id ORDER BY net_profit) AS i, greatest(ceil(count(*) OVER (PARTITION BY run_id) * 0.05), 1) AS n FROM trades) SELECT run_id, {s6('avg(net_profit)')} AS cvar FROM r WHERE i <= n GROUP BY 1")
+def cvar(spark, sf_dir):
+    return values(M.cvar(T.trades(spark, sf_dir), ["run_id"], "net_profit", 0.05), ["run_id"], {"cvar": "cvar"})
+
+
+@query(
+    "WITH c AS (SELECT user_id, ts::DATE AS day, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY 1, 2), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - sum((n = 0)::INT) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS k FROM c), r AS (SELECT user_id, k, count(*) AS m FROM i WHERE n = 0 GROUP BY 1, 2) SELECT user_id, coalesce(max(m), 0) AS idle_streak FROM (SELECT DISTINCT user_id FROM c) LEFT JOIN r USING (user_id) GROUP BY 1"
+)
+def zero_trade_streak(spark, sf_dir):
+    e = T.load(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "purchase").alias("trade_count"))
+    return M.longest_idle(e, ["user_id"])
+
+
+@query("SELECT cohort, id FROM (SELECT label AS cohort, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY floor(embedding[1] * 1e6 + 0.5) DESC, vec_id) AS i FROM embeddings) WHERE i <= 3")
+def topk_rank(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = T.signatures(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("cohort").orderBy(F.floor(F.col("signature")[0] * 1e6 + 0.5).desc(), "id")))
+    return e.where("i <= 3").select("cohort", "id")
+
+
+# -- statistics
+
+
+@query("SELECT c_custkey AS n, " + s6("CASE WHEN c_custkey > 1 THEN sqrt(2 * ln(c_custkey)) - (ln(ln(c_custkey)) + ln(4 * pi())) / (2 * sqrt(2 * ln(c_custkey))) ELSE 0 END") + " AS lucky, CASE WHEN c_custkey > 10000 THEN 'severe' WHEN c_custkey > 1500 THEN 'elevated' ELSE 'low' END AS bias FROM customer")
+def lucky_sharpe(spark, sf_dir):
+    n = F.col("c_custkey")
+    return T.load(spark, sf_dir, "customer").select(n.alias("n"), settle(S.expected_lucky_sharpe(n)).alias("lucky"), S.selection_bias(n).alias("bias"))
+
+
+_DRAW = """tr2 AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY trade_no) - 1 AS idx, net_profit AS profit FROM trades WHERE trade_no % 20 = 0), c AS (SELECT run_id, count(*) AS n FROM tr2 GROUP BY 1),
+p AS (SELECT run_id, n, trial, unnest(range(0, n)) AS pos FROM (SELECT run_id, n, unnest(range(0, 20)) AS trial FROM c)),
+d AS (SELECT *, ((((42 + trial * 7919 + (pos // 5) * 104729) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 AS r FROM p),
+j AS (SELECT d.run_id, trial, pos, profit FROM d JOIN tr2 t ON t.run_id = d.run_id AND t.idx = (pos % 5 + (r // 65536) % n) % n)"""
+
+
+@query(
+    f"WITH {TRADES}, {_DRAW}, s AS (SELECT *, sum(profit) OVER (PARTITION BY run_id, trial ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM j), k AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY run_id, trial ORDER BY pos ROWS UNBOUNDED PRECEDING)) - run AS dd FROM s) SELECT run_id, trial::INT AS trial, floor(sum(profit) * 100 + 0.5) / 100 AS net, floor(max(dd) * 100 + 0.5) / 100 AS max_drawdown FROM k GROUP BY 1, 2"
+)
+def block_bootstrap(spark, sf_dir):
+    from pyspark.sql import Window
+
+    t = T.trades(spark, sf_dir).where("trade_no % 20 = 0")
+    t = t.select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("trade_no")) - 1).cast("long").alias("idx"), F.col("net_profit").alias("profit"))
+    b = S.block_bootstrap(t, ["run_id"], 20, 5)
+    return b.select("run_id", "trial", settle(F.col("net"), 100.0).alias("net"), settle(F.col("max_drawdown"), 100.0).alias("max_drawdown"))
+
+
+@query(f"WITH {TRADES}, l AS (SELECT run_id, list_sort(list(net_profit)) AS v FROM trades GROUP BY 1) SELECT run_id, v[floor(0.05 * (len(v) - 1) + 0.5)::INT + 1] AS p05, v[floor(0.5 * (len(v) - 1) + 0.5)::INT + 1] AS p50, v[floor(0.95 * (len(v) - 1) + 0.5)::INT + 1] AS p95 FROM l")
+def nearest_rank_quantile(spark, sf_dir):
+    return S.trial_quantiles(T.trades(spark, sf_dir), ["run_id"], "net_profit").select("run_id", "p05", "p50", "p95")
+
+
+@query(
+    f"WITH r AS (SELECT label, c, row_number() OVER (PARTITION BY c ORDER BY floor(x * 1e6 + 0.5), vec_id) AS r FROM (SELECT label % 2 AS label, vec_id % 3 AS c, embedding[1] AS x, vec_id FROM embeddings)), s AS (SELECT c, sum(r) FILTER (label = 1) AS s, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label <> 1) AS n0 FROM r GROUP BY 1) SELECT c, n1, n0, {s6('s - n1 * (n1 + 1) / 2')} AS u, {s6('greatest(abs(s - n1 * (n1 + 1) / 2 - n1 * n0 / 2) - 0.5, 0) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12)')} AS z FROM s"
+)
+def mann_whitney(spark, sf_dir):
+    e = T.signatures(spark, sf_dir).select((F.col("cohort") % 2).alias("g"), (F.col("id") % 3).alias("c"), F.floor(F.col("signature")[0] * 1e6 + 0.5).alias("x"), "id")
+    return values(S.mann_whitney(e, ["c"], "g", "x", "id"), ["c", "n1", "n0"], {"u": "u", "z": "z"})
+
+
+@query(
+    f"WITH p AS (SELECT label AS k, vec_id AS id, floor(abs(embedding[1]) * 1e6) / 1e6 / 100 AS p FROM embeddings), r AS (SELECT *, p * count(*) OVER (PARTITION BY k) / row_number() OVER (PARTITION BY k ORDER BY p, id) AS q FROM p), m AS (SELECT *, least(min(q) OVER (PARTITION BY k ORDER BY p, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS f FROM r) SELECT k, id, {s6('f')} AS q FROM m"
+)
+def bh_fdr(spark, sf_dir):
+    e = T.signatures(spark, sf_dir).select(F.col("cohort").alias("k"), "id", (F.floor(F.abs(F.col("signature")[0]) * 1e6) / 1e6 / 100).alias("p"))
+    return values(S.false_discovery(e, ["k"], "p", "id"), ["k", "id"], {"q": "q"})
+
+
+@query(f"WITH e AS (SELECT label AS cohort, vec_id AS id, embedding::DOUBLE[] AS s FROM embeddings), p AS (SELECT a.cohort, a.id AS a, b.id AS b, unnest(a.s) AS x, unnest(b.s) AS y FROM e a JOIN e b ON a.cohort = b.cohort AND a.id < b.id) SELECT cohort, a, b, {s6('coalesce(corr(x, y), 0)')} AS corr FROM p GROUP BY 1, 2, 3")
+def corr_pairs(spark, sf_dir):
+    return values(S.correlation_pairs(T.signatures(spark, sf_dir), ["cohort"], "id", "signature"), ["cohort", "a", "b"], {"corr": "corr"})
+
+
+@query("SELECT label AS cohort, " + s6("sum(1 / (1 + vec_id % 7))") + " AS weight FROM embeddings GROUP BY 1")
+def portfolio_exposure(spark, sf_dir):
+    w = T.signatures(spark, sf_dir).select("cohort", (1 / (1 + F.col("id") % 7)).alias("weight"))
+    return values(S.exposures(w, "cohort"), ["cohort"], {"weight": "weight"})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["resample"](spark, sf_dir)
+    """Crossings of two means on hourly bars."""
+    return rule_cross(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
