@@ -80,7 +80,7 @@ def sample(docs: DataFrame, per_language: int, at_most: int) -> DataFrame:
     sizes = rows.groupBy("lang").count()
     kinds = sizes.count()
     if not kinds:
-        return rows.limit(0)
+        return rows.limit(0).withColumn("rank", F.lit(0))
     each = max(2, min(per_language, at_most // kinds))
     near = rows.join(sizes, "lang").where(F.col("mark") * F.col("count") < 4 * each + 20)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "id"))).where(F.col("rank") <= each)

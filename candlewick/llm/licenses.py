@@ -87,7 +87,7 @@ def matching_windows(docs: DataFrame, base: list = BASE_PHRASES, more: list = TE
     prefixes = spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
     heads = literal_array(sorted(index), "string")
 
-    count = F.greatest(F.ceil((F.size("words") - (WINDOW - STRIDE)) / STRIDE), F.lit(1)).cast("int")
+    count = F.greatest(F.ceil(F.size("words") / STRIDE), F.lit(1)).cast("int")
     # in one pass over a text: only windows that hold enough template tokens, and one of the prefixes, leave it
     windows = F.when(
         F.arrays_overlap("words", heads),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, packing, secrets, simhash, winnow
+from . import decontaminate, langid, licenses, packing, repeats, secrets, simhash, warc, winnow
 from .common import Scratch, read_table
 
 
@@ -37,6 +37,17 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.harmonic_pack(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(read_table(spark, sf_dir, "documents"), Scratch(spark, "repeats"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "warc").path()
+    manifest = warc.write_warc(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(manifest, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +69,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_token_matrices, op4_harmonic_packing, op7_decontamination, op8_simhash, op9_language, op10_winnowing)} | {"pipeline": run}
+    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_token_matrices, op4_harmonic_packing, op5_repeats, op6_warc, op7_decontamination, op8_simhash, op9_language, op10_winnowing)} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
