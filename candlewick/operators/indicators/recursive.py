@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 Bar = tuple  # (open, high, low, close, tick_volume)
 FIELDS = ("open", "high", "low", "close", "tick_volume")
@@ -435,9 +436,7 @@ def with_recurrences(bars: DataFrame, made: dict[str, Callable]) -> DataFrame:
     read in an unstated order.
     """
     names = list(made)
-    schema = bars.schema
-    for name in names:
-        schema = schema.add(name, "double")
+    schema = StructType([*bars.schema.fields, *(StructField(n, DoubleType()) for n in names)])
     at = [bars.columns.index(f) for f in FIELDS]
     key = bars.columns.index("symbol")
 

@@ -15,8 +15,12 @@ from ..functions.numeric import settle
 from ..operators import bars as B
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import parity as P
 from ..operators import quality as Q
+from ..operators import replay as Y
+from ..operators import robustness as Z
 from ..operators import rules as R
+from ..operators import search as G
 from ..operators import stats as S
 from ..operators.indicators import recursive as X
 from ..operators.indicators import windowed as I
@@ -691,6 +695,71 @@ def portfolio_exposure(spark, sf_dir):
     return values(S.exposures(w, "cohort"), ["cohort"], {"weight": "weight"})
 
 
+@query(f"WITH {BARS}, x AS (SELECT symbol, ts_ms, {when_full(f'avg(close) OVER {over(20)}', 20)} AS sma, {when_full(f'max(high) OVER {over(20)}', 20)} AS top FROM bars), y AS (SELECT symbol, ts_ms, {when_full(f'avg(close) OVER {over(21)}', 21)} AS sma, {when_full(f'max(high) OVER {over(20)}', 20)} AS top FROM bars), r AS (SELECT x.*, y.sma AS s2, y.top AS t2, row_number() OVER (PARTITION BY x.symbol ORDER BY x.ts_ms) AS i FROM x JOIN y USING (symbol, ts_ms)), p AS (SELECT 'sma' AS indicator, sma AS a, s2 AS b FROM r WHERE i > 50 UNION ALL SELECT 'top', top, t2 FROM r WHERE i > 50) SELECT indicator, count(*) FILTER (a IS NOT NULL OR b IS NOT NULL) AS compared, count(*) FILTER ((a IS NULL) <> (b IS NULL) OR abs(a - b) > 1 + 0.01 * abs(b)) AS mismatches FROM p GROUP BY 1")
+def indicator_diff(spark, sf_dir):
+    b = T.hourly(spark, sf_dir)
+    ours, theirs = (b.withColumns({"sma": I.sma("close", n), "top": I.donchian_high(20)}) for n in (20, 21))
+    return P.indicator_diff(ours, theirs, KEYS, ["sma", "top"], 1.0, 0.01, 50).select("indicator", "compared", "mismatches")
+
+
+_REPLAY = Y.Settings(balance=10_000.0, risk=100.0, digits=4, warmup=30, time_stop=24, break_even_r=1.0, volume_max=1000.0)
+
+
+def _decisions(spark, sf_dir) -> DataFrame:
+    """Signals of four generated rules a symbol, with distances from the mean true range."""
+    bars = T.hourly(spark, sf_dir).withColumn("true_range", I.true_range())
+    bars = bars.withColumns({"atr": I.full(F.avg("true_range").over(I.frame(14, 1)), 15), "local_time": clock.utc(F.col("ts_ms"))})
+    rules = {f"r{k}": G.generate(k, 2) for k in range(4)}
+    decided = G.signals(bars, rules)
+    return decided.select(
+        "run_id", "ts_ms", "open", "high", "low", "close", (F.col("spread_points") * 0.01).alias("spread"), "long", F.lit(False).alias("short"), F.lit(False).alias("exit_long"), F.lit(False).alias("exit_short"),
+        (F.col("atr") * 2).alias("stop_distance"), (F.col("atr") * 4).alias("target_distance"), F.lit(None).cast("double").alias("order_distance"),
+        F.datediff("local_time", F.lit("1970-01-01").cast("date")).alias("day"), F.hour("local_time").alias("hour"), F.lit(0.0).alias("swap_days"), F.lit(True).alias("tradable"),
+    )
+
+
+@query()
+def replay_scout(spark, sf_dir):
+    return Y.replay(_decisions(spark, sf_dir), _REPLAY)
+
+
+@query()
+def replay_judge(spark, sf_dir):
+    """The same decisions, with each hour's minute bars walked through."""
+    fine = B.ticks_to_bars(T.ticks(spark, sf_dir))
+    minute = F.struct(F.col("ts_ms").alias("ts_ms"), "open", "high", "low", "close", F.lit(0.0).alias("spread"))
+    hours = fine.groupBy("symbol", B.bucket(F.col("ts_ms"), B.HOUR).alias("hour_ms")).agg(F.collect_list(minute).alias("minutes"))  # 60 a bar at most
+    decided = _decisions(spark, sf_dir).withColumn("symbol", F.substring_index("run_id", "|", 1))
+    joined = decided.join(hours, (F.col("ts_ms") == F.col("hour_ms")) & (decided.symbol == hours.symbol)).drop("symbol", "hour_ms")
+    return Y.replay(joined, _REPLAY, finer=True)
+
+
+@query()
+def cost_shock_grid(spark, sf_dir):
+    """Trades and net profit of each run under three spreads."""
+    trades = Y.replay(Z.cost_shocks(_decisions(spark, sf_dir), [1.0, 1.5, 2.0], 0.01), _REPLAY)
+    return trades.groupBy("run_id").agg(F.count("*").alias("trades"), settle(F.sum("net_profit")).alias("net_profit"))
+
+
+@query()
+def parity_alignment(spark, sf_dir):
+    """Trades of both replays matched one to one."""
+    columns = ["run_id", "trade_no", "side", "entry_ms", "entry_price"]
+    return J.align_trades(replay_scout(spark, sf_dir).select(columns), replay_judge(spark, sf_dir).select(columns))
+
+
+@query()
+def permutation_null(spark, sf_dir):
+    """Last close of five synthetic series a symbol."""
+    made = Z.stationary_bars(T.hourly(spark, sf_dir), 5, 24, 7)
+    return made.groupBy("symbol", "trial").agg(settle(F.max_by("close", "ts_ms")).alias("last_close"), F.count("*").alias("bars"))
+
+
+@query("SELECT l_returnflag AS reason, count(*) AS count FROM lineitem GROUP BY 1")
+def rejection_funnel(spark, sf_dir):
+    return Z.funnel(T.load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("reason")), "reason")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crossings of two means on hourly bars."""
     return rule_cross(spark, sf_dir)

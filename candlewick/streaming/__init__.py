@@ -1 +1 @@
-
+"""Structured Streaming forms of batch operators."""
