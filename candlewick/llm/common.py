@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found.rstrip("/"))
+        whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return re.sub("^file:/(?!/)", "file:///", whole)
     if "path" not in _own_dir:
         folder = tempfile.TemporaryDirectory(prefix="candlewick-")
         atexit.register(folder.cleanup)
@@ -38,6 +42,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self.close)
+
+    def close(self) -> None:
+        """Removes all tables; at the end of the driver's process, since results are read lazily."""
+        with contextlib.suppress(Exception):  # the session may be gone
+            delete(self.spark, self.root)
 
     def path(self) -> str:
         self.n += 1

@@ -148,3 +148,19 @@ def scan(docs: DataFrame, base: list = BASE_PHRASES, more: list = TEMPLATES, thr
         F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+def sql(base: list = BASE_PHRASES, more: list = TEMPLATES, threshold: float = 0.8) -> str:
+    """scan() in DuckDB's SQL: every window against every template."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = ", ".join(f"('{t['label']}', {str(t['base']).lower()}, {quoted(t['words'])}, {quoted(dict.fromkeys(t['words']))}, {t['need']})" for t in _templates(base, more, threshold))
+    return f"""
+WITH t(label, base, words, tokens, need) AS (VALUES {rows}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ASCII_WORD}') AS w FROM documents),
+p AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, label, w, words, unnest(range(1, len(w) - len(words) + 2)) AS i FROM d, t WHERE base AND list_has_all(w, tokens)) WHERE w[i:i + len(words) - 1] = words),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY 1),
+v AS (SELECT doc_id, w[{STRIDE} * k + 1:{STRIDE} * k + {WINDOW}] AS w FROM (SELECT doc_id, w, unnest(range(0, greatest((len(w) + {STRIDE} - 1) // {STRIDE}, 1))) AS k FROM d)),
+m AS (SELECT doc_id, label, max(len(list_intersect(tokens, w)) / len(tokens)) AS share FROM v, t WHERE NOT base AND len(list_intersect(tokens, w)) >= need GROUP BY 1, 2),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT doc_id, label, 1.0 AS share FROM p UNION ALL SELECT doc_id, label, share FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)
+"""

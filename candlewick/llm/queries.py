@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontaminate.SQL.format(docs="documents", n=5, threshold=0.8)}
+    return {"op2_licenses": licenses.sql(), "op6_warc": warc.SQL, "op7_decontamination": decontaminate.SQL.format(docs="documents", n=5, threshold=0.8)}

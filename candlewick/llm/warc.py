@@ -181,6 +181,13 @@ def _parsed(member: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
+#: The round trip's rows in DuckDB's SQL: base32 from five hex digits for four letters.
+SQL = """
+WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS x FROM pages), f AS (SELECT x, min(page_id) AS page FROM d GROUP BY 1)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(x, 1 + (i // 4)::INT * 5, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)), 1)), '') AS payload_digest,
+CASE WHEN page_id = page THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> page THEN page END AS refers_to FROM d JOIN f USING (x)
+"""
+
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 

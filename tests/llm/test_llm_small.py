@@ -384,3 +384,61 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect())) and manifest.count() > 3
     assert warc.read_warc(warc.write_warc(frame.limit(0), f"file://{tmp_path}/e"), f"file://{tmp_path}/e").count() == 0
     assert not list((tmp_path / "w" / "_temporary").iterdir())
+
+
+# -- registered SQL, and the pipeline
+
+
+def test_sql_of_queries(spark):
+    import duckdb
+    from candlewick.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+        names = sorted(got.columns)
+        theirs = con.execute(sql)
+        at = [[d[0] for d in theirs.description].index(n) for n in names]
+        plain = lambda rows: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+        assert plain(map(tuple, got.select(*names).collect())) == plain(tuple(r[i] for i in at) for r in theirs.fetchall()), name
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline
+    from candlewick.llm.common import Scratch
+
+    sf_dir = "/root/testdata/sf0.001"
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    leak = spark.createDataFrame([(90_000, 'Here is a short note of its own kind: token = "' + "9f" * 20 + '" and no more.', "en", "src1", 90)], frame.schema)
+    frame = frame.unionAll(leak)
+    rows = frame.collect()
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    prints = {r.doc_id: simhash_brute(r.text) for r in rows if any(c.isalpha() for c in r.text or "")}
+    roots = components_brute(set(prints.values()))
+    least = {}
+    for i, p in prints.items():
+        least[roots[p]] = min(i, least.get(roots[p], i))
+
+    def shingled(text):
+        ws = words_all(text)
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+    items = [shingled(b.text) for b in bench]
+    text = {r.doc_id: r.text for r in rows}
+    clean = {i for i in least.values() if all(len(s & shingled(text[i])) < math.ceil(0.8 * len(s) - 1e-9) for s in items)}
+    scratch = Scratch(spark, "t")
+    for name, stage in corpus_pipeline.STAGES:
+        before = frame.columns
+        frame = scratch.cut(stage(spark, frame, sf_dir))
+        if name != "packing":
+            assert frame.columns == before
+        if name == "secrets":
+            assert {r.doc_id for r in frame.collect()} == clean
+            redacted = {r.doc_id: r.text for r in frame.collect()}
+    held = re.compile(r'token = "[0-9a-f]{40}"')
+    assert any(held.search(text[i]) for i in clean) and not any(held.search(t) for t in redacted.values())
+    assert all(redacted[i] == text[i] for i in clean if "[SECRET]" not in redacted[i])
+    assert {r["doc_id"]: r["n"] for r in frame.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {i: len(exact_ids(t)) for i, t in redacted.items()}
+    assert 0 < corpus_pipeline.run(spark, sf_dir).count() < frame.count()
