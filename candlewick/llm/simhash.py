@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -109,14 +109,14 @@ def _fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     return out
 
 
-def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: tuple = ()) -> DataFrame:
-    """(doc_id, the columns ``extra``, fingerprint long) of every whole text.
+def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint long) of every whole text.
 
     A-Z are lower-cased; words are runs of anything but ASCII white space; shingles of ``shingle`` words, repeats
     included, are joined by spaces (fewer words: all of them) and hashed by XXH64 with seed 42. A bit is set if it is
     set in more than half the hashes. A null or empty text has the fingerprint zero.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), *extra, docs[text_col].cast("string").alias("_text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("_text"))
     schema = rows.drop("_text").schema.add("fingerprint", "long")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,37 +164,23 @@ def links(prints: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
     return near.unionAll(stars)
 
 
-def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: tuple = ()) -> DataFrame:
-    """(doc_id, the columns ``extra``, fingerprint long, component_id): one row per document; the component's smallest doc_id.
+def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint long, component_id): one row per document; the component's smallest doc_id.
 
     Documents link if their fingerprints differ in at most two bits; copies share a fingerprint and are one node
     from the start. Repeated rows stay; a null doc_id is in its fingerprint's component, and the smallest non-null
     id names it (null if there is none). An empty table gives no rows; other columns are not read.
     """
-    found = scratch.cut(simhash(docs, shingle, id_col, text_col, extra))
+    found = scratch.cut(simhash(docs, shingle, id_col, text_col))
     prints = scratch.cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     reached = connected_components(links(prints.select("fingerprint"), scratch), scratch)
     grouped = prints.join(reached, prints.fingerprint == reached.node).select("fingerprint", "root", "least")
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))
     by_print = grouped.join(named, "root").select("fingerprint", "component")
     names = prints.join(by_print, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component_id"))
-    return found.join(names, "fingerprint").select("doc_id", *extra, "fingerprint", "component_id")
+    return found.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def hex_print(col):
     """A fingerprint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))
-
-
-def drop_near_copies(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keeps the documents whose id names their component, all columns as they were.
-
-    Documents without an id can't be told apart and all stay; repeated rows (id and text) of a kept id become one.
-    """
-    own = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    groups = near_groups(own, scratch, id_col=id_col, text_col=text_col, extra=("_text_hash",))
-    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost"), F.col("_text_hash").alias("_lost_hash")).distinct()
-    named = own.where(F.col(id_col).isNotNull()).join(lost, (F.col(id_col) == F.col("_lost")) & (F.col("_text_hash") == F.col("_lost_hash")), "left_anti")
-    repeat = Window.partitionBy(id_col, "_text_hash").orderBy(id_col)
-    kept = named.withColumn("_repeat", F.row_number().over(repeat)).where("_repeat = 1").select(*docs.columns)
-    return kept.unionAll(docs.where(F.col(id_col).isNull()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import decontaminate, langid, packing, secrets, simhash
+from candlewick.llm import decontaminate, langid, near_copies, packing, secrets
 from candlewick.llm.common import Scratch, read_table
 from candlewick.llm.queries import tokenizer_path
 
@@ -15,8 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints link, directly or through others, the one with the smallest id."""
-    return simhash.drop_near_copies(docs, Scratch(spark, "near-dedup"))
+    """Of documents that link as copies or near copies, directly or through others, the one with the smallest id."""
+    return near_copies.drop_near_copies(docs, Scratch(spark, "near-dedup"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from candlewick.llm import decontaminate, langid, licenses, packing, repeats, secrets, simhash, tokens, warc, winnow
+from candlewick.llm import decontaminate, langid, licenses, near_copies, packing, repeats, secrets, simhash, tokens, warc, winnow
 from candlewick.llm.common import Scratch
 from candlewick.llm.components import connected_components
 from candlewick.llm.queries import tokenizer_path
@@ -142,12 +142,53 @@ def test_simhash_groups(spark, docs):
         if i is not None:
             least[roots[p]] = min(i, least.get(roots[p], i))
     assert all(r["component_id"] == least.get(roots[r["fingerprint"] & (1 << 64) - 1]) for r in out)
-    kept = simhash.drop_near_copies(table(spark, rows), Scratch(spark, "t"))
-    assert kept.columns == table(spark, []).columns
-    assert {r["doc_id"] for r in kept.collect()} - {None} == set(least.values())
     assert simhash.near_groups(table(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def jaccard_links(rows):
+    """Pairs of ids with a Jaccard similarity of 0.8 or more of five-word shingles."""
+    sets = {}
+    for i, t in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def kept_brute(rows):
+    """Smallest ids of the groups that fingerprints within two bits and shingles link."""
+    prints = {i: simhash_brute(t) for i, t in rows}
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    for a, b in near + jaccard_links(rows):
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {i for i in parent if root(i) == i}
+
+
+def test_near_copies(spark, docs):
+    base = docs[7][1].split()
+    edited = [" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in (3, len(base) // 2, len(base) - 2)]
+    rows = docs[:150] + [(1000 + k, t, "en") for k, t in enumerate(edited)] + [(2000, None, "en"), (2001, "", "en"), (2002, " \n", "en"), (2003, docs[9][1], "en"), (-7, "the " * 30_000, "en")]
+    kept = near_copies.drop_near_copies(table(spark, [*rows, (None, "x", "en"), (None, "x", "en"), rows[1]]), Scratch(spark, "t"))
+    assert kept.columns == table(spark, []).columns
+    got = Counter(r["doc_id"] for r in kept.collect())
+    assert got.pop(None) == 2 and set(got.values()) == {1}
+    assert set(got) == kept_brute([(i, t) for i, t, _ in rows]) and not {1000, 1001, 1002, 2001, 2003} & set(got)
+    assert near_copies.drop_near_copies(table(spark, []), Scratch(spark, "t")).count() == 0
+
+
+def test_crowded_keys_keep_a_group_together(spark, docs):
+    base = docs[7][1].split()
+    rows = [(k, " ".join(base[:k] + [f"w{k}"] + base[k + 1 :]), "en") for k in range(min(90, len(base)))]
+    assert {r["doc_id"] for r in near_copies.drop_near_copies(table(spark, rows), Scratch(spark, "t")).collect()} == kept_brute([(i, t) for i, t, _ in rows])
+
+
 @pytest.mark.parametrize("most", [1, 64])
 def test_golay_links_lose_nothing(spark, most):
     rng = np.random.default_rng(2)
@@ -415,11 +456,7 @@ def test_pipeline(spark, docs):
     frame = frame.unionAll(leak)
     rows = frame.collect()
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
-    prints = {r.doc_id: simhash_brute(r.text) for r in rows if any(c.isalpha() for c in r.text or "")}
-    roots = components_brute(set(prints.values()))
-    least = {}
-    for i, p in prints.items():
-        least[roots[p]] = min(i, least.get(roots[p], i))
+    least = kept_brute([(r.doc_id, r.text) for r in rows if any(c.isalpha() for c in r.text or "")])
 
     def shingled(text):
         ws = words_all(text)
@@ -427,7 +464,7 @@ def test_pipeline(spark, docs):
 
     items = [shingled(b.text) for b in bench]
     text = {r.doc_id: r.text for r in rows}
-    clean = {i for i in least.values() if all(len(s & shingled(text[i])) < math.ceil(0.8 * len(s) - 1e-9) for s in items)}
+    clean = {i for i in least if all(len(s & shingled(text[i])) < math.ceil(0.8 * len(s) - 1e-9) for s in items)}
     scratch = Scratch(spark, "t")
     for name, stage in corpus_pipeline.STAGES:
         before = frame.columns
