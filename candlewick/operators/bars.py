@@ -82,7 +82,7 @@ def deltas(bars: DataFrame) -> DataFrame:
 
 def infer_interval(bars: DataFrame) -> DataFrame:
     """(symbol, interval_ms): upper median of the positive steps between bars."""
-    return deltas(bars).where("delta_ms > 0").groupBy("symbol").agg(upper_median("delta_ms").alias("interval_ms"))
+    return deltas(bars).where("delta_ms > 0").groupBy("symbol").agg(upper_median("delta_ms").cast("long").alias("interval_ms"))
 
 
 def fill_spread(bars: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from ..operators import rules as R
 from ..operators import search as G
 from ..operators import stats as S
 from ..operators.indicators import recursive as X
+from ..operators.indicators import sessions as N
 from ..operators.indicators import windowed as I
 from . import tables as T
 
@@ -419,6 +420,29 @@ def ind_break_of_structure(spark, sf_dir):
     return b.select(*KEYS, I.crossed("swing_high", "swing_low").alias("broke"))
 
 
+_SESSION = "d AS (SELECT *, (make_timestamp(ts_ms * 1000) - INTERVAL 120 MINUTE)::DATE AS session FROM bars), o AS (SELECT symbol, session, arg_min(open, ts_ms) AS so, max(high) AS sh, min(low) AS sl, arg_max(close, ts_ms) AS sc FROM d GROUP BY 1, 2), l AS (SELECT symbol, session, lag(so) OVER w AS so, lag(sh) OVER w AS sh, lag(sl) OVER w AS sl, lag(sc) OVER w AS sc FROM o WINDOW w AS (PARTITION BY symbol ORDER BY session))"
+
+
+@query(
+    f"WITH {BARS}, {_SESSION} SELECT symbol, ts_ms, {s6('so')} AS s_open, {s6('(sh + sl + sc) / 3')} AS p, {s6('2 * ((sh + sl + sc) / 3) - sl')} AS r1, {s6('(sh + sl + sc) / 3 - 2 * (sh - sl)')} AS s3, {s6('CASE WHEN sc >= so THEN sh - (sh - sl) * 0.618::DOUBLE ELSE sl + (sh - sl) * 0.618::DOUBLE END')} AS fibo FROM d JOIN l USING (symbol, session)"
+)
+def ind_session_pivots(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("local_time", clock.utc(F.col("ts_ms")))
+    b = N.with_past(b, N.session_day("local_time", 120)).withColumns(N.pivots()).withColumn("fibo", N.retracement(0.618))
+    return values(b, KEYS, {c: c for c in ("s_open", "p", "r1", "s3", "fibo")})
+
+
+@query(
+    f"""WITH {BARS}, d AS (SELECT *, make_timestamp(ts_ms * 1000) AS l FROM bars), e AS (SELECT *, l::DATE AS day, hour(l) * 60 + minute(l) AS m FROM d),
+f AS (SELECT *, max(CASE WHEN m < 180 THEN high END) OVER w AS h, min(CASE WHEN m < 180 THEN low END) OVER w AS lo, max(CASE WHEN m >= 480 AND m < 720 THEN high END) OVER w AS rh FROM e WINDOW w AS (PARTITION BY symbol, day ORDER BY ts_ms))
+SELECT symbol, ts_ms, {s6("h")} AS or_high, {s6("lo")} AS or_low, {s6("(h + lo) / 2")} AS or_mid, m >= 180 AS or_complete, {s6("last_value(CASE WHEN m >= 720 THEN rh END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts_ms)")} AS range_high FROM f"""
+)
+def ind_opening_range(spark, sf_dir):
+    b = T.hourly(spark, sf_dir).withColumn("local_time", clock.utc(F.col("ts_ms")))
+    b = b.withColumns({**N.opening_range("local_time", 0, 180), "range_high": N.range_extreme("high", "local_time", 480, 720)})
+    return values(b, [*KEYS, "or_complete"], {c: c for c in ("or_high", "or_low", "or_mid", "range_high")})
+
+
 # -- recurrences
 
 
