@@ -20,8 +20,10 @@ from .common import ASCII_SPACE_WORD, Scratch, ascii_lower, bind
 from .components import connected_components
 from .simhash import GolayKeys, _fingerprints, links
 
+#: Ids of texts to verify up to which they are broadcast (5 MB).
+ASKED = 200_000
 #: Fingerprints of the set of words that each text gets.
-SEEDS = 8
+SEEDS = 6
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -70,22 +72,20 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[at]), pa.array(own[at]), pa.array(np.full(len(key), asks))], names=["key", "node", "print", "asks"])
 
 
-def candidates(nodes: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
+def candidates(nodes: DataFrame, most: int = 64) -> DataFrame:
     """(u, v), u > v: nodes with word fingerprints (column prints) within two bits of each other in some seed.
 
     A key of more than ``most`` texts is one large group of near copies or of tiny texts: there each text meets the
     first and its neighbour in the order of the fingerprints, not all others, so pairs grow with the texts and not
     with their square; the group is held together by these and by the keys of the other seeds.
     """
-    filed = scratch.cut(nodes.select("node", "prints").mapInArrow(_filed, "key long, node long, print long, asks boolean"))
-    full = filed.where("not asks").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
-    rare = filed.join(full, "key", "left_anti")
-    asks = rare.where("asks").select("key", F.col("node").alias("x"), F.col("print").alias("p"))
-    files = rare.where("not asks").select("key", F.col("node").alias("y"), F.col("print").alias("q"))
-    near = asks.join(files, "key").where((F.col("x") != F.col("y")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 2)).select("x", "y")
+    filed = nodes.select("node", "prints").mapInArrow(_filed, "key long, node long, print long, asks boolean")
+    asks = filed.where("asks").select("key", F.col("node").alias("x"), F.col("print").alias("p"))
     line = Window.partitionBy("key").orderBy("print", "node")
-    crowded = filed.where("not asks").join(full, "key", "left_semi").select("key", "node", "print", F.lag("node").over(line).alias("before"), F.first("node").over(line).alias("first"))
-    chained = crowded.select(F.col("node").alias("x"), F.explode(F.array_distinct(F.array("before", "first"))).alias("y")).where("x <> y")
+    files = filed.where("not asks").select("key", "node", "print", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"), F.lag("node").over(line).alias("before"), F.first("node").over(line).alias("first"))
+    rare = files.where(F.col("n") <= most).select("key", F.col("node").alias("y"), F.col("print").alias("q"))
+    near = asks.join(rare, "key").where((F.col("x") != F.col("y")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 2)).select("x", "y")
+    chained = files.where(F.col("n") > most).select(F.col("node").alias("x"), F.explode(F.array_distinct(F.array("before", "first"))).alias("y")).where("x <> y")
     return near.unionAll(chained).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
@@ -100,11 +100,18 @@ def shingle_set(text, n: int = 5):
     return bind(words, of)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more; texts: (node, text)."""
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more.
+
+    Only texts that stand in a pair are read again: their ids are broadcast while there are at most ASKED of them, and
+    joined by a shuffle beyond.
+    """
     pairs = scratch.cut(pairs)
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = scratch.cut(texts.join(asked, "node", "left_semi").select("node", shingle_set(F.col("text"), n).alias("set")))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = scratch.cut(nodes.join(ids, "node", "left_semi").select(F.col("node").alias("doc_id"), "h", "c"))
+    asked = F.broadcast(asked) if asked.count() <= ASKED else asked
+    texts = rows.join(asked, ["doc_id", "h", "c"], "left_semi")
+    sets = scratch.cut(texts.select(F.col("doc_id").alias("node"), shingle_set(F.col("text"), n).alias("set")).dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.withColumn("s", shared).where(F.col("s") >= threshold * (F.size("a") + F.size("b") - F.col("s"))).select("u", "v")
@@ -124,8 +131,7 @@ def representatives(docs: DataFrame, scratch: Scratch, n: int = 5, threshold: fl
     same = nodes.join(prints, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     name = lambda c: prints.select(F.col("fingerprint").alias(c), F.col("first").alias(f"_{c}"))
     near = links(prints.select("fingerprint"), scratch).join(name("u"), "u").join(name("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    texts = rows.join(nodes.select(F.col("node").alias("doc_id"), "h", "c"), ["doc_id", "h", "c"], "left_semi").select(F.col("doc_id").alias("node"), "text")
-    alike = verified(candidates(nodes, scratch), texts, scratch, n, threshold)
+    alike = verified(candidates(nodes), rows, nodes, scratch, n, threshold)
     reached = connected_components(same.unionAll(near).unionAll(alike), scratch)
     lost = reached.where("node <> root").select("node").distinct()
     return scratch.cut(nodes.select("node", "h", "c").join(lost, "node", "left_anti"))
@@ -141,6 +147,8 @@ def drop_near_copies(docs: DataFrame, scratch: Scratch, n: int = 5, threshold: f
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.where(F.col(id_col).isNotNull()).withColumn("_h", F.xxhash64(text)).withColumn("_c", F.crc32(text.cast("binary")))
     kept = own.join(keep, (own[id_col] == keep["node"]) & (own["_h"] == keep["h"]) & (own["_c"] == keep["c"]), "left_semi")
-    repeat = Window.partitionBy(id_col, "_h", "_c").orderBy(id_col)
-    once = kept.withColumn("_repeat", F.row_number().over(repeat)).where("_repeat = 1").select(*docs.columns)
+    if not own.groupBy(id_col, "_h", "_c").count().where("count > 1").isEmpty():
+        repeat = Window.partitionBy(id_col, "_h", "_c").orderBy(id_col)
+        kept = kept.withColumn("_repeat", F.row_number().over(repeat)).where("_repeat = 1")
+    once = kept.select(*docs.columns)
     return once.unionAll(docs.where(F.col(id_col).isNull()))
