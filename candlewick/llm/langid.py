@@ -82,7 +82,12 @@ def sample(docs: DataFrame, per_language: int, at_most: int) -> DataFrame:
     if not kinds:
         return rows.limit(0).withColumn("rank", F.lit(0))
     each = max(2, min(per_language, at_most // kinds))
-    near = rows.join(sizes, "lang").where(F.col("mark") * F.col("count") < 4 * each + 20)
+    # a map of at most at_most languages; beyond that a join, since each language then has two rows
+    if kinds <= at_most:
+        share = F.create_map(*[F.lit(x) for r in sizes.collect() for x in (r["lang"], (4 * each + 20) / r["count"])])
+        near = rows.where(F.col("mark") < F.element_at(share, F.col("lang")))
+    else:
+        near = rows.join(sizes, "lang").where(F.col("mark") * F.col("count") < 4 * each + 20)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "id"))).where(F.col("rank") <= each)
 
 
@@ -192,14 +197,12 @@ def keep_known(docs: DataFrame, languages: list[str] | None = None, id_col: str
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flags = np.zeros(len(batch), dtype=bool)
-            rows, places = [], []
-            for i, text in enumerate(batch.column(at)):
-                found = presence(text.as_py() or "") if model.languages else None
-                if found is not None:
-                    rows.append(found), places.append(i)
-            for lo in range(0, len(rows), 256):
-                best = model.score(rows[lo : lo + 256]).argmax(axis=1)
-                flags[places[lo : lo + 256]] = [model.languages[k] in keep for k in best]
+            for lo in range(0, len(batch) if model.languages else 0, 256):
+                found = [presence(t.as_py() or "") for t in batch.column(at).slice(lo, 256)]
+                places = [i for i, r in enumerate(found) if r is not None]
+                if places:
+                    best = model.score([found[i] for i in places]).argmax(axis=1)
+                    flags[[lo + i for i in places]] = [model.languages[k] in keep for k in best]
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(flags))
 
     return docs.mapInArrow(known, docs.schema)
