@@ -94,10 +94,12 @@ def write_warc(
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit("").cast("binary")).alias("payload")
     ).withColumn("sha1", F.sha1("payload"))
-    marks = revisits(rows, least_bytes).select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), "refers_to")
-    joined = rows.join(marks, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")), "left").select("page_id", "url", "payload", "sha1", "refers_to")
+    # marks of revisits travel as rows before their pages, so that payloads are shuffled once
+    nothing = F.lit(None)
+    marks = revisits(rows, least_bytes).select("page_id", nothing.cast("string").alias("url"), nothing.cast("binary").alias("payload"), "sha1", "refers_to", F.lit(0).alias("kind"))
+    both = rows.select("page_id", "url", "payload", "sha1", nothing.cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionAll(marks)
     shards = shards or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = joined.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "url", "sha1").drop("sha1")
+    ordered = both.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "url", "sha1")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(path)
@@ -129,12 +131,18 @@ def write_warc(
             done.append((shard, len(done), state["name"], state["records"], state["bytes"], state["sha"].hexdigest(), state["first"], state["last"]))
             state.clear()
 
+        page, firsts = object(), {}
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*batch.columns, strict=True):
+            for page_id, url, payload, sha1, refers_to, kind in zip(*batch.columns, strict=True):
+                page_id, sha1 = page_id.as_py(), sha1.as_py()
+                if page_id != page:
+                    page, firsts = page_id, {}
+                if not kind.as_py():
+                    firsts[sha1] = refers_to.as_py()
+                    continue
                 if not state:
                     opened()
-                page_id = page_id.as_py()
-                put(build_record(page_id, url.as_py(), payload.as_py(), refers_to.as_py(), date))
+                put(build_record(page_id, url.as_py(), payload.as_py(), firsts.get(sha1), date))
                 if not state["records"]:
                     state["first"] = page_id
                 state["records"] += 1
