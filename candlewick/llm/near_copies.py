@@ -1,29 +1,38 @@
-"""Near copies by SimHash candidates and exact verification, for filtering a corpus.
+"""Near copies by SimHash links and an exact set-similarity join, for filtering a corpus.
 
-The fingerprint of shingles tells apart texts that differ in a few words of a hundred, so each text also gets SEEDS
-fingerprints of its set of words, in which such texts differ in about three of 64 bits. Each of them is filed under
-Golay codeword keys as in simhash.py; texts that meet in any of them within two bits are candidates, and candidates
-are verified by the Jaccard similarity of their sets of five-word shingles. Every seed finds a pair on its own, so
-what one misses another finds.
+Texts are alike if their sets of five-word shingles have a Jaccard similarity of the threshold t or more. All shingles
+have one order: those that a sample shows to be common last, the others by their hash. Of two alike texts each holds
+ceil(t m) of its m shingles in common with the other, so they share one of their first m - ceil(t m) + 1 (prefix
+filter), and from the first they share there are enough left (positional filter). What passes is counted exactly. The
+sample sets the order only: any order loses nothing.
+
+A shingle that very many texts file is not paired out. Its texts are first held against one of them, a hub, and groups
+that form are one from there on; then every text outside of a key's largest group meets all texts of other groups.
+Pairs inside a group are the only ones left out, and they change no group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE_WORD, Scratch, ascii_lower, bind
+from .common import Scratch
 from .components import connected_components
-from .simhash import GolayKeys, _fingerprints, links
+from .simhash import _fingerprints, links
 
 #: Ids of texts to verify up to which they are broadcast (5 MB).
 ASKED = 200_000
-#: Fingerprints of the set of words that each text gets.
-SEEDS = 6
+#: Common shingles that come last: one text in SAMPLE is looked at, for shingles of SEEN of those or more, COMMON at most.
+SAMPLE, SEEN, COMMON = 16, 4, 100_000
+#: Hubs that a key's texts are held against before all that is left meets.
+HUBS = 2
+#: Texts of a batch that are worked on at a time.
+_TEXTS_AT_ONCE = 256
 
 
 def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -33,106 +42,159 @@ def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_prints(text: bytes, seeds: int = SEEDS) -> list[int]:
-    """Fingerprints of a text's set of words; all zero if it has none."""
+def shingles(text: bytes, n: int = 5) -> np.ndarray:
+    """Distinct hashes, ascending, of a text's n-word shingles; of all its words if there are fewer."""
     from xxhash import xxh64_intdigest
 
-    words = set(text.lower().split())
-    if not words:
-        return [0] * seeds
+    words = text.lower().split()
     hashed = np.fromiter((xxh64_intdigest(w, 42) for w in words), dtype="<u8", count=len(words))
-    out = []
-    for seed in range(1, seeds + 1):
-        bits = np.unpackbits(_mixed(hashed, seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        most = bits.sum(axis=0, dtype=np.int64) * 2 > len(words)
-        out.append(int(np.packbits(most, bitorder="little").view("<i8")[0]))
-    return out
+    if not words:
+        return hashed
+    k = max(1, len(words) - n + 1)
+    out = np.zeros(k, dtype=np.uint64)
+    for i in range(min(n, len(words))):
+        out = _mixed(out ^ hashed[i : i + k], i + 1)
+    return np.unique(out)
+
+
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
+    """The first m - ceil(threshold m) + 1 of m shingles; those in ``common`` (ascending) come last, by their rank."""
+    m = len(found)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        hit = common[at] == found
+        found = np.concatenate([found[~hit], found[hit][np.argsort(rank[at[hit]], kind="stable")]])
+    return found[: m - int(np.ceil(threshold * m - 1e-9)) + 1] if m else found
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Columns but the last, and the texts in the last, some texts at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _TEXTS_AT_ONCE):
+            part = batch.slice(lo, _TEXTS_AT_ONCE)
+            last = part.columns[-1]
+            yield part.columns[:-1], [t.as_py() or b"" for t in last.cast(pa.binary() if pa.types.is_string(last.type) else pa.large_binary())]
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t.as_py() or b"" for t in batch.column(3).cast(pa.binary())]
-        prints = pa.array([word_prints(t) for t in texts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_fingerprints(texts, 3).view(np.int64)), prints], names=["doc_id", "h", "c", "fingerprint", "prints"])
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(np.uint64).view(np.int64)))
 
 
-def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    golay = GolayKeys()
-    for batch in batches:
-        nodes = batch.column(0).to_numpy()
-        table = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(len(nodes), -1)
-        for seed in range(table.shape[1]):
-            f = np.ascontiguousarray(table[:, seed])
-            a, b, c = ((f >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) for s, w in ((0, 23), (23, 23), (46, 18)))
-            own = f.view(np.int64)
-            for pair, (exact, fuzzy) in enumerate(((c, a), (a, b), (b, c))):
-                head = (seed * 3 + pair) << 40 | exact << 12
-                rows, index = golay.within_four(fuzzy)
-                for key, at, asks in ((head | golay.own(fuzzy), np.arange(len(nodes)), True), (head[rows] | index, rows, False)):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes[at]), pa.array(own[at]), pa.array(np.full(len(key), asks))], names=["key", "node", "print", "asks"])
-
-
-def candidates(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(u, v), u > v: nodes with word fingerprints (column prints) within two bits of each other in some seed.
-
-    A key of more than ``most`` texts is one large group of near copies or of tiny texts: there each text meets the
-    first and its neighbour in the order of the fingerprints, not all others, so pairs grow with the texts and not
-    with their square; the group is held together by these and by the keys of the other seeds.
-    """
-    filed = nodes.select("node", "prints").mapInArrow(_filed, "key long, node long, print long, asks boolean")
-    asks = filed.where("asks").select("key", F.col("node").alias("x"), F.col("print").alias("p"))
-    line = Window.partitionBy("key").orderBy("print", "node")
-    files = filed.where("not asks").select("key", "node", "print", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"), F.lag("node").over(line).alias("before"), F.first("node").over(line).alias("first"))
-    rare = files.where(F.col("n") <= most).select("key", F.col("node").alias("y"), F.col("print").alias("q"))
-    near = asks.join(rare, "key").where((F.col("x") != F.col("y")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 2)).select("x", "y")
-    chained = files.where(F.col("n") > most).select(F.col("node").alias("x"), F.explode(F.array_distinct(F.array("before", "first"))).alias("y")).where("x <> y")
-    return near.unionAll(chained).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+def _sketched(batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.ndarray, n: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    for columns, texts in _slices(batches):
+        sets = [shingles(t, n) for t in texts]
+        heads = _lists([prefix(s, common, rank, threshold) for s in sets])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(_fingerprints(texts, 3).view(np.int64)), pa.array(list(map(len, sets)), pa.int32()), heads], names=["doc_id", "h", "c", "fingerprint", "size", "prefix"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for columns, texts in _slices(batches):
+        yield pa.RecordBatch.from_arrays([*columns, _lists([shingles(t, n) for t in texts])], names=["node", "h", "c", "set"])
+
+
+def common_shingles(rows: DataFrame, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles ascending, rank): what a sample of the texts shows to be common, the most common ranked last."""
+    sample = rows.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h", "c"]).select("doc_id", "h", "c", "text")
+    sets = sample.mapInArrow(partial(_sets, n=n), "node long, h long, c long, set array<long>")
+    counts = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= SEEN)
+    top = counts.orderBy(F.desc("k"), "s").limit(COMMON).collect()
+    found = np.array([r["s"] for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], len(found) - order
 
 
-def shingle_set(text, n: int = 5):
-    """Distinct hashes of a text's n-word shingles; of all its words if there are fewer."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ASCII_SPACE_WORD), F.lit(0))
+def _enough(threshold: float):
+    """For entries (s, p) and (t, q), sizes and places from 0: whether the sizes, and what is left from there on, allow the threshold."""
+    left = F.least(F.col("s") - F.col("p"), F.col("t") - F.col("q"))
+    return (F.least("s", "t") >= threshold * F.greatest("s", "t") - 1e-9) & (left * (1 + threshold) >= threshold * (F.col("s") + F.col("t")) - 1e-9)
 
-    def of(w):
-        runs = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, n)]))
-        return F.array_distinct(F.slice(runs, F.lit(1), F.when(F.size(w) == 0, 0).otherwise(F.greatest(F.size(w) - (n - 1), F.lit(1)))))
 
-    return bind(words, of)
+def _other(entries: DataFrame, *more: str) -> DataFrame:
+    return entries.select("key", F.col("x").alias("y"), F.col("s").alias("t"), F.col("p").alias("q"), *[F.col(m).alias(f"_{m}") for m in more])
 
 
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more.
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct()
 
-    Only texts that stand in a pair are read again: their ids are broadcast while there are at most ASKED of them, and
-    joined by a shuffle beyond.
+
+def filed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, x, s, p, n): node x of s shingles files key at place p of its prefix, as n nodes do; keys of one node are left out."""
+    entries = nodes.select(F.col("node").alias("x"), F.col("size").alias("s"), F.posexplode("prefix").alias("p", "key"))
+    return scratch.cut(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
+
+
+def shingle_sets(ids: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5) -> DataFrame:
+    """(node, set) of the nodes in ``ids``, whose texts only are read again.
+
+    Their ids are broadcast while there are at most ASKED of them, and joined by a shuffle beyond.
     """
-    pairs = scratch.cut(pairs)
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = scratch.cut(nodes.join(ids, "node", "left_semi").select(F.col("node").alias("doc_id"), "h", "c"))
     asked = F.broadcast(asked) if asked.count() <= ASKED else asked
-    texts = rows.join(asked, ["doc_id", "h", "c"], "left_semi")
-    sets = scratch.cut(texts.select(F.col("doc_id").alias("node"), shingle_set(F.col("text"), n).alias("set")).dropDuplicates(["node"]))
+    texts = rows.join(asked, ["doc_id", "h", "c"], "left_semi").select("doc_id", "h", "c", "text")
+    sets = texts.mapInArrow(partial(_sets, n=n), "node long, h long, c long, set array<long>")
+    return scratch.cut(sets.dropDuplicates(["node", "h", "c"]).select("node", "set"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.withColumn("s", shared).where(F.col("s") >= threshold * (F.size("a") + F.size("b") - F.col("s"))).select("u", "v")
 
 
+def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8, most: int = 64) -> DataFrame:
+    """(node, root) of all nodes that links (u, v) in ``known``, or shingle sets alike to ``threshold``, connect to others.
+
+    Keys of at most ``most`` nodes are paired out. Nodes of fuller keys meet hubs first; see above.
+    """
+    entries = filed(nodes, scratch)
+    rare, full = entries.where(F.col("n") <= most), entries.where(F.col("n") > most).drop("n")
+    pairs = scratch.cut(_pairs(rare.join(_other(rare), "key").where(F.col("x") < F.col("y")).where(_enough(threshold))))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionAll(full.select(F.col("x").alias("node"))).distinct()
+    sets = shingle_sets(ids, rows, nodes, scratch, n)
+    reached = connected_components(known.unionAll(verified(pairs, sets, threshold)), scratch)
+    if full.isEmpty():
+        return reached
+    # an original of many edited copies holds no shingles of its own: most of its prefix is in full keys
+    score = full.groupBy("x").agg((F.count("*") / F.first("s")).alias("score"))
+    full = scratch.cut(full.join(score, "x"))
+    for turn in range(HUBS + 1):
+        placed = scratch.cut(full.join(reached, full.x == reached.node, "left").select(*full.columns, F.coalesce("root", "x").alias("root")))
+        groups = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
+        main = groups.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+        split = placed.join(main, "key")
+        outside = split.where("root <> main")
+        if turn < HUBS:
+            chosen = (outside if turn else split).groupBy("key").agg(F.max_by(F.struct("x", "root"), F.struct("score", -F.col("x"))).alias("hub"))
+            met = (outside if turn else split).join(chosen, "key").where("root <> hub.root").select("x", F.col("hub.x").alias("y"))
+        else:
+            everyone = _other(placed, "root")
+            met = outside.join(everyone, "key").where("root <> _root").where(_enough(threshold)).select("x", "y")
+        pairs = scratch.cut(_pairs(met))
+        found = scratch.cut(verified(pairs, sets, threshold))
+        if not found.isEmpty():
+            reached = connected_components(reached.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(found), scratch)
+    return reached
+
+
 def representatives(docs: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, h, c): ids, with hash and checksum of the text, of the documents that stay: the smallest id of each group.
 
-    Groups link equal texts, texts whose three-word fingerprints differ in at most two bits, and near copies verified
-    to ``threshold``. Documents with a null id are no part of it.
+    Groups link equal texts, texts whose three-word fingerprints differ in at most two bits, and texts whose
+    shingle sets are alike to ``threshold``. Documents with a null id are no part of it.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), text.alias("text"))
-    sketched = rows.mapInArrow(_sketched, "doc_id long, h long, c long, fingerprint long, prints array<long>")
-    nodes = scratch.cut(sketched.groupBy("h", "c").agg(F.min("doc_id").alias("node"), F.min_by("fingerprint", "doc_id").alias("fingerprint"), F.min_by("prints", "doc_id").alias("prints")))
+    common, rank = common_shingles(rows, n)
+    sketched = rows.mapInArrow(partial(_sketched, common=common, rank=rank, n=n, threshold=threshold), "doc_id long, h long, c long, fingerprint long, size int, prefix array<long>")
+    least = F.min_by(F.struct("fingerprint", "size", "prefix"), "doc_id").alias("first")
+    nodes = scratch.cut(sketched.groupBy("h", "c").agg(F.min("doc_id").alias("node"), least).select("node", "h", "c", "first.*"))
     prints = scratch.cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")))
     same = nodes.join(prints, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     name = lambda c: prints.select(F.col("fingerprint").alias(c), F.col("first").alias(f"_{c}"))
     near = links(prints.select("fingerprint"), scratch).join(name("u"), "u").join(name("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    alike = verified(candidates(nodes), rows, nodes, scratch, n, threshold)
-    reached = connected_components(same.unionAll(near).unionAll(alike), scratch)
+    reached = alike_groups(same.unionAll(near), rows, nodes, scratch, n, threshold)
     lost = reached.where("node <> root").select("node").distinct()
     return scratch.cut(nodes.select("node", "h", "c").join(lost, "node", "left_anti"))
 

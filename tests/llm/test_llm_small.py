@@ -189,6 +189,28 @@ def test_crowded_keys_keep_a_group_together(spark, docs):
     assert {r["doc_id"] for r in near_copies.drop_near_copies(table(spark, rows), Scratch(spark, "t")).collect()} == kept_brute([(i, t) for i, t, _ in rows])
 
 
+def test_an_original_holds_thousands_of_edited_copies(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(5000, " ".join(base), "en")]
+    for i in range(2000):
+        words = list(base)
+        for k in rng.choice(np.arange(5, 195, 5), 3, replace=False):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words), "en"))
+    links = jaccard_links([(i, t) for i, t, _ in rows[:100]])
+    assert sum(b == 5000 for _, b in links) == 99 and sum(b != 5000 for _, b in links) < 100  # alike to the original, few to one another
+    assert [r["doc_id"] for r in near_copies.drop_near_copies(table(spark, rows), Scratch(spark, "t")).collect()] == [0]
+
+
+def test_crowded_keys_without_an_original(spark):
+    rng = np.random.default_rng(4)
+    line = [f"w{k}" for k in rng.integers(0, 10_000, 700)]
+    rows = [(k, " ".join(line[3 * k : 3 * k + 250]), "en") for k in rng.permutation(150).tolist() if k not in (70, 71, 72, 73, 74, 75, 76, 77, 78, 79, 80)]
+    kept = {r["doc_id"] for r in near_copies.drop_near_copies(table(spark, rows), Scratch(spark, "t")).collect()}
+    assert kept == kept_brute([(i, t) for i, t, _ in rows]) and len(kept) == 2
+
+
 @pytest.mark.parametrize("most", [1, 64])
 def test_golay_links_lose_nothing(spark, most):
     rng = np.random.default_rng(2)
