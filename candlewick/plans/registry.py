@@ -681,9 +681,8 @@ j AS (SELECT d.run_id, trial, pos, profit FROM d JOIN tr2 t ON t.run_id = d.run_
 def block_bootstrap(spark, sf_dir):
     from pyspark.sql import Window
 
-    t = T.trades(spark, sf_dir).where("trade_no % 20 = 0")
-    t = t.select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("trade_no")) - 1).cast("long").alias("idx"), F.col("net_profit").alias("profit"))
-    b = S.block_bootstrap(t, ["run_id"], 20, 5)
+    t = T.trades(spark, sf_dir).select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("trade_no")) - 1).cast("long").alias("idx"), F.col("net_profit").alias("profit"))
+    b = S.block_bootstrap(t, ["run_id"])
     return b.select("run_id", "trial", settle(F.col("net"), 100.0).alias("net"), settle(F.col("max_drawdown"), 100.0).alias("max_drawdown"))
 
 

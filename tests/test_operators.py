@@ -117,3 +117,24 @@ def test_run_comparison(spark):
 def test_synthetic_bars_keep_their_shape(bars):
     out = Z.stationary_bars(bars, 2, 5, 1).collect()
     assert len(out) == 240 and all(r["low"] <= min(r["open"], r["close"]) and r["high"] >= max(r["open"], r["close"]) for r in out)
+
+
+def test_block_bootstrap_query_draws_from_all_trades(spark):
+    from candlewick.plans import registry
+    from candlewick.plans import tables as T
+
+    sf_dir, profits = "/root/testdata/sf0.001", {}
+    for r in sorted(T.trades(spark, sf_dir).select("run_id", "trade_no", "net_profit").collect()):
+        profits.setdefault(r["run_id"], []).append(r["net_profit"])
+    got = {(r["run_id"], r["trial"]): (r["net"], r["max_drawdown"]) for r in registry.queries()["block_bootstrap"](spark, sf_dir).collect()}
+    assert set(got) == {(run, trial) for run in profits for trial in range(250)}
+    for (run, trial), (net, worst) in got.items():
+        p, total, top, down = profits[run], 0.0, 0.0, 0.0
+        for pos in range(len(p)):
+            state = 42 + trial * 7919 + pos // 5 * 104_729
+            for _ in range(2):
+                state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
+            total += p[(pos % 5 + state // 65_536 % len(p)) % len(p)]
+            top = max(top, total)
+            down = max(down, top - total)
+        assert abs(net - total) < 0.011 and abs(worst - down) < 0.011
