@@ -74,6 +74,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
             part = batch.slice(lo, _TEXTS_AT_ONCE)
             last = part.columns[-1]
             yield part.columns[:-1], [t.as_py() or b"" for t in last.cast(pa.binary() if pa.types.is_string(last.type) else pa.large_binary())]
+    pa.default_memory_pool().release_unused()  # workers stay for later stages
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -90,13 +91,15 @@ def _sketched(batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.nd
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for columns, texts in _slices(batches):
-        yield pa.RecordBatch.from_arrays([*columns, _lists([shingles(t, n) for t in texts])], names=["node", "h", "c", "set"])
+        sets = [shingles(t, n) for t in texts]
+        odd = [np.packbits((np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.uint64) for s in sets]
+        yield pa.RecordBatch.from_arrays([*columns, _lists(sets), pa.array(list(map(len, sets)), pa.int32()), _lists(odd)], names=["node", "h", "c", "set", "size", "odd"])
 
 
 def common_shingles(rows: DataFrame, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(shingles ascending, rank): what a sample of the texts shows to be common, the most common ranked last."""
     sample = rows.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h", "c"]).select("doc_id", "h", "c", "text")
-    sets = sample.mapInArrow(partial(_sets, n=n), "node long, h long, c long, set array<long>")
+    sets = sample.mapInArrow(partial(_sets, n=n), "node long, h long, c long, set array<long>, size int, odd array<long>")
     counts = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= SEEN)
     top = counts.orderBy(F.desc("k"), "s").limit(COMMON).collect()
     found = np.array([r["s"] for r in top], dtype=np.int64).view(np.uint64)
@@ -125,19 +128,30 @@ def filed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def shingle_sets(ids: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5) -> DataFrame:
-    """(node, set) of the nodes in ``ids``, whose texts only are read again.
+    """(node, set, size, odd) of the nodes in ``ids``, whose texts only are read again; odd has the parity of each of 1,024 bits that shingles flip.
 
     Their ids are broadcast while there are at most ASKED of them, and joined by a shuffle beyond.
     """
     asked = scratch.cut(nodes.join(ids, "node", "left_semi").select(F.col("node").alias("doc_id"), "h", "c"))
     asked = F.broadcast(asked) if asked.count() <= ASKED else asked
     texts = rows.join(asked, ["doc_id", "h", "c"], "left_semi").select("doc_id", "h", "c", "text")
-    sets = texts.mapInArrow(partial(_sets, n=n), "node long, h long, c long, set array<long>")
-    return scratch.cut(sets.dropDuplicates(["node", "h", "c"]).select("node", "set"))
+    sets = scratch.cut(texts.mapInArrow(partial(_sets, n=n), "node long, h long, c long, set array<long>, size int, odd array<long>"))
+    if not sets.groupBy("node", "h", "c").count().where("count > 1").isEmpty():
+        sets = scratch.cut(sets.dropDuplicates(["node", "h", "c"]))
+    return sets.select("node", "set", "size", "odd")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more.
+
+    Sets that differ in d shingles differ in at most d bits of parity, so pairs with more than alike sets can have go
+    before their sets are moved.
+    """
+    marks = lambda c, k: sets.select(F.col("node").alias(c), F.col("size").alias(f"{k}n"), F.col("odd").alias(f"{k}odd"))
+    differ = F.aggregate(F.zip_with("aodd", "bodd", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    total = F.col("an") + F.col("bn")
+    close = (F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-9) & (differ * (1 + threshold) <= (1 - threshold) * total + 1e-9)
+    pairs = pairs.join(marks("u", "a"), "u").join(marks("v", "b"), "v").where(close).select("u", "v").distinct()
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.withColumn("s", shared).where(F.col("s") >= threshold * (F.size("a") + F.size("b") - F.col("s"))).select("u", "v")
@@ -159,6 +173,7 @@ def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: S
     # an original of many edited copies holds no shingles of its own: most of its prefix is in full keys
     score = full.groupBy("x").agg((F.count("*") / F.first("s")).alias("score"))
     full = scratch.cut(full.join(score, "x"))
+    scratch.drop(entries)
     for turn in range(HUBS + 1):
         placed = scratch.cut(full.join(reached, full.x == reached.node, "left").select(*full.columns, F.coalesce("root", "x").alias("root")))
         groups = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
@@ -175,6 +190,8 @@ def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: S
         found = scratch.cut(verified(pairs, sets, threshold))
         if not found.isEmpty():
             reached = connected_components(reached.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(found), scratch)
+        for done in (placed, pairs, found):
+            scratch.drop(done)
     return reached
 
 

@@ -203,6 +203,19 @@ def test_an_original_holds_thousands_of_edited_copies(spark):
     assert [r["doc_id"] for r in near_copies.drop_near_copies(table(spark, rows), Scratch(spark, "t")).collect()] == [0]
 
 
+def test_near_copies_just_above_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        words = [f"v{k}" for k in rng.integers(0, 3000, 200)]
+        copy = list(words)
+        for k in rng.choice(np.arange(5, 195, 5), 4, replace=False):
+            copy[k] = f"x{i}"
+        rows += [(i, " ".join(words), "en"), (100 + i, " ".join(copy), "en")]
+    kept = {r["doc_id"] for r in near_copies.drop_near_copies(table(spark, rows), Scratch(spark, "t")).collect()}
+    assert kept == kept_brute([(i, t) for i, t, _ in rows]) == set(range(40))
+
+
 def test_crowded_keys_without_an_original(spark):
     rng = np.random.default_rng(4)
     line = [f"w{k}" for k in rng.integers(0, 10_000, 700)]
