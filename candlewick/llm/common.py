@@ -16,16 +16,25 @@ ASCII_SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
 _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder of our own does in local mode, in which the driver's disk is everybody's;
+    on a cluster it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found.rstrip("/"))
         whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
         return re.sub("^file:/(?!/)", "file:///", whole)
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "path" not in _own_dir:
         folder = tempfile.TemporaryDirectory(prefix="candlewick-")
         atexit.register(folder.cleanup)
@@ -73,6 +82,24 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow, with Arrow batches of BATCH_BYTES at most (or what the session sets below that): texts differ much in length."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    with contextlib.suppress(Exception):  # a session that does not know the setting goes by rows
+        now = conf.get(name, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+            conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with underscores in front until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def ascii_lower(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -16,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
+#: Texts that are scored at a time.
+_TEXTS_AT_ONCE = 64
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 17
 _ORDERS = 4
@@ -108,7 +112,7 @@ def fit(docs: DataFrame, per_language: int = 256, at_most: int = 2048, landmarks
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(rank, pa.int32()), pa.array(out, pa.binary())], names=["lang", "rank", "bits"])
 
     chosen = sample(docs, per_language, at_most).select("lang", "rank", "text")
-    rows = sorted(chosen.mapInArrow(bits, "lang string, rank int, bits binary").collect(), key=lambda r: (r["lang"], r["rank"]))
+    rows = sorted(in_batches(chosen, bits, "lang string, rank int, bits binary").collect(), key=lambda r: (r["lang"], r["rank"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return KernelModel([], np.zeros((BUCKETS, 0), dtype=np.float32))
@@ -153,7 +157,7 @@ def predict(docs: DataFrame, model: KernelModel, extra: list[str]) -> DataFrame:
                 found = presence(text.as_py() or "") if model.languages else None
                 if found is not None:
                     rows.append(found), at.append(i)
-                if rows and (len(rows) == 256 or i == len(batch) - 1):
+                if rows and (len(rows) == _TEXTS_AT_ONCE or i == len(batch) - 1):
                     line = model.score(rows) * 4
                     chance = np.exp(line - line.max(axis=1, keepdims=True))
                     chance /= chance.sum(axis=1, keepdims=True)
@@ -168,7 +172,7 @@ def predict(docs: DataFrame, model: KernelModel, extra: list[str]) -> DataFrame:
                     names[k], scores[k] = model.languages[best], c
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], pa.array(names), pa.array(scores)], names=schema.names)
 
-    return shown.mapInArrow(guess, schema)
+    return in_batches(shown, guess, schema)
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -197,12 +201,12 @@ def keep_known(docs: DataFrame, languages: list[str] | None = None, id_col: str
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flags = np.zeros(len(batch), dtype=bool)
-            for lo in range(0, len(batch) if model.languages else 0, 256):
-                found = [presence(t.as_py() or "") for t in batch.column(at).slice(lo, 256)]
+            for lo in range(0, len(batch) if model.languages else 0, _TEXTS_AT_ONCE):
+                found = [presence(t.as_py() or "") for t in batch.column(at).slice(lo, _TEXTS_AT_ONCE)]
                 places = [i for i, r in enumerate(found) if r is not None]
                 if places:
                     best = model.score([found[i] for i in places]).argmax(axis=1)
                     flags[[lo + i for i in places]] = [model.languages[k] in keep for k in best]
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(flags))
 
-    return docs.mapInArrow(known, docs.schema)
+    return in_batches(docs, known, docs.schema)

@@ -1,14 +1,15 @@
 """Near copies by SimHash links and an exact set-similarity join, for filtering a corpus.
 
-Texts are alike if their sets of five-word shingles have a Jaccard similarity of the threshold t or more. All shingles
-have one order: those that a sample shows to be common last, the others by their hash. Of two alike texts each holds
-ceil(t m) of its m shingles in common with the other, so they share one of their first m - ceil(t m) + 1 (prefix
-filter), and from the first they share there are enough left (positional filter). What passes is counted exactly. The
-sample sets the order only: any order loses nothing.
-
-A shingle that very many texts file is not paired out. Its texts are first held against one of them, a hub, and groups
-that form are one from there on; then every text outside of a key's largest group meets all texts of other groups.
-Pairs inside a group are the only ones left out, and they change no group.
+Texts link if their fingerprints do (Golay keys, see simhash.py), or if their sets of five-word shingles have a Jaccard
+similarity of the threshold t or more. For the latter all shingles have one order: those that a sample shows to be
+common last, the others by their hash. Of two alike texts each holds ceil(t m) of its m shingles in common with
+the other, so they share one of their first m - ceil(t m) + 1 (prefix filter), and from the first they share there are
+enough left (positional filter). Sizes and parity bits of the sets drop most pairs before a set is moved; what passes
+is counted exactly. The sample sets the order only: any order loses nothing.
+
+The texts of a shingle are not paired out at once. They are first held against one of them, a hub, and groups that form
+are one from there on; then every text outside of a key's largest group meets all texts of other groups. Pairs inside a
+group are the only ones left out, and they change no group.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name, in_batches
 from .components import connected_components
 from .simhash import _fingerprints, links
 
@@ -29,7 +30,7 @@ from .simhash import _fingerprints, links
 ASKED = 200_000
 #: Common shingles that come last: one text in SAMPLE is looked at, for shingles of SEEN of those or more, COMMON at most.
 SAMPLE, SEEN, COMMON = 16, 4, 100_000
-#: Hubs that a key's texts are held against before all that is left meets.
+#: Turns in which a key's texts are held against a hub before all that is left meets.
 HUBS = 2
 #: Texts of a batch that are worked on at a time.
 _TEXTS_AT_ONCE = 256
@@ -57,14 +58,25 @@ def shingles(text: bytes, n: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float) -> np.ndarray:
-    """The first m - ceil(threshold m) + 1 of m shingles; those in ``common`` (ascending) come last, by their rank."""
-    m = len(found)
+def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """The first m - ceil(threshold m) + 1 of m shingles, and how many of them are rare; those in ``common`` (ascending) come last, by their rank."""
+    m = rare = len(found)
+    if not m:
+        return found, 0
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         hit = common[at] == found
         found = np.concatenate([found[~hit], found[hit][np.argsort(rank[at[hit]], kind="stable")]])
-    return found[: m - int(np.ceil(threshold * m - 1e-9)) + 1] if m else found
+        rare = m - int(hit.sum())
+    k = m - int(np.ceil(threshold * m - 1e-9)) + 1
+    return found[:k], min(rare, k)
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles flip each bit, of as many bits as the least power of two from the set's size on (512 at least)."""
+    bits = max(512, 1 << max(len(found) - 1, 0).bit_length())
+    flips = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -85,21 +97,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _sketched(batches: Iterator[pa.RecordBatch], common: np.ndarray, rank: np.ndarray, n: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for columns, texts in _slices(batches):
         sets = [shingles(t, n) for t in texts]
-        heads = _lists([prefix(s, common, rank, threshold) for s in sets])
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(_fingerprints(texts, 3).view(np.int64)), pa.array(list(map(len, sets)), pa.int32()), heads], names=["doc_id", "h", "c", "fingerprint", "size", "prefix"])
+        heads, rare = zip(*[prefix(s, common, rank, threshold) for s in sets], strict=True)
+        made = [pa.array(_fingerprints(texts, 3).view(np.int64)), pa.array(list(map(len, sets)), pa.int32()), _lists(heads), pa.array(rare, pa.int32()), _lists([parities(s) for s in sets])]
+        yield pa.RecordBatch.from_arrays([*columns, *made], names=["doc_id", "h", "c", "fingerprint", "size", "prefix", "rare", "odd"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for columns, texts in _slices(batches):
-        sets = [shingles(t, n) for t in texts]
-        odd = [np.packbits((np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.uint64) for s in sets]
-        yield pa.RecordBatch.from_arrays([*columns, _lists(sets), pa.array(list(map(len, sets)), pa.int32()), _lists(odd)], names=["node", "h", "c", "set", "size", "odd"])
+        yield pa.RecordBatch.from_arrays([*columns, _lists([shingles(t, n) for t in texts])], names=["node", "h", "c", "set"])
 
 
 def common_shingles(rows: DataFrame, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(shingles ascending, rank): what a sample of the texts shows to be common, the most common ranked last."""
     sample = rows.where(F.pmod("h", F.lit(SAMPLE)) == 0).dropDuplicates(["h", "c"]).select("doc_id", "h", "c", "text")
-    sets = sample.mapInArrow(partial(_sets, n=n), "node long, h long, c long, set array<long>, size int, odd array<long>")
+    sets = in_batches(sample, partial(_sets, n=n), "node long, h long, c long, set array<long>")
     counts = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("k")).where(F.col("k") >= SEEN)
     top = counts.orderBy(F.desc("k"), "s").limit(COMMON).collect()
     found = np.array([r["s"] for r in top], dtype=np.int64).view(np.uint64)
@@ -113,85 +124,86 @@ def _enough(threshold: float):
     return (F.least("s", "t") >= threshold * F.greatest("s", "t") - 1e-9) & (left * (1 + threshold) >= threshold * (F.col("s") + F.col("t")) - 1e-9)
 
 
-def _other(entries: DataFrame, *more: str) -> DataFrame:
-    return entries.select("key", F.col("x").alias("y"), F.col("s").alias("t"), F.col("p").alias("q"), *[F.col(m).alias(f"_{m}") for m in more])
-
-
 def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct()
 
 
 def filed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, x, s, p, n): node x of s shingles files key at place p of its prefix, as n nodes do; keys of one node are left out."""
-    entries = nodes.select(F.col("node").alias("x"), F.col("size").alias("s"), F.posexplode("prefix").alias("p", "key"))
-    return scratch.cut(entries.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"))
+    """(key, x, s, p, score): node x of s shingles files key at place p of its prefix; keys of one node are left out.
+
+    Keys that the sample showed to be common are filed without a look at how many nodes have them, so that only keys
+    of few nodes are grouped. score is the share of the node's shingles that are filed here.
+    """
+    entries = nodes.select(F.col("node").alias("x"), F.col("size").alias("s"), "rare", F.posexplode("prefix").alias("p", "key"))
+    columns = ["key", "x", "s", "p"]
+    rare = entries.where("p < rare").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    shared = scratch.cut(rare.select(columns).unionAll(entries.where("p >= rare").select(columns)))
+    return scratch.cut(shared.join(shared.groupBy("x").agg((F.count("*") / F.first("s")).alias("score")), "x"))
 
 
 def shingle_sets(ids: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5) -> DataFrame:
-    """(node, set, size, odd) of the nodes in ``ids``, whose texts only are read again; odd has the parity of each of 1,024 bits that shingles flip.
+    """(node, set) of the nodes in ``ids``, whose texts only are read again.
 
     Their ids are broadcast while there are at most ASKED of them, and joined by a shuffle beyond.
     """
     asked = scratch.cut(nodes.join(ids, "node", "left_semi").select(F.col("node").alias("doc_id"), "h", "c"))
     asked = F.broadcast(asked) if asked.count() <= ASKED else asked
     texts = rows.join(asked, ["doc_id", "h", "c"], "left_semi").select("doc_id", "h", "c", "text")
-    sets = scratch.cut(texts.mapInArrow(partial(_sets, n=n), "node long, h long, c long, set array<long>, size int, odd array<long>"))
+    sets = scratch.cut(in_batches(texts, partial(_sets, n=n), "node long, h long, c long, set array<long>"))
     if not sets.groupBy("node", "h", "c").count().where("count > 1").isEmpty():
         sets = scratch.cut(sets.dropDuplicates(["node", "h", "c"]))
-    return sets.select("node", "set", "size", "odd")
+    return sets.select("node", "set")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more.
+def close_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The pairs (u, v) that sizes and parities leave: sets that differ in d shingles differ in at most d bits of parity."""
+    marks = lambda c, k: nodes.select(F.col("node").alias(c), F.col("size").alias(f"{k}n"), F.col("odd").alias(f"{k}odd"))
+    xor = lambda x, y: F.zip_with(x, y, lambda i, j: i.bitwiseXOR(j))
+    # sizes that fit differ by less than two, so the longer marks are folded once at most
+    folded = lambda x, y: F.when(F.size(x) > F.size(y), xor(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)))).otherwise(F.col(x))
+    differ = F.aggregate(xor(folded("aodd", "bodd"), folded("bodd", "aodd")), F.lit(0), lambda n, x: n + F.bit_count(x))
+    near = F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-9
+    fits = near & (differ * (1 + threshold) <= (1 - threshold) * (F.col("an") + F.col("bn")) + 1e-9)
+    return pairs.join(marks("u", "a"), "u").join(marks("v", "b"), "v").where(fits).select("u", "v")
 
-    Sets that differ in d shingles differ in at most d bits of parity, so pairs with more than alike sets can have go
-    before their sets are moved.
-    """
-    marks = lambda c, k: sets.select(F.col("node").alias(c), F.col("size").alias(f"{k}n"), F.col("odd").alias(f"{k}odd"))
-    differ = F.aggregate(F.zip_with("aodd", "bodd", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
-    total = F.col("an") + F.col("bn")
-    close = (F.least("an", "bn") >= threshold * F.greatest("an", "bn") - 1e-9) & (differ * (1 + threshold) <= (1 - threshold) * total + 1e-9)
-    pairs = pairs.join(marks("u", "a"), "u").join(marks("v", "b"), "v").where(close).select("u", "v").distinct()
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``threshold`` or more; two empty sets are alike."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.withColumn("s", shared).where(F.col("s") >= threshold * (F.size("a") + F.size("b") - F.col("s"))).select("u", "v")
 
 
-def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8, most: int = 64) -> DataFrame:
+def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """(node, root) of all nodes that links (u, v) in ``known``, or shingle sets alike to ``threshold``, connect to others.
 
-    Keys of at most ``most`` nodes are paired out. Nodes of fuller keys meet hubs first; see above.
+    The nodes of a key meet its hubs first, one a turn, then whatever is of another group; see above.
     """
     entries = filed(nodes, scratch)
-    rare, full = entries.where(F.col("n") <= most), entries.where(F.col("n") > most).drop("n")
-    pairs = scratch.cut(_pairs(rare.join(_other(rare), "key").where(F.col("x") < F.col("y")).where(_enough(threshold))))
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionAll(full.select(F.col("x").alias("node"))).distinct()
-    sets = shingle_sets(ids, rows, nodes, scratch, n)
-    reached = connected_components(known.unionAll(verified(pairs, sets, threshold)), scratch)
-    if full.isEmpty():
-        return reached
-    # an original of many edited copies holds no shingles of its own: most of its prefix is in full keys
-    score = full.groupBy("x").agg((F.count("*") / F.first("s")).alias("score"))
-    full = scratch.cut(full.join(score, "x"))
-    scratch.drop(entries)
+    reached = None
     for turn in range(HUBS + 1):
-        placed = scratch.cut(full.join(reached, full.x == reached.node, "left").select(*full.columns, F.coalesce("root", "x").alias("root")))
+        if reached is None:
+            placed = entries.withColumn("root", F.col("x"))
+        else:
+            placed = scratch.cut(entries.join(reached, entries.x == reached.node, "left").select(*entries.columns, F.coalesce("root", "x").alias("root")))
         groups = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
         main = groups.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-        split = placed.join(main, "key")
-        outside = split.where("root <> main")
+        outside = placed.join(main, "key").where("root <> main") if turn else placed
         if turn < HUBS:
-            chosen = (outside if turn else split).groupBy("key").agg(F.max_by(F.struct("x", "root"), F.struct("score", -F.col("x"))).alias("hub"))
-            met = (outside if turn else split).join(chosen, "key").where("root <> hub.root").select("x", F.col("hub.x").alias("y"))
+            chosen = outside.groupBy("key").agg(F.max_by(F.struct(F.col("x").alias("y"), F.col("s").alias("t"), F.col("p").alias("q"), F.col("root").alias("_root")), F.struct("score", -F.col("x"))).alias("hub")).select("key", "hub.*")
         else:
-            everyone = _other(placed, "root")
-            met = outside.join(everyone, "key").where("root <> _root").where(_enough(threshold)).select("x", "y")
-        pairs = scratch.cut(_pairs(met))
-        found = scratch.cut(verified(pairs, sets, threshold))
-        if not found.isEmpty():
+            chosen = placed.select("key", F.col("x").alias("y"), F.col("s").alias("t"), F.col("p").alias("q"), F.col("root").alias("_root"))
+        met = outside.join(chosen, "key").where("root <> _root").where(_enough(threshold))
+        close = scratch.cut(close_pairs(_pairs(met), nodes, threshold))
+        if reached is not None:
+            scratch.drop(placed)
+        sets = shingle_sets(close.select(F.explode(F.array("u", "v")).alias("node")).distinct(), rows, nodes, scratch, n)
+        found = scratch.cut(verified(close, sets, threshold))
+        scratch.drop(sets)
+        if reached is None:
+            reached = connected_components(known.unionAll(found), scratch)
+        elif not found.isEmpty():
             reached = connected_components(reached.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(found), scratch)
-        for done in (placed, pairs, found):
-            scratch.drop(done)
     return reached
 
 
@@ -204,8 +216,8 @@ def representatives(docs: DataFrame, scratch: Scratch, n: int = 5, threshold: fl
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), text.alias("text"))
     common, rank = common_shingles(rows, n)
-    sketched = rows.mapInArrow(partial(_sketched, common=common, rank=rank, n=n, threshold=threshold), "doc_id long, h long, c long, fingerprint long, size int, prefix array<long>")
-    least = F.min_by(F.struct("fingerprint", "size", "prefix"), "doc_id").alias("first")
+    sketched = in_batches(rows, partial(_sketched, common=common, rank=rank, n=n, threshold=threshold), "doc_id long, h long, c long, fingerprint long, size int, prefix array<long>, rare int, odd array<long>")
+    least = F.min_by(F.struct("fingerprint", "size", "prefix", "rare", "odd"), "doc_id").alias("first")
     nodes = scratch.cut(sketched.groupBy("h", "c").agg(F.min("doc_id").alias("node"), least).select("node", "h", "c", "first.*"))
     prints = scratch.cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")))
     same = nodes.join(prints, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
@@ -224,10 +236,11 @@ def drop_near_copies(docs: DataFrame, scratch: Scratch, n: int = 5, threshold: f
     """
     keep = representatives(docs, scratch, n, threshold, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.where(F.col(id_col).isNotNull()).withColumn("_h", F.xxhash64(text)).withColumn("_c", F.crc32(text.cast("binary")))
-    kept = own.join(keep, (own[id_col] == keep["node"]) & (own["_h"] == keep["h"]) & (own["_c"] == keep["c"]), "left_semi")
-    if not own.groupBy(id_col, "_h", "_c").count().where("count > 1").isEmpty():
-        repeat = Window.partitionBy(id_col, "_h", "_c").orderBy(id_col)
-        kept = kept.withColumn("_repeat", F.row_number().over(repeat)).where("_repeat = 1")
+    h, c, nth = (free_name(docs.columns, x) for x in ("_h", "_c", "_nth"))
+    own = docs.where(F.col(id_col).isNotNull()).withColumn(h, F.xxhash64(text)).withColumn(c, F.crc32(text.cast("binary")))
+    keep = keep.toDF(*(free_name(own.columns, x) for x in ("_node", "_kept_h", "_kept_c")))
+    kept = own.join(keep, (F.col(id_col).cast("long") == F.col(keep.columns[0])) & (F.col(h) == F.col(keep.columns[1])) & (F.col(c) == F.col(keep.columns[2])), "left_semi")
+    if not own.groupBy(id_col, h, c).count().where("count > 1").isEmpty():
+        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, h, c).orderBy(id_col))).where(F.col(nth) == 1)
     once = kept.select(*docs.columns)
     return once.unionAll(docs.where(F.col(id_col).isNull()))

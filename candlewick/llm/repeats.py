@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_batches
 
 #: Bytes of a gram that anchors a window.
 ANCHOR = 40
@@ -179,14 +179,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col:
     if not ANCHOR < length <= ANCHOR + (1 << _COUNT_BITS) - 2:
         raise ValueError(f"length must be from {ANCHOR + 1} to {ANCHOR + (1 << _COUNT_BITS) - 2}")
     rows = _keyed(docs, id_col, text_col)
-    first = rows.mapInArrow(_first_digits(length), "anchor long, block long, id long, place long")
+    first = in_batches(rows, _first_digits(length), "anchor long, block long, id long, place long")
     same = Window.partitionBy("anchor", "block").orderBy("id", F.shiftright("place", 32))
     group = Window.partitionBy("anchor")
     ranked = first.select("*", F.rank().over(same).alias("nth"), (F.min("block").over(group) != F.max("block").over(group)).alias("open"))
     open_groups = scratch.cut(ranked.where("nth > 1 or open").select("anchor", "id", "place", (F.col("nth") > 1).alias("repeat")))
     mark = F.col("place").bitwiseAND((1 << _MARK_BITS) - 1)
     asked = open_groups.where("not repeat").groupBy("id", mark.alias("mark")).agg(F.collect_list(F.struct("place", "anchor")).alias("blocks"))
-    windows = rows.join(asked, ["id", "mark"]).select("id", "mark", "text", "blocks").mapInArrow(_last_digits(length), "anchor long, window long, id long, place long")
+    windows = in_batches(rows.join(asked, ["id", "mark"]).select("id", "mark", "text", "blocks"), _last_digits(length), "anchor long, window long, id long, place long")
     alike = Window.partitionBy("anchor", "window").orderBy("id", F.shiftright("place", 32))
     again = windows.select("id", "place", F.rank().over(alike).alias("nth")).where("nth > 1").select("id", "place")
     lost = open_groups.where("repeat").select("id", "place").unionAll(again)
@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 100, id_col:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
 
-    done = rows.select("id", "text", "spans").mapInArrow(cut, schema)
+    done = in_batches(rows.select("id", "text", "spans"), cut, schema)
     return done.select(F.when(F.col("id") != _LOWEST, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "removed")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_batches
 from .components import connected_components
 
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
@@ -126,7 +126,7 @@ def simhash(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col:
             found = _fingerprints([t.as_py() or b"" for t in texts], shingle)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=schema.names)
 
-    return rows.mapInArrow(hashes, schema)
+    return in_batches(rows, hashes, schema)
 
 
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +151,7 @@ def links(prints: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
     within one bit is common, so each is linked to the least fingerprint of each of its 65 words, of which a word has
     at most 65.
     """
-    filed = scratch.cut(prints.mapInArrow(_filed, "key long, fingerprint long, asks boolean"))
+    filed = scratch.cut(in_batches(prints, _filed, "key long, fingerprint long, asks boolean"))
     full = filed.where("not asks").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
     rare = filed.join(full, "key", "left_anti")
     asks, files = rare.where("asks").select("key", F.col("fingerprint").alias("u")), rare.where("not asks").select("key", F.col("fingerprint").alias("v"))

@@ -157,7 +157,7 @@ def write_warc(
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
             fs.delete_dir(temporary)
 
-    ordered.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{path}/_manifest")
+    in_batches(ordered, write, MANIFEST).write.mode("overwrite").parquet(f"{path}/_manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
 
@@ -233,4 +233,4 @@ def read_warc(manifest: DataFrame, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return manifest.select("file").repartition(parts, "file").mapInArrow(read, RECORD)
+    return in_batches(manifest.select("file").repartition(parts, "file"), read, RECORD)
