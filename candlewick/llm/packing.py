@@ -7,7 +7,7 @@ and, for best-fit, one block of tokens.
 
 from __future__ import annotations
 
-import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import in_batches
 from .tokens import word_tokenizer
 
 #: Sequence ids: the partition in the high bits, the partition's own count in the low ones.
 _PARTITION_BITS = 40
 #: Bytes of text that are tokenised at a time.
-_SLICE_BYTES = 6_000_000
+_SLICE_BYTES = 1_000_000
 
 PIECE_SCHEMA = T.StructType(
     [
@@ -59,60 +60,93 @@ def _with_end(flat: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.nda
 class HarmonicBins:
     """Open bins of the reciprocal-capacity classes of one worker.
 
-    A piece of 2**j tokens belongs to the class that holds capacity / 2**j documents a bin; the c-th piece of a
-    class goes to the class's bin c div that count. Full bins need no look at any other class or worker. At the end
-    the pieces of an open bin are split into runs of a power of two, which need no padding.
+    A document of more than capacity / (k + 1) and at most capacity / k tokens is of class k, and a bin of that class
+    takes k of them, whole; no class looks at another or at another worker. What a full bin has left (less than
+    capacity / (k + 1) per share) is filled from the stock: rests of documents that exceed a sequence, or, while bins
+    wait for a filling, the next document. Only these are cut. At the end all that is held is laid out end to end, in
+    whole sequences and then in runs of a power of two, so that nothing needs padding.
     """
 
     def __init__(self, capacity: int, first_id: int) -> None:
-        if capacity < 1 or capacity & (capacity - 1):
-            raise ValueError("the capacity must be a power of two")
+        if capacity < 1:
+            raise ValueError("the capacity must be positive")
         self.capacity, self.next_id = capacity, first_id
-        self.levels = capacity.bit_length() - 1
-        self.held: list[list[tuple]] = [[] for _ in range(self.levels + 1)]
-
-    def cut(self, n: int) -> list[tuple[int, int, int]]:
-        """(start, length, class) of the pieces of a document of n tokens: whole sequences, then its binary digits."""
-        out = [(at, self.capacity, self.levels) for at in range(0, n - self.capacity + 1, self.capacity)]
-        at = len(out) * self.capacity
-        for j in range(self.levels - 1, -1, -1):
-            if (n - at) >> j & 1:
-                out.append((at, 1 << j, j))
-                at += 1 << j
+        self.held: dict[int, list[tuple]] = {}
+        self.stock: deque[tuple] = deque()
+        self.waiting: deque[tuple[int, list[tuple]]] = deque()
+
+    def add(self, doc: tuple) -> list[tuple]:
+        """doc: (document, first token, tokens). Returns pieces (document, first token, tokens, sequence id, offset) of bins that it closes."""
+        name, start, n = doc
+        out: list[tuple] = []
+        long = n > self.capacity
+        while n >= self.capacity:
+            out += self._close([(name, start, self.capacity)])
+            start, n = start + self.capacity, n - self.capacity
+        if not n:
+            return out
+        if long or self.waiting:
+            self.stock.append((name, start, n))
+        else:
+            k = self.capacity // n
+            held = self.held.setdefault(k, [])
+            held.append((name, start, n))
+            if len(held) == k:
+                del self.held[k]
+                self.waiting.append((self.capacity - sum(p[2] for p in held), held))
+        while self.waiting and (self.stock or not self.waiting[0][0]):
+            room, pieces = self.waiting.popleft()
+            while room and self.stock:
+                name, start, n = self.stock.popleft()
+                cut = min(room, n)
+                pieces.append((name, start, cut))
+                room -= cut
+                if cut < n:
+                    self.stock.appendleft((name, start + cut, n - cut))
+            if room:
+                self.waiting.appendleft((room, pieces))
+            else:
+                out += self._close(pieces)
         return out
 
-    def add(self, piece: tuple, level: int) -> list[tuple]:
-        """piece: what to give back with (sequence id, offset) once its bin is full."""
-        held = self.held[level]
-        held.append(piece)
-        if len(held) << level < self.capacity:
-            return []
-        self.held[level] = []
-        return self._close(held, level)
-
-    def _close(self, pieces: list[tuple], level: int) -> list[tuple]:
-        out = [(*p, self.next_id, i << level) for i, p in enumerate(pieces)]
+    def _close(self, pieces: list[tuple]) -> list[tuple]:
+        out, at = [], 0
+        for p in pieces:
+            out.append((*p, self.next_id, at))
+            at += p[2]
         self.next_id += 1
         return out
 
     def finish(self) -> list[tuple]:
+        rest = [p for _, pieces in self.waiting for p in pieces]
+        rest += [p for k in sorted(self.held) for p in self.held[k]] + list(self.stock)
+        total = sum(p[2] for p in rest)
+        sizes = [self.capacity] * (total // self.capacity)
+        left = total % self.capacity
+        sizes += [1 << j for j in range(left.bit_length() - 1, -1, -1) if left >> j & 1]
         out: list[tuple] = []
-        for level, held in enumerate(self.held):
-            at = 0
-            for bit in range(len(held).bit_length() - 1, -1, -1):
-                if len(held) >> bit & 1:
-                    out += self._close(held[at : at + (1 << bit)], level)
-                    at += 1 << bit
-        self.held = [[] for _ in self.held]
+        rest.reverse()
+        for size in sizes:
+            pieces = []
+            while size:
+                name, start, n = rest.pop()
+                cut = min(size, n)
+                pieces.append((name, start, cut))
+                size -= cut
+                if cut < n:
+                    rest.append((name, start + cut, n - cut))
+            out += self._close(pieces)
+        self.held, self.stock, self.waiting = {}, deque(), deque()
         return out
 
 
 def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all documents into sequences of at most ``capacity`` tokens by harmonic classes; one row per piece.
 
-    A document is its ids and then ``end_id``. Full sequences are cut off first; what remains is cut at its binary
-    digits, so that each piece fills its class's share of a bin exactly and no sequence needs padding: a sequence is
-    either full or, at the end of an input partition, of a power of two tokens.
+    A document is its ids and then ``end_id``. Full sequences are cut off first; a document of at most ``capacity``
+    tokens stays whole, but for those that fill what the bins of the classes have left (see HarmonicBins) and the last
+    ones of an input partition. No sequence needs padding: it is either full or, at the end of an input partition,
+    of a power of two tokens.
 
     Columns: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. A null text
     is empty and still has its end id. Repeated rows and ids are packed as they stand; a null id stays null. An
@@ -122,20 +156,23 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_path)
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << _PARTITION_BITS)
+
+        def rows(pieces: list[tuple]) -> list[tuple]:
+            return [(doc_id, start, n, ids[4 * start : 4 * (start + n)], len(ids) // 4, sequence, offset) for (doc_id, ids), start, n, sequence, offset in pieces]
+
         for batch in batches:
-            for ids, texts in _slices(batch):
+            for names, texts in _slices(batch):
                 flat, counts = _with_end(*tokenizer.encode_arrow(texts), end_id)
                 flat = flat.astype("<u4", copy=False)
-                rows, at = [], 0
-                for doc_id, n in zip(ids, counts.tolist(), strict=True):
-                    own = flat[at : at + n].tobytes()
-                    for start, length, level in bins.cut(n):
-                        rows += bins.add((doc_id, start, length, own[4 * start : 4 * (start + length)], n), level)
+                done, at = [], 0
+                for doc_id, n in zip(names, counts.tolist(), strict=True):
+                    done += rows(bins.add(((doc_id, flat[at : at + n].tobytes()), 0, n)))
                     at += n
-                yield from _rows(rows)
-        yield from _rows(bins.finish())
+                yield from _rows(done)
+                pa.default_memory_pool().release_unused()
+        yield from _rows(rows(bins.finish()))
 
-    return docs.select(_id(docs, id_col), text_col).mapInArrow(pack, PIECE_SCHEMA)
+    return in_batches(docs.select(_id(docs, id_col), text_col), pack, PIECE_SCHEMA)
 
 
 def _id(docs: DataFrame, id_col: str):
@@ -283,7 +320,7 @@ def bfd_pack(
             out.append(_matrix(rows))
         return out, next_id + len(edges) - 1
 
-    return docs.select(_id(docs, id_col), text_col).mapInArrow(pack, SEQUENCE_SCHEMA)
+    return in_batches(docs.select(_id(docs, id_col), text_col), pack, SEQUENCE_SCHEMA)
 
 
 def _matrix(rows: list[tuple]) -> pa.RecordBatch:
@@ -302,7 +339,3 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-
-
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

@@ -35,11 +35,10 @@ class WordTokenizer:
     cache_words bounds the memory: a full cache is emptied and filled anew, which changes no id.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000) -> None:
+    def __init__(self, path: str, cache_words: int = 100_000) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path, self.loaded = path, None
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         back = _unbyte()
@@ -57,6 +56,15 @@ class WordTokenizer:
         self.cache_words = cache_words
         self._reset()
 
+    @property
+    def exact(self):
+        """The tokenizers library's own, loaded when a text first needs it."""
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
+
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
