@@ -3,7 +3,8 @@
 A test item of m distinct shingles that is contained to t lacks at most m - ceil(t m) of them in the document, so
 one of its m - ceil(t m) + 1 least shingle hashes (its bottom-k MinHash sketch) is there for certain. Items are parted
 by size, doubling from class to class, and k is set by each class's largest size: no contained item is missed, however
-long the document is. Candidates are verified by counting the item's shingles in the document. DataFrame functions only.
+long the document is. All documents meet the sketches only; the full sets of items meet the documents that hold a
+sketched shingle, and only pairs that a sketch proposed are counted. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD, ascii_lower
+from .common import ASCII_WORD, Scratch, ascii_lower, free_name
 
-#: Rows of the shingle index of all items up to which it is broadcast (16 MB); beyond, the join shuffles.
+#: Rows of the items' sketches, sets or candidate pairs up to which they are broadcast (16 MB); beyond, the join shuffles.
 BROADCAST_ROWS = 400_000
 
 
@@ -41,35 +42,58 @@ def item_index(items: DataFrame, n: int, threshold: float, id_col: str, text_col
     )
 
 
-def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _met(read: DataFrame, index: DataFrame, widths: list[int], rows: int) -> DataFrame:
+    """Every place of a document that holds a shingle of the index, joined with its rows."""
+    found = None
+    for width in widths:
+        seen = read.select("doc_id", F.explode(shingles(F.col("words"), width)).alias("shingle"))
+        hits = seen.join(_bounded(index.where(F.col("n") == width).drop("n"), rows), "shingle")
+        found = hits if found is None else found.unionAll(hits)
+    return found
+
+
+def candidates(docs: DataFrame, index: DataFrame, widths: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id): the document holds a shingle of the item's sketch; contained items are among them."""
+    sketches = index.where("sketched").select("n", "shingle", "item_id")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    return _met(read, sketches, widths, sketches.count()).select("doc_id", "item_id").distinct()
+
+
+def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every item that a document holds to ``threshold`` or more.
 
     Shingles are sets of ``n`` words; an item of fewer words is one shingle of all its words, looked for among the
     document's runs of that many. Null or empty texts hold nothing and items without a word are found nowhere. Rows
-    that share an id are one document (a null id too). Empty tables give no rows; other columns are not read. The
-    item index is broadcast only up to BROADCAST_ROWS rows; a larger one is joined by shuffles.
+    that share an id are one document (a null id too). Empty tables give no rows; other columns are not read.
+    Sketches, sets and candidate pairs are broadcast only up to BROADCAST_ROWS rows; more are joined by shuffles.
     """
-    index = item_index(items, n, threshold, item_col, item_text_col)
+    scratch = scratch or Scratch(docs.sparkSession, "decontamination")
+    index = scratch.cut(item_index(items, n, threshold, item_col, item_text_col))
     widths = sorted(r["n"] for r in index.select("n").distinct().collect())  # n of them at most
-    small = index.count() <= BROADCAST_ROWS
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    found = None
-    for width in widths:
-        seen = read.select("doc_id", F.explode(shingles(F.col("words"), width)).alias("shingle"))
-        part = index.where(F.col("n") == width).drop("n")
-        hits = seen.join(F.broadcast(part) if small else part, "shingle")
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        found = read.limit(0).select("doc_id", F.lit(0).cast("long").alias("shingle")).join(index.drop("n"), "shingle")
-    pairs = found.groupBy("doc_id", "item_id").agg(F.max("sketched").alias("candidate"), F.count_distinct("shingle").alias("n_shared"), F.max("need").alias("need"), F.max("m").cast("long").alias("n_item"))
-    verified = pairs.where("candidate and n_shared >= need")
-    return verified.select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    if not widths:
+        empty = "doc_id long, item_id long, n_shared long, n_item long, containment double"
+        return docs.sparkSession.range(0).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in empty.split(", ")])
+    pairs = scratch.cut(candidates(docs, index, widths, id_col, text_col))
+    asked = pairs.groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("items"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.join(_bounded(asked.select("_doc"), asked.count()), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
+    sets = index.select("n", "shingle", "item_id", "need", "m")
+    hits = _met(own.select("doc_id", words_of(F.col("text")).alias("words")), sets, widths, sets.count())
+    proposed = pairs.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"))
+    kept = hits.join(_bounded(proposed, pairs.count()), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("item_id") == F.col("_item")), "left_semi")
+    counted = kept.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"), F.max("need").alias("need"), F.max("m").cast("long").alias("n_item"))
+    return counted.where("n_shared >= need").select("doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that hold no item, all columns as they were; a null id goes if any document without id holds one."""
-    lost = contained_items(docs, items, n, threshold, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_lost")), "left_anti")
+    name = free_name(docs.columns, "_lost")
+    lost = contained_items(docs, items, n, threshold, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 #: The same search in DuckDB's SQL; {n} words, {threshold}.
