@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 from .common import bind
 
 #: Names that assign secrets, prefixes of public key formats, and short English words and pieces.
-ASSIGN = r"(?i:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key(?:[_-]?id)?|private[_-]?key|client[_-]?secret|credentials?|bearer|auth)[\"']?[ \t]{0,3}(?::=|=>|[:=]|[ ])[ \t]{0,3}[\"']?"
+_NAMES = r"token|secret|passw(?:or)?d|passwd|pwd|passphrase|api[_-]?key|access[_-]?key(?:[_-]?id)?|(?:private|secret|signing|encryption|master|account|ssh)[_-]?key|client[_-]?secret|credentials?|bearer|auth"
+ASSIGN = rf"(?i:(?:{_NAMES})(?:[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?|[ ][ \t]{{0,3}}[\"']?))"
 PREFIXES = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|eyJ|SG\.|npm_|ya29\."
 _RUN = r"[A-Za-z0-9+/_=.~!@#$%^&*-]"
 CANDIDATE = (
-    rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----"
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,\\-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
+    rf"|(?i:{_NAMES})[\"']?[ \t]*(?::=|=>|[:=])[ \t]*[\"']?{_RUN}{{6,}}"
     rf"|(?<![A-Za-z0-9]){ASSIGN}{_RUN}{{6,}}"
+    r"|(?<=://)[^\s:/@\"'<>]{1,64}:[^\s:/@\"'<>]{3,}(?=@)"
     rf"|(?<![A-Za-z0-9+/_=-])(?:{PREFIXES})[A-Za-z0-9+/_=.-]{{12,}}"
-    rf"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{{0,40}}[0-9])[A-Za-z0-9+/_=-]{{16,}}"
+    rf"|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{16,}}"
 )
+#: What a hit begins with that is not its value: the name that assigns it, or the user of a URL.
+_HEAD = rf"^(?:{ASSIGN}|[^\s:/@]{{1,64}}:(?=[^\s:/@]{{3,}}$))"
 DICTIONARY = (
     "about access account admin after agent also answer api app array auth back base before block body build button cache call change check class client code "
     "column common config connect content count create current data date default delete demo dev device domain download dummy edit email enable end error event "
@@ -76,26 +81,48 @@ def features(value: Column, before: Column, after: Column, path: Column) -> list
     ]
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, value, before, after>> of a whole text: start in code points, value without what assigns it."""
+def _running(lengths: Column) -> Column:
+    """array<long>: what comes before each of some lengths, by blocks of 256, so that no long array is grown one by one."""
+    nothing = F.array().cast("array<long>")
+    added = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    begin = lambda at: F.struct(at.cast("long").alias("at"), nothing.alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / 256).cast("int")), lambda i: F.slice(lengths, i * 256 + 1, 256))
+
+    def placed(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, n: a + n))
+        return bind(F.aggregate(sums, begin(F.lit(0)), added, lambda a: a["out"]), lambda offsets: F.flatten(F.zip_with(parts, offsets, lambda p, o: F.aggregate(p, begin(o), added, lambda a: a["out"]))))
+
+    return F.when(F.size(lengths) == 0, nothing).otherwise(bind(blocks, placed))
+
+
+def _parts(text: Column) -> Column:
+    """array<struct<gap, head, value>> of a whole text: what comes before each hit, what assigns it, and the hit's value; then the rest as a last gap."""
     gaps, hits = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    ends = F.aggregate(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).cast("long").alias("g"), F.char_length(h).cast("long").alias("h"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("ends")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["ends"], F.array(a["at"] + x["g"] + x["h"])).alias("ends")),
-        lambda a: a["ends"],
-    )
-
-    def one(hit, end):
-        value = F.regexp_replace(hit, rf"^{ASSIGN}", "")
+
+    def one(gap, hit):
+        value = F.regexp_replace(F.coalesce(hit, F.lit("")), _HEAD, "")
         value = F.when(value == "", hit).otherwise(value)
-        start = end - F.char_length(value)
-        low = F.greatest(start - CONTEXT, F.lit(0))
+        return F.struct(gap.alias("gap"), F.left(hit, F.char_length(hit) - F.char_length(value)).alias("head"), value.alias("value"))
+
+    return F.zip_with(gaps, hits, one)
+
+
+def candidates(parts: Column) -> Column:
+    """array<struct<start, value, before, after>> of _parts(): start in code points; before and after reach into the neighbouring gap and hit, CONTEXT signs at most."""
+    n = F.size(parts) - 1
+    size = lambda p: F.char_length(p["gap"]).cast("long") + F.coalesce(F.char_length(p["head"]) + F.char_length(p["value"]), F.lit(0))
+    told = lambda p: F.concat(p["gap"], F.coalesce(p["head"], F.lit("")), F.coalesce(p["value"], F.lit("")))
+
+    def one(p, i, starts):
+        earlier = F.when(i > 0, F.right(told(F.get(parts, i - 1)), F.lit(CONTEXT))).otherwise("")
         return F.struct(
-            start.alias("start"), value.alias("value"), F.substring(text, (low + 1).cast("int"), (start - low).cast("int")).alias("before"), F.substring(text, (end + 1).cast("int"), F.lit(CONTEXT)).alias("after")
+            (F.get(starts, i) + F.char_length(p["gap"]) + F.char_length(p["head"])).alias("start"),
+            p["value"].alias("value"),
+            F.right(F.concat(earlier, p["gap"], p["head"]), F.lit(CONTEXT)).alias("before"),
+            F.left(told(F.get(parts, i + 1)), F.lit(CONTEXT)).alias("after"),
         )
 
-    return F.when(text.rlike(CANDIDATE), F.zip_with(hits, ends, one)).otherwise(F.array().cast("array<struct<start:bigint,value:string,before:string,after:string>>"))
+    return bind(_running(F.transform(parts, size)), lambda starts: F.transform(F.slice(parts, 1, n), lambda p, i: one(p, i, starts)))
 
 
 def labelled_findings(rows: int = 1600, seed: int = 17) -> list[tuple[str, str, str, str, int]]:
@@ -110,7 +137,7 @@ def labelled_findings(rows: int = 1600, seed: int = 17) -> list[tuple[str, str,
     keyed = ['token = "', "token: ", 'api_key = "', "API_KEY=", 'secret: "', "client_secret=", "password = '", 'password: "', "pwd=", "aws_secret_access_key = ", "Authorization: Bearer ", 'access_key = "']
     hashed = ["commit ", "sha1: ", "sha256:", "md5 = ", "checksum ", "revision=", 'etag: "', "digest ", "build ", "uuid ", "order ", "card ", "invoice no. "]
     ends = ['"', "'", " and", "\n", ";", " the", ".", '" en', ",", ""]
-    clean, tests = ["src/app.py", "config/prod.yml", "src3", "src11", "notes.txt", "data", "web"], ["tests/unit.py", "docs/guide.md", "README", "examples/a.js", "fixtures/x", "yarn.lock"]
+    clean, tests = ["src/app.py", "config/prod.yml", "lib", "notes.txt", "data", "web"], ["tests/unit.py", "docs/guide.md", "README", "examples/a.js", "fixtures/x", "yarn.lock"]
     syllables = ["the", "ing", "tion", "er", "an", "ou", "ment", "re", "lich", "keit", "os", "que", "es", "ver", "able", "user", "data", "view"]
     out = []
     for i in range(rows):
@@ -188,12 +215,18 @@ def forest_score(forest: list, found: Column) -> Column:
     return sum((grown(t) for t in forest[1:]), grown(forest[0])) / len(forest)
 
 
+def _judged(parts: Column, path: Column, forest: list, threshold: float) -> Column:
+    """array<struct<start, value, score, is_secret>> of the candidates of _parts()."""
+    made = F.transform(candidates(parts), lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), F.array(*features(c["value"], c["before"], c["after"], path)).alias("x")))
+    scored = F.transform(made, lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), forest_score(forest, c["x"]).alias("score")))
+    return F.transform(scored, lambda c: F.struct(c["start"], c["value"], c["score"], (c["score"] >= threshold).alias("is_secret")))
+
+
 def findings(text: Column, path: Column, forest: list, threshold: float = 0.5) -> Column:
     """array<struct<start, value, score, is_secret>> of all candidates of a whole text, in its order."""
     text = F.coalesce(text, F.lit(""))
-    made = F.transform(candidates(text), lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), F.array(*features(c["value"], c["before"], c["after"], path)).alias("x")))
-    scored = F.transform(made, lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value"), forest_score(forest, c["x"]).alias("score")))
-    return F.transform(scored, lambda c: F.struct(c["start"], c["value"], c["score"], (c["score"] >= threshold).alias("is_secret")))
+    none = F.array().cast("array<struct<start:bigint,value:string,score:double,is_secret:boolean>>")
+    return F.when(text.rlike(CANDIDATE), bind(_parts(text), lambda parts: _judged(parts, path, forest, threshold))).otherwise(none)
 
 
 def scan(docs: DataFrame, forest: list | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -214,12 +247,10 @@ def redact(docs: DataFrame, forest: list | None = None, threshold: float = 0.5,
     forest = forest or default_forest(docs.sparkSession)
     path = F.col(path_col) if path_col else F.lit("")
     text = F.col(text_col)
-    found = F.filter(findings(text, path, forest, threshold), lambda f: f["is_secret"])
-    cut = F.aggregate(
-        F.col("_found"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, f: F.struct((f["start"] + F.char_length(f["value"])).alias("at"), F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (f["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))),
-    )
-    names = docs.columns
-    return docs.withColumn("_found", found).withColumn(text_col, F.when(F.size("_found") > 0, cut).otherwise(text)).select(*names)
+
+    def rebuilt(parts: Column) -> Column:
+        put = lambda p, f: F.concat(p["gap"], F.coalesce(p["head"], F.lit("")), F.when(f["is_secret"], F.lit(mark)).otherwise(F.coalesce(p["value"], F.lit(""))))
+        return bind(_judged(parts, path, forest, threshold), lambda found: F.when(F.exists(found, lambda f: f["is_secret"]), F.array_join(F.zip_with(parts, found, put), "")).otherwise(text))
+
+    cut = F.when(text.rlike(CANDIDATE), bind(_parts(text), rebuilt)).otherwise(text)
+    return docs.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
