@@ -27,8 +27,12 @@ def bucket(ts: Column, interval: int) -> Column:
     return ts - F.pmod(ts, F.lit(interval))
 
 
-def ticks_to_bars(ticks: DataFrame, interval: int = MINUTE) -> DataFrame:
-    """Bars of quotes (symbol, ts_ms, price, volume, seq): open and close in the order of seq; partial aggregation before one shuffle."""
+def ticks_to_bars(ticks: DataFrame, interval: int = MINUTE, spread: Column | None = None) -> DataFrame:
+    """Bars of quotes (symbol, ts_ms, price, volume, seq): open and close in the order of seq; partial aggregation before one shuffle.
+
+    ``spread`` is the first quote's spread in points (NULL if not given).
+    """
+    points = F.lit(None).cast("int") if spread is None else F.min_by(spread, "seq").cast("int")
     return (
         ticks.groupBy("symbol", bucket(F.col("ts_ms"), interval).alias("bar"))
         .agg(
@@ -37,8 +41,9 @@ def ticks_to_bars(ticks: DataFrame, interval: int = MINUTE) -> DataFrame:
             F.min("price").alias("low"),
             F.max_by("price", "seq").alias("close"),
             F.sum("volume").cast("long").alias("tick_volume"),
+            (F.first(points) if spread is None else points).alias("spread_points"),
         )
-        .select("symbol", F.col("bar").alias("ts_ms"), "open", "high", "low", "close", "tick_volume", F.lit(0).cast("long").alias("real_volume"), F.lit(None).cast("int").alias("spread_points"))
+        .select("symbol", F.col("bar").alias("ts_ms"), "open", "high", "low", "close", "tick_volume", F.lit(0).cast("long").alias("real_volume"), "spread_points")
     )
 
 

@@ -200,14 +200,12 @@ def qqe(r: int, s: int, tenths: int | None = None):
                 return None
             reach = dev * tenths / 10
             new_long, new_short = line - reach, line + reach
-            if long is not None:
-                old_long, old_short = long, short
-                if last > old_long and line > old_long:
-                    new_long = max(new_long, old_long)
-                if last < old_short and line < old_short:
-                    new_short = min(new_short, old_short)
-                up = True if line > old_short else False if line < old_long else up
+            if long is not None and last > long and line > long:
+                new_long = max(new_long, long)
+            if short is not None and last < short and line < short:
+                new_short = min(new_short, short)
             long, short = new_long, new_short
+            up = True if line > short else False if line < long else up
             return long if up else short
 
         return step
@@ -274,136 +272,32 @@ def kama(src: str, n: int, fast: int = 2, slow: int = 30):
 
 
 def parabolic_sar(first: float = 0.02, most: float = 0.2):
-    """Stop and reverse; the first bar has none, the second starts in the direction of its close."""
+    """Stop and reverse: short from the first bar on, at the higher of the first two highs.
+
+    A bar through the stop turns it to the extreme of all bars since the last turn, this one included. The newest bar
+    is judged as if it were complete.
+    """
 
     def make():
-        bars: deque = deque(maxlen=3)
-        up, stop, extreme, speed = True, None, None, first
+        before, up, stop, extreme, speed = None, False, None, None, first
+        top, bottom = -math.inf, math.inf
 
         def step(b):
-            nonlocal up, stop, extreme, speed
-            bars.append(b)
-            if len(bars) < 2:
-                return None
+            nonlocal before, up, stop, extreme, speed, top, bottom
+            top, bottom, last, before = max(top, b[HIGH]), min(bottom, b[LOW]), before, b
+            if last is None:
+                return b[HIGH]
             if stop is None:
-                up = b[CLOSE] >= bars[-2][CLOSE]
-                stop, extreme = (bars[-2][LOW], b[HIGH]) if up else (bars[-2][HIGH], b[LOW])
-                return stop
-            stop += speed * (extreme - stop)
-            earlier = list(bars)[:-1]
-            stop = min([stop, *(x[LOW] for x in earlier)]) if up else max([stop, *(x[HIGH] for x in earlier)])
-            if (b[LOW] < stop) if up else (b[HIGH] > stop):
-                up, stop, speed = not up, extreme, first
-                extreme = b[HIGH] if up else b[LOW]
+                stop, extreme = top, b[LOW]
+            if (stop > b[LOW]) if up else (stop < b[HIGH]):
+                stop, extreme = (top, b[LOW]) if up else (bottom, b[HIGH])
+                up, speed, top, bottom = not up, first, b[HIGH], b[LOW]
             elif (b[HIGH] > extreme) if up else (b[LOW] < extreme):
                 extreme, speed = (b[HIGH] if up else b[LOW]), min(speed + first, most)
-            return stop
-
-        return step
-
-    return make
-
-
-def fair_value_gap(k: float, n: int):
-    """Middle of the live three-bar gap of at least k ATR (sqx): positive while a gap upwards is unfilled, negative downwards, 0 if none."""
-
-    def make():
-        held, mean, live = deque(maxlen=3), atr_sqx(n)(), None
-
-        def step(b):
-            nonlocal live
-            reach = k * mean(b)
-            held.append(b)
-            if live and ((b[LOW] <= live[0]) if live[2] > 0 else (b[HIGH] >= live[1])):
-                live = None
-            if len(held) == 3:
-                a = held[0]
-                if b[LOW] - a[HIGH] >= reach and b[LOW] > a[HIGH]:
-                    live = (a[HIGH], b[LOW], 1)
-                elif a[LOW] - b[HIGH] >= reach and a[LOW] > b[HIGH]:
-                    live = (b[HIGH], a[LOW], -1)
-            return live[2] * (live[0] + live[1]) / 2 if live else 0.0
-
-        return step
-
-    return make
-
-
-def order_block(k: float, n: int, side: str):
-    """Price of the last opposite candle before a displacement of at least k ATR (bull: its low, bear: its high); gone on a close through it."""
-
-    def make():
-        mean, last_down, last_up, zone = atr_sqx(n)(), None, None, None
-
-        def step(b):
-            nonlocal last_down, last_up, zone
-            reach, body = k * mean(b), b[CLOSE] - b[OPEN]
-            if zone is not None and ((b[CLOSE] < zone) if side == "bull" else (b[CLOSE] > zone)):
-                zone = None
-            if side == "bull" and body >= reach > 0 and last_down:
-                zone = last_down[LOW]
-            if side == "bear" and -body >= reach > 0 and last_up:
-                zone = last_up[HIGH]
-            if body < 0:
-                last_down = b
-            elif body > 0:
-                last_up = b
-            return zone
-
-        return step
-
-    return make
-
-
-def supply_demand(n: int, k: float, atr_n: int, side: str):
-    """Edge of the zone around the last n-sided swing, published n bars after it and gone on a close through it."""
-
-    def make():
-        held, mean, zone = deque(maxlen=2 * n + 1), atr_sqx(atr_n)(), None
-
-        def step(b):
-            nonlocal zone
-            reach = k * mean(b)
-            held.append(b)
-            if zone is not None and ((b[CLOSE] < zone[0]) if side == "demand" else (b[CLOSE] > zone[1])):
-                zone = None
-            if len(held) == 2 * n + 1:
-                mid = held[n]
-                rest = [x for i, x in enumerate(held) if i != n]
-                if side == "demand" and all(mid[LOW] < x[LOW] for x in rest):
-                    zone = (mid[LOW], mid[LOW] + reach)
-                if side == "supply" and all(mid[HIGH] > x[HIGH] for x in rest):
-                    zone = (mid[HIGH] - reach, mid[HIGH])
-            return None if zone is None else zone[1] if side == "demand" else zone[0]
-
-        return step
-
-    return make
-
-
-def market_structure(n: int, part: str):
-    """part: high or low (last swing), trend (1 up, -1 down, 0 none, by breaks of swings), or change (a break against the trend, with its sign)."""
-
-    def make():
-        held, top, bottom, trend, before = deque(maxlen=2 * n + 1), None, None, 0, None
-
-        def step(b):
-            nonlocal top, bottom, trend, before
-            held.append(b)
-            if len(held) == 2 * n + 1:
-                mid = held[n]
-                rest = [x for i, x in enumerate(held) if i != n]
-                if all(mid[HIGH] > x[HIGH] for x in rest):
-                    top = mid[HIGH]
-                if all(mid[LOW] < x[LOW] for x in rest):
-                    bottom = mid[LOW]
-            change, last, before = 0.0, before, b[CLOSE]
-            if last is not None:
-                if top is not None and b[CLOSE] > top >= last:
-                    change, trend = (1.0 if trend < 0 else 0.0), 1
-                elif bottom is not None and b[CLOSE] < bottom <= last:
-                    change, trend = (-1.0 if trend > 0 else 0.0), -1
-            return {"high": top, "low": bottom, "trend": float(trend), "change": change}[part]
+            shown = stop
+            stop += speed * (extreme - stop)
+            stop = min(stop, b[LOW], last[LOW]) if up else max(stop, b[HIGH], last[HIGH])
+            return shown
 
         return step
 

@@ -240,11 +240,12 @@ def choppiness(n: int, tr: str = "true_range") -> Column:
 
 
 def fractal(side: str, width: int) -> Column:
-    """The centred extreme of an odd window, published when the window is complete; else NULL."""
+    """The strict centred extreme of the odd window of bars before this one; 0 if there is none, or not yet a window."""
     half = width // 2
-    centre = shift(side, half)
-    extreme = (F.max if side == "high" else F.min)(side).over(frame(width))
-    return full(F.when(centre == extreme, centre), width)
+    centre, best = shift(side, half + 1), F.max if side == "high" else F.min
+    left, right = best(side).over(frame(half, half + 2)), best(side).over(frame(half, 1))
+    strict = (centre > left) & (centre > right) if side == "high" else (centre < left) & (centre < right)
+    return full(F.when(strict, centre).otherwise(0.0), width + 1, 0.0)
 
 
 def gann_hilo(n: int) -> dict[str, Column]:
@@ -286,9 +287,9 @@ def true_range_joined() -> Column:
 
 
 def sr_percent_rank(length: int, reach: str) -> Column:
-    """Percent of the ``length`` bars before whose range, widened by column ``reach``, holds the close."""
+    """Percent of the ``length`` bars before whose range, widened by column ``reach``, holds the close strictly inside."""
     ranges = F.collect_list(F.struct((F.col("low") - F.col(reach)).alias("lo"), (F.col("high") + F.col(reach)).alias("hi"))).over(frame(length, 1))
-    inside = F.size(F.filter(ranges, lambda r: (r["lo"] <= F.col("close")) & (r["hi"] >= F.col("close"))))
+    inside = F.size(F.filter(ranges, lambda r: (r["lo"] < F.col("close")) & (r["hi"] > F.col("close"))))
     return full(inside * 100 / length, length + 1)
 
 

@@ -46,9 +46,10 @@ def window_lookup(local: Column, windows: list[tuple[int, int, int, int]]) -> Co
 
 
 def resolved_spread(recorded: Column, window: Column, fallback: int | None) -> Column:
-    """Recorded if positive (or zero where nothing else is known), else the window's, else the fallback."""
-    other = F.coalesce(window, F.lit(fallback).cast("int"))
-    return F.when(recorded > 0, recorded).otherwise(F.coalesce(other, recorded))
+    """Recorded if positive, or in any case without a fallback; else the window's, the fallback, the recorded 0; an error if nothing is known."""
+    own = recorded if fallback is None else F.when(recorded > 0, recorded)
+    unknown = F.raise_error(F.lit("no spread is recorded, and neither window nor fallback gives one")).cast("int")
+    return F.coalesce(own, window, F.lit(fallback).cast("int"), recorded, unknown)
 
 
 def swap_multiplier(day: Column, listed: dict[int, float] | None, triple: int = 3) -> Column:

@@ -30,7 +30,7 @@ def trade_metrics(trades: DataFrame, keys: list[str], initial: float = 10_000.0)
         F.max(F.col("_dd") / F.col("_peak") * 100).alias("max_drawdown_percent"),
         (F.avg("net_profit") / F.nullif(F.stddev_samp("net_profit"), F.lit(0.0)) * F.sqrt(F.count("*"))).alias("trade_sharpe"),
     )
-    return out.withColumn("win_rate", F.col("wins") * 100 / F.col("trades")).withColumn("recovery_factor", divide(F.col("net_profit"), F.col("max_drawdown")))
+    return out.withColumn("win_rate", F.col("wins") * 100 / F.col("trades")).withColumn("recovery_factor", recovery_factor(F.col("net_profit"), F.col("max_drawdown")))
 
 
 def drawdown(equity: DataFrame, keys: list[str], initial: float) -> DataFrame:
@@ -113,13 +113,24 @@ def niche(described: DataFrame, drawdown: str) -> DataFrame:
     )
 
 
-def evidence_score(ret: Column, pf: Column, n: Column, dd: Column, complexity: Column) -> Column:
-    """100 ln(1 + return) within 100 either way, 5 ln of the profit factor up to 10, 0.02 a trade up to 100, less half the drawdown and 0.05 a node."""
-    growth = F.least(F.greatest(100 * F.log(F.greatest(1 + ret / 100, F.lit(1e-9))), F.lit(-100.0)), F.lit(100.0))
-    quality = 5 * F.log(F.greatest(F.least(F.coalesce(pf, F.lit(10.0)), F.lit(10.0)), F.lit(1e-9)))
+def evidence_score(ret: Column, pf: Column, net: Column, n: Column, dd: Column, complexity: Column) -> Column:
+    """Bounded log growth, profit factor, trades, less drawdown and complexity.
+
+    100 ln(1 + return) within 100 either way (returns from -99 percent), 5 ln of the profit factor up to 10 (-10 if it
+    is not positive; one that is missing counts as 10 with a profit and as 0 without), 0.02 a trade up to 100 trades,
+    less half the drawdown and 0.05 a node.
+    """
+    growth = F.least(F.greatest(100 * F.log(1 + F.greatest(ret, F.lit(-99.0)) / 100), F.lit(-100.0)), F.lit(100.0))
+    factor = F.coalesce(pf, F.when(net > 0, 10.0).otherwise(0.0))
+    quality = F.when(factor > 0, 5 * F.log(F.least(factor, F.lit(10.0)))).otherwise(-10.0)
     return growth + quality + 0.02 * F.least(n, F.lit(100)) - 0.5 * dd - 0.05 * complexity
 
 
+def recovery_factor(net: Column, drawdown: Column) -> Column:
+    """Net profit over the largest drawdown; without one infinity for a profit, else the net itself."""
+    return F.when(drawdown > 1e-12, net / drawdown).when(net > 0, float("inf")).otherwise(net)
+
+
 def coverage(elites: DataFrame, axes: list[str], values: int = 3) -> DataFrame:
     """Every cell of the cross product of the axes' buckets with how many elites lie there; cells are values ** len(axes), whatever the data."""
     spark = elites.sparkSession

@@ -44,8 +44,12 @@ def spikes(bars: DataFrame, times: float = 20) -> DataFrame:
     return wide.join(usual, "symbol").where(F.col("range") > times * F.col("usual")).select("symbol", "ts_ms", "range")
 
 
-def report(bars: DataFrame, zone: str = "Etc/UTC") -> DataFrame:
-    """One row per symbol: counts of each check, score (100 less capped penalties) and grade (pass from 90, warn from 70)."""
+def report(bars: DataFrame, zone: str = "Etc/UTC", ingest: DataFrame | None = None) -> DataFrame:
+    """One row per symbol: counts of each check, score (100 less capped penalties, rounded) and grade (pass from 90, warn from 70).
+
+    ``ingest`` tells of each symbol how it was read: source_rows, duplicates (rows removed) and was_sorted; without it
+    nothing was removed and all was in order.
+    """
     wall = clock.local(F.col("ts_ms"), zone)
     base = bars.groupBy("symbol").agg(
         F.count("*").alias("bars"),
@@ -56,7 +60,13 @@ def report(bars: DataFrame, zone: str = "Etc/UTC") -> DataFrame:
     holes = gaps(bars, zone).groupBy("symbol").agg(F.count("*").alias("gap_events"), F.sum("missing").cast("long").alias("missing"))
     wide = spikes(bars).groupBy("symbol").agg(F.count("*").alias("spikes"))
     joined = base.join(holes, "symbol", "left").join(wide, "symbol", "left").na.fill(0, ["gap_events", "missing", "spikes"])
-    share = lambda c, cap: F.least(F.col(c) * 100 / F.col("bars"), F.lit(float(cap)))
-    missing = F.least(F.col("missing") * 100 / (F.col("bars") + F.col("missing")), F.lit(50.0))
-    score = F.greatest(F.lit(100.0) - missing - share("zero_range", 10) - share("invalid", 25) - share("weekend", 10) - share("spikes", 10), F.lit(0.0))
-    return joined.withColumn("score", score).withColumn("grade", F.when(F.col("score") >= 90, "pass").when(F.col("score") >= 70, "warn").otherwise("fail"))
+    if ingest is None:
+        joined = joined.withColumns({"source_rows": F.col("bars"), "duplicates": F.lit(0).cast("long"), "was_sorted": F.lit(True)})
+    else:
+        told = ingest.select("symbol", "source_rows", "duplicates", "was_sorted")
+        joined = joined.join(told, "symbol", "left").withColumns({"source_rows": F.coalesce("source_rows", "bars"), "duplicates": F.coalesce("duplicates", F.lit(0).cast("long")), "was_sorted": F.coalesce("was_sorted", F.lit(True))})
+    share = lambda c, of, cap: F.least(F.col(c) * 100 / F.greatest(of, F.lit(1)), F.lit(float(cap)))
+    n = F.col("bars")
+    lost = share("invalid", n, 50) + share("duplicates", F.col("source_rows"), 10) + share("missing", n + F.col("missing"), 25) + share("zero_range", n, 10) + share("weekend", n, 10) + share("spikes", n, 10)
+    score = F.floor(F.least(F.greatest(F.lit(100.0) - lost - F.when(F.col("was_sorted"), 0.0).otherwise(2.0), F.lit(0.0)), F.lit(100.0)) + 0.5)
+    return joined.withColumn("score", score.cast("long")).withColumn("grade", F.when(F.col("score") >= 90, "pass").when(F.col("score") >= 70, "warn").otherwise("fail"))

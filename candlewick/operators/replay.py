@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Columns a replay reads; prices are bids, spread is in price units, distances too (NULL: none).
@@ -86,7 +87,7 @@ class Run:
         self.pending: tuple | None = None
         self.locked = self.stopped = False
         self.trades, self.no, self.equity = [], 0, []
-        self.conflicts, self.collisions, self.peak_balance = 0, 0, s.balance
+        self.conflicts, self.collisions, self.peak_equity = 0, 0, s.balance
         self.warmup = s.warmup if long_series else 0
 
     def grid(self, price: float) -> float:
@@ -128,9 +129,6 @@ class Run:
         self.no += 1
         self.trades.append((self.id, self.no, "long" if p.side > 0 else "short", p.entry_ms, ms, p.entry, p.closed_value / p.closed, p.first_volume, self.first_stop, self.first_target, p.gross, p.commission, p.swap, net, self.i - p.bar, reason, self.balance))
         self.pos = None
-        self.peak_balance = max(self.peak_balance, self.balance)
-        if self.s.abandon_drawdown is not None and (self.peak_balance - self.balance) / self.peak_balance * 100 > self.s.abandon_drawdown:
-            self.stopped = True
 
     def exit_price(self, bid: float, spread: float) -> float:
         return bid if self.pos.side > 0 else bid + spread
@@ -229,8 +227,14 @@ class Run:
             if self.pos and (opened or k == 0 or not self.gap(bar)):
                 self.inside(bar)
         mark = self.money(self.pos, self.exit_price(b["close"], b["spread"]), self.pos.volume) + self.pos.gross - self.pos.commission + self.pos.swap if self.pos else 0.0
-        self.equity.append((self.id, b["ts_ms"], self.balance, self.balance + mark))
         self.prev = b
+        if fresh:
+            return
+        marked = self.balance + mark
+        self.equity.append((self.id, b["ts_ms"], self.balance, marked))
+        self.peak_equity = max(self.peak_equity, marked)
+        if self.s.abandon_drawdown is not None and self.peak_equity > 0 and (self.peak_equity - marked) / self.peak_equity * 100 > self.s.abandon_drawdown:
+            self.stopped = True
 
     def enter(self, b: dict, window: bool) -> None:
         if b["long"] and b["short"]:
@@ -253,42 +257,66 @@ class Run:
             self.close(self.exit_price(self.prev["close"], self.prev["spread"]), self.prev["ts_ms"], "EndOfData")
 
 
-def replay(signals: DataFrame, settings: Settings, finer: bool = False) -> DataFrame:
-    """Trades of every run (TRADES). ``signals`` has INPUT's columns and, if ``finer``, minutes: array of ts_ms, open, high, low, close, spread.
+EQUITY = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("ts_ms", T.LongType()), T.StructField("balance", T.DoubleType()), T.StructField("equity", T.DoubleType())])
 
-    A NULL signal is false. A run that has no more rows than the warm-up has none. Rows of a run with equal times are
-    read in an unstated order. A decision bar without minutes is an error in the two-timeframe form.
-    """
+
+def _streamed(signals: DataFrame, settings: Settings, finer: bool, schema: T.StructType, drain) -> DataFrame:
+    """Every run's machine over its rows; drain(machine) gives the rows that are ready."""
     columns = [*INPUT, *(["minutes"] if finer else [])]
+    kinds = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(zip(*rows, strict=True), schema.fields, strict=True)], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
+        machine, ready = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if machine is None or machine.id != row["run_id"]:
                     if machine:
                         machine.finish()
-                        yield from out(machine)
+                        ready += drain(machine)
                     machine = Run(row["run_id"], settings, row["_bars"] > settings.warmup)
                 minutes = row.pop("minutes") if finer else [row]
                 if not minutes:
                     raise ValueError(f"no finer bars for {row['run_id']} at {row['ts_ms']}")
                 machine.step(row, sorted(minutes, key=lambda m: m["ts_ms"]) if finer else minutes)
-                machine.equity.clear()
-            if machine and machine.trades:
-                yield from out(machine)
+            ready += drain(machine) if machine else []
+            if ready:
+                yield batch_of(ready)
+                ready = []
         if machine:
             machine.finish()
-            yield from out(machine)
+            ready += drain(machine)
+        if ready:
+            yield batch_of(ready)
+
+    # the count and the machine share one shuffle by run
+    counted = signals.select(*columns, F.count(F.lit(1)).over(Window.partitionBy("run_id")).alias("_bars"))
+    return counted.sortWithinPartitions("run_id", "ts_ms").mapInArrow(run, schema)
 
-    def out(machine: Run) -> Iterator[pa.RecordBatch]:
+
+def replay(signals: DataFrame, settings: Settings, finer: bool = False) -> DataFrame:
+    """Trades of every run (TRADES). ``signals`` has INPUT's columns and, if ``finer``, minutes: array of ts_ms, open, high, low, close, spread.
+
+    A NULL signal is false. A run that has no more rows than the warm-up has none. Rows of a run with equal times are
+    read in an unstated order. A decision bar without minutes (NULL or empty) is an error in the two-timeframe form.
+    """
+
+    def drain(machine: Run) -> list[tuple]:
+        machine.equity.clear()
         rows, machine.trades = machine.trades, []
-        if rows:
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 9, pa.int64(), pa.string(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=TRADES.names)
+        return rows
 
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
+    return _streamed(signals, settings, finer, TRADES, drain)
 
-    counted = signals.select(*columns, F.count(F.lit(1)).over(Window.partitionBy("run_id")).alias("_bars"))
-    return counted.repartition("run_id").sortWithinPartitions("run_id", "ts_ms").mapInArrow(run, TRADES)
+
+def replay_equity(signals: DataFrame, settings: Settings, finer: bool = False) -> DataFrame:
+    """Balance and marked equity (EQUITY) after each bar of every run but its first; see replay()."""
+
+    def drain(machine: Run) -> list[tuple]:
+        machine.trades.clear()
+        rows, machine.equity = machine.equity, []
+        return rows
+
+    return _streamed(signals, settings, finer, EQUITY, drain)

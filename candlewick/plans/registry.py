@@ -25,6 +25,7 @@ from ..operators import stats as S
 from ..operators.indicators import recursive as X
 from ..operators.indicators import sessions as N
 from ..operators.indicators import windowed as I
+from ..operators.indicators import zones as V
 from . import tables as T
 
 #: Bars of the events in SQL.
@@ -170,15 +171,22 @@ def dq_spikes(spark, sf_dir):
     return values(Q.spikes(T.hourly(spark, sf_dir), 2), KEYS, {"range": "range"})
 
 
+#: Every fifth bar by volume has a high below its body, so that impossible bars count too.
+_DAMAGED = "CASE WHEN tick_volume % 5 = 0 THEN low ELSE high END"
+
+
 @query(
-    f"""WITH {BARS}, {_GAPS}, {_SPIKES.format(times=20)}, a AS (SELECT symbol, count(*) AS bars, count(*) FILTER (high = low) AS zero_range, 0 AS invalid, count(*) FILTER (dayofweek(make_timestamp(ts_ms * 1000)) IN (0, 6)) AS weekend FROM bars GROUP BY 1),
-j AS (SELECT a.*, coalesce((SELECT count(*) FROM g WHERE g.symbol = a.symbol), 0) AS gap_events, coalesce((SELECT sum(missing) FROM g WHERE g.symbol = a.symbol), 0)::BIGINT AS missing, coalesce((SELECT count(*) FROM k WHERE k.symbol = a.symbol), 0) AS spikes FROM a),
-s AS (SELECT *, greatest(100 - least(missing * 100 / (bars + missing), 50) - least(zero_range * 100 / bars, 10) - least(weekend * 100 / bars, 10) - least(spikes * 100 / bars, 10), 0) AS score FROM j)
-SELECT symbol, bars, zero_range, weekend, gap_events, missing, spikes, {s6("score")} AS score, CASE WHEN score >= 90 THEN 'pass' WHEN score >= 70 THEN 'warn' ELSE 'fail' END AS grade FROM s"""
+    f"""WITH {BARS.replace("bars AS", "whole AS")}, bars AS (SELECT * REPLACE ({_DAMAGED} AS high) FROM whole), {_GAPS}, {_SPIKES.format(times=20)},
+o AS (SELECT *, ts_ms < lag(ts_ms) OVER (PARTITION BY symbol ORDER BY event_id) AS late FROM t), r AS (SELECT symbol, count(*) AS source_rows, count(*) - count(DISTINCT ts_ms) AS duplicates, bool_or(coalesce(late, false)) AS unsorted FROM o GROUP BY 1),
+a AS (SELECT symbol, count(*) AS bars, count(*) FILTER (high = low) AS zero_range, count(*) FILTER (high < low OR high < open OR high < close OR low > open OR low > close) AS invalid, count(*) FILTER (dayofweek(make_timestamp(ts_ms * 1000)) IN (0, 6)) AS weekend FROM bars GROUP BY 1),
+j AS (SELECT a.*, source_rows, duplicates, unsorted, (SELECT count(*) FROM g WHERE g.symbol = a.symbol) AS gap_events, coalesce((SELECT sum(missing) FROM g WHERE g.symbol = a.symbol), 0)::BIGINT AS missing, (SELECT count(*) FROM k WHERE k.symbol = a.symbol) AS spikes FROM a JOIN r USING (symbol)),
+s AS (SELECT *, round(greatest(0, 100 - (least(invalid / bars * 100, 50) + least(duplicates / source_rows * 100, 10) + least(missing / (bars + missing) * 100, 25) + least(zero_range / bars * 100, 10) + least(weekend / bars * 100, 10) + least(spikes / bars * 100, 10) + CASE WHEN unsorted THEN 2 ELSE 0 END)))::BIGINT AS score FROM j)
+SELECT symbol, bars, zero_range, invalid, weekend, gap_events, missing, spikes, duplicates, score, CASE WHEN score >= 90 THEN 'pass' WHEN score >= 70 THEN 'warn' ELSE 'fail' END AS grade FROM s"""
 )
 def dq_report(spark, sf_dir):
-    r = Q.report(T.hourly(spark, sf_dir))
-    return r.select("symbol", "bars", "zero_range", "weekend", "gap_events", "missing", "spikes", settle(F.col("score")).alias("score"), "grade")
+    b = T.hourly(spark, sf_dir)
+    b = b.withColumn("high", F.when(F.col("tick_volume") % 5 == 0, F.col("low")).otherwise(F.col("high")))
+    return Q.report(b, ingest=T.ingested(spark, sf_dir)).select("symbol", "bars", "zero_range", "invalid", "weekend", "gap_events", "missing", "spikes", "duplicates", "score", "grade")
 
 
 # -- window indicators
@@ -355,7 +363,9 @@ def ind_choppiness(spark, sf_dir):
     return values(b.withColumn("choppiness", I.choppiness(14)), KEYS, {"choppiness": "choppiness"})
 
 
-@query(indicators({"up": when_full(f"CASE WHEN lag(high, 2) OVER (PARTITION BY symbol ORDER BY ts_ms) = max(high) OVER {over(5)} THEN lag(high, 2) OVER (PARTITION BY symbol ORDER BY ts_ms) END", 5), "down": when_full(f"CASE WHEN lag(low, 2) OVER (PARTITION BY symbol ORDER BY ts_ms) = min(low) OVER {over(5)} THEN lag(low, 2) OVER (PARTITION BY symbol ORDER BY ts_ms) END", 5)}))
+@query(
+    f"WITH {BARS}, f AS (SELECT *, list(high) OVER v AS hs, list(low) OVER v AS ls FROM bars WINDOW v AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) SELECT symbol, ts_ms, {s6('CASE WHEN len(hs) = 5 AND hs[3] > greatest(hs[1], hs[2], hs[4], hs[5]) THEN hs[3] ELSE 0 END')} AS up, {s6('CASE WHEN len(ls) = 5 AND ls[3] < least(ls[1], ls[2], ls[4], ls[5]) THEN ls[3] ELSE 0 END')} AS down FROM f"
+)
 def ind_fractal(spark, sf_dir):
     return feature({"up": I.fractal("high", 5), "down": I.fractal("low", 5)}, spark, sf_dir)
 
@@ -384,11 +394,9 @@ def ind_linreg(spark, sf_dir):
     return values(b.withColumn("linreg", I.linreg("close", "at", 14)), KEYS, {"linreg": "linreg"})
 
 
-@query(indicators({"parkinson": when_full(f"sqrt(avg(ln(high / nullif(low, 0)) * ln(high / nullif(low, 0))) OVER {over(14)} / (4 * ln(2))) * close", 14), "range_high": when_full(f"max(high) OVER {over(30)}", 30), "range_low": when_full(f"min(low) OVER {over(30)}", 30), "equilibrium": _mid(30)}, "tr WHERE symbol NOT IN (SELECT symbol FROM bars WHERE low <= 0)"))
+@query(indicators({"parkinson": when_full(f"sqrt(avg(CASE WHEN high / nullif(low, 0) > 0 THEN pow(ln(high / nullif(low, 0)), 2) END) OVER {over(14)} / (4 * ln(2))) * close", 14), "range_high": when_full(f"max(high) OVER {over(30)}", 30), "range_low": when_full(f"min(low) OVER {over(30)}", 30), "equilibrium": _mid(30)}))
 def ind_ranges(spark, sf_dir):
-    b = T.hourly(spark, sf_dir)
-    low = b.where("low <= 0").select("symbol").distinct()
-    b = b.join(low, "symbol", "left_anti").withColumns({"parkinson": I.parkinson(14), **I.premium_discount(30)})
+    b = T.hourly(spark, sf_dir).withColumns({"parkinson": I.parkinson(14), **I.premium_discount(30)})
     return values(b, KEYS, {c: c for c in ("parkinson", "range_high", "range_low", "equilibrium")})
 
 
@@ -398,7 +406,7 @@ def ind_true_range(spark, sf_dir):
 
 
 @query(
-    f"WITH {BARS}, l AS (SELECT *, list({{'lo': low - 1, 'hi': high + 1}}) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS v FROM bars) SELECT symbol, ts_ms, {s6(when_full('len(list_filter(v, lambda x: x.lo <= close AND x.hi >= close)) * 100 / 20', 21))} AS rank FROM l"
+    f"WITH {BARS}, l AS (SELECT *, list({{'lo': low - 1, 'hi': high + 1}}) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS v FROM bars) SELECT symbol, ts_ms, {s6(when_full('len(list_filter(v, lambda x: x.lo < close AND x.hi > close)) * 100 / 20', 21))} AS rank FROM l"
 )
 def ind_sr_rank(spark, sf_dir):
     b = T.hourly(spark, sf_dir).withColumn("reach", F.lit(1.0))
@@ -511,15 +519,107 @@ def ind_qqe(spark, sf_dir):
 
 
 @query()
-def ind_structure(spark, sf_dir):
-    made = {
-        "kama": X.kama("close", 10), "sar": X.parabolic_sar(), "gap": X.fair_value_gap(0.2, 14), "bull_block": X.order_block(0.5, 14, "bull"), "bear_block": X.order_block(0.5, 14, "bear"), "demand": X.supply_demand(3, 0.5, 14, "demand"),
-        "supply": X.supply_demand(3, 0.5, 14, "supply"), "swing_high": X.market_structure(3, "high"), "swing_low": X.market_structure(3, "low"), "trend": X.market_structure(3, "trend"), "change": X.market_structure(3, "change"),
-        "stoch_ema": X.stochastic_smoothed(14, 3, "ema"), "stoch_smma": X.stochastic_smoothed(14, 3, "smma"),
-    }
+def ind_adaptive(spark, sf_dir):
+    made = {"kama": X.kama("close", 10), "stoch_ema": X.stochastic_smoothed(14, 3, "ema"), "stoch_smma": X.stochastic_smoothed(14, 3, "smma")}
     return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
 
 
+#: Numbered bars with the mean of 14 true ranges (0 at first), for loops bar by bar.
+_LOOP = """q AS (SELECT *, row_number() OVER w - 1 AS i, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)),
+nb AS (SELECT *, CASE WHEN i < 14 THEN 0 ELSE avg(tr) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS 13 PRECEDING) END AS atr, count(*) OVER (PARTITION BY symbol) AS n FROM q)"""
+
+
+def looped(first: str, step: str, out: str, extra: str = "") -> str:
+    """A loop over each symbol's bars: columns of ``first`` on bar 0, of ``step`` from the state r and the bar nb."""
+    return f"WITH RECURSIVE {BARS}, {_LOOP}{extra}, r AS (SELECT symbol, ts_ms, i, {first} FROM nb WHERE i = 0 UNION ALL {step}) SELECT symbol, ts_ms, {out} FROM r"
+
+
+_SAR = looped(
+    "high AS sar, NULL::DOUBLE AS nxt, NULL::DOUBLE AS ep, 0.02::DOUBLE AS af, false AS up, high AS top, low AS bot",
+    """SELECT symbol, ts_ms, i, sar, CASE WHEN up THEN least(sar + af * (ep - sar), low, l1) ELSE greatest(sar + af * (ep - sar), high, h1) END, ep, af, up, top, bot FROM (
+  SELECT symbol, ts_ms, i, high, low, h1, l1, CASE WHEN turn AND up0 THEN top1 WHEN turn THEN bot1 ELSE sar0 END AS sar, CASE WHEN turn AND up0 THEN low WHEN turn THEN high WHEN up0 THEN greatest(high, ep0) ELSE least(low, ep0) END AS ep,
+    CASE WHEN turn THEN 0.02 WHEN (up0 AND high > ep0) OR (NOT up0 AND low < ep0) THEN least(af0 + 0.02, 0.2) ELSE af0 END AS af, up0 <> turn AS up, CASE WHEN turn THEN high ELSE top1 END AS top, CASE WHEN turn THEN low ELSE bot1 END AS bot FROM (
+    SELECT nb.symbol, nb.ts_ms, nb.i, high, low, h1, l1, coalesce(nxt, greatest(top, high)) AS sar0, coalesce(ep, low) AS ep0, af AS af0, up AS up0, greatest(top, high) AS top1, least(bot, low) AS bot1,
+      CASE WHEN up THEN coalesce(nxt, greatest(top, high)) > low ELSE coalesce(nxt, greatest(top, high)) < high END AS turn FROM r JOIN nb ON nb.symbol = r.symbol AND nb.i = r.i + 1))""",
+    f"{s6('sar')} AS sar",
+)
+
+
+@query(_SAR)
+def ind_sar(spark, sf_dir):
+    return values(X.with_recurrences(T.hourly(spark, sf_dir), {"sar": X.parabolic_sar()}), KEYS, {"sar": "sar"})
+
+
+_GAP = looped(
+    "NULL::DOUBLE AS blo, NULL::DOUBLE AS bhi, NULL::DOUBLE AS slo, NULL::DOUBLE AS shi, 0 AS bf, 0 AS sf",
+    """SELECT symbol, ts_ms, i, CASE WHEN low > b1 THEN b1 END, CASE WHEN low > b1 THEN b2 END, CASE WHEN high < s2 THEN s1 END, CASE WHEN high < s2 THEN s2 END, f::INT, g::INT FROM (
+  SELECT symbol, ts_ms, i, low, high, f, g, CASE WHEN f THEN h2 ELSE blo END AS b1, CASE WHEN f THEN low ELSE bhi END AS b2, CASE WHEN g THEN high ELSE slo END AS s1, CASE WHEN g THEN l2 ELSE shi END AS s2 FROM (
+    SELECT nb.symbol, nb.ts_ms, nb.i, low, high, h2, l2, blo, bhi, slo, shi, coalesce(low > h2 AND low - h2 >= atr * 0.05, false) AS f, coalesce(high < l2 AND l2 - high >= atr * 0.05, false) AS g FROM r JOIN nb ON nb.symbol = r.symbol AND nb.i = r.i + 1))""",
+    ", ".join(f"{s6(f'coalesce({c}, 0)')} AS {n}" for c, n in (("blo", "bull_low"), ("bhi", "bull_high"), ("slo", "bear_low"), ("shi", "bear_high"))) + ", bf::DOUBLE AS bull_formed, sf::DOUBLE AS bear_formed",
+)
+_EDGES = [f"{kind}_{edge}" for kind in ("bull", "bear") for edge in ("low", "high")]
+
+
+@query(_GAP)
+def ind_fair_value_gap(spark, sf_dir):
+    return values(V.fair_value_gaps(T.hourly(spark, sf_dir)), KEYS, {c: c for c in (*_EDGES, "bull_formed", "bear_formed")})
+
+
+_BLOCK = looped(
+    "NULL::DOUBLE AS blo, NULL::DOUBLE AS bhi, NULL::DOUBLE AS slo, NULL::DOUBLE AS shi",
+    """SELECT symbol, ts_ms, i, CASE WHEN close >= b1 THEN b1 END, CASE WHEN close >= b1 THEN b2 END, CASE WHEN close <= s2 THEN s1 END, CASE WHEN close <= s2 THEN s2 END FROM (
+  SELECT nb.symbol, nb.ts_ms, nb.i, close, CASE WHEN f THEN dn.l ELSE blo END AS b1, CASE WHEN f THEN dn.h ELSE bhi END AS b2, CASE WHEN g THEN up.l ELSE slo END AS s1, CASE WHEN g THEN up.h ELSE shi END AS s2 FROM r JOIN ob nb ON nb.symbol = r.symbol AND nb.i = r.i + 1)""",
+    ", ".join(f"{s6(f'coalesce({c}, 0)')} AS {n}" for c, n in zip(("blo", "bhi", "slo", "shi"), _EDGES, strict=True)),
+    """, oc AS (SELECT *, last_value(CASE WHEN close < open THEN {'l': low, 'h': high} END IGNORE NULLS) OVER v AS dn, last_value(CASE WHEN close > open THEN {'l': low, 'h': high} END IGNORE NULLS) OVER v AS up FROM nb WINDOW v AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+ob AS (SELECT *, abs(close - open) >= atr * 0.5 AND close > open AND dn IS NOT NULL AS f, abs(close - open) >= atr * 0.5 AND close < open AND up IS NOT NULL AS g FROM oc)""",
+)
+
+
+@query(_BLOCK)
+def ind_order_block(spark, sf_dir):
+    return values(V.order_blocks(T.hourly(spark, sf_dir), k=0.5), KEYS, {c: c for c in _EDGES})
+
+
+_ZONES = looped(
+    "NULL::DOUBLE AS slo, NULL::DOUBLE AS shi, NULL::DOUBLE AS dlo, NULL::DOUBLE AS dhi",
+    """SELECT symbol, ts_ms, i, CASE WHEN still OR close <= s2 THEN s1 END, CASE WHEN still OR close <= s2 THEN s2 END, CASE WHEN still OR close >= d1 THEN d1 END, CASE WHEN still OR close >= d1 THEN d2 END FROM (
+  SELECT nb.symbol, nb.ts_ms, nb.i, close, still, CASE WHEN t THEN high - atr * 0.5 ELSE slo END AS s1, CASE WHEN t THEN high ELSE shi END AS s2, CASE WHEN b THEN low ELSE dlo END AS d1, CASE WHEN b THEN low + atr * 0.5 ELSE dhi END AS d2 FROM r JOIN sw nb ON nb.symbol = r.symbol AND nb.i = r.i + 1)""",
+    ", ".join(f"{s6(f'coalesce({c}, 0)')} AS {n}" for c, n in (("slo", "supply_low"), ("shi", "supply_high"), ("dlo", "demand_low"), ("dhi", "demand_high"))),
+    """, sw AS (SELECT *, i < 5 OR i >= n - 5 AS still, i >= 5 AND i < n - 5 AND high > max(high) OVER p AND high > max(high) OVER f AS t, i >= 5 AND i < n - 5 AND low < min(low) OVER p AND low < min(low) OVER f AS b
+FROM nb WINDOW p AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY symbol ORDER BY ts_ms ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING))""",
+)
+
+
+@query(_ZONES)
+def ind_supply_demand(spark, sf_dir):
+    return values(V.supply_demand(T.hourly(spark, sf_dir)), KEYS, {f"{k}_{e}": f"{k}_{e}" for k in ("supply", "demand") for e in ("low", "high")})
+
+
+@query(
+    f"""WITH {BARS}, {_LOOP}, s AS (SELECT a.symbol, a.i, a.high, a.low, bool_and(b.high < a.high) AS top, bool_and(b.low > a.low) AS bottom FROM nb a JOIN nb b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 2 AND a.i + 2 AND b.i <> a.i GROUP BY ALL),
+x AS (SELECT n.symbol, n.ts_ms, n.close, list(s.high ORDER BY s.i DESC) FILTER (top) AS hs, list(s.low ORDER BY s.i DESC) FILTER (bottom) AS ls FROM nb n LEFT JOIN s ON s.symbol = n.symbol AND s.i BETWEEN n.i - 100 AND n.i - 2 GROUP BY ALL)
+SELECT symbol, ts_ms, {s6("coalesce(hs[1], 0)")} AS swing_high, {s6("coalesce(ls[1], 0)")} AS swing_low, CASE WHEN hs[1] > 0 AND close > hs[1] THEN 1.0::DOUBLE WHEN ls[1] > 0 AND close < ls[1] THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS broke,
+CASE WHEN hs[1] > hs[2] AND ls[1] > ls[2] THEN 1.0::DOUBLE WHEN hs[1] < hs[2] AND ls[1] < ls[2] THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS trend FROM x"""
+)
+def ind_market_structure(spark, sf_dir):
+    return values(V.market_structure(T.hourly(spark, sf_dir)), KEYS, {c: c for c in ("swing_high", "swing_low", "broke", "trend")})
+
+
+_CHANGE = looped(
+    "0 AS change, 0 AS structure",
+    """SELECT symbol, ts_ms, i, CASE WHEN d AND s1 >= 0 THEN -1 WHEN u AND s0 <= 0 THEN 1 ELSE 0 END, CASE WHEN d THEN -1 ELSE s1 END FROM (
+  SELECT symbol, ts_ms, i, u, d, s0, CASE WHEN u THEN 1 ELSE s0 END AS s1 FROM (
+    SELECT b.symbol, b.ts_ms, b.i, structure AS s0, coalesce(b.i >= 5 AND sh > 0 AND close > sh AND pc <= sh, false) AS u, coalesce(b.i >= 5 AND sl > 0 AND close < sl AND pc >= sl, false) AS d FROM r JOIN lb b ON b.symbol = r.symbol AND b.i = r.i + 1))""",
+    "change::DOUBLE AS change, structure::DOUBLE AS structure",
+    f", {_last_swing_sql(5)}, lb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) - 1 AS i FROM lv)",
+)
+
+
+@query(_CHANGE)
+def ind_change_of_character(spark, sf_dir):
+    return values(V.change_of_character(T.hourly(spark, sf_dir)), KEYS, {"change": "change", "structure": "structure"})
+
+
 # -- rules
 
 _FAST, _SLOW = (when_full(f"avg(close) OVER {over(n)}", n) for n in (8, 24))
@@ -616,23 +716,36 @@ def deal_pairing(spark, sf_dir):
     return values(M.pair_deals(T.deals(spark, sf_dir)), ["position_id", "side", "entry_ms", "exit_ms"], {"entry_price": "entry_price", "exit_price": "exit_price", "net_profit": "net_profit"})
 
 
-_DESC = "ds AS (SELECT run_id, count(*) * 1000 / 40000 AS f, avg(bars_held) AS h, (count(*) FILTER (side = 'long') - count(*) FILTER (side = 'short')) / count(*) AS k, count(*) FILTER (net_profit > 0) * 100 / count(*) AS w FROM trades GROUP BY 1)"
+_DESC = "ds AS (SELECT run_id, count(*) * 1000 / 40000 AS f, avg(bars_held) AS h, (count(*) FILTER (side = 'long') - count(*) FILTER (side = 'short')) / count(*) AS k, count(*) FILTER (net_profit > 0) * 100 / count(*) AS w, (SELECT max((peak - balance) / peak * 100) FROM pk WHERE pk.run_id = trades.run_id) AS dd FROM trades GROUP BY 1)"
 
 
-@query(f"WITH {TRADES}, {_DESC} SELECT run_id, {s6('f')} AS trades_per_1000, {s6('h')} AS mean_hold, {s6('k')} AS skew, {s6('w')} AS win_rate, CASE WHEN f < 5 THEN 0 WHEN f < 20 THEN 1 ELSE 2 END AS frequency, CASE WHEN h < 4 THEN 0 WHEN h < 24 THEN 1 ELSE 2 END AS holding, CASE WHEN w < 35 THEN 0 WHEN w < 55 THEN 1 ELSE 2 END AS wins_bucket, CASE WHEN k < -0.25 THEN 0 WHEN k <= 0.25 THEN 1 ELSE 2 END AS bias FROM ds")
+@query(f"WITH {TRADES}, {_RUN}, {_DESC} SELECT run_id, CASE WHEN dd < 5 THEN 0 WHEN dd < 15 THEN 1 ELSE 2 END AS risk, {s6('f')} AS trades_per_1000, {s6('h')} AS mean_hold, {s6('k')} AS skew, {s6('w')} AS win_rate, CASE WHEN f < 5 THEN 0 WHEN f < 20 THEN 1 ELSE 2 END AS frequency, CASE WHEN h < 4 THEN 0 WHEN h < 24 THEN 1 ELSE 2 END AS holding, CASE WHEN w < 35 THEN 0 WHEN w < 55 THEN 1 ELSE 2 END AS wins_bucket, CASE WHEN k < -0.25 THEN 0 WHEN k <= 0.25 THEN 1 ELSE 2 END AS bias FROM ds")
 def descriptor_niche(spark, sf_dir):
-    d = M.niche(M.descriptor(T.trades(spark, sf_dir), ["run_id"], 40_000), "win_rate")
-    return values(d, ["run_id", "frequency", "holding", "wins_bucket", "bias"], {c: c for c in ("trades_per_1000", "mean_hold", "skew", "win_rate")})
+    t = T.trades(spark, sf_dir)
+    described = M.descriptor(t, ["run_id"], 40_000).join(M.trade_metrics(t, ["run_id"]).select("run_id", "max_drawdown_percent"), "run_id")
+    d = M.niche(described, "max_drawdown_percent")
+    return values(d, ["run_id", "frequency", "holding", "risk", "wins_bucket", "bias"], {c: c for c in ("trades_per_1000", "mean_hold", "skew", "win_rate")})
 
 
-@query("SELECT c_custkey AS id, " + s6("least(greatest(100 * ln(greatest(1 + c_acctbal / 10000, 1e-9)), -100), 100) + 5 * ln(greatest(least(coalesce(CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 / 2 END, 10), 10), 1e-9)) + 0.02 * least(c_custkey % 300, 100) - 0.5 * (c_nationkey % 20) - 0.05 * (c_custkey % 30)") + " AS evidence FROM customer")
+@query(
+    "WITH c AS (SELECT c_custkey AS id, c_acctbal / 100 AS ret, CASE WHEN c_custkey % 5 < 4 THEN c_custkey % 5 / 2 END AS pf, c_acctbal AS net, c_custkey % 300 AS n, c_nationkey % 20 AS dd, c_custkey % 30 AS nodes FROM customer), e AS (SELECT *, CASE WHEN pf IS NOT NULL THEN pf WHEN net > 0 THEN 10 ELSE 0 END AS f FROM c) SELECT id, "
+    + s6("greatest(-100, least(100, ln(1 + greatest(ret, -99) / 100) * 100)) + CASE WHEN f > 0 THEN ln(least(f, 10)) * 5 ELSE -10 END + least(n, 100) * 0.02 - dd * 0.5 - nodes * 0.05")
+    + " AS evidence FROM e"
+)
 def evidence_score(spark, sf_dir):
     c = T.load(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    score = M.evidence_score(F.col("c_acctbal") / 100, F.when(k % 5 > 0, k % 5 / 2), k % 300, F.col("c_nationkey") % 20, k % 30)
+    score = M.evidence_score(F.col("c_acctbal") / 100, F.when(k % 5 < 4, k % 5 / 2), F.col("c_acctbal"), k % 300, F.col("c_nationkey") % 20, k % 30)
     return c.select(k.alias("id"), settle(score).alias("evidence"))
 
 
+@query("SELECT c_custkey AS id, " + s6("CASE WHEN c_custkey % 4 > 0 THEN c_acctbal / (c_custkey % 4) WHEN c_acctbal > 0 THEN 1e6 ELSE c_acctbal END") + " AS recovery FROM customer")
+def recovery_factor(spark, sf_dir):
+    """Infinity is shown as a million."""
+    made = M.recovery_factor(F.col("c_acctbal").cast("double"), (F.col("c_custkey") % 4).cast("double"))
+    return T.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), settle(F.least(made, F.lit(1e6))).alias("recovery"))
+
+
 @query("WITH e AS (SELECT (c_custkey % 3)::INT AS a, (c_nationkey % 2)::INT AS b FROM customer), x AS (SELECT a::INT AS a, b::INT AS b FROM range(3) p(a), range(3) q(b)) SELECT a, b, (SELECT count(*) FROM e WHERE e.a = x.a AND e.b = x.b) AS elites FROM x")
 def coverage_cells(spark, sf_dir):
     c = T.load(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).cast("int").alias("a"), (F.col("c_nationkey") % 2).cast("int").alias("b"))
@@ -669,21 +782,30 @@ def lucky_sharpe(spark, sf_dir):
     return T.load(spark, sf_dir, "customer").select(n.alias("n"), settle(S.expected_lucky_sharpe(n)).alias("lucky"), S.selection_bias(n).alias("bias"))
 
 
-_DRAW = """tr2 AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY trade_no) - 1 AS idx, net_profit AS profit FROM trades WHERE trade_no % 20 = 0), c AS (SELECT run_id, count(*) AS n FROM tr2 GROUP BY 1),
-p AS (SELECT run_id, n, trial, unnest(range(0, n)) AS pos FROM (SELECT run_id, n, unnest(range(0, 20)) AS trial FROM c)),
-d AS (SELECT *, ((((42 + trial * 7919 + (pos // 5) * 104729) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 AS r FROM p),
-j AS (SELECT d.run_id, trial, pos, profit FROM d JOIN tr2 t ON t.run_id = d.run_id AND t.idx = (pos % 5 + (r // 65536) % n) % n)"""
+#: Draws of 250 trials of circular blocks of 5, a tenth of the trades left out; balances from 10,000.
+_DRAW = """tr2 AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY trade_no) - 1 AS idx, net_profit AS profit FROM trades), c AS (SELECT run_id, count(*) AS n FROM tr2 GROUP BY 1),
+p AS (SELECT run_id, n, trial, unnest(range(0, n)) AS pos FROM (SELECT run_id, n, unnest(range(0, 250)) AS trial FROM c)),
+d AS (SELECT *, ((((42 + trial * 7919 + (pos // 5) * 104729) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 AS r, (((((42 + trial * 15485863 + pos * 32452843) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 // 65536 < 3277 AS gone FROM p),
+j AS (SELECT d.run_id, trial, pos, CASE WHEN gone THEN 0 ELSE profit END AS profit FROM d JOIN tr2 t ON t.run_id = d.run_id AND t.idx = (pos % 5 + (r // 65536) % n) % n),
+s AS (SELECT *, 10000 + sum(profit) OVER (PARTITION BY run_id, trial ORDER BY pos ROWS UNBOUNDED PRECEDING) AS b FROM j), h AS (SELECT *, greatest(10000, max(b) OVER (PARTITION BY run_id, trial ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS top FROM s),
+k AS (SELECT run_id, trial, sum(profit) AS net, max((top - b) / top * 100) AS dd FROM h GROUP BY 1, 2)"""
 
 
-@query(
-    f"WITH {TRADES}, {_DRAW}, s AS (SELECT *, sum(profit) OVER (PARTITION BY run_id, trial ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM j), k AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY run_id, trial ORDER BY pos ROWS UNBOUNDED PRECEDING)) - run AS dd FROM s) SELECT run_id, trial::INT AS trial, floor(sum(profit) * 100 + 0.5) / 100 AS net, floor(max(dd) * 100 + 0.5) / 100 AS max_drawdown FROM k GROUP BY 1, 2"
-)
+@query(f"WITH {TRADES}, {_DRAW} SELECT run_id, trial::INT AS trial, floor(net * 100 + 0.5) / 100 AS net, {s6('dd')} AS max_drawdown_percent FROM k")
 def block_bootstrap(spark, sf_dir):
-    from pyspark.sql import Window
+    b = S.block_bootstrap(T.indexed_trades(spark, sf_dir), ["run_id"], skip=0.1)
+    return b.select("run_id", "trial", settle(F.col("net"), 100.0).alias("net"), settle(F.col("max_drawdown_percent")).alias("max_drawdown_percent"))
 
-    t = T.trades(spark, sf_dir).select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("trade_no")) - 1).cast("long").alias("idx"), F.col("net_profit").alias("profit"))
-    b = S.block_bootstrap(t, ["run_id"])
-    return b.select("run_id", "trial", settle(F.col("net"), 100.0).alias("net"), settle(F.col("max_drawdown"), 100.0).alias("max_drawdown"))
+
+@query(
+    f"""WITH {TRADES}, {_DRAW}, o1 AS (SELECT *, 10000 + sum(profit) OVER (PARTITION BY run_id ORDER BY idx) AS b FROM tr2), o2 AS (SELECT *, greatest(10000, max(b) OVER (PARTITION BY run_id ORDER BY idx)) AS top FROM o1), o AS (SELECT run_id, sum(profit) AS net, max((top - b) / top * 100) AS dd FROM o2 GROUP BY 1),
+l AS (SELECT run_id, list_sort(list(net)) AS v, list_sort(list(dd)) AS d FROM k GROUP BY 1), f AS (SELECT run_id, v[13] AS p05, v[126] AS p50, v[200] AS p80, d[238] AS p95, d[250] AS worst, 1.75 * o.dd AS ceiling, o.net FROM l JOIN o USING (run_id))
+SELECT run_id, floor(p05 * 100 + 0.5) / 100 AS p05, floor(p50 * 100 + 0.5) / 100 AS p50, floor(p80 * 100 + 0.5) / 100 AS p80, {s6("p95")} AS p95_drawdown, {s6("worst")} AS worst_drawdown, {s6("ceiling")} AS drawdown_limit, p05 >= 0 AND p95 <= ceiling AND net > 0 AND p80 >= 0.6 * net AS passed FROM f"""
+)
+def resampling_report(spark, sf_dir):
+    t = T.indexed_trades(spark, sf_dir)
+    r = S.resampling_report(S.block_bootstrap(t, ["run_id"], skip=0.1), ["run_id"], S.profit_path(t, ["run_id"]))
+    return r.select("run_id", *[settle(F.col(c), 100.0).alias(c) for c in ("p05", "p50", "p80")], *[settle(F.col(c)).alias(c) for c in ("p95_drawdown", "worst_drawdown", "drawdown_limit")], "passed")
 
 
 @query(f"WITH {TRADES}, l AS (SELECT run_id, list_sort(list(net_profit)) AS v FROM trades GROUP BY 1) SELECT run_id, v[floor(0.05 * (len(v) - 1) + 0.5)::INT + 1] AS p05, v[floor(0.5 * (len(v) - 1) + 0.5)::INT + 1] AS p50, v[floor(0.95 * (len(v) - 1) + 0.5)::INT + 1] AS p95 FROM l")
@@ -749,14 +871,20 @@ def replay_scout(spark, sf_dir):
 @query()
 def replay_judge(spark, sf_dir):
     """The same decisions, with each hour's minute bars walked through."""
-    fine = B.ticks_to_bars(T.ticks(spark, sf_dir))
-    minute = F.struct(F.col("ts_ms").alias("ts_ms"), "open", "high", "low", "close", F.lit(0.0).alias("spread"))
+    fine = B.ticks_to_bars(T.ticks(spark, sf_dir), spread=F.col("event_id") % 4)
+    minute = F.struct(F.col("ts_ms").alias("ts_ms"), "open", "high", "low", "close", (F.col("spread_points") * 0.01).alias("spread"))
     hours = fine.groupBy("symbol", B.bucket(F.col("ts_ms"), B.HOUR).alias("hour_ms")).agg(F.collect_list(minute).alias("minutes"))  # 60 a bar at most
     decided = _decisions(spark, sf_dir).withColumn("symbol", F.substring_index("run_id", "|", 1))
-    joined = decided.join(hours, (F.col("ts_ms") == F.col("hour_ms")) & (decided.symbol == hours.symbol)).drop("symbol", "hour_ms")
+    joined = decided.join(hours, (F.col("ts_ms") == F.col("hour_ms")) & (decided.symbol == hours.symbol), "left").drop("symbol", "hour_ms")
     return Y.replay(joined, _REPLAY, finer=True)
 
 
+@query()
+def replay_equity(spark, sf_dir):
+    """Balance and marked equity of the decisions' replay after each bar."""
+    return Y.replay_equity(_decisions(spark, sf_dir), _REPLAY)
+
+
 @query()
 def cost_shock_grid(spark, sf_dir):
     """Trades and net profit of each run under three spreads."""

@@ -20,10 +20,26 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly(spark: SparkSession, sf_dir: str, interval: int = HOUR) -> DataFrame:
     """Bars of the events; the spread of a bar is that of its first event, the event's number modulo 4."""
+    return ticks_to_bars(ticks(spark, sf_dir), interval, F.col("event_id") % 4)
+
+
+def indexed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, idx, profit): trades numbered from 0 in each run."""
+    from pyspark.sql import Window
+
+    idx = F.row_number().over(Window.partitionBy("run_id").orderBy("trade_no")) - 1
+    return trades(spark, sf_dir).select("run_id", idx.cast("long").alias("idx"), F.col("net_profit").alias("profit"))
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the events were read: rows, rows that repeat a time of their symbol, and whether times rise with the event's number."""
+    from pyspark.sql import Window
+
     t = ticks(spark, sf_dir)
-    bars = ticks_to_bars(t, interval)
-    spread = t.groupBy("symbol", bucket(F.col("ts_ms"), interval).alias("ts_ms")).agg(F.min_by(F.col("event_id") % 4, "seq").cast("int").alias("spread"))
-    return bars.join(spread, ["symbol", "ts_ms"]).withColumn("spread_points", F.col("spread")).drop("spread")
+    before = F.lag("ts_ms").over(Window.partitionBy("symbol").orderBy("event_id"))
+    return t.withColumn("late", F.col("ts_ms") < before).groupBy("symbol").agg(
+        F.count("*").alias("source_rows"), (F.count("*") - F.count_distinct("ts_ms")).alias("duplicates"), (F.count_if("late") == 0).alias("was_sorted")
+    )
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
