@@ -850,9 +850,9 @@ def indicator_diff(spark, sf_dir):
 _REPLAY = Y.Settings(balance=10_000.0, risk=100.0, digits=4, warmup=30, time_stop=24, break_even_r=1.0, volume_max=1000.0)
 
 
-def _decisions(spark, sf_dir) -> DataFrame:
+def _decisions(spark, sf_dir, series: DataFrame | None = None) -> DataFrame:
     """Signals of four generated rules a symbol, with distances from the mean true range."""
-    bars = T.hourly(spark, sf_dir).withColumn("true_range", I.true_range())
+    bars = (T.hourly(spark, sf_dir) if series is None else series).withColumn("true_range", I.true_range())
     bars = bars.withColumns({"atr": I.full(F.avg("true_range").over(I.frame(14, 1)), 15), "local_time": clock.utc(F.col("ts_ms"))})
     rules = {f"r{k}": G.generate(k, 2) for k in range(4)}
     decided = G.signals(bars, rules)
@@ -899,13 +899,6 @@ def parity_alignment(spark, sf_dir):
     return J.align_trades(replay_scout(spark, sf_dir).select(columns), replay_judge(spark, sf_dir).select(columns))
 
 
-@query()
-def permutation_null(spark, sf_dir):
-    """Last close of five synthetic series a symbol."""
-    made = Z.stationary_bars(T.hourly(spark, sf_dir), 5, 24, 7)
-    return made.groupBy("symbol", "trial").agg(settle(F.max_by("close", "ts_ms")).alias("last_close"), F.count("*").alias("bars"))
-
-
 @query("SELECT l_returnflag AS reason, count(*) AS count FROM lineitem GROUP BY 1")
 def rejection_funnel(spark, sf_dir):
     return Z.funnel(T.load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("reason")), "reason")
@@ -917,8 +910,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import research  # noqa: F401 - adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import research  # noqa: F401
+
     return dict(_sql)

@@ -126,15 +126,19 @@ def test_block_bootstrap_query_draws_from_all_trades(spark):
     sf_dir, profits = "/root/testdata/sf0.001", {}
     for r in sorted(T.trades(spark, sf_dir).select("run_id", "trade_no", "net_profit").collect()):
         profits.setdefault(r["run_id"], []).append(r["net_profit"])
-    got = {(r["run_id"], r["trial"]): (r["net"], r["max_drawdown"]) for r in registry.queries()["block_bootstrap"](spark, sf_dir).collect()}
+    got = {(r["run_id"], r["trial"]): (r["net"], r["max_drawdown_percent"]) for r in registry.queries()["block_bootstrap"](spark, sf_dir).collect()}
     assert set(got) == {(run, trial) for run in profits for trial in range(250)}
+
+    def drawn(state):
+        for _ in range(2):
+            state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
+        return state // 65_536
+
     for (run, trial), (net, worst) in got.items():
-        p, total, top, down = profits[run], 0.0, 0.0, 0.0
+        p, balance, top, down = profits[run], 10_000.0, 10_000.0, 0.0
         for pos in range(len(p)):
-            state = 42 + trial * 7919 + pos // 5 * 104_729
-            for _ in range(2):
-                state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
-            total += p[(pos % 5 + state // 65_536 % len(p)) % len(p)]
-            top = max(top, total)
-            down = max(down, top - total)
-        assert abs(net - total) < 0.011 and abs(worst - down) < 0.011
+            if drawn((42 + trial * 15_485_863 + pos * 32_452_843) % 2_147_483_648) >= 3277:  # a tenth of 32768
+                balance += p[(pos % 5 + drawn(42 + trial * 7919 + pos // 5 * 104_729) % len(p)) % len(p)]
+            top = max(top, balance)
+            down = max(down, (top - balance) / top * 100)
+        assert abs(net - (balance - 10_000)) < 0.011 and abs(worst - down) < 1e-5
