@@ -100,6 +100,28 @@ def free_name(columns: list[str], wanted: str) -> str:
     return wanted
 
 
+def range_of(col, bounds: list[int], base: int = 0):
+    """How many of the ascending bounds are at most the value, by halving."""
+    if not bounds:
+        return F.lit(base)
+    half = len(bounds) // 2
+    return F.when(col < bounds[half], range_of(col, bounds[:half], base)).otherwise(range_of(col, bounds[half + 1 :], base + half + 1))
+
+
+def range_bounds(ids: DataFrame, parts: int, each: int = 64) -> list[int]:
+    """Bounds that part a column of longs into about equal ranges; the same for the same ids, in whatever order they come.
+
+    Some ``each`` ids a range, chosen by their hash, reach the driver.
+    """
+    if parts < 2:
+        return []
+    (name,) = ids.columns
+    n = ids.count()
+    share = max(1, n // (each * parts))
+    seen = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64(name), F.lit(share)) == 0).groupBy(name).count().orderBy(F.xxhash64(name)).limit(4 * each * parts).select(name).collect())
+    return sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else []
+
+
 def ascii_lower(col):
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

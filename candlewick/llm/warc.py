@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and its reader.
 
 Records are sorted by ranges of their id into shards. A shard's task writes one gzip member a record, rolls to a new
-file once the compressed size is reached, under a temporary name of its attempt, and renames whole files. The manifest
+file once the compressed size is reached, under a temporary name of its attempt, and renames whole files; a file that an
+earlier attempt put in place with the same bytes stays. Bounds of shards depend on the ids alone. The manifest
 of all files is written last, by Spark's own committer; readers take only files that it lists. Names, headers and
 digests depend on the records alone, so a task that runs twice writes the same bytes.
 """
@@ -21,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_batches, range_bounds, range_of
+
 _SPACE = uuid.UUID("6f0a8d3c-52f5-4c63-9d2a-6b0c7a0e7c11")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -99,7 +102,9 @@ def write_warc(
     marks = revisits(rows, least_bytes).select("page_id", nothing.cast("string").alias("url"), nothing.cast("binary").alias("payload"), "sha1", "refers_to", F.lit(0).alias("kind"))
     both = rows.select("page_id", "url", "payload", "sha1", nothing.cast("long").alias("refers_to"), F.lit(1).alias("kind")).unionAll(marks)
     shards = shards or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "url", "sha1")
+    lowest = F.coalesce("page_id", F.lit(-(1 << 63)).cast("long"))
+    bounds = range_bounds(rows.select(lowest.alias("id")), min(shards, 4096))
+    ordered = both.repartitionById(len(bounds) + 1, range_of(lowest, bounds).cast("int")).sortWithinPartitions("page_id", "kind", "url", "sha1")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _fs(path)
@@ -120,14 +125,23 @@ def write_warc(
             state["sha"].update(member)
             state["bytes"] += len(member)
 
+        def same(target: str, size: int, digest: bytes) -> bool:
+            if fs.get_file_info(target).size != size:
+                return False
+            with fs.open_input_stream(target, compression=None) as f:
+                found = hashlib.sha256()
+                while part := f.read(1 << 20):
+                    found.update(part)
+                return found.digest() == digest
+
         def closed():
             state["out"].close()
-            target = f"{root}/{state['name']}"
-            from pyarrow.fs import FileType
-
-            if fs.get_file_info(target).type != FileType.NotFound:  # the same bytes, by an earlier attempt
-                fs.delete_file(target)
-            fs.move(f"{temporary}/{state['name']}", target)
+            made, target = f"{temporary}/{state['name']}", f"{root}/{state['name']}"
+            # what an earlier attempt finished stays in its place
+            if same(target, state["bytes"], state["sha"].digest()):
+                fs.delete_file(made)
+            else:
+                fs.move(made, target)
             done.append((shard, len(done), state["name"], state["records"], state["bytes"], state["sha"].hexdigest(), state["first"], state["last"]))
             state.clear()
 
