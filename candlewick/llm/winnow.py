@@ -5,47 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE_WORD, ascii_lower, bind
-
-#: Low bits of a selected value that hold its position, counted down so that the rightmost of equal hashes is least.
-_PLACE_BITS = 30
-_PLACES = (1 << _PLACE_BITS) - 1
+from .common import ASCII_SPACE_WORD, ascii_lower, bind, range_bounds, range_of
 
 
 def winnowed(text: Column, k: int = 3, w: int = 16) -> Column:
-    """array<long>: the winnowed k-grams of a text in order of position, hash in the high 34 bits and position below.
+    """array<struct<hash, back>>: the winnowed k-grams of a text in order of position, which is -back.
 
-    Words are runs of anything but ASCII white space, A-Z in lower case; each run of k words is hashed (fewer words:
-    all of them; none: no fingerprint), and of each window of w hashes the least is kept, the rightmost of equals.
-    Texts that share k + w - 1 consecutive words share a kept hash; nothing shorter than k words is ever matched.
-    A Spark string has less than 2**30 words, so positions are exact.
+    Words are runs of anything but ASCII white space, A-Z in lower case; each run of k words is hashed to 64 bits, word
+    upon word (fewer words: all of them; none: no fingerprint), and of each window of w hashes the least is kept, the
+    rightmost of equals. Texts that share k + w - 1 consecutive words share a kept hash; nothing shorter than k words is
+    ever matched.
     """
     words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ASCII_SPACE_WORD), F.lit(0))
     return bind(bind(words, lambda x: _grams(x, k)), lambda x: _minima(x, w))
 
 
 def _grams(words: Column, k: int) -> Column:
-    def marked(x, i):
-        hashed = F.xxhash64(x, *[F.get(words, i + j) for j in range(1, k)])
-        return F.shiftleft(F.shiftright(hashed, _PLACE_BITS), _PLACE_BITS).bitwiseOR(F.lit(_PLACES) - i.cast("long"))
-
+    """Structs whose order is that of the hashes, and among equals the rightmost first."""
+    marked = lambda x, i: F.struct(F.xxhash64(x, *[F.get(words, i + j) for j in range(1, k)]).alias("hash"), (-i).alias("back"))
     return F.slice(F.transform(words, marked), F.lit(1), F.when(F.size(words) == 0, 0).otherwise(F.greatest(F.size(words) - (k - 1), F.lit(1))))
 
 
 def _minima(grams: Column, w: int) -> Column:
-    """Distinct window minima, in order of position."""
+    """Window minima in order of position; windows that keep the same gram follow each other, so each is kept once."""
     last = F.greatest(F.size(grams) - w, F.lit(0))
-    return F.when(F.size(grams) == 0, grams).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice(grams, i + 1, w)))))
+    kept = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice(grams, i + 1, w)))
+    once = bind(kept, lambda x: F.filter(x, lambda g, i: (i == 0) | (g["back"] != F.get(x, i - 1)["back"])))
+    return F.when(F.size(grams) == 0, grams).otherwise(once)
 
 
 def hashes(selected: Column) -> Column:
     """The distinct hashes of a fingerprint."""
-    return F.array_distinct(F.transform(selected, lambda x: F.shiftright(x, _PLACE_BITS)))
+    return F.array_distinct(F.transform(selected, lambda x: x["hash"]))
 
 
 def positions(selected: Column) -> Column:
     """array<struct<hash, position>> of a fingerprint."""
-    return F.transform(selected, lambda x: F.struct(F.shiftright(x, _PLACE_BITS).alias("hash"), (F.lit(_PLACES) - x.bitwiseAND(F.lit(_PLACES))).alias("position")))
+    return F.transform(selected, lambda x: F.struct(x["hash"].alias("hash"), (-x["back"]).alias("position")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -62,23 +58,7 @@ def fingerprints(docs: DataFrame, k: int = 3, w: int = 16, id_col: str = "doc_id
 
 def digest(selected: Column) -> Column:
     """A fingerprint's hashes and positions as 32 hex digits: equal for equal texts."""
-    return F.md5(F.array_join(F.transform(selected, lambda x: x.cast("string")), ","))
-
-
-def _ranges(order: DataFrame, parts: int) -> list[int]:
-    """Bounds that part the ids into about equal ranges; ``parts`` of them at most reach the driver."""
-    if parts < 2:
-        return []
-    found = order.agg(F.percentile_approx("_order", [i / parts for i in range(1, parts)], 10 * parts).alias("b")).first()["b"]
-    return sorted(set(found or []))
-
-
-def _bucket(col: Column, bounds: list[int], base: int = 0) -> Column:
-    """How many bounds are at most the value, by halving."""
-    if not bounds:
-        return F.lit(base)
-    half = len(bounds) // 2
-    return F.when(col < bounds[half], _bucket(col, bounds[:half], base)).otherwise(_bucket(col, bounds[half + 1 :], base + half + 1))
+    return F.md5(F.array_join(F.transform(selected, lambda x: F.concat_ws(":", x["hash"].cast("string"), x["back"].cast("string"))), ","))
 
 
 def with_next(docs: DataFrame, carried: list[str], parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,23 +68,23 @@ def with_next(docs: DataFrame, carried: list[str], parts: int | None = None, id_
     first row of each range is also sent to the range before it. Null ids come first; rows that share an id are in
     order of their texts (null first). At most ``parts`` bounds and first ids are collected.
     """
-    lowest = -(1 << 63)
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.withColumn("_order", F.coalesce(F.col(id_col).cast("long"), F.lit(lowest).cast("long")))
-    bounds = _ranges(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest).cast("long")).alias("_order")), min(parts, 4096))
-    at = _bucket(F.col("_order"), bounds)
-    firsts = sorted((r["b"], r["o"]) for r in docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest).cast("long")).alias("_order")).groupBy(at.alias("b")).agg(F.min("_order").alias("o")).collect())
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    bounds = range_bounds(docs.select(order.alias("id")), min(parts, 4096))
+    firsts = sorted((r["b"], r["o"]) for r in docs.groupBy(range_of(order, bounds).alias("b")).agg(F.min(order).alias("o")).collect())
     if not firsts:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in carried]).limit(0)
+    # every column goes in one struct, so that no name can clash
+    whole = docs.select(F.struct("*").alias("row"), order.alias("at"), range_of(order, bounds).alias("home"))
     before = {o: firsts[i - 1][0] for i, (_, o) in enumerate(firsts)}
-    firsts_only = F.create_map(*[x for o, b in before.items() for x in (F.lit(o).cast("long"), F.struct(F.lit(b).alias("b"), F.lit(o == firsts[0][1]).alias("wraps")))])
-    guest = F.element_at(firsts_only, F.col("_order"))
-    home = F.struct(at.alias("b"), F.lit(False).alias("wraps"), F.lit(False).alias("guest"))
-    sent = named.withColumn("_to", F.explode(F.when(guest.isNull(), F.array(home)).otherwise(F.array(home, F.struct(guest["b"].alias("b"), guest["wraps"].alias("wraps"), F.lit(True).alias("guest"))))))
-    line = Window.partitionBy("_bucket").orderBy("_wraps", "_order", "_guest", text_col)
-    spread = sent.select("*", F.col("_to.b").alias("_bucket"), F.col("_to.wraps").alias("_wraps"), F.col("_to.guest").alias("_guest"))
-    led = spread.select("*", *[F.lead(c).over(line).alias(f"next_{c}") for c in carried])
-    return led.where("not _guest").select(*docs.columns, *[f"next_{c}" for c in carried])
+    places = F.create_map(*[x for o, b in before.items() for x in (F.lit(o).cast("long"), F.struct(F.lit(b).alias("b"), F.lit(o == firsts[0][1]).alias("wraps")))])
+    guest = F.element_at(places, F.col("at"))
+    home = F.struct(F.col("home").alias("b"), F.lit(False).alias("wraps"), F.lit(False).alias("guest"))
+    also = F.struct(guest["b"].alias("b"), guest["wraps"].alias("wraps"), F.lit(True).alias("guest"))
+    sent = whole.select("row", "at", F.explode(F.when(guest.isNull(), F.array(home)).otherwise(F.array(home, also))).alias("to")).select("row", "at", "to.*")
+    line = Window.partitionBy("b").orderBy("wraps", "at", "guest", F.col(f"row.{text_col}"))
+    led = sent.select("row", "guest", *[F.lead(F.col(f"row.{c}")).over(line).alias(f"n{i}") for i, c in enumerate(carried)])
+    return led.where("not guest").select("row.*", *[F.col(f"n{i}").alias(f"next_{c}") for i, c in enumerate(carried)])
 
 
 def edited(docs: DataFrame, k: int = 3, w: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +92,7 @@ def edited(docs: DataFrame, k: int = 3, w: int = 16, id_col: str = "doc_id", tex
 
     The edited text has its last floor(n / 2) of n code points replaced by the first as many (or all) of the next
     document's, in order of the id; the first document follows the last one. Columns: doc_id, n_chars, edited_sha256,
-    fingerprint and edited_fingerprint (array<long>, see winnowed()), near_edited and near_next. Null texts are
+    fingerprint and edited_fingerprint (arrays, see winnowed()), near_edited and near_next. Null texts are
     empty; see with_next() for null and repeated ids. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
