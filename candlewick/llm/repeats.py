@@ -8,7 +8,10 @@ first pass with one row for a block of some 30 suffixes; equal blocks settle all
 of unlike blocks with a common anchor reach the third pass. Equal groups after it are exactly the repeated windows, and
 in each all but the first are removed. Digits are compared by 64-bit hashes, the later ones within equal earlier ones.
 
-A pass is one shuffle by its digit; nothing is collected, and no group is held in memory as a whole.
+A pass is one shuffle by its digit; no group is held in memory as a whole. Anchors that a sample shows to be very common
+(a line that many texts hold) are dealt out over SALTS parts: the first of equal digits is found in each part, then among
+the parts' firsts, and all their suffixes go on to the third pass. The sample decides the way only, never the result;
+its list is all that reaches the driver, ANCHORS at most.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ ANCHOR = 40
 _AT_ONCE = 1 << 18
 _MARK_BITS, _COUNT_BITS = 18, 7
 _LOWEST = -(1 << 63)
+#: Very common anchors: one text in SAMPLE is looked at, for anchors of OFTEN blocks of those or more, ANCHORS at most.
+SAMPLE, OFTEN, ANCHORS = 32, 24, 20_000
+SALTS = 64
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -137,10 +143,10 @@ def _first_digits(length: int):
             for data, rows, inner, outer in _buffers(_text_bytes(batch.column(2)), length):
                 start, count, offset, anchor, block = _blocks(data, np.append(inner[1:], len(data)), length)
                 part = np.searchsorted(inner, start, side="right") - 1
-                place = (start - inner[part] + outer[part]) << 32 | offset << (32 - _COUNT_BITS) | count << _MARK_BITS | marks[rows[part]]
+                place = (start - inner[part] + outer[part]) << 32 | offset << (32 - _COUNT_BITS) | count << _MARK_BITS
                 # unlike offsets or counts are unlike blocks
                 block = block ^ ((offset << 7 | count) * 0x27D4EB2F165667C5 & 0x7FFFFFFFFFFFFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(block), pa.array(ids[rows[part]]), pa.array(place)], names=["anchor", "block", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(block), pa.array(ids[rows[part]]), pa.array(marks[rows[part]]), pa.array(place)], names=["anchor", "block", "id", "mark", "place"])
 
     return run
 
@@ -166,37 +172,73 @@ def _last_digits(length: int):
                         tool = _tool(_AT_ONCE + 2 * 1024)
                         sums = tool.sums(whole[lo : lo + _AT_ONCE + length])
                         hashed[own] = tool.stretch(sums, at[own] - lo, at[own] - lo + length).view(np.int64)
-                spot = at << 32 | 1 << _MARK_BITS | marks[row]
+                spot = at << 32 | 1 << _MARK_BITS
                 for lo in range(0, len(at), 200_000):
                     hi = lo + 200_000
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, count)[lo:hi]), pa.array(hashed[lo:hi]), pa.array(np.full(len(at[lo:hi]), ids[row])), pa.array(spot[lo:hi])], names=["anchor", "window", "id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, count)[lo:hi]), pa.array(hashed[lo:hi]), pa.array(np.full(len(at[lo:hi]), ids[row])), pa.array(np.full(len(at[lo:hi]), marks[row])), pa.array(spot[lo:hi])], names=["anchor", "window", "id", "mark", "place"])
 
     return run
 
 
+def common_anchors(rows: DataFrame, length: int) -> DataFrame:
+    """(anchor): anchors that a sample of the texts shows to be very common."""
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    seen = in_batches(sample, _first_digits(length), _FIRST).groupBy("anchor").count().where(F.col("count") >= OFTEN)
+    top = seen.orderBy(F.desc("count"), "anchor").limit(ANCHORS).select("anchor").collect()
+    return rows.sparkSession.createDataFrame([tuple(r) for r in top], "anchor long")
+
+
+_FIRST = "anchor long, block long, id long, mark long, place long"
+_LAST = "anchor long, window long, id long, mark long, place long"
+
+
+def _spot():
+    return F.struct(F.col("id").alias("i"), F.shiftright("place", 32).alias("s"))
+
+
+def _dealt(rows: DataFrame, common: DataFrame) -> DataFrame:
+    """rows with ``crowded`` and ``salt``: the part of a common anchor, 0 for the others."""
+    told = rows.join(F.broadcast(common.withColumn("crowded", F.lit(True))), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    return told.withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
+
+
+def _later(rows: DataFrame, digit: str) -> DataFrame:
+    """rows with ``later``: whether an equal digit under the same anchor starts earlier (smaller id, or same id and earlier start) in the same part."""
+    return rows.withColumn("later", _spot() > F.min(_spot()).over(Window.partitionBy("anchor", "salt", digit)))
+
+
+def _settled(found: DataFrame, digit: str) -> DataFrame:
+    """The same over all parts, of which the firsts only meet."""
+    firsts = found.where("crowded and not later")
+    met = firsts.withColumn("later", _spot() > F.min(_spot()).over(Window.partitionBy("anchor", digit)))
+    return found.where("later or not crowded").unionAll(met.select(*found.columns))
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, spans array<long>): for texts with something to remove, places of repeated blocks and windows (start << 32 | ... | count << 18 | mark)."""
+    """(id, mark, spans array<long>): for texts with something to remove, places of repeated blocks and windows (start << 32 | ... | count << 18)."""
     if not ANCHOR < length <= ANCHOR + (1 << _COUNT_BITS) - 2:
         raise ValueError(f"length must be from {ANCHOR + 1} to {ANCHOR + (1 << _COUNT_BITS) - 2}")
     rows = _keyed(docs, id_col, text_col)
-    first = in_batches(rows, _first_digits(length), "anchor long, block long, id long, place long")
-    same = Window.partitionBy("anchor", "block").orderBy("id", F.shiftright("place", 32))
-    group = Window.partitionBy("anchor")
-    ranked = first.select("*", F.rank().over(same).alias("nth"), (F.min("block").over(group) != F.max("block").over(group)).alias("open"))
-    open_groups = scratch.cut(ranked.where("nth > 1 or open").select("anchor", "id", "place", (F.col("nth") > 1).alias("repeat")))
-    mark = F.col("place").bitwiseAND((1 << _MARK_BITS) - 1)
-    asked = open_groups.where("not repeat").groupBy("id", mark.alias("mark")).agg(F.collect_list(F.struct("place", "anchor")).alias("blocks"))
-    windows = in_batches(rows.join(asked, ["id", "mark"]).select("id", "mark", "text", "blocks"), _last_digits(length), "anchor long, window long, id long, place long")
-    alike = Window.partitionBy("anchor", "window").orderBy("id", F.shiftright("place", 32))
-    again = windows.select("id", "place", F.rank().over(alike).alias("nth")).where("nth > 1").select("id", "place")
-    lost = open_groups.where("repeat").select("id", "place").unionAll(again)
-    return lost.groupBy("id", mark.alias("mark")).agg(F.collect_list("place").alias("spans"))
+    common = scratch.cut(common_anchors(rows, length))
+    first = _dealt(in_batches(rows, _first_digits(length), _FIRST), common)
+    group = Window.partitionBy("anchor", "salt")
+    ranked = _later(first.withColumn("open", F.col("crowded") | (F.min("block").over(group) != F.max("block").over(group))), "block")
+    kept = ranked.where("later or open").select("anchor", "id", "mark", "place", "later", "crowded", F.when(F.col("crowded"), F.col("block")).alias("block"))
+    open_groups = scratch.cut(_settled(scratch.cut(kept), "block").select("anchor", "id", "mark", "place", "later"))
+    asked = open_groups.where("not later").groupBy("id", "mark").agg(F.collect_list(F.struct("place", "anchor")).alias("blocks"))
+    windows = in_batches(rows.join(asked, ["id", "mark"]).select("id", "mark", "text", "blocks"), _last_digits(length), _LAST)
+    ranked = _later(_dealt(windows, common), "window").where("later or crowded")
+    again = _settled(scratch.cut(ranked.select("anchor", "id", "mark", "place", "later", "crowded", F.when(F.col("crowded"), F.col("window")).alias("window"))), "window").where("later")
+    lost = open_groups.where("later").select("id", "mark", "place").unionAll(again.select("id", "mark", "place"))
+    return lost.groupBy("id", "mark").agg(F.collect_list("place").alias("spans"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (null: the lowest long), mark (18 bits of the text's checksum, to tell apart texts under one id), text."""
+    """id (null: the lowest long), mark (0, or the text's hash where ids repeat, to tell apart texts under one id), text."""
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST).cast("long"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST).cast("long")).alias("id"), F.crc32(text.cast("binary")).bitwiseAND((1 << _MARK_BITS) - 1).alias("mark"), text.alias("text"))
+    once = docs.select(ident.alias("id")).groupBy("id").count().where("count > 1").isEmpty()
+    return docs.select(ident.alias("id"), (F.lit(0).cast("long") if once else F.xxhash64(text)).alias("mark"), text.alias("text"))
 
 
 def _merged(places: np.ndarray, length: int) -> list[tuple[int, int]]:
