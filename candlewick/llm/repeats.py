@@ -224,11 +224,13 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col:
     group = Window.partitionBy("anchor", "salt")
     ranked = _later(first.withColumn("open", F.col("crowded") | (F.min("block").over(group) != F.max("block").over(group))), "block")
     kept = ranked.where("later or open").select("anchor", "id", "mark", "place", "later", "crowded", F.when(F.col("crowded"), F.col("block")).alias("block"))
-    open_groups = scratch.cut(_settled(scratch.cut(kept), "block").select("anchor", "id", "mark", "place", "later"))
+    kept = scratch.cut(kept)
+    open_groups = scratch.cut(_settled(kept, "block").select("anchor", "id", "mark", "place", "later"))
+    scratch.drop(kept)
     asked = open_groups.where("not later").groupBy("id", "mark").agg(F.collect_list(F.struct("place", "anchor")).alias("blocks"))
     windows = in_batches(rows.join(asked, ["id", "mark"]).select("id", "mark", "text", "blocks"), _last_digits(length), _LAST)
-    ranked = _later(_dealt(windows, common), "window").where("later or crowded")
-    again = _settled(scratch.cut(ranked.select("anchor", "id", "mark", "place", "later", "crowded", F.when(F.col("crowded"), F.col("window")).alias("window"))), "window").where("later")
+    # not written in between, so that texts and windows are shuffled once for all that reads them
+    again = _settled(_later(_dealt(windows, common), "window"), "window").where("later")
     lost = open_groups.where("later").select("id", "mark", "place").unionAll(again.select("id", "mark", "place"))
     return lost.groupBy("id", "mark").agg(F.collect_list("place").alias("spans"))
 
