@@ -96,7 +96,11 @@ def edited(docs: DataFrame, k: int = 3, w: int = 16, id_col: str = "doc_id", tex
     empty; see with_next() for null and repeated ids. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    made = with_next(rows.withColumn("fingerprint", winnowed(F.col("text"), k, w)), ["text", "fingerprint"])
+    # hashes and places travel as two plain arrays: structs would take three times the room
+    apart = F.struct(F.transform("f", lambda x: x["hash"]).alias("hash"), F.transform("f", lambda x: x["back"]).alias("back"))
+    made = with_next(rows.withColumn("f", winnowed(F.col("text"), k, w)).withColumn("f", apart).select("doc_id", "text", "f.*"), ["text", "hash"])
+    together = F.zip_with("hash", "back", lambda h, b: F.struct(h.alias("hash"), b.alias("back")))
+    made = made.withColumn("fingerprint", together).withColumn("next_fingerprint", F.transform("next_hash", lambda h: F.struct(h.alias("hash"))))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     changed = made.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
