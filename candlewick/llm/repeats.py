@@ -196,22 +196,28 @@ def _spot():
     return F.struct(F.col("id").alias("i"), F.shiftright("place", 32).alias("s"))
 
 
+def _salt():
+    """The part of a common anchor, from 1; 0 for the others. It lies in the low bits of place, so that rows stay narrow."""
+    return F.col("place").bitwiseAND(F.lit((1 << _MARK_BITS) - 1))
+
+
 def _dealt(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """rows with ``crowded`` and ``salt``: the part of a common anchor, 0 for the others."""
-    told = rows.join(F.broadcast(common.withColumn("crowded", F.lit(True))), "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-    return told.withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(F.lit(0)))
+    """rows with the part of a common anchor in their place."""
+    told = rows.join(F.broadcast(common.withColumn("crowded", F.lit(True))), "anchor", "left")
+    part = F.when(F.col("crowded"), F.pmod(F.xxhash64("id"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
+    return told.withColumn("place", F.col("place").bitwiseOR(part)).drop("crowded")
 
 
 def _later(rows: DataFrame, digit: str) -> DataFrame:
     """rows with ``later``: whether an equal digit under the same anchor starts earlier (smaller id, or same id and earlier start) in the same part."""
-    return rows.withColumn("later", _spot() > F.min(_spot()).over(Window.partitionBy("anchor", "salt", digit)))
+    return rows.withColumn("later", _spot() > F.min(_spot()).over(Window.partitionBy("anchor", _salt(), digit)))
 
 
 def _settled(found: DataFrame, digit: str) -> DataFrame:
     """The same over all parts, of which the firsts only meet."""
-    firsts = found.where("crowded and not later")
+    firsts = found.where((_salt() > 0) & ~F.col("later"))
     met = firsts.withColumn("later", _spot() > F.min(_spot()).over(Window.partitionBy("anchor", digit)))
-    return found.where("later or not crowded").unionAll(met.select(*found.columns))
+    return found.where(F.col("later") | (_salt() == 0)).unionAll(met.select(*found.columns))
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,16 +227,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col:
     rows = _keyed(docs, id_col, text_col)
     common = scratch.cut(common_anchors(rows, length))
     first = _dealt(in_batches(rows, _first_digits(length), _FIRST), common)
-    group = Window.partitionBy("anchor", "salt")
-    ranked = _later(first.withColumn("open", F.col("crowded") | (F.min("block").over(group) != F.max("block").over(group))), "block")
-    kept = ranked.where("later or open").select("anchor", "id", "mark", "place", "later", "crowded", F.when(F.col("crowded"), F.col("block")).alias("block"))
+    group, crowded = Window.partitionBy("anchor", _salt()), _salt() > 0
+    ranked = _later(first.withColumn("open", crowded | (F.min("block").over(group) != F.max("block").over(group))), "block")
+    kept = ranked.where("later or open").select("anchor", "id", "mark", "place", "later", F.when(crowded, F.col("block")).alias("block"))
     kept = scratch.cut(kept)
     open_groups = scratch.cut(_settled(kept, "block").select("anchor", "id", "mark", "place", "later"))
     scratch.drop(kept)
     asked = open_groups.where("not later").groupBy("id", "mark").agg(F.collect_list(F.struct("place", "anchor")).alias("blocks"))
     windows = in_batches(rows.join(asked, ["id", "mark"]).select("id", "mark", "text", "blocks"), _last_digits(length), _LAST)
-    # not written in between, so that texts and windows are shuffled once for all that reads them
-    again = _settled(_later(_dealt(windows, common), "window"), "window").where("later")
+    ranked = _later(_dealt(windows, common), "window").where(F.col("later") | crowded)
+    again = _settled(scratch.cut(ranked.select("anchor", "id", "mark", "place", "later", F.when(crowded, F.col("window")).alias("window"))), "window").where("later")
     lost = open_groups.where("later").select("id", "mark", "place").unionAll(again.select("id", "mark", "place"))
     return lost.groupBy("id", "mark").agg(F.collect_list("place").alias("spans"))
 
