@@ -197,20 +197,20 @@ def _spot():
 
 
 def _salt():
-    """The part of a common anchor, from 1; 0 for the others. It lies in the low bits of place, so that rows stay narrow."""
+    """The part of a common anchor, from 1; 0 for the others. It also lies in the low bits of place, for tables."""
     return F.col("place").bitwiseAND(F.lit((1 << _MARK_BITS) - 1))
 
 
 def _dealt(rows: DataFrame, common: DataFrame) -> DataFrame:
-    """rows with the part of a common anchor in their place."""
+    """rows with the part of a common anchor as ``salt``, and in their place."""
     told = rows.join(F.broadcast(common.withColumn("crowded", F.lit(True))), "anchor", "left")
     part = F.when(F.col("crowded"), F.pmod(F.xxhash64("id"), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("long"))
-    return told.withColumn("place", F.col("place").bitwiseOR(part)).drop("crowded")
+    return told.withColumn("salt", part).withColumn("place", F.col("place").bitwiseOR(F.col("salt"))).drop("crowded")
 
 
 def _later(rows: DataFrame, digit: str) -> DataFrame:
     """rows with ``later``: whether an equal digit under the same anchor starts earlier (smaller id, or same id and earlier start) in the same part."""
-    return rows.withColumn("later", _spot() > F.min(_spot()).over(Window.partitionBy("anchor", _salt(), digit)))
+    return rows.withColumn("later", _spot() > F.min(_spot()).over(Window.partitionBy("anchor", "salt", digit)))
 
 
 def _settled(found: DataFrame, digit: str) -> DataFrame:
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col:
     rows = _keyed(docs, id_col, text_col)
     common = scratch.cut(common_anchors(rows, length))
     first = _dealt(in_batches(rows, _first_digits(length), _FIRST), common)
-    group, crowded = Window.partitionBy("anchor", _salt()), _salt() > 0
+    group, crowded = Window.partitionBy("anchor", "salt"), _salt() > 0
     ranked = _later(first.withColumn("open", crowded | (F.min("block").over(group) != F.max("block").over(group))), "block")
     kept = ranked.where("later or open").select("anchor", "id", "mark", "place", "later", F.when(crowded, F.col("block")).alias("block"))
     kept = scratch.cut(kept)
