@@ -172,7 +172,7 @@ def _last_digits(length: int):
                         tool = _tool(_AT_ONCE + 2 * 1024)
                         sums = tool.sums(whole[lo : lo + _AT_ONCE + length])
                         hashed[own] = tool.stretch(sums, at[own] - lo, at[own] - lo + length).view(np.int64)
-                spot = at << 32 | 1 << _MARK_BITS
+                spot = at << 32 | 1 << _MARK_BITS | np.repeat(place & (1 << _MARK_BITS) - 1, count)
                 for lo in range(0, len(at), 200_000):
                     hi = lo + 200_000
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, count)[lo:hi]), pa.array(hashed[lo:hi]), pa.array(np.full(len(at[lo:hi]), ids[row])), pa.array(np.full(len(at[lo:hi]), marks[row])), pa.array(spot[lo:hi])], names=["anchor", "window", "id", "mark", "place"])
@@ -235,7 +235,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col:
     scratch.drop(kept)
     asked = open_groups.where("not later").groupBy("id", "mark").agg(F.collect_list(F.struct("place", "anchor")).alias("blocks"))
     windows = in_batches(rows.join(asked, ["id", "mark"]).select("id", "mark", "text", "blocks"), _last_digits(length), _LAST)
-    ranked = _later(_dealt(windows, common), "window").where(F.col("later") | crowded)
+    # dealt by anchor, so that a block's windows stay beside each other and compress well
+    dealt = windows.withColumn("salt", _salt()).repartition("anchor", "salt")
+    ranked = _later(dealt, "window").where(F.col("later") | crowded)
     again = _settled(scratch.cut(ranked.select("anchor", "id", "mark", "place", "later", F.when(crowded, F.col("window")).alias("window"))), "window").where("later")
     lost = open_groups.where("later").select("id", "mark", "place").unionAll(again.select("id", "mark", "place"))
     return lost.groupBy("id", "mark").agg(F.collect_list("place").alias("spans"))
