@@ -24,6 +24,8 @@ from .components import connected_components
 #: Fixed value: the generator polynomial of the binary Golay code of length 23.
 GOLAY_GENERATOR = 0xAE3
 _LENGTH, _CHECK = 23, 11
+#: Fingerprints of more than one document in SHARE are at most SHARE; their components are broadcast (0.5 MB).
+SHARE = 20_000
 #: Words of a text that are hashed at a time.
 _WORDS_AT_ONCE = 250_000
 
@@ -172,13 +174,18 @@ def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 3, id_col: str
     id names it (null if there is none). An empty table gives no rows; other columns are not read.
     """
     found = scratch.cut(simhash(docs, shingle, id_col, text_col))
-    prints = scratch.cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    total = found.count()
+    counted = found.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    prints = scratch.cut(counted.select("fingerprint", "least", (F.col("n") * SHARE > total).alias("hot")))
     reached = connected_components(links(prints.select("fingerprint"), scratch), scratch)
     grouped = prints.join(reached, prints.fingerprint == reached.node).select("fingerprint", "root", "least")
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))
     by_print = grouped.join(named, "root").select("fingerprint", "component")
-    names = prints.join(by_print, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component_id"))
-    return found.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    names = scratch.cut(prints.join(by_print, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component_id"), "hot"))
+    hot = F.broadcast(names.where("hot").drop("hot"))
+    rest = found.join(hot, "fingerprint", "left_anti").join(names.where("not hot").drop("hot"), "fingerprint")
+    columns = ["doc_id", "fingerprint", "component_id"]
+    return found.join(hot, "fingerprint").select(columns).unionAll(rest.select(columns))
 
 
 def hex_print(col):
