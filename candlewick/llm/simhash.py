@@ -166,7 +166,7 @@ def links(prints: DataFrame, scratch: Scratch, most: int = 64) -> DataFrame:
     return near.unionAll(stars)
 
 
-def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """(doc_id, fingerprint long, component_id): one row per document; the component's smallest doc_id.
 
     Documents link if their fingerprints differ in at most two bits; copies share a fingerprint and are one node
@@ -176,7 +176,7 @@ def near_groups(docs: DataFrame, scratch: Scratch, shingle: int = 3, id_col: str
     found = scratch.cut(simhash(docs, shingle, id_col, text_col))
     total = found.count()
     counted = found.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    prints = scratch.cut(counted.select("fingerprint", "least", (F.col("n") * SHARE > total).alias("hot")))
+    prints = scratch.cut(counted.select("fingerprint", "least", (F.col("n") * share > total).alias("hot")))
     reached = connected_components(links(prints.select("fingerprint"), scratch), scratch)
     grouped = prints.join(reached, prints.fingerprint == reached.node).select("fingerprint", "root", "least")
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))

@@ -130,9 +130,11 @@ def components_brute(prints):
     return {p: root(p) for p in prints}
 
 
-def test_simhash_groups(spark, docs):
+@pytest.mark.parametrize("share", [1, 100, simhash.SHARE])
+def test_simhash_groups(spark, docs, share):
+    """None, some and all fingerprints are frequent enough to be broadcast."""
     rows = docs + ODD
-    out = simhash.near_groups(table(spark, rows), Scratch(spark, "t")).collect()
+    out = simhash.near_groups(table(spark, rows), Scratch(spark, "t"), share=share).collect()
     assert len(out) == len(rows)
     mine = Counter((i, simhash_brute(t)) for i, t, _ in rows)
     assert Counter((r["doc_id"], r["fingerprint"] & (1 << 64) - 1) for r in out) == mine
