@@ -1,14 +1,14 @@
 """Near copies by SimHash links and an exact set-similarity join, for filtering a corpus.
 
-Texts link if their fingerprints do (Golay keys, see simhash.py), or if their sets of five-word shingles have a Jaccard
-similarity of the threshold t or more. For the latter all shingles have one order: those that a sample shows to be
-common last, the others by their hash. Of two alike texts each holds ceil(t m) of its m shingles in common with
+Texts link if their sets of five-word shingles have a Jaccard similarity of the threshold t or more. Candidates are the
+pairs whose fingerprints link (Golay keys, see simhash.py), and what a prefix-filtered join finds beyond them; both are
+verified. For the join all shingles have one order: those that a sample shows to be common last, the others by their hash. Of two alike texts each holds ceil(t m) of its m shingles in common with
 the other, so they share one of their first m - ceil(t m) + 1 (prefix filter), and from the first they share there are
 enough left (positional filter). Sizes and parity bits of the sets drop most pairs before a set is moved; what passes
 is counted exactly. The sample sets the order only: any order loses nothing.
 
-The texts of a shingle are not paired out at once. They are first held against one of them, a hub, and groups that form
-are one from there on; then every text outside of a key's largest group meets all texts of other groups. Pairs inside a
+The texts of a shingle are not paired out at once. They are first held against one of them, a hub, and the groups that
+these pairs and the fingerprints' form are one from there on; then every text outside of a key's largest group meets all texts of other groups. Pairs inside a
 group are the only ones left out, and they change no group.
 """
 
@@ -174,10 +174,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float = 0.8) -> DataF
     return both.withColumn("s", shared).where(F.col("s") >= threshold * (F.size("a") + F.size("b") - F.col("s"))).select("u", "v")
 
 
-def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(node, root) of all nodes that links (u, v) in ``known``, or shingle sets alike to ``threshold``, connect to others.
+def alike_groups(proposed: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(node, root) of all nodes that shingle sets alike to ``threshold`` connect to others.
 
-    The nodes of a key meet its hubs first, one a turn, then whatever is of another group; see above.
+    The pairs (u, v) of ``proposed`` are verified with those of the first turn. The nodes of a key meet its hubs first,
+    one a turn, then whatever is of another group; see above.
     """
     entries = filed(nodes, scratch)
     reached = None
@@ -193,7 +194,8 @@ def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: S
             chosen = outside.groupBy("key").agg(F.max_by(F.struct(F.col("x").alias("y"), F.col("s").alias("t"), F.col("p").alias("q"), F.col("root").alias("_root")), F.struct("score", -F.col("x"))).alias("hub")).select("key", "hub.*")
         else:
             chosen = placed.select("key", F.col("x").alias("y"), F.col("s").alias("t"), F.col("p").alias("q"), F.col("root").alias("_root"))
-        met = outside.join(chosen, "key").where("root <> _root").where(_enough(threshold))
+        met = outside.join(chosen, "key").where("root <> _root").where(_enough(threshold)).select("x", "y")
+        met = met if turn else met.unionAll(proposed.select(F.col("u").alias("x"), F.col("v").alias("y")))
         close = scratch.cut(close_pairs(_pairs(met), nodes, threshold))
         if reached is not None:
             scratch.drop(placed)
@@ -201,7 +203,7 @@ def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: S
         found = scratch.cut(verified(close, sets, threshold))
         scratch.drop(sets)
         if reached is None:
-            reached = connected_components(known.unionAll(found), scratch)
+            reached = connected_components(found, scratch)
         elif not found.isEmpty():
             reached = connected_components(reached.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(found), scratch)
     return reached
@@ -210,8 +212,9 @@ def alike_groups(known: DataFrame, rows: DataFrame, nodes: DataFrame, scratch: S
 def representatives(docs: DataFrame, scratch: Scratch, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, h, c): ids, with hash and checksum of the text, of the documents that stay: the smallest id of each group.
 
-    Groups link equal texts, texts whose three-word fingerprints differ in at most two bits, and texts whose
-    shingle sets are alike to ``threshold``. Documents with a null id are no part of it.
+    Groups link equal texts and texts whose shingle sets are alike to ``threshold``; texts without a word are alike.
+    Fingerprints of three-word shingles that differ in at most two bits propose pairs, but don't link by themselves.
+    Documents with a null id are no part of it.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c"), text.alias("text"))
@@ -219,7 +222,8 @@ def representatives(docs: DataFrame, scratch: Scratch, n: int = 5, threshold: fl
     sketched = in_batches(rows, partial(_sketched, common=common, rank=rank, n=n, threshold=threshold), "doc_id long, h long, c long, fingerprint long, size int, prefix array<long>, rare int, odd array<long>")
     least = F.min_by(F.struct("fingerprint", "size", "prefix", "rare", "odd"), "doc_id").alias("first")
     nodes = scratch.cut(sketched.groupBy("h", "c").agg(F.min("doc_id").alias("node"), least).select("node", "h", "c", "first.*"))
-    prints = scratch.cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")))
+    # texts without a word have no shingle to meet by: of the fingerprint zero one of them is the first
+    prints = scratch.cut(nodes.groupBy("fingerprint").agg(F.min_by("node", F.struct("size", "node")).alias("first")))
     same = nodes.join(prints, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     name = lambda c: prints.select(F.col("fingerprint").alias(c), F.col("first").alias(f"_{c}"))
     near = links(prints.select("fingerprint"), scratch).join(name("u"), "u").join(name("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
