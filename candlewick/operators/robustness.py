@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,12 +129,3 @@ def incubation_breaks(ledger: DataFrame) -> DataFrame:
 
 def funnel(rows: DataFrame, reason: str) -> DataFrame:
     return rows.groupBy(reason).agg(F.count("*").alias("count"))
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def batches(items: list, size: int) -> Iterator[list]:
-    for lo in range(0, len(items), size):
-        yield items[lo : lo + size]
