@@ -142,3 +142,28 @@ def test_block_bootstrap_query_draws_from_all_trades(spark):
             top = max(top, balance)
             down = max(down, (top - balance) / top * 100)
         assert abs(net - (balance - 10_000)) < 0.011 and abs(worst - down) < 1e-5
+
+
+def test_block_bootstrap_of_many_trades(spark):
+    """More positions than a 64-bit product of the unreduced state bears; trials go on past the first ten of a row."""
+    n, made = 420_000, {}
+    t = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("idx"), (F.pmod(F.col("id") * 37, F.lit(101)) - 50).cast("double").alias("profit"))
+    got = {r["trial"]: r for r in S.block_bootstrap(t, ["run_id"], trials=12, skip=0.1).collect()}
+    assert set(got) == set(range(12))
+
+    def drawn(state):
+        for _ in range(2):
+            state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
+        return state // 65_536
+
+    for trial in (0, 11):
+        balance, top, down = 10_000.0, 10_000.0, 0.0
+        for pos in range(n):
+            if pos % 5 == 0:
+                start = drawn(42 + trial * 7919 + pos // 5 * 104_729) % n
+            if drawn((42 + trial * 15_485_863 + pos * 32_452_843) % 2_147_483_648) >= 3277:
+                balance += (start + pos % 5) % n * 37 % 101 - 50
+            top = max(top, balance)
+            down = max(down, (top - balance) / top * 100)
+        made[trial] = balance - 10_000, down
+        assert got[trial]["net"] == made[trial][0] and got[trial]["max_drawdown_percent"] == pytest.approx(down, abs=1e-9)
