@@ -167,3 +167,14 @@ def test_block_bootstrap_of_many_trades(spark):
             down = max(down, (top - balance) / top * 100)
         made[trial] = balance - 10_000, down
         assert got[trial]["net"] == made[trial][0] and got[trial]["max_drawdown_percent"] == pytest.approx(down, abs=1e-9)
+
+
+def test_resampling_report_of_many_trades(spark):
+    """More trades than the unreduced state bore: the quantiles are those of the trials, which a rising run passes."""
+    t = spark.range(420_000).select(F.lit("r").alias("run_id"), F.col("id").alias("idx"), (F.when(F.col("id") % 3 == 0, -1.0).otherwise(1.0)).alias("profit"))
+    trials = S.block_bootstrap(t, ["run_id"], trials=21, skip=0.1)
+    nets = sorted(r["net"] for r in trials.collect())
+    own = S.profit_path(t, ["run_id"])
+    row = S.resampling_report(trials, ["run_id"], own, drawdown_ratio=1000.0).first()
+    assert (row["p05"], row["p50"], row["p80"]) == (nets[1], nets[10], nets[16]) and row["passed"]
+    assert own.first()["net"] == 140_000.0
