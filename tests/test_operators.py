@@ -178,3 +178,22 @@ def test_resampling_report_of_many_trades(spark):
     row = S.resampling_report(trials, ["run_id"], own, drawdown_ratio=1000.0).first()
     assert (row["p05"], row["p50"], row["p80"]) == (nets[1], nets[10], nets[16]) and row["passed"]
     assert own.first()["net"] == 140_000.0
+
+
+def test_correlation_pairs_meet_across_blocks(spark, monkeypatch):
+    """Blocks of two ids: every pair once, against plain sums; over the common length, without NULLs, 0 for a flat path."""
+    import math
+
+    monkeypatch.setattr(S, "_BLOCK", 2)
+    held = {1: [1.0, 2.0, 4.0, 3.0], 2: [2.0, 1.0, 0.0, 5.0], 3: [7.0, 7.0, 7.0, 7.0], 4: [1.0, 3.0, 2.0], 5: [4.0, None, 1.0, 9.0], 6: [1e6, 1e6 + 1, 1e6 + 3, 1e6 + 2], 7: [3.0, 1.0, 2.0, 2.5]}
+    t = spark.createDataFrame([("k", i, v) for i, v in held.items()] + [("l", 9, [1.0, 2.0]), ("l", 8, [2.0, 1.0])], "cohort string, id long, signature array<double>")
+    got = {(r["cohort"], r["a"], r["b"]): r["corr"] for r in S.correlation_pairs(t, ["cohort"], "id", "signature").collect()}
+
+    def plain(x, y):
+        both = [(u, v) for u, v in zip(x, y, strict=False) if u is not None and v is not None]
+        mx, my = (sum(c) / len(both) for c in zip(*both, strict=True))
+        cov, vx, vy = sum((u - mx) * (v - my) for u, v in both), sum((u - mx) ** 2 for u, _ in both), sum((v - my) ** 2 for _, v in both)
+        return cov / math.sqrt(vx * vy) if vx * vy > 0 else 0.0
+
+    wanted = {("k", i, j): plain(held[i], held[j]) for i in held for j in held if i < j} | {("l", 8, 9): -1.0}
+    assert set(got) == set(wanted) and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in wanted.items())
