@@ -206,3 +206,15 @@ def test_equity_sharpe_counts_every_point(spark):
     r = [0.0, -1.5, -1.0]
     mean = sum(r) / 3
     assert row["returns"] == 4 and row["sharpe"] == pytest.approx(mean / (sum((x - mean) ** 2 for x in r) / 2) ** 0.5 * 2)
+
+
+def test_equity_gathers_no_error(spark, tmp_path):
+    """Ten thousand hours of a step of a tenth end at 11,000 exactly; a step without a bound still shows."""
+    from candlewick.plans import tables as T
+
+    t = spark.range(20_000).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, int(id div 2), int(id % 2), 0)").alias("ts"), F.lit("x").alias("event_type"), F.when(F.col("id") % 2 == 1, 0.3).otherwise(0.2).alias("value"))
+    t.write.parquet(f"{tmp_path}/events.parquet")
+    assert T.equity(spark, str(tmp_path)).orderBy(F.desc("ts_ms")).first()["equity"] == 11_000.0
+    t.withColumn("value", F.when(F.col("event_id") == 3, float("inf")).otherwise(F.col("value"))).write.mode("overwrite").parquet(f"{tmp_path}/odd/events.parquet")
+    got = [r["equity"] for r in T.equity(spark, f"{tmp_path}/odd").orderBy("ts_ms").limit(3).collect()]
+    assert got == [10_000.1, float("inf"), float("inf")]
