@@ -218,3 +218,8 @@ def test_equity_gathers_no_error(spark, tmp_path):
     t.withColumn("value", F.when(F.col("event_id") == 3, float("inf")).otherwise(F.col("value"))).write.mode("overwrite").parquet(f"{tmp_path}/odd/events.parquet")
     got = [r["equity"] for r in T.equity(spark, f"{tmp_path}/odd").orderBy("ts_ms").limit(3).collect()]
     assert got == [10_000.1, float("inf"), float("inf")]
+
+
+def test_negative_spreads_are_carried(spark):
+    t = spark.createDataFrame([("x", i, s) for i, s in enumerate((0, -2, 0, None, 3, 0))], "symbol string, ts_ms long, spread_points int")
+    assert [r["spread_points"] for r in B.fill_spread(t).orderBy("ts_ms").collect()] == [0, -2, -2, -2, 3, 3]
