@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 Bar = tuple  # (open, high, low, close, tick_volume)
@@ -349,4 +350,4 @@ def with_recurrences(bars: DataFrame, made: dict[str, Callable]) -> DataFrame:
                     column[row] = value if value is not None and math.isfinite(value) else None
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.float64()) for c in out)], names=[*batch.schema.names, *names])
 
-    return bars.repartition("symbol").sortWithinPartitions("symbol", "ts_ms").mapInArrow(run, schema)
+    return bars.repartition("symbol").sortWithinPartitions("symbol", F.asc_nulls_last("ts_ms")).mapInArrow(run, schema)

@@ -223,3 +223,15 @@ def test_equity_gathers_no_error(spark, tmp_path):
 def test_negative_spreads_are_carried(spark):
     t = spark.createDataFrame([("x", i, s) for i, s in enumerate((0, -2, 0, None, 3, 0))], "symbol string, ts_ms long, spread_points int")
     assert [r["spread_points"] for r in B.fill_spread(t).orderBy("ts_ms").collect()] == [0, -2, -2, -2, 3, 3]
+
+
+def test_bars_without_a_time_come_last(spark):
+    from candlewick.operators.indicators import windowed as I
+
+    rows = [("x", t, c, c, c, c, v, 0, s) for t, c, v, s in ((None, 9.0, 7, 3), (1, 1.0, 1, 0), (2, 2.0, 2, 0))]
+    t = spark.createDataFrame(rows, "symbol string, ts_ms long, open double, high double, low double, close double, tick_volume long, real_volume long, spread_points int")
+    made = X.with_recurrences(t.withColumns({"roc": I.rate_of_change("close", 1), "volume": I.average_volume(2)}), {"macd": X.macd("close", 1, 2, 1, "main"), "sma": X.ema("close", 2)})
+    got = {r["ts_ms"]: (r["roc"], r["volume"], r["sma"]) for r in B.fill_spread(made).collect()}
+    assert got == {1: (None, None, None), 2: (100.0, 1.5, 1.5), None: (350.0, 4.5, 6.5)}
+    assert {r["ts_ms"]: r["spread_points"] for r in B.fill_spread(t).collect()} == {1: 0, 2: 0, None: 3}
+    assert [r["drawdown"] for r in M.drawdown(t.withColumn("equity", -F.col("close")), ["symbol"], 0.0).where("ts_ms = 1").collect()] == [1.0]
