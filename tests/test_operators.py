@@ -235,3 +235,12 @@ def test_bars_without_a_time_come_last(spark):
     assert got == {1: (None, None, None), 2: (100.0, 1.5, 1.5), None: (350.0, 4.5, 6.5)}
     assert {r["ts_ms"]: r["spread_points"] for r in B.fill_spread(t).collect()} == {1: 0, 2: 0, None: 3}
     assert [r["drawdown"] for r in M.drawdown(t.withColumn("equity", -F.col("close")), ["symbol"], 0.0).where("ts_ms = 1").collect()] == [1.0]
+
+
+def test_settled_values_keep_size_and_nan(spark):
+    from candlewick.functions.numeric import settle
+
+    given = [1e18, -1e18, float("inf"), float("-inf"), float("nan"), 0.0000005, -0.0000005, -0.0000006, 2.4999994, -3.25, None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").orderBy("i").select(settle(F.col("x"))).collect()]
+    assert got[:4] == given[:4] and got[4] != got[4]
+    assert got[5:] == [1e-6, 0.0, -1e-6, 2.499999, -3.25, None] and str(got[6]) == "0.0"
