@@ -244,3 +244,10 @@ def test_settled_values_keep_size_and_nan(spark):
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").orderBy("i").select(settle(F.col("x"))).collect()]
     assert got[:4] == given[:4] and got[4] != got[4]
     assert got[5:] == [1e-6, 0.0, -1e-6, 2.499999, -3.25, None] and str(got[6]) == "0.0"
+
+
+def test_weighted_mean_keeps_places_of_nulls(spark):
+    from candlewick.operators.indicators import windowed as I
+
+    t = spark.createDataFrame([("x", i, c) for i, c in enumerate((6.0, None, 12.0, None, None, None))], "symbol string, ts_ms long, close double")
+    assert [r[0] for r in t.withColumn("w", I.wma("close", 3)).orderBy("ts_ms").select("w").collect()] == [None, None, 7.0, 4.0, 2.0, None]
