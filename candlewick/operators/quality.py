@@ -65,8 +65,9 @@ def report(bars: DataFrame, zone: str = "Etc/UTC", ingest: DataFrame | None = No
     else:
         told = ingest.select("symbol", "source_rows", "duplicates", "was_sorted")
         joined = joined.join(told, "symbol", "left").withColumns({"source_rows": F.coalesce("source_rows", "bars"), "duplicates": F.coalesce("duplicates", F.lit(0).cast("long")), "was_sorted": F.coalesce("was_sorted", F.lit(True))})
-    share = lambda c, of, cap: F.least(F.col(c) * 100 / F.greatest(of, F.lit(1)), F.lit(float(cap)))
+    share = lambda c, of, cap: F.least(F.col(c) / F.greatest(of, F.lit(1)) * 100, F.lit(float(cap)))
     n = F.col("bars")
     lost = share("invalid", n, 50) + share("duplicates", F.col("source_rows"), 10) + share("missing", n + F.col("missing"), 25) + share("zero_range", n, 10) + share("weekend", n, 10) + share("spikes", n, 10)
-    score = F.floor(F.least(F.greatest(F.lit(100.0) - lost - F.when(F.col("was_sorted"), 0.0).otherwise(2.0), F.lit(0.0)), F.lit(100.0)) + 0.5)
+    lost = lost + F.when(F.col("was_sorted"), 0.0).otherwise(2.0)
+    score = F.floor(F.least(F.greatest(F.lit(100.0) - lost, F.lit(0.0)), F.lit(100.0)) + 0.5)
     return joined.withColumn("score", score.cast("long")).withColumn("grade", F.when(F.col("score") >= 90, "pass").when(F.col("score") >= 70, "warn").otherwise("fail"))

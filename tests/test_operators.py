@@ -251,3 +251,16 @@ def test_weighted_mean_keeps_places_of_nulls(spark):
 
     t = spark.createDataFrame([("x", i, c) for i, c in enumerate((6.0, None, 12.0, None, None, None))], "symbol string, ts_ms long, close double")
     assert [r[0] for r in t.withColumn("w", I.wma("close", 3)).orderBy("ts_ms").select("w").collect()] == [None, None, 7.0, 4.0, 2.0, None]
+
+
+def test_report_adds_up_in_the_order_of_the_sql(spark):
+    """11 of 40 bars impossible, 14 of 200 rows doubled, unsorted: 27.500000000000004 + 7.000000000000001 + 2 lost, so 63 are left, not 64."""
+    from candlewick.operators import quality as Q
+
+    monday = 1_704_672_000_000
+    rows = [("x", monday + i * B.HOUR, 10.0, 9.0 if i < 11 else 12.0, 9.5, 10.0, 1, 0, None) for i in range(40)]
+    b = spark.createDataFrame(rows, "symbol string, ts_ms long, open double, high double, low double, close double, tick_volume long, real_volume long, spread_points int")
+    told = spark.createDataFrame([("x", 200, 14, False)], "symbol string, source_rows long, duplicates long, was_sorted boolean")
+    row = Q.report(b, ingest=told).first()
+    assert (row["invalid"], row["weekend"], row["spikes"], row["gap_events"]) == (11, 0, 0, 0)
+    assert row["score"] == round(100 - (11 / 40 * 100 + 14 / 200 * 100 + 2)) == 63
