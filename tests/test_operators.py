@@ -180,6 +180,36 @@ def test_resampling_report_of_many_trades(spark):
     assert own.first()["net"] == 140_000.0
 
 
+def test_resampling_report_of_cents(spark):
+    """Several slabs of trades in cents: the report's figures are those of whole numbers, to the last bit."""
+    n, cents = 60_000, lambda i: i * 7_919 % 2_003 - 1_000
+    t = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("idx"), ((F.col("id") * 7_919 % 2_003 - 1_000) / 100).alias("profit"))
+    row = S.resampling_report(S.block_bootstrap(t, ["run_id"], trials=3, skip=0.1), ["run_id"], S.profit_path(t, ["run_id"])).first()
+
+    def drawn(state):
+        for _ in range(2):
+            state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
+        return state // 65_536
+
+    nets, downs = [], []
+    for trial in range(3):
+        balance, top, down = 1_000_000, 1_000_000, 0.0
+        for pos in range(n):
+            if drawn(42 + trial * 15_485_863 + pos * 32_452_843) >= 3277:
+                balance += cents((drawn(42 + trial * 7919 + pos // 5 * 104_729) + pos % 5) % n)
+            top = max(top, balance)
+            down = max(down, (top - balance) / top * 100)
+        nets.append((balance - 1_000_000) / 100)
+        downs.append(down)
+    assert [row["p05"], row["p50"], row["worst_drawdown"]] == [min(nets), sorted(nets)[1], max(downs)]
+
+
+def test_block_bootstrap_wants_every_index(spark):
+    t = spark.createDataFrame([("r", i, 1.0) for i in (0, 1, 40_000)], "run_id string, idx long, profit double")
+    with pytest.raises(Exception, match="idx has to run from 0"):
+        S.block_bootstrap(t, ["run_id"], trials=1).collect()
+
+
 def test_correlation_pairs_meet_across_blocks(spark, monkeypatch):
     """Blocks of two ids: every pair once, against plain sums; over the common length, without NULLs, 0 for a flat path."""
     import math
