@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, packing, repeats, secrets, simhash, warc, winnow
+from . import decontaminate, divergence, langid, licenses, packing, repeats, secrets, simhash, warc, whitening, winnow
 from .common import Scratch, read_table
 
 
@@ -66,11 +66,19 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_chars", "edited_sha256", winnow.digest(F.col("fingerprint")).alias("fingerprint"), winnow.digest(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"), Scratch(spark, "divergence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_token_matrices, op4_harmonic_packing, op5_repeats, op6_warc, op7_decontamination, op8_simhash, op9_language, op10_winnowing)} | {"pipeline": run}
+    return {f.__name__: f for f in (op1_secrets, op2_licenses, op3_token_matrices, op4_harmonic_packing, op5_repeats, op6_warc, op7_decontamination, op8_simhash, op9_language, op10_winnowing, op11_whitening, op12_divergence)} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.sql(), "op6_warc": warc.SQL, "op7_decontamination": decontaminate.SQL.format(docs="documents", n=5, threshold=0.8)}
+    return {"op2_licenses": licenses.sql(), "op6_warc": warc.SQL, "op12_divergence": divergence.SQL, "op7_decontamination": decontaminate.SQL.format(docs="documents", n=5, threshold=0.8)}
