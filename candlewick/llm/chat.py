@@ -82,7 +82,7 @@ def spans(tokens: np.ndarray, rows: np.ndarray, first: int, system: int, budget:
     while begin < len(tokens):
         back = begin
         if begin > system:
-            back = max(int(np.searchsorted(sums, sums[begin] - history)), int(np.searchsorted(rows, rows[begin - 1] - history_turns + 1)), system)
+            back = min(max(int(np.searchsorted(sums, sums[begin] - history)), int(np.searchsorted(rows, rows[begin - 1] - history_turns + 1)), system), begin)
         room = budget - (kept if begin >= system > 0 else 0) - int(sums[begin] - sums[back])
         end = max(int(np.searchsorted(sums, sums[begin] + room, side="right")) - 1, begin + 1)
         yield back, begin, end
