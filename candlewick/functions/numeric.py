@@ -47,12 +47,3 @@ def nearest_rank(values: Column, p: float) -> Column:
     n = F.size(values)
     return F.when(n > 0, F.element_at(values, (F.floor(F.lit(p) * (n - 1) + 0.5) + 1).cast("int")))
 
-
-def block_sum(values: Column, first: Column, block: int = 16) -> Column:
-    """Sum of an array whose first element stands at place ``first``: whole blocks of places enter as one sum each, what is before and after them value by value; NULLs add nothing."""
-    add = lambda a, v: a + F.coalesce(v, F.lit(0.0))
-    before = F.pmod(-first, F.lit(block))
-    whole = F.greatest(F.floor((F.size(values) - before) / block), F.lit(0)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), whole), lambda k: F.aggregate(F.slice(values, before + k * block + 1, F.when(k < whole, block).otherwise(0)), F.lit(0.0), add))
-    terms = F.concat(F.slice(values, F.lit(1), before), blocks, F.slice(values, before + whole * block + 1, F.lit(block)))
-    return F.aggregate(terms, F.lit(0.0), add)

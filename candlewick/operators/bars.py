@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import upper_median
+from ..functions.scratch import Scratch
+from .series import BLOCK, numbered, running
 
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
 #: Named timeframes in milliseconds.
@@ -23,6 +25,11 @@ def by_time(symbol: str = "symbol") -> Window:
     return Window.partitionBy(symbol).orderBy(F.asc_nulls_last("ts_ms"))
 
 
+def in_time(rows: DataFrame, keys: list[str], *tie: str) -> DataFrame:
+    """rows with _n, their number from 0 within keys in time (NULLs last); as they are if they have it."""
+    return rows if "_n" in rows.columns else numbered(rows, keys, [F.asc_nulls_last("ts_ms"), *tie], Scratch(rows.sparkSession, "series"))
+
+
 def bucket(ts: Column, interval: int) -> Column:
     """Start of the interval that holds ts; right for times before 1970 too."""
     return ts - F.pmod(ts, F.lit(interval))
@@ -91,10 +98,11 @@ def infer_interval(bars: DataFrame) -> DataFrame:
     return deltas(bars).where("delta_ms > 0").groupBy("symbol").agg(upper_median("delta_ms").cast("long").alias("interval_ms"))
 
 
-def fill_spread(bars: DataFrame) -> DataFrame:
-    """Zero or unknown spreads take the last other one; leading ones stay as they are."""
-    seen = F.last(F.when(F.col("spread_points") != 0, F.col("spread_points")), ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    return bars.withColumn("spread_points", F.coalesce(seen, F.col("spread_points")))
+def fill_spread(bars: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Zero or unknown spreads take the last other one, also from blocks before; leading ones stay as they are."""
+    rows = in_time(bars, ["symbol"])
+    filled = running(rows, ["symbol"], {"_seen": ("last", F.when(F.col("spread_points") != 0, F.col("spread_points")))}, size)
+    return filled.withColumn("spread_points", F.coalesce("_seen", "spread_points")).drop("_n", "_seen")
 
 
 def needs_fill(bars: DataFrame) -> DataFrame:

@@ -7,10 +7,15 @@ expanding there, as noted). One partitioning and order serves all, so Spark sort
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions.numeric import block_sum, divide
+from ...functions.numeric import divide
+from ..bars import in_time
+from ..series import BLOCK, framed
+
 
 def W():
     """A symbol's bars in time; one without a time comes last."""
@@ -30,6 +35,11 @@ def full(value: Column, n: int, fill: float | None = None) -> Column:
     return F.when(F.row_number().over(W()) >= n, value).otherwise(F.lit(fill).cast("double"))
 
 
+def in_blocks(bars: DataFrame, reach: int, build: Callable[[DataFrame], DataFrame], size: int = BLOCK) -> DataFrame:
+    """build(bars) for window columns of this module that look at most ``reach`` bars back, made by blocks of a symbol's bars."""
+    return framed(in_time(bars, ["symbol"]), "symbol", reach, build, size).drop("_n")
+
+
 def shift(col: Column | str, n: int) -> Column:
     return F.lag(col, n).over(W())
 
@@ -201,19 +211,12 @@ def vwap(n: int, price: Column | None = None) -> Column:
 def cci(typical_col: str, n: int) -> Column:
     """(tp - mean) / (0.015 * mean absolute deviation); undefined where the deviation is zero.
 
-    In a window of equal prices the deviation is what rounding leaves, so the mean is added as the SQL's engine adds it:
-    rows stand in blocks of 16 from a symbol's first, and a whole block within the frame enters as one sum. This holds
-    for frames of fewer than 256 rows.
+    A deviation of at most 1e-9 of the mean is what rounding leaves of equal prices, and counts as zero.
     """
-    values = F.transform(F.collect_list(F.struct(F.col(typical_col).alias("v"))).over(frame(n)), lambda x: x["v"])
-    first = F.greatest(F.row_number().over(W()) - n, F.lit(0))
-    known = F.count(typical_col).over(frame(n))
-
-    def value(mean: Column) -> Column:
-        deviation = divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.coalesce(F.abs(v - mean), F.lit(0.0))), known)
-        return divide(F.col(typical_col) - mean, 0.015 * deviation)
-
-    return full(F.transform(F.array(divide(block_sum(values, first), known)), value)[0], n)
+    mean = F.avg(typical_col).over(frame(n))
+    values = F.collect_list(typical_col).over(frame(n))
+    deviation = divide(F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - mean)), F.count(typical_col).over(frame(n)))
+    return full(F.when(~(deviation <= 1e-9 * F.abs(mean)), (F.col(typical_col) - mean) / (0.015 * deviation)), n)
 
 
 # -- the additional pack

@@ -6,9 +6,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
+from .series import BLOCK, numbered, running
+
 
 def interval_join(decisions: DataFrame, minutes: DataFrame, interval: int) -> DataFrame:
     """Each decision bar (open time on any grid) with the finer rows in [ts, ts + interval); finer columns get the prefix m_.
@@ -66,13 +69,13 @@ def rollovers(before: Column, after: Column, listed: dict[int, float] | None = N
     return F.aggregate(days, F.lit(0.0), lambda a, d: a + swap_multiplier(F.dayofweek(d) - 1, listed, triple))
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
-    """Left rows with the latest ``value`` of the right at or before their time: union, one sort by symbol, no pairs."""
+def as_of(left: DataFrame, right: DataFrame, value: str, size: int = BLOCK) -> DataFrame:
+    """Left rows with the latest ``value`` of the right at or before their time: union, one sort by symbol and time, no pairs; by blocks."""
     both = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias(f"asof_{value}")).unionByName(
         right.select("symbol", "ts_ms", F.lit(0).alias("_side"), F.col(value).alias(f"asof_{value}")), allowMissingColumns=True
     )
-    w = Window.partitionBy("symbol").orderBy("ts_ms", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(f"asof_{value}", F.last(f"asof_{value}", ignorenulls=True).over(w)).where("_side = 1").drop("_side")
+    rows = numbered(both, ["symbol"], [F.asc("ts_ms"), F.asc("_side")], Scratch(left.sparkSession, "as-of"))
+    return running(rows, ["symbol"], {f"asof_{value}": ("last", F.col(f"asof_{value}"))}, size).where("_side = 1").drop("_side", "_n")
 
 
 def align_trades(reference: DataFrame, external: DataFrame, within_ms: int = 86_400_000) -> DataFrame:

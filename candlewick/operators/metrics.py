@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
+from .bars import in_time
+from .series import BLOCK, before, running
 
 
 def trade_metrics(trades: DataFrame, keys: list[str], initial: float = 10_000.0) -> DataFrame:
@@ -33,19 +35,19 @@ def trade_metrics(trades: DataFrame, keys: list[str], initial: float = 10_000.0)
     return out.withColumn("win_rate", F.col("wins") * 100 / F.col("trades")).withColumn("recovery_factor", recovery_factor(F.col("net_profit"), F.col("max_drawdown")))
 
 
-def drawdown(equity: DataFrame, keys: list[str], initial: float) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("ts_ms")).rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.lit(initial), F.max("equity").over(w))
-    return equity.withColumn("peak", peak).withColumn("drawdown", F.col("peak") - F.col("equity")).withColumn("drawdown_percent", divide(F.col("drawdown"), F.col("peak")) * 100)
+def drawdown(equity: DataFrame, keys: list[str], initial: float, size: int = BLOCK) -> DataFrame:
+    """Adds peak (``initial`` at least), drawdown and drawdown_percent to each point, by blocks of a key's points."""
+    peaks = running(in_time(equity, keys), keys, {"peak": ("max", F.col("equity"))}, size).drop("_n")
+    return peaks.withColumn("peak", F.greatest(F.lit(initial), "peak")).withColumn("drawdown", F.col("peak") - F.col("equity")).withColumn("drawdown_percent", divide(F.col("drawdown"), F.col("peak")) * 100)
 
 
-def equity_sharpe(equity: DataFrame, keys: list[str], initial: float) -> DataFrame:
+def equity_sharpe(equity: DataFrame, keys: list[str], initial: float, size: int = BLOCK) -> DataFrame:
     """Mean over sample deviation of simple returns, times the root of their number; NULL below two or without deviation.
 
     Each point is a return, also where equity has fallen to zero or below; one without a value counts in their number only.
     """
-    before = F.coalesce(F.lag("equity").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("ts_ms"))), F.lit(initial))
-    steps = equity.withColumn("_r", divide(F.col("equity"), before) - 1)
+    led = before(in_time(equity, keys), keys, {"_before": "equity"}, size)
+    steps = led.withColumn("_r", divide(F.col("equity"), F.coalesce("_before", F.lit(initial))) - 1)
     made = steps.groupBy(*keys).agg(F.count("*").alias("returns"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"))
     return made.select(*keys, "returns", F.when((F.col("returns") >= 2) & (F.col("_s") > 1e-12), F.col("_m") / F.col("_s") * F.sqrt("returns")).alias("sharpe"))
 

@@ -74,8 +74,10 @@ def indicators(names: dict[str, str], source: str = "bars") -> str:
     return f"WITH {BARS}, {TR} SELECT symbol, ts_ms, {cols} FROM {'tr' if source == 'bars' else source}"
 
 
-def feature(frame_columns: dict, spark, sf_dir) -> DataFrame:
-    return values(T.hourly(spark, sf_dir).withColumns(frame_columns), ["symbol", "ts_ms"], {k: k for k in frame_columns})
+def feature(frame_columns: dict, spark, sf_dir, reach: int | None = None) -> DataFrame:
+    """Columns of the hourly bars; those that look at most ``reach`` bars back are made by blocks."""
+    bars, build = T.hourly(spark, sf_dir), lambda b: b.withColumns(frame_columns)
+    return values(build(bars) if reach is None else I.in_blocks(bars, reach, build), ["symbol", "ts_ms"], {k: k for k in frame_columns})
 
 
 KEYS = ["symbol", "ts_ms"]
@@ -194,7 +196,7 @@ def dq_report(spark, sf_dir):
 
 @query(indicators({"sma": when_full(f"avg(close) OVER {over(20)}", 20)}))
 def ind_sma(spark, sf_dir):
-    return feature({"sma": I.sma("close", 20)}, spark, sf_dir)
+    return feature({"sma": I.sma("close", 20)}, spark, sf_dir, 19)
 
 
 @query(indicators({"wma": when_full(f"list_sum(list_transform(list(close) OVER {over(10)}, lambda x, i: x * i)) / 55", 10)}))
@@ -335,7 +337,7 @@ def ind_vwap(spark, sf_dir):
 
 
 @query(
-    f"WITH {BARS}, {TR}, l AS (SELECT symbol, ts_ms, tp, avg(tp) OVER {over(20)} AS m, list(tp) OVER {over(20)} AS v FROM tr), d AS (SELECT *, list_avg(list_transform(v, lambda x: abs(x - m))) AS mad FROM l) SELECT symbol, ts_ms, {s6(when_full('(tp - m) / nullif(0.015 * mad, 0)', 20))} AS cci FROM d"
+    f"WITH {BARS}, {TR}, l AS (SELECT symbol, ts_ms, tp, avg(tp) OVER {over(20)} AS m, list(tp) OVER {over(20)} AS v FROM tr), d AS (SELECT *, list_avg(list_transform(v, lambda x: abs(x - m))) AS mad FROM l) SELECT symbol, ts_ms, {s6(when_full('CASE WHEN NOT mad <= 1e-9 * abs(m) THEN (tp - m) / (0.015 * mad) END', 20))} AS cci FROM d"
 )
 def ind_cci(spark, sf_dir):
     b = T.hourly(spark, sf_dir).withColumn("tp", I.typical())
@@ -684,12 +686,12 @@ _EQUITY = "eq AS (SELECT symbol, ts_ms, 10000 + sum(close - open) OVER (PARTITIO
 
 @query(f"WITH {BARS}, {_EQUITY}, p AS (SELECT *, greatest(10000, max(equity) OVER (PARTITION BY symbol ORDER BY ts_ms ROWS UNBOUNDED PRECEDING)) AS peak FROM eq) SELECT symbol, ts_ms, {s6('peak - equity')} AS drawdown, {s6('(peak - equity) / peak * 100')} AS drawdown_percent FROM p")
 def drawdown(spark, sf_dir):
-    return values(M.drawdown(T.equity(spark, sf_dir), ["symbol"], 10_000.0), KEYS, {"drawdown": "drawdown", "drawdown_percent": "drawdown_percent"})
+    return values(M.drawdown(T.numbered_equity(spark, sf_dir), ["symbol"], 10_000.0), KEYS, {"drawdown": "drawdown", "drawdown_percent": "drawdown_percent"})
 
 
 @query(f"WITH {BARS}, {_EQUITY}, r AS (SELECT symbol, equity / coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts_ms), 10000) - 1 AS r FROM eq) SELECT symbol, count(*) AS returns, {s6('avg(r) / stddev_samp(r) * sqrt(count(*))')} AS sharpe FROM r GROUP BY 1")
 def equity_sharpe(spark, sf_dir):
-    return values(M.equity_sharpe(T.equity(spark, sf_dir), ["symbol"], 10_000.0), ["symbol", "returns"], {"sharpe": "sharpe"})
+    return values(M.equity_sharpe(T.numbered_equity(spark, sf_dir), ["symbol"], 10_000.0), ["symbol", "returns"], {"sharpe": "sharpe"})
 
 
 @query(f"WITH {TRADES} SELECT run_id, {s6('avg(net_profit) FILTER (entry_ms < 800000000000)')} AS before, {s6('avg(net_profit) FILTER (entry_ms >= 800000000000)')} AS since, count(*) FILTER (entry_ms < 800000000000) AS n_before, count(*) FILTER (entry_ms >= 800000000000) AS n_since FROM trades GROUP BY 1")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..operators.bars import DAY, HOUR, bucket, resample, ticks_to_bars
+from ..functions.scratch import Scratch
+from ..operators.bars import DAY, HOUR, bucket, in_time, resample, ticks_to_bars
+from ..operators.series import running
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,17 +91,21 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One point a symbol and hour: ten thousand and the running sum of close minus open.
+    """One point a symbol and hour: ten thousand and the running sum of close minus open, by blocks of hours.
 
-    Steps below 1e12 are summed as decimals of 12 places, so that a long series gathers no binary error.
+    Steps are summed as decimals of 12 places, so that a long series gathers no binary error; one that no such decimal can
+    hold (infinite, not a number, or beyond 1e25) is added as a double.
     """
-    from pyspark.sql import Window
+    return numbered_equity(spark, sf_dir).drop("_n")
+
 
-    w = Window.partitionBy("symbol").orderBy(F.asc_nulls_last("ts_ms")).rowsBetween(Window.unboundedPreceding, 0)
-    step = F.col("close") - F.col("open")
-    small = F.abs(step) < 1e12
-    exact, rest = F.sum(F.when(small, step).cast("decimal(28,12)")).over(w).cast("double"), F.sum(F.when(~small, step)).over(w)
-    return hourly(spark, sf_dir).select("symbol", "ts_ms", (10_000 + F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)).alias("equity"))
+def numbered_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """equity() with _n, the point's number in its symbol; written once, since running values read it twice."""
+    step = (F.col("close") - F.col("open")).try_cast("decimal(37,12)")
+    rows = in_time(hourly(spark, sf_dir), ["symbol"])
+    summed = running(rows, ["symbol"], {"_sum": ("sum", step), "_rest": ("sum", F.when(step.isNull(), F.col("close") - F.col("open")))})
+    whole = F.coalesce(F.col("_sum").cast("double") + F.col("_rest"), F.col("_sum").cast("double"), F.col("_rest"))
+    return Scratch(spark, "equity").cut(summed.select("symbol", "ts_ms", "_n", (10_000 + whole).alias("equity")))
 
 
 def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
