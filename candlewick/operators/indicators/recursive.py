@@ -1,4 +1,4 @@
-"""Indicators with a recurrence: state machines that read each symbol's bars in order.
+"""Indicators with a recurrence that is not linear: state machines that read each symbol's bars in order. Linear ones are scans.
 
 Spark shuffles bars by symbol and sorts them; a task then streams through its rows batch by batch and carries each
 machine's state from one batch to the next. Memory is one batch and the state, however long a series is, and any
@@ -8,7 +8,6 @@ number of indicators share one pass.
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .scans import Scan, atr_sqx, directional, ema, heiken_ashi, kama, macd, power, rsi, stochastic_smoothed, with_scans  # noqa: F401
+
 Bar = tuple  # (open, high, low, close, tick_volume)
 FIELDS = ("open", "high", "low", "close", "tick_volume")
 OPEN, HIGH, LOW, CLOSE, VOLUME = range(5)
@@ -52,32 +53,23 @@ class Mean:
         return self.value
 
 
-def ema(src: str, n: int):
-    def make():
-        mean, of = Mean(n), field(src)
-        return lambda b: mean.push(of(b))
-
-    return make
-
-
-def rsi(src: str, n: int, dialect: str = "mt5"):
-    """Wilder's RSI: 50 if nothing moved, 100 without losses; before it is defined NULL (mt5) or 0 (sqx)."""
+def _rsi(src: str, n: int):
+    """Wilder's RSI bar by bar, for what follows it: 50 if nothing moved, 100 without losses; NULL before it is defined."""
 
     def make():
         of, last, gain, loss, count = field(src), None, 0.0, 0.0, 0
-        empty = 0.0 if dialect == "sqx" else None
 
         def step(b):
             nonlocal last, gain, loss, count
             x, before = of(b), last
             last = x
             if before is None:
-                return empty
+                return None
             up, down = max(x - before, 0.0), max(before - x, 0.0)
             count += 1
             if count < n:
                 gain, loss = gain + up, loss + down
-                return empty
+                return None
             if count == n:
                 gain, loss = (gain + up) / n, (loss + down) / n
             else:
@@ -91,100 +83,11 @@ def rsi(src: str, n: int, dialect: str = "mt5"):
     return make
 
 
-def _true_range(b: Bar, before: float | None) -> float:
-    return b[HIGH] - b[LOW] if before is None else max(b[HIGH] - b[LOW], abs(b[HIGH] - before), abs(b[LOW] - before))
-
-
-def atr_sqx(n: int):
-    """Expanding mean of true range, then Wilder's smoothing."""
-
-    def make():
-        value, i, before = 0.0, 0, None
-
-        def step(b):
-            nonlocal value, i, before
-            tr, before = _true_range(b, before), b[CLOSE]
-            w = min(i + 1, n)
-            value, i = ((w - 1) * value + tr) / w, i + 1
-            return value
-
-        return step
-
-    return make
-
-
-def directional(n: int, part: str, dialect: str = "mt5"):
-    """ADX, +DI or -DI (part: adx, plus or minus). mt5: seeds over bars 1 to n, ADX from 2n - 1; sqx: expanding sums, 50 when both are 0."""
-
-    def make():
-        last, i = None, -1
-        tr_sum = plus_sum = minus_sum = 0.0
-        dx_sum, dx_count, adx = 0.0, 0, None
-
-        def step(b):
-            nonlocal last, i, tr_sum, plus_sum, minus_sum, dx_sum, dx_count, adx
-            i, before, last = i + 1, last, b
-            if before is None:
-                if dialect == "sqx":
-                    tr_sum, adx = b[HIGH] - b[LOW], 0.0
-                    return 0.0
-                return None
-            up, down = b[HIGH] - before[HIGH], before[LOW] - b[LOW]
-            tr = _true_range(b, before[CLOSE])
-            plus = up if up > down and up > 0 else 0.0
-            minus = down if down > up and down > 0 else 0.0
-            if (i < n) if dialect == "sqx" else (i <= n):
-                tr_sum, plus_sum, minus_sum = tr_sum + tr, plus_sum + plus, minus_sum + minus
-            else:
-                tr_sum, plus_sum, minus_sum = tr_sum - tr_sum / n + tr, plus_sum - plus_sum / n + plus, minus_sum - minus_sum / n + minus
-            pdi, mdi = (100 * s / tr_sum if tr_sum else 0.0 for s in (plus_sum, minus_sum))
-            if dialect == "sqx":
-                both = pdi + mdi
-                adx = 50.0 if both == 0 else ((n - 1) * adx + 100 * abs(pdi - mdi) / both) / n
-                return {"adx": adx, "plus": pdi, "minus": mdi}[part]
-            if i < n:
-                return None
-            if part != "adx":
-                return pdi if part == "plus" else mdi
-            dx = 100 * abs(pdi - mdi) / (pdi + mdi) if pdi + mdi else 0.0
-            dx_count += 1
-            if dx_count <= n:
-                dx_sum += dx
-                adx = dx_sum / n if dx_count == n else None
-            else:
-                adx = (adx * (n - 1) + dx) / n
-            return adx
-
-        return step
-
-    return make
-
-
-def macd(src: str, fast: int, slow: int, signal: int, part: str):
-    """part: main, signal or histogram."""
-
-    def make():
-        of, a, b_, g = field(src), Mean(fast), Mean(slow), Mean(signal)
-
-        def step(b):
-            x = of(b)
-            p, q = a.push(x), b_.push(x)
-            main = None if p is None or q is None else p - q
-            line = g.push(main)
-            if part == "main":
-                return main
-            return line if part == "signal" else None if line is None else main - line
-
-        return step
-
-    return make
-
-
 def qqe(r: int, s: int, tenths: int | None = None):
     """The smoothed RSI or, with a factor in tenths, its trailing line."""
 
     def make():
-        base, smooth = rsi("close", r)(), Mean(s)
+        base, smooth = _rsi("close", r)(), Mean(s)
         first, second = Mean(2 * r - 1), Mean(2 * r - 1)
         before, long, short, up = None, None, None, True
 
@@ -214,64 +117,6 @@ def qqe(r: int, s: int, tenths: int | None = None):
     return make
 
 
-def heiken_ashi(part: str):
-    """part: open, high, low or close."""
-
-    def make():
-        o = c = None
-
-        def step(b):
-            nonlocal o, c
-            close = (b[OPEN] + b[HIGH] + b[LOW] + b[CLOSE]) / 4
-            o = (b[OPEN] + b[CLOSE]) / 2 if o is None else (o + c) / 2
-            c = close
-            return {"open": o, "close": c, "high": max(b[HIGH], o, c), "low": min(b[LOW], o, c)}[part]
-
-        return step
-
-    return make
-
-
-def power(side: str, n: int):
-    """Bulls (high) or bears (low) power: distance from the EMA of closes."""
-
-    def make():
-        mean, at = Mean(n), HIGH if side == "high" else LOW
-
-        def step(b):
-            m = mean.push(b[CLOSE])
-            return None if m is None else b[at] - m
-
-        return step
-
-    return make
-
-
-def kama(src: str, n: int, fast: int = 2, slow: int = 30):
-    """Kaufman's adaptive mean, from the first full window on, starting at its newest value."""
-
-    def make():
-        of, held, value = field(src), deque(maxlen=n + 1), None
-        quick, lazy = 2 / (fast + 1), 2 / (slow + 1)
-
-        def step(b):
-            nonlocal value
-            held.append(of(b))
-            if len(held) <= n:
-                return None
-            x = list(held)
-            if value is None:
-                value = x[-2]
-            noise = sum(abs(p - q) for p, q in zip(x[1:], x, strict=False))
-            ratio = abs(x[-1] - x[0]) / noise if noise else 0.0
-            value += (ratio * (quick - lazy) + lazy) ** 2 * (x[-1] - value)
-            return value
-
-        return step
-
-    return make
-
-
 def parabolic_sar(first: float = 0.02, most: float = 0.2):
     """Stop and reverse: short from the first bar on, at the higher of the first two highs.
 
@@ -305,31 +150,19 @@ def parabolic_sar(first: float = 0.02, most: float = 0.2):
     return make
 
 
-def stochastic_smoothed(n: int, slow: int, mode: str):
-    """%K smoothed by an exponential (ema) or Wilder (smma) mean, within 0 to 100."""
-
-    def make():
-        held, mean = deque(maxlen=n), Mean(slow, 1 / slow if mode == "smma" else None)
-
-        def step(b):
-            held.append(b)
-            if len(held) < n:
-                return None
-            low, high = min(x[LOW] for x in held), max(x[HIGH] for x in held)
-            value = mean.push((b[CLOSE] - low) / (high - low) * 100 if high > low else 0.0)
-            return None if value is None else min(max(value, 0.0), 100.0)
-
-        return step
-
-    return make
-
+def with_recurrences(bars: DataFrame, made: dict[str, Callable | Scan]) -> DataFrame:
+    """bars with a double column for each named scan or machine; NULL where it is undefined.
 
-def with_recurrences(bars: DataFrame, made: dict[str, Callable]) -> DataFrame:
-    """bars with a double column for each named machine; NULL where it is undefined.
+    Scans are folded by blocks of a symbol's bars, machines stream through whole symbols.
 
     A bar with a NULL among its prices leaves all states alone and is undefined. Rows that share symbol and time are
     read in an unstated order.
     """
+    scans, made = {n: m for n, m in made.items() if isinstance(m, Scan)}, {n: m for n, m in made.items() if not isinstance(m, Scan)}
+    if scans:
+        bars = with_scans(bars, scans)
+    if not made:
+        return bars
     names = list(made)
     schema = StructType([*bars.schema.fields, *(StructField(n, DoubleType()) for n in names)])
     at = [bars.columns.index(f) for f in FIELDS]
