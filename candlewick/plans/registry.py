@@ -462,6 +462,12 @@ def _ema_sql(n: int, src: str = "close", table: str = "bars", name: str = "e") -
 {name} AS (SELECT symbol, {n}::BIGINT AS i, avg(x) AS v FROM {name}n WHERE i <= {n} GROUP BY symbol HAVING count(*) = {n} UNION ALL SELECT p.symbol, q.i, 2 / ({n} + 1) * q.x + (1 - 2 / ({n} + 1)) * p.v FROM {name} p JOIN {name}n q ON q.symbol = p.symbol AND q.i = p.i + 1)"""
 
 
+#: Defined RSIs of 14 bars in SQL.
+_RSI = """n AS (SELECT symbol, ts_ms, row_number() OVER w - 1 AS i, greatest(close - lag(close) OVER w, 0) AS u, greatest(lag(close) OVER w - close, 0) AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)),
+r AS (SELECT symbol, 14::BIGINT AS i, avg(u) AS g, avg(d) AS l FROM n WHERE i BETWEEN 1 AND 14 GROUP BY symbol HAVING count(*) = 14 UNION ALL SELECT p.symbol, q.i, (p.g * 13 + q.u) / 14, (p.l * 13 + q.d) / 14 FROM r p JOIN n q ON q.symbol = p.symbol AND q.i = p.i + 1),
+rv AS (SELECT n.symbol, ts_ms, CASE WHEN l = 0 THEN CASE WHEN g = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + g / l) END AS v FROM n JOIN r USING (symbol, i))"""
+
+
 @query(f"WITH RECURSIVE {BARS}, {_ema_sql(12)} SELECT symbol, ts_ms, {s6('v')} AS ema FROM en LEFT JOIN e USING (symbol, i)")
 def ind_ema(spark, sf_dir):
     return values(X.with_recurrences(T.hourly(spark, sf_dir), {"ema": X.ema("close", 12)}), KEYS, {"ema": "ema"})
@@ -509,19 +515,44 @@ def ind_heiken_ashi(spark, sf_dir):
     return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
 
 
-@query()
+#: ADX and directional lines bar by bar, in both dialects: sums, then the mean of their spread.
+_DIRECTIONAL = f"""{BARS}, b AS (SELECT symbol, ts_ms, row_number() OVER w - 1 AS i, high - low AS own, high - lag(high) OVER w AS up, lag(low) OVER w - low AS down, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)),
+d AS (SELECT symbol, ts_ms, i, own, tr, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS minus FROM b),
+r AS (SELECT symbol, i, 0.0::DOUBLE AS t, 0.0::DOUBLE AS p, 0.0::DOUBLE AS m, 0.0::DOUBLE AS a, own AS t2, 0.0::DOUBLE AS p2, 0.0::DOUBLE AS m2, 0.0::DOUBLE AS a2 FROM d WHERE i = 0 UNION ALL
+SELECT symbol, i, t, p, m, CASE WHEN i < 14 THEN 0 WHEN i < 27 THEN a + dx WHEN i = 27 THEN (a + dx) / 14 ELSE (a * 13 + dx) / 14 END, t2, p2, m2, CASE WHEN p2 + m2 = 0 OR t2 = 0 THEN 50 ELSE (a2 * 13 + 100 * abs(p2 - m2) / (p2 + m2)) / 14 END
+FROM (SELECT *, CASE WHEN p + m > 0 AND t <> 0 THEN 100 * abs(p - m) / (p + m) ELSE 0 END AS dx FROM (SELECT q.symbol, q.i, a, a2, t * CASE WHEN q.i <= 14 THEN 1 ELSE 13 / 14 END + q.tr AS t, p * CASE WHEN q.i <= 14 THEN 1 ELSE 13 / 14 END + plus AS p, m * CASE WHEN q.i <= 14 THEN 1 ELSE 13 / 14 END + minus AS m,
+t2 * CASE WHEN q.i < 14 THEN 1 ELSE 13 / 14 END + q.tr AS t2, p2 * CASE WHEN q.i < 14 THEN 1 ELSE 13 / 14 END + plus AS p2, m2 * CASE WHEN q.i < 14 THEN 1 ELSE 13 / 14 END + minus AS m2 FROM r JOIN d q ON q.symbol = r.symbol AND q.i = r.i + 1)))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_DIRECTIONAL} SELECT symbol, ts_ms, {s6("CASE WHEN i >= 27 THEN a END")} AS adx_mt5, {s6("a2")} AS adx_sqx, {s6("CASE WHEN i >= 14 THEN CASE WHEN t <> 0 THEN 100 * p / t ELSE 0 END END")} AS plus_mt5, {s6("CASE WHEN i > 0 AND t2 <> 0 THEN 100 * p2 / t2 ELSE 0 END")} AS plus_sqx,
+{s6("CASE WHEN i >= 14 THEN CASE WHEN t <> 0 THEN 100 * m / t ELSE 0 END END")} AS minus_mt5, {s6("CASE WHEN i > 0 AND t2 <> 0 THEN 100 * m2 / t2 ELSE 0 END")} AS minus_sqx FROM d JOIN r USING (symbol, i)"""
+)
 def ind_directional(spark, sf_dir):
     made = {f"{p}_{d}": X.directional(14, p, d) for p in ("adx", "plus", "minus") for d in ("mt5", "sqx")}
     return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BARS}, {_RSI}, {_ema_sql(5, "v", "rv", "ql")}, lv AS (SELECT symbol, ts_ms, v AS line, lag(v) OVER (PARTITION BY symbol ORDER BY ts_ms) AS last FROM qln JOIN ql USING (symbol, i)), da AS (SELECT symbol, ts_ms, abs(last - line) AS d FROM lv WHERE last IS NOT NULL),
+{_ema_sql(27, "d", "da", "qf")}, fa AS (SELECT symbol, ts_ms, v AS d FROM qfn JOIN qf USING (symbol, i)), {_ema_sql(27, "d", "fa", "qg")}, ga AS (SELECT symbol, ts_ms, line, last, v * 42 / 10 AS reach, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms) AS k FROM qgn JOIN qg USING (symbol, i) JOIN lv USING (symbol, ts_ms)),
+tr AS (SELECT symbol, k, line - reach AS lo, line + reach AS hi, true AS up FROM ga WHERE k = 1 UNION ALL SELECT symbol, k, lo, hi, CASE WHEN line > hi THEN true WHEN line < lo THEN false ELSE up END
+FROM (SELECT q.symbol, q.k, line, up, CASE WHEN last > lo AND line > lo THEN greatest(line - reach, lo) ELSE line - reach END AS lo, CASE WHEN last < hi AND line < hi THEN least(line + reach, hi) ELSE line + reach END AS hi FROM tr JOIN ga q ON q.symbol = tr.symbol AND q.k = tr.k + 1))
+SELECT b.symbol, b.ts_ms, {s6("lv.line")} AS line, {s6("CASE WHEN up THEN lo ELSE hi END")} AS trail FROM bars b LEFT JOIN lv USING (symbol, ts_ms) LEFT JOIN ga USING (symbol, ts_ms) LEFT JOIN tr ON tr.symbol = ga.symbol AND tr.k = ga.k"""
+)
 def ind_qqe(spark, sf_dir):
     made = {"line": X.qqe(14, 5), "trail": X.qqe(14, 5, 42)}
     return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BARS}, x AS (SELECT *, lag(close) OVER w AS c1, abs(close - lag(close, 10) OVER w) AS far, row_number() OVER w - 1 AS i, min(low) OVER {over(14)} AS ll, max(high) OVER {over(14)} AS hh FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms)),
+y AS (SELECT *, power(coalesce(far / nullif(sum(abs(close - c1)) OVER {over(10)}, 0), 0) * (2 / 3 - 2 / 31) + 2 / 31, 2) AS speed FROM x),
+kr AS (SELECT symbol, i, c1 + speed * (close - c1) AS v FROM y WHERE i = 10 UNION ALL SELECT q.symbol, q.i, v + speed * (close - v) FROM kr JOIN y q ON q.symbol = kr.symbol AND q.i = kr.i + 1),
+st AS (SELECT symbol, ts_ms, CASE WHEN hh > ll THEN (close - ll) / (hh - ll) * 100 ELSE 0 END AS k, i - 12 AS j FROM x WHERE i >= 13),
+sr AS (SELECT symbol, 3::BIGINT AS j, avg(k) AS e, avg(k) AS m FROM st WHERE j <= 3 GROUP BY 1 HAVING count(*) = 3 UNION ALL SELECT q.symbol, q.j, k / 2 + e / 2, k / 3 + m * 2 / 3 FROM sr JOIN st q ON q.symbol = sr.symbol AND q.j = sr.j + 1)
+SELECT x.symbol, x.ts_ms, {s6("v")} AS kama, {s6("CASE WHEN e IS NOT NULL THEN least(greatest(e, 0), 100) END")} AS stoch_ema, {s6("CASE WHEN m IS NOT NULL THEN least(greatest(m, 0), 100) END")} AS stoch_smma FROM x LEFT JOIN kr USING (symbol, i) LEFT JOIN sr ON sr.symbol = x.symbol AND sr.j = x.i - 12"""
+)
 def ind_adaptive(spark, sf_dir):
     made = {"kama": X.kama("close", 10), "stoch_ema": X.stochastic_smoothed(14, 3, "ema"), "stoch_smma": X.stochastic_smoothed(14, 3, "smma")}
     return values(X.with_recurrences(T.hourly(spark, sf_dir), made), KEYS, {k: k for k in made})

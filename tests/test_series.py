@@ -116,3 +116,80 @@ def test_no_task_holds_a_key(spark):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", kept)
             spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+# -- indicators as affine scans, against loops
+
+
+def loops(rows, n):
+    """EMA, Wilder's RSI, expanding ATR, ADX in both dialects, Heiken-Ashi opens and the adaptive mean, bar by bar."""
+    out = []
+    ema = seed = gain = loss = atr = o = c0 = None
+    tr_s = p_s = m_s = tr_x = p_x = m_x = adx = adx_x = 0.0
+    closes = []
+    kama = None
+    for i, (op, hi, lo, cl) in enumerate(rows):
+        r = {}
+        last = rows[i - 1] if i else None
+        closes.append(cl)
+        seed = sum(closes[:n]) / n if i == n - 1 else seed
+        ema = None if i < n - 1 else seed if i == n - 1 else ema + 2 / (n + 1) * (cl - ema)
+        r["ema"] = ema
+        tr = hi - lo if last is None else max(hi - lo, abs(hi - last[3]), abs(lo - last[3]))
+        atr = tr if i == 0 else ((min(i + 1, n) - 1) * atr + tr) / min(i + 1, n)
+        r["atr"] = atr
+        if i:
+            up, down = max(cl - last[3], 0), max(last[3] - cl, 0)
+            gain, loss = ((gain or 0) + up, (loss or 0) + down) if i < n else (((gain or 0) + up) / n, ((loss or 0) + down) / n) if i == n else ((gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n)
+        r["rsi"] = None if i < n else (50.0 if gain == 0 else 100.0) if loss == 0 else 100 - 100 / (1 + gain / loss)
+        plus = minus = 0.0
+        if last:
+            u, d = hi - last[1], last[2] - lo
+            plus, minus = (u if u > d and u > 0 else 0.0), (d if d > u and d > 0 else 0.0)
+            f = 1 if i <= n else (n - 1) / n
+            tr_s, p_s, m_s = tr_s * f + tr, p_s * f + plus, m_s * f + minus
+        f = 1 if i < n else (n - 1) / n
+        tr_x, p_x, m_x = tr_x * f + tr, p_x * f + plus, m_x * f + minus
+        dx = 100 * abs(p_s - m_s) / (p_s + m_s) if tr_s and p_s + m_s else 0.0
+        if i >= n:
+            adx = adx + dx if i < 2 * n - 1 else (adx + dx) / n if i == 2 * n - 1 else (adx * (n - 1) + dx) / n
+        r["adx"] = adx if i >= 2 * n - 1 else None
+        if i:
+            adx_x = 50.0 if tr_x == 0 or p_x + m_x == 0 else ((n - 1) * adx_x + 100 * abs(p_x - m_x) / (p_x + m_x)) / n
+        r["adx_sqx"] = adx_x
+        o = (op + cl) / 2 if o is None else (o + c0) / 2
+        c0 = (op + hi + lo + cl) / 4
+        r["ha"] = o
+        if i >= n:
+            noise = sum(abs(a - b) for a, b in zip(closes[-n:], closes[-n - 1 : -1], strict=True))
+            k = ((abs(cl - closes[-n - 1]) / noise if noise else 0.0) * (2 / 3 - 2 / 31) + 2 / 31) ** 2
+            kama = (closes[-2] if kama is None else kama) + k * (cl - (closes[-2] if kama is None else kama))
+        r["kama"] = kama
+        out.append(r)
+    return out
+
+
+def test_scans_equal_loops_over_many_blocks(spark):
+    from candlewick.operators.indicators import scans as C
+
+    rng = random.Random(8)
+    n, data, held = 4, [], {}
+    for symbol, bars, step in (("a", 150, 1.0), ("flat", 60, 0.0), ("one", 1, 1.0), (None, 23, 1.0)):
+        price, held[symbol] = 50.0, []
+        for t in range(bars):
+            o, price = price, price + step * rng.choice([-1.5, -0.5, 0.0, 0.25, 2.0])
+            bar = (o, max(o, price) + step * rng.random(), min(o, price) - step * rng.random(), price)
+            if symbol == "a" and t % 11 == 3:
+                data.append((symbol, t * 10 + 5, bar[0], None, bar[2], bar[3], 1))  # leaves all states alone
+            data.append((symbol, t * 10, *bar, 1))
+            held[symbol].append(bar)
+    rng.shuffle(data)
+    bars = spark.createDataFrame(data, "symbol string, ts_ms long, open double, high double, low double, close double, tick_volume long")
+    made = {"ema": C.ema("close", n), "atr": C.atr_sqx(n), "rsi": C.rsi("close", n), "adx": C.directional(n, "adx"), "adx_sqx": C.directional(n, "adx", "sqx"), "ha": C.heiken_ashi("open"), "kama": C.kama("close", n)}
+    got = {(r["symbol"], r["ts_ms"]): r for r in C.with_scans(bars, made, size=16).collect()}
+    assert len(got) == len(data)
+    for symbol, rows in held.items():
+        for t, expected in enumerate(loops(rows, n)):
+            for k, v in expected.items():
+                assert got[symbol, t * 10][k] == (None if v is None else pytest.approx(v, abs=1e-9)), (symbol, t, k)
+    assert {got["a", t * 10 + 5]["ema"] for t in range(150) if t % 11 == 3} == {None}
