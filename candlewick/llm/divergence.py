@@ -6,14 +6,20 @@ vector into contributions of pairs of sources, and map-side aggregation adds the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import LOWER, UPPER, Scratch, ascii_lower, bind
+from .common import LOWER, UPPER, Scratch, bind, in_batches
 
 #: Runs of ASCII letters and of anything beyond ASCII.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_SPACED = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
+#: Counts of (language, source, term) that a task adds up before it passes them on.
+HELD = 500_000
 #: Rows of the table of groups (languages by sources) that are broadcast at most; the output has their square.
 BROADCAST_GROUPS = 20_000
 #: Parts that a language's terms are dealt over where that table is too large for a broadcast.
@@ -39,13 +45,51 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, uses, documents) of docs (lang, source, text), partly added up before the one shuffle.
+    """(lang, source, term, uses, documents) of docs (lang, source, text): counted in each task, then added up.
 
-    A document's terms are sorted in place, so that each is marked once where it first stands.
+    On the bytes of a text every ASCII character that isn't a letter becomes a space, and letters lower case; what stands
+    between spaces are its terms. A task holds HELD counts and a piece of one text. The one shuffle is by language and term, which
+    serves the grouping by term as well.
     """
-    terms = F.array_sort(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))
-    marked = bind(terms, lambda t: F.transform(t, lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(t, i - 1) == x), 0).otherwise(1).alias("first"))))
-    return docs.select("lang", "source", F.inline(marked)).groupBy("lang", "source", "term").agg(F.count("*").alias("uses"), F.sum("first").alias("documents"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses, having = defaultdict(Counter), defaultdict(Counter)
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                terms, seen = uses[lang, source], set()
+                for piece in _pieces(text.translate(_SPACED)):
+                    found = piece.split()
+                    terms.update(found)
+                    seen.update(found)
+                having[lang, source].update(seen)
+                if sum(map(len, uses.values())) > HELD:
+                    yield from _flushed(uses, having)
+        yield from _flushed(uses, having)
+
+    made = in_batches(docs.select("lang", "source", "text"), run, "lang string, source string, term string, uses long, documents long")
+    return made.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("uses").alias("uses"), F.sum("documents").alias("documents"))
+
+
+def _pieces(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text cut at spaces into pieces of some ``size`` bytes."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
+def _flushed(uses: dict, having: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, source), terms in uses.items():
+        listed, counts = list(terms), having[lang, source]
+        for at in range(0, len(listed), 1 << 16):
+            part = listed[at : at + (1 << 16)]
+            own = [pa.array([x] * len(part), pa.string()) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(part, pa.binary()).cast(pa.string()), pa.array([terms[t] for t in part], pa.int64()), pa.array([counts[t] for t in part], pa.int64())], names=["lang", "source", "term", "uses", "documents"])
+    uses.clear()
+    having.clear()
 
 
 def audit(docs: DataFrame, scratch: Scratch | None = None, least_documents: int = 10, top: int = 10) -> DataFrame:
@@ -57,13 +101,12 @@ def audit(docs: DataFrame, scratch: Scratch | None = None, least_documents: int
     other source, by the sum of floor((p - q)^2 / (p + q)) over all kept terms (0 without any); part `term` has the
     ``top`` kept terms that the group uses and whose p is beyond the language's. Ties go by item in UTF-8 order. A
     language with one source has no pairs, an empty table no rows. Counts up to 9 * 10^15 are exact.
-    Counts and term vectors are written once as scratch tables.
+    Term vectors and their shares are written once as scratch tables.
     """
     scratch = scratch or Scratch(docs.sparkSession, "divergence")
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts = scratch.cut(term_counts(texts))
     vectors = scratch.cut(
-        counts.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sort_array(F.collect_list(F.struct("source", "uses"))).alias("used"))  # one entry a source
+        term_counts(texts).groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sort_array(F.collect_list(F.struct("source", "uses"))).alias("used"))  # one entry a source
         .where(F.col("documents") >= least_documents).select("lang", "term", "used")
     )
     totals = vectors.select("lang", F.inline("used")).groupBy("lang", "source").agg(F.sum("uses").alias("total"))
@@ -78,7 +121,7 @@ def audit(docs: DataFrame, scratch: Scratch | None = None, least_documents: int
     )
     wide = _with_groups(vectors, groups, by_lang)
     # a term's p in every source of its language, in their order: the vector is filled up from the sources that use it
-    shares = wide.select("lang", "term", "used", "sources", share(F.aggregate("used", F.lit(0).cast("long"), lambda a, u: a + u["uses"]) + 2, F.col("weight")).alias("q"), _dense().alias("p"))
+    shares = scratch.cut(wide.select("lang", "term", "used", "sources", share(F.aggregate("used", F.lit(0).cast("long"), lambda a, u: a + u["uses"]) + 2, F.col("weight")).alias("q"), _dense().alias("p")))
     n = F.size("p")
     pairs = F.flatten(
         F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), distance(F.col("p")[i], F.col("p")[j]).alias("value"))))
