@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nearest_rank
-from .stats import block_draws, pack_portfolio
+from .stats import block_bootstrap, pack_portfolio
 
 
 def path(returns: Column) -> Column:
@@ -38,16 +38,9 @@ def signature_sharpe(returns: Column) -> Column:
 
 
 def stress(returns: DataFrame, keys: list[str], trials: int = 1000, block: int = 5, seed: int = 42) -> DataFrame:
-    """(keys, trial, return_percent, max_drawdown_percent) of circular block draws of each key's returns (idx from 0, value)."""
-    counts = returns.groupBy(*keys).agg(F.count("*").alias("n"))
-    drawn = counts.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
-    placed = drawn.select(*keys, "trial", "pos", block_draws(F.col("n"), trials, block, seed).alias("idx"))
-    joined = placed.join(returns.select(*keys, "idx", "value"), [*keys, "idx"])
-    w = Window.partitionBy(*keys, "trial").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    run = joined.withColumn("_at", F.lit(1.0) + F.sum("value").over(w))
-    peak = F.greatest(F.lit(1.0), F.max("_at").over(w))
-    worst = run.withColumn("_dd", F.when(peak > 0, (peak - F.col("_at")) / peak * 100).otherwise(0.0))
-    return worst.groupBy(*keys, "trial").agg((F.sum("value") * 100).alias("return_percent"), F.max("_dd").alias("max_drawdown_percent"))
+    """(keys, trial, return_percent, max_drawdown_percent) of circular block draws of each key's returns (idx from 0, value): additive equity from 1."""
+    made = block_bootstrap(returns.select(*keys, "idx", F.col("value").alias("profit")), keys, trials, block, seed, initial=1.0)
+    return made.select(*keys, "trial", (F.col("net") * 100).alias("return_percent"), "max_drawdown_percent")
 
 
 def stress_report(trial: DataFrame, keys: list[str], tail: float = 0.05) -> DataFrame:

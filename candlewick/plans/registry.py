@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clock
+from ..functions import clock, draws
 from ..functions.numeric import settle
 from ..operators import bars as B
 from ..operators import joins as J
@@ -817,10 +817,12 @@ def lucky_sharpe(spark, sf_dir):
 
 
 #: Draws of 250 trials of circular blocks of 5, a tenth of the trades left out; balances from 10,000.
-_DRAW = """tr2 AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY trade_no) - 1 AS idx, net_profit AS profit FROM trades), c AS (SELECT run_id, count(*) AS n FROM tr2 GROUP BY 1),
-p AS (SELECT run_id, n, trial, unnest(range(0, n)) AS pos FROM (SELECT run_id, n, unnest(range(0, 250)) AS trial FROM c)),
-d AS (SELECT *, ((((42 + trial * 7919 + (pos // 5) * 104729) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 AS r, (((((42 + trial * 15485863 + pos * 32452843) % 2147483648) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 // 65536 < 3277 AS gone FROM p),
-j AS (SELECT d.run_id, trial, pos, CASE WHEN gone THEN 0 ELSE profit END AS profit FROM d JOIN tr2 t ON t.run_id = d.run_id AND t.idx = (pos % 5 + (r // 65536) % n) % n),
+#: Trials of the trades in SQL: keys of three lanes a trial, their draws at every block (a, b) and place (g), and the paths.
+_DRAW = f"""tr2 AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY trade_no) - 1 AS idx, net_profit AS profit FROM trades), c AS (SELECT run_id, count(*) AS n FROM tr2 GROUP BY 1),
+q0 AS (SELECT *, {draws.trial_keys_sql(42, {"a": draws.HIGH, "b": draws.LOW, "g": draws.SKIP})} FROM (SELECT run_id, n, unnest(range(0, 250)) AS trial FROM c)), q AS (SELECT *, unnest(range(0, n)) AS pos FROM {draws.mixed_sql("q0", ["a", "b", "g"])}),
+p0 AS (SELECT run_id, n, trial, pos, {draws.counted_sql("a", "pos // 5")}, {draws.counted_sql("b", "pos // 5")}, {draws.counted_sql("g", "pos")} FROM q),
+d AS (SELECT run_id, n, trial, pos, ({draws.index_sql("n")} + pos % 5) % n AS idx, g < {round(0.1 * 2**32)} AS gone FROM {draws.mixed_sql("p0", ["a", "b", "g"])}),
+j AS (SELECT d.run_id, trial, pos, CASE WHEN gone THEN 0 ELSE profit END AS profit FROM d JOIN tr2 t USING (run_id, idx)),
 s AS (SELECT *, 10000 + sum(profit) OVER (PARTITION BY run_id, trial ORDER BY pos ROWS UNBOUNDED PRECEDING) AS b FROM j), h AS (SELECT *, greatest(10000, max(b) OVER (PARTITION BY run_id, trial ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS top FROM s),
 k AS (SELECT run_id, trial, sum(profit) AS net, max((top - b) / top * 100) AS dd FROM h GROUP BY 1, 2)"""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions.numeric import settle
 from ..operators import costs as C
 from ..operators import metrics as M
@@ -51,9 +52,9 @@ def path_drawdown(spark, sf_dir):
 
 
 _STRESS = f"""{_SIG}, m AS (SELECT cohort, idx, avg(x) AS value FROM u GROUP BY 1, 2), c AS (SELECT cohort, count(*) AS n FROM m GROUP BY 1),
-p AS (SELECT cohort, n, trial, unnest(range(0, n)) AS pos FROM (SELECT cohort, n, unnest(range(0, 1000)) AS trial FROM c)),
-d AS (SELECT *, ((((42 + trial * 7919 + (pos // 5) * 104729) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 AS r FROM p),
-j AS (SELECT d.cohort, trial, pos, value FROM d JOIN m ON m.cohort = d.cohort AND m.idx = (pos % 5 + (r // 65536) % n) % n),
+q0 AS (SELECT *, {draws.trial_keys_sql(42, {"a": draws.HIGH, "b": draws.LOW})} FROM (SELECT cohort, n, unnest(range(0, 1000)) AS trial FROM c)), q AS (SELECT *, unnest(range(0, n)) AS pos FROM {draws.mixed_sql("q0", ["a", "b"])}),
+p0 AS (SELECT cohort, n, trial, pos, {draws.counted_sql("a", "pos // 5")}, {draws.counted_sql("b", "pos // 5")} FROM q), d AS (SELECT cohort, trial, pos, ({draws.index_sql("n")} + pos % 5) % n AS idx FROM {draws.mixed_sql("p0", ["a", "b"])}),
+j AS (SELECT d.cohort, trial, pos, value FROM d JOIN m USING (cohort, idx)),
 e AS (SELECT *, 1 + sum(value) OVER (PARTITION BY cohort, trial ORDER BY pos) AS e FROM j), h AS (SELECT *, greatest(1, max(e) OVER (PARTITION BY cohort, trial ORDER BY pos)) AS top FROM e),
 k AS (SELECT cohort, trial, sum(value) * 100 AS ret, max((top - e) / top * 100) AS dd FROM h GROUP BY 1, 2), l AS (SELECT cohort, list_sort(list(ret)) AS r, list_sort(list(dd)) AS d FROM k GROUP BY 1)"""
 

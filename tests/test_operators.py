@@ -119,6 +119,62 @@ def test_synthetic_bars_keep_their_shape(bars):
     assert len(out) == 240 and all(r["low"] <= min(r["open"], r["close"]) and r["high"] >= max(r["open"], r["close"]) for r in out)
 
 
+def mixed(x):
+    """The published finaliser, in Python's integers."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1)):
+        x = (x ^ x >> shift) * factor % 2**32
+    return x
+
+
+def drawn32(lane, trial, k, seed=42):
+    return mixed((mixed(mixed((seed + (lane + 1) * 0x9E3779B9) % 2**32) ^ trial) + k + (k >> 32) * 0x9E3779B9) % 2**32)
+
+
+def drawn(n, trial, k):
+    return ((drawn32(0, trial, k) << 30) + (drawn32(1, trial, k) >> 2)) % n
+
+
+def skipped(trial, k):
+    return drawn32(2, trial, k) < round(0.1 * 2**32)
+
+
+def test_draws_are_the_same_in_every_form_and_uniform(spark):
+    import numpy as np
+    from candlewick.functions import draws
+
+    ks = [0, 1, 2, 77, 2**31, 2**32 + 5, 2**40]
+    made = spark.createDataFrame([(t, k) for t in (0, 3, 999) for k in ks], "t int, k long").select("t", "k", draws.draw32_column(42, draws.SKIP, F.col("t"), F.col("k")).alias("g"), draws.index_column(F.lit(10**12 + 39), 42, F.col("t"), F.col("k")).alias("i")).collect()
+    for r in made:
+        assert r["g"] == drawn32(2, r["t"], r["k"]) == draws.draw32(42, draws.SKIP, r["t"], np.array([r["k"]]))[0]
+        assert r["i"] == drawn(10**12 + 39, r["t"], r["k"]) == draws.index(10**12 + 39, 42, r["t"], np.array([r["k"]]))[0]
+    n, each = 300_000, 200
+    found = np.concatenate([draws.index(n, 7, t, np.arange(10_000)) for t in range(each)])
+    expected = len(found) / 100
+    cells = np.bincount(found * 100 // n, minlength=100)
+    assert ((cells - expected) ** 2 / expected).sum() < 170  # chi-squared of 99 degrees: beyond this once in 10,000
+    pairs = np.bincount(found[:-1] * 10 // n * 10 + found[1:] * 10 // n, minlength=100)
+    assert ((pairs - expected) ** 2 / expected).sum() < 170
+    assert len(np.unique(found)) > 0.99 * n * (1 - np.exp(-len(found) / n))
+
+
+def test_bootstrap_reaches_losses_late_in_a_run(spark):
+    """40,000 trades whose first 32,772 earn 1 and whose others lose 1,000, and 100,000 whose last tenth loses: all trials show it."""
+    t = spark.range(40_000).select(F.lit("r").alias("run_id"), F.col("id").alias("idx"), F.when(F.col("id") < 32_772, 1.0).otherwise(-1000.0).alias("profit"))
+    t = t.unionByName(spark.range(100_000).select(F.lit("s").alias("run_id"), F.col("id").alias("idx"), F.when(F.col("id") < 90_000, 1.0).otherwise(-10.0).alias("profit")))
+    got = S.block_bootstrap(t, ["run_id"], trials=20).collect()
+    nets = {run: [r["net"] for r in got if r["run_id"] == run] for run in "rs"}
+    assert all(-9e6 < x < -5.5e6 for x in nets["r"]) and all(abs(x + 10_000) < 15_000 for x in nets["s"])
+    assert all(r["max_drawdown_percent"] > 100 for r in got if r["run_id"] == "r")
+
+
+def test_long_runs_walk_the_same_trials_over_tasks(spark):
+    """A run beyond the array's bound, with NULLs and skips, beside a short one: stretches give what the array gives."""
+    t = spark.range(70_003).select(F.when(F.col("id") < 70_000, "long").otherwise("short").alias("run_id"), F.when(F.col("id") < 70_000, F.col("id")).otherwise(F.col("id") - 70_000).alias("idx"), F.when(F.col("id") % 13 > 0, F.pmod(F.col("id") * 37, F.lit(101)) - 50.5).alias("profit"))
+    arrays, joined = ({(r["run_id"], r["trial"]): (r["net"], r["max_drawdown_percent"]) for r in S.block_bootstrap(t, ["run_id"], trials=6, skip=0.1, long=long).collect()} for long in (S.LONG, 1000))
+    assert set(arrays) == set(joined) and len(arrays) == 12
+    assert all(joined[k] == pytest.approx(v, rel=1e-9) for k, v in arrays.items())
+
+
 def test_block_bootstrap_query_draws_from_all_trades(spark):
     from candlewick.plans import registry
     from candlewick.plans import tables as T
@@ -129,16 +185,11 @@ def test_block_bootstrap_query_draws_from_all_trades(spark):
     got = {(r["run_id"], r["trial"]): (r["net"], r["max_drawdown_percent"]) for r in registry.queries()["block_bootstrap"](spark, sf_dir).collect()}
     assert set(got) == {(run, trial) for run in profits for trial in range(250)}
 
-    def drawn(state):
-        for _ in range(2):
-            state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
-        return state // 65_536
-
     for (run, trial), (net, worst) in got.items():
         p, balance, top, down = profits[run], 10_000.0, 10_000.0, 0.0
         for pos in range(len(p)):
-            if drawn((42 + trial * 15_485_863 + pos * 32_452_843) % 2_147_483_648) >= 3277:  # a tenth of 32768
-                balance += p[(pos % 5 + drawn(42 + trial * 7919 + pos // 5 * 104_729) % len(p)) % len(p)]
+            if not skipped(trial, pos):
+                balance += p[(pos % 5 + drawn(len(p), trial, pos // 5)) % len(p)]
             top = max(top, balance)
             down = max(down, (top - balance) / top * 100)
         assert abs(net - (balance - 10_000)) < 0.011 and abs(worst - down) < 1e-5
@@ -151,17 +202,12 @@ def test_block_bootstrap_of_many_trades(spark):
     got = {r["trial"]: r for r in S.block_bootstrap(t, ["run_id"], trials=12, skip=0.1).collect()}
     assert set(got) == set(range(12))
 
-    def drawn(state):
-        for _ in range(2):
-            state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
-        return state // 65_536
-
     for trial in (0, 11):
         balance, top, down = 10_000.0, 10_000.0, 0.0
         for pos in range(n):
             if pos % 5 == 0:
-                start = drawn(42 + trial * 7919 + pos // 5 * 104_729) % n
-            if drawn((42 + trial * 15_485_863 + pos * 32_452_843) % 2_147_483_648) >= 3277:
+                start = drawn(n, trial, pos // 5)
+            if not skipped(trial, pos):
                 balance += (start + pos % 5) % n * 37 % 101 - 50
             top = max(top, balance)
             down = max(down, (top - balance) / top * 100)
@@ -181,27 +227,22 @@ def test_resampling_report_of_many_trades(spark):
 
 
 def test_resampling_report_of_cents(spark):
-    """Several slabs of trades in cents: the report's figures are those of whole numbers, to the last bit."""
+    """Several slabs of trades in cents: the report's figures are those of whole numbers."""
     n, cents = 60_000, lambda i: i * 7_919 % 2_003 - 1_000
     t = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("idx"), ((F.col("id") * 7_919 % 2_003 - 1_000) / 100).alias("profit"))
     row = S.resampling_report(S.block_bootstrap(t, ["run_id"], trials=3, skip=0.1), ["run_id"], S.profit_path(t, ["run_id"])).first()
 
-    def drawn(state):
-        for _ in range(2):
-            state = (state * 1_103_515_245 + 12_345) % 2_147_483_648
-        return state // 65_536
-
     nets, downs = [], []
     for trial in range(3):
         balance, top, down = 1_000_000, 1_000_000, 0.0
         for pos in range(n):
-            if drawn(42 + trial * 15_485_863 + pos * 32_452_843) >= 3277:
-                balance += cents((drawn(42 + trial * 7919 + pos // 5 * 104_729) + pos % 5) % n)
+            if not skipped(trial, pos):
+                balance += cents((drawn(n, trial, pos // 5) + pos % 5) % n)
             top = max(top, balance)
             down = max(down, (top - balance) / top * 100)
         nets.append((balance - 1_000_000) / 100)
         downs.append(down)
-    assert [row["p05"], row["p50"], row["worst_drawdown"]] == [min(nets), sorted(nets)[1], max(downs)]
+    assert [row["p05"], row["p50"], row["worst_drawdown"]] == pytest.approx([min(nets), sorted(nets)[1], max(downs)], rel=1e-12)
 
 
 def test_block_bootstrap_wants_every_index(spark):
