@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import random
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import draws
+from ..functions.scratch import Scratch
+from .bars import in_time
+from .series import BLOCK, before, lookup, running
+
+#: No close is taken to be lower.
+LEAST_PRICE = 1e-12
+
 
 def cost_shocks(signals: DataFrame, multipliers: list[float], point: float) -> DataFrame:
     """Signals once for each multiplier, spread ceil(points * m) * point; run_id gets the multiplier. Costs a lot scale in the settings."""
@@ -30,15 +36,14 @@ def axis_steps(params: dict[str, float], reach: float) -> list[tuple[str, dict[s
 
 
 def survives(prefix: str = "base_", least_return: float = 0.0, ratio: float = 0.5, dd_times: float = 1.5, dd_cap: float = 30.0) -> Column:
-    """A neighbour that keeps half the return and trades, and at most 1.5 times the drawdown, within a cap."""
+    """A neighbour that keeps half the return and trades, and at most 1.5 times the drawdown, within a cap.
+
+    A baseline without drawdown leaves the cap alone as the limit; none survives a baseline without trades.
+    """
     base = lambda c: F.col(prefix + c)
-    return (
-        (F.col("return_percent") > least_return)
-        & (F.col("return_percent") >= ratio * base("return_percent"))
-        & (F.col("max_drawdown_percent") <= dd_times * base("max_drawdown_percent"))
-        & (F.col("max_drawdown_percent") <= dd_cap)
-        & (F.col("trades") >= ratio * base("trades"))
-    )
+    limit = F.when(base("max_drawdown_percent") > 0, F.least(dd_times * base("max_drawdown_percent"), F.lit(dd_cap))).otherwise(dd_cap)
+    kept = (F.col("return_percent") > least_return) & (F.col("return_percent") >= ratio * base("return_percent")) & (F.col("max_drawdown_percent") <= limit)
+    return F.coalesce(kept & (base("trades") > 0) & (F.col("trades") >= ratio * base("trades")), F.lit(False))
 
 
 def retained(prefix: str = "base_", ratio: float = 0.8) -> Column:
@@ -66,33 +71,42 @@ def p80_rule(p80: Column, baseline: Column) -> Column:
     return (baseline > 0) & (p80 >= 0.6 * baseline)
 
 
-def stationary_bars(bars: DataFrame, trials: int, mean_block: int, seed: int) -> DataFrame:
-    """Synthetic series per symbol and trial: geometric blocks (up to four times the mean) of log returns, OHLC rebuilt, times and volumes kept.
+def stationary_bars(bars: DataFrame, trials: int, mean_block: int, seed: int, size: int = BLOCK) -> DataFrame:
+    """Synthetic series per symbol and trial by a stationary bootstrap of the log returns between closes.
+
+    Blocks of returns begin anywhere, wrap around, and end after each return with probability 1 / mean_block, after four times
+    that at most. The first bar stays as it is; a later one opens at the synthetic close before it, closes after its
+    return (at 1e-12 or more), and spans 0.01 % around both. Times, volumes and spreads stay. A return next to a bar without a
+    close is zero. Adds trial.
 
-    A trial needs its symbol's whole series, so groups are (symbol, trial): trials spread over tasks, a series has to fit one.
+    Draws go by counters, so where a block begins is a running maximum of where draws end one, and closes are running
+    sums: all by blocks of a series, with one equi-join that fetches the drawn returns.
     """
-    spread = bars.select("symbol", "ts_ms", "open", "high", "low", "close", "tick_volume").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-
-    def one(table: pa.Table) -> pa.Table:
-        table = table.sort_by("ts_ms")
-        o, h, low, c = (np.array(table[x].to_pylist(), dtype=float) for x in ("open", "high", "low", "close"))
-        n = len(c)
-        rng = np.random.default_rng([seed, int(table["trial"][0].as_py()), *str(table["symbol"][0].as_py()).encode()])
-        pick = np.zeros(n, dtype=np.int64)
-        at = 0
-        while at < n:
-            size = min(int(rng.geometric(1 / mean_block)), 4 * mean_block, n - at)
-            pick[at : at + size] = (int(rng.integers(0, n)) + np.arange(size)) % n
-            at += size
-        step = np.diff(np.log(np.maximum(c, 1e-12)), prepend=np.log(max(c[0], 1e-12)))
-        close = c[0] * np.exp(np.cumsum(step[pick]))
-        first = np.concatenate([[c[0]], close[:-1]])
-        wide = lambda x: close * x[pick] / np.maximum(c[pick], 1e-12)
-        top, bottom = np.maximum(np.maximum(wide(h), first), close), np.minimum(np.minimum(wide(low), first), close)
-        columns = {"symbol": table["symbol"], "trial": table["trial"], "ts_ms": table["ts_ms"], "open": pa.array(first), "high": pa.array(top), "low": pa.array(bottom), "close": pa.array(close), "tick_volume": table["tick_volume"]}
-        return pa.table(columns)
-
-    return spread.groupBy("symbol", "trial").applyInArrow(one, "symbol string, trial int, ts_ms long, open double, high double, low double, close double, tick_volume long")
+    scratch = Scratch(bars.sparkSession, "stationary")
+    mean, most = max(mean_block, 1), 4 * max(mean_block, 1)
+    log = lambda c: F.log(F.greatest(F.col(c), F.lit(LEAST_PRICE)))
+    own = before(in_time(bars.drop("_n"), ["symbol"]), ["symbol"], {"_last": "close"}, size)
+    rows = scratch.cut(own.withColumn("_r", F.coalesce(log("close") - log("_last"), F.lit(0.0))))
+    many = rows.groupBy("symbol").agg((F.count("*") - 1).alias("_m"), F.min_by(log("close"), "_n").alias("_begin"))  # one row a symbol
+    keys, n = ["symbol", "trial"], F.col("_n")
+    each = lookup(rows.drop("_r", "_last"), many, ["symbol"]).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    ends = (n == 1) | (draws.draw32_column(seed, draws.TURN, F.col("trial"), n) < F.lit(round((1 << 32) / mean)))
+    placed = running(each, keys, {"_s": ("max", F.when(ends & (n >= 1), n))}, size)
+    begun = placed.withColumn("_b", F.col("_s") + F.floor((n - F.col("_s")) / most) * most)
+    drawn = begun.withColumn("_from", F.when(n >= 1, 1 + (draws.index_column(F.greatest("_m", F.lit(1)), seed, F.col("trial"), F.col("_b")) + n - F.col("_b")) % F.greatest("_m", F.lit(1))))
+    returns = rows.select(F.col("symbol").alias("_symbol"), F.col("_n").alias("_from2"), "_r")
+    met = scratch.cut(drawn.join(returns, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("_from") == F.col("_from2")), "left").drop("_symbol", "_from", "_from2", "_s", "_b"))
+    summed = scratch.cut(running(met, keys, {"_sum": ("sum", F.coalesce("_r", F.lit(0.0)))}, size).withColumn("_y", F.col("_begin") + F.col("_sum")))
+    # a path that is held at the least price is lifted by how far it has been below it so far
+    held = running(summed, keys, {"_low": ("min", F.col("_y"))}, size)
+    floor = F.log(F.lit(LEAST_PRICE))
+    closed = scratch.cut(held.withColumn("_c", F.exp(F.col("_y") + F.greatest(floor - F.col("_low"), F.lit(0.0)))))
+    made = before(closed, keys, {"_o": "_c"}, size)
+    later, o, c = n >= 1, F.col("_o"), F.col("_c")
+    return made.withColumns({
+        "open": F.when(later, o).otherwise(F.col("open")), "high": F.when(later, F.greatest(o, c) * 1.0001).otherwise(F.col("high")),
+        "low": F.when(later, F.least(o, c) * 0.9999).otherwise(F.col("low")), "close": F.when(later, c).otherwise(F.col("close")),
+    }).select("symbol", "trial", *[x for x in bars.columns if x not in ("symbol", "trial", "_n")])
 
 
 #: Blockers of a certificate, and the grade that none of them leaves.

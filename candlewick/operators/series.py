@@ -24,7 +24,7 @@ BLOCK = 65_536
 SMALL = 100_000
 
 
-def _lookup(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """rows with the columns of ``small`` (one row for each value of keys), broadcast only if counted to be small."""
     few = small.limit(SMALL + 1).count() <= SMALL
     right = small.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in small.columns if c not in keys])
@@ -43,7 +43,7 @@ def numbered(rows: DataFrame, keys: list[str], order: list, scratch: Scratch) ->
     ranges = placed.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = scratch.cut(ranges.select(*keys, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")))
-    return _lookup(placed, starts, [*keys, "_range"]).withColumn("_n", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
+    return lookup(placed, starts, [*keys, "_range"]).withColumn("_n", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
 
 
 def running(rows: DataFrame, keys: list[str], made: dict[str, tuple[str, Column]], size: int = BLOCK) -> DataFrame:
@@ -62,7 +62,7 @@ def running(rows: DataFrame, keys: list[str], made: dict[str, tuple[str, Column]
     over = lambda kind, c, w: F.last(c, ignorenulls=True).over(w) if kind == "last" else plain["sum" if kind == "count" else kind](c).over(w)
     carried = blocks.select(*keys, "_block", *[over(kind, temp[n], earlier).alias(f"{temp[n]}c") for n, (kind, _) in made.items()])
     inside = Window.partitionBy(*keys, "_block").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    scanned = _lookup(held, carried, [*keys, "_block"])
+    scanned = lookup(held, carried, [*keys, "_block"])
 
     def value(name: str, kind: str) -> Column:
         local = plain["count"](temp[name]).over(inside) if kind == "count" else over(kind, temp[name], inside)
@@ -94,7 +94,7 @@ def before(rows: DataFrame, keys: list[str], made: dict[str, str], size: int = B
     own = F.expr(f"_n div {size}")
     last = rows.where(F.col("_n") % size == size - 1).select(*keys, (own + 1).alias("_block"), *[F.col(c).alias(f"_last_{n}") for n, c in made.items()])  # one row a block
     inside = Window.partitionBy(*keys, "_block").orderBy("_n")
-    led = _lookup(rows.withColumn("_block", own), last, [*keys, "_block"])
+    led = lookup(rows.withColumn("_block", own), last, [*keys, "_block"])
     first = F.col("_n") % size == 0
     return led.withColumns({n: F.when(first, F.col(f"_last_{n}")).otherwise(F.lag(c).over(inside)) for n, c in made.items()}).drop("_block", *[f"_last_{n}" for n in made])
 
@@ -147,5 +147,5 @@ def affine(rows: DataFrame, keys: list[str], made: dict[str, tuple[Column, Colum
 
     zipped = listed.select(*keys, "_l", *[starts(i).alias(f"_y{i}") for i in range(len(names))]).select(*keys, F.posexplode("_l").alias("_i", "_e"), *[f"_y{i}" for i in range(len(names))])
     carried = scratch.cut(zipped.select(*keys, F.col("_e._block").alias("_block"), *[F.get(F.col(f"_y{i}"), F.col("_i")).alias(f"_c{i}") for i in range(len(names))]))
-    joined = _lookup(folded, carried, [*keys, "_block"])
+    joined = lookup(folded, carried, [*keys, "_block"])
     return joined.withColumns({n: F.col(f"_a{i}") * F.col(f"_c{i}") + F.col(f"_b{i}") for i, n in enumerate(names)}).drop("_block", *maps, *[f"_c{i}" for i in range(len(names))])

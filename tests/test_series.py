@@ -193,3 +193,37 @@ def test_scans_equal_loops_over_many_blocks(spark):
             for k, v in expected.items():
                 assert got[symbol, t * 10][k] == (None if v is None else pytest.approx(v, abs=1e-9)), (symbol, t, k)
     assert {got["a", t * 10 + 5]["ema"] for t in range(150) if t % 11 == 3} == {None}
+
+
+def test_stationary_bars_against_a_loop(spark):
+    """Returns of blocks drawn by counters, over many blocks of rows; the first bar, times, volumes and spreads stay."""
+    import math
+
+    from candlewick.functions import draws
+    from candlewick.operators.robustness import stationary_bars
+
+    rng = random.Random(6)
+    n, mean = 90, 5
+    closes = [max(0.5, 20 + 3 * rng.gauss(0, 1)) for _ in range(n)]
+    data = [("x", t * 10, c - 0.1, c + 0.5, c - 0.5, c, t, t * 2, t % 4) for t, c in enumerate(closes)] + [("lone", 0, 1.0, 2.0, 0.5, 1.5, 7, 8, None)]
+    rng.shuffle(data)
+    bars = spark.createDataFrame(data, "symbol string, ts_ms long, open double, high double, low double, close double, tick_volume long, real_volume long, spread_points int")
+    got = {(r["symbol"], r["trial"], r["ts_ms"]): r for r in stationary_bars(bars, 2, mean, 11, size=16).collect()}
+    assert len(got) == 2 * (n + 1)
+    assert tuple(got["lone", 1, 0])[3:] == (1.0, 2.0, 0.5, 1.5, 7, 8, None)
+    returns = [math.log(b / a) for a, b in zip(closes, closes[1:], strict=False)]
+    lengths = []
+    for trial in range(2):
+        close, begin = closes[0], None
+        assert tuple(got["x", trial, 0])[3:] == (closes[0] - 0.1, closes[0] + 0.5, closes[0] - 0.5, closes[0], 0, 0, 0)
+        for i in range(1, n):
+            turned = int(draws.draw32(11, draws.TURN, trial, np.array([i]))[0]) < round(2**32 / mean)
+            if begin is None or turned or i - begin == 4 * mean:
+                lengths.append(0)
+                begin, start = i, int(draws.index(n - 1, 11, trial, np.array([i]))[0])
+            lengths[-1] += 1
+            o, close = close, max(close * math.exp(returns[(start + i - begin) % (n - 1)]), 1e-12)
+            r = got["x", trial, i * 10]
+            assert [r["open"], r["close"], r["high"], r["low"]] == pytest.approx([o, close, max(o, close) * 1.0001, min(o, close) * 0.9999], rel=1e-9)
+            assert (r["tick_volume"], r["real_volume"], r["spread_points"]) == (i, 2 * i, i % 4)
+    assert 3 < sum(lengths) / len(lengths) < 8 and max(lengths) <= 4 * mean
