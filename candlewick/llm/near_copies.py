@@ -58,6 +58,11 @@ def shingles(text: bytes, n: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
+def of_dice(share: float) -> float:
+    """The Jaccard similarity of sets whose Dice similarity (twice what they share over the sum of their sizes) is ``share``."""
+    return share / (2 - share)
+
+
 def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
     """The first m - ceil(threshold m) + 1 of m shingles, and how many of them are rare; those in ``common`` (ascending) come last, by their rank."""
     m = rare = len(found)
