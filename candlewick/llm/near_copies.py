@@ -59,8 +59,8 @@ def shingles(text: bytes, n: int = 5) -> np.ndarray:
 
 
 def of_dice(share: float) -> float:
-    """The Jaccard similarity of sets whose Dice similarity (twice what they share over the sum of their sizes) is ``share``."""
-    return share / (2 - share)
+    """The Jaccard similarity of sets whose Dice similarity (twice what they share over the sum of their sizes) is ``share``; rounded down, so that equal shares pass."""
+    return float(np.nextafter(share / (2 - share), 0))
 
 
 def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:

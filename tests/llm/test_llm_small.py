@@ -147,16 +147,18 @@ def test_simhash_groups(spark, docs, share):
     assert simhash.near_groups(table(spark, []), Scratch(spark, "t")).count() == 0
 
 
-def jaccard_links(rows):
-    """Pairs of ids with a Jaccard similarity of 0.8 or more of five-word shingles."""
+def jaccard_links(rows, dice=False):
+    """Pairs of ids with a Jaccard (or Dice) similarity of 0.8 or more of five-word shingles."""
     sets = {}
     for i, t in rows:
         words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
         sets[i] = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    if dice:
+        return [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
     return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
 
 
-def kept_brute(rows):
+def kept_brute(rows, dice=False):
     """Smallest ids of the groups that shingles link."""
     parent = {i: i for i, _ in rows}
 
@@ -165,7 +167,7 @@ def kept_brute(rows):
             x = parent[x]
         return x
 
-    for a, b in jaccard_links(rows):
+    for a, b in jaccard_links(rows, dice):
         a, b = sorted((root(a), root(b)))
         parent[b] = a
     return {i for i in parent if root(i) == i}
@@ -216,6 +218,24 @@ def test_near_copies_just_above_the_threshold(spark):
     assert kept == kept_brute([(i, t) for i, t, _ in rows]) == set(range(40))
 
 
+@pytest.mark.parametrize("words", [104, 204])
+def test_near_copies_by_dice(spark, words):
+    """Copies with 1 to 5 of 100 or 200 shingles' worth of edits; 20 lost shingles of 100 are a Dice similarity of just 0.8."""
+    rng = np.random.default_rng(words)
+    rows = []
+    for i in range(12):
+        base = [f"v{k}" for k in rng.integers(0, 100_000, words)]
+        rows.append((100 * i, " ".join(base), "en"))
+        for edits in range(1, 6 if words == 104 else 10):
+            copy = list(base)
+            for k in range(edits):
+                copy[7 + 11 * k] = f"x{i}y{edits}"
+            rows.append((100 * i + edits, " ".join(copy), "en"))
+    kept = {r["doc_id"] for r in near_copies.drop_near_copies(table(spark, rows), Scratch(spark, "t"), threshold=near_copies.of_dice(0.8)).collect()}
+    assert kept == kept_brute([(i, t) for i, t, _ in rows], dice=True)
+    assert not {100 * i + k for i in range(12) for k in range(1, 5)} & kept  # four words of a hundred, at the least
+
+
 def test_equal_fingerprints_of_unlike_texts(spark):
     """Words in another order, or repeated, can keep a fingerprint's bits; such texts are no copies."""
     rng = np.random.default_rng(6)
@@ -501,7 +521,7 @@ def test_pipeline(spark, docs):
     frame = frame.unionAll(leak)
     rows = frame.collect()
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
-    least = kept_brute([(r.doc_id, r.text) for r in rows if any(c.isalpha() for c in r.text or "")])
+    least = kept_brute([(r.doc_id, r.text) for r in rows if any(c.isalpha() for c in r.text or "")], dice=True)
 
     def shingled(text):
         ws = words_all(text)
@@ -523,7 +543,8 @@ def test_pipeline(spark, docs):
     assert any(held.search(text[i]) for i in clean) and not any(held.search(t) for t in redacted.values())
     assert all(redacted[i] == text[i] for i in clean if "[SECRET]" not in redacted[i])
     assert {r["doc_id"]: r["n"] for r in frame.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {i: len(exact_ids(t)) for i, t in redacted.items()}
-    assert 0 < corpus_pipeline.run(spark, sf_dir).count() < frame.count()
+    packed = {r["doc_id"] for r in frame.select("doc_id").distinct().collect()}
+    assert 90_000 in packed and {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().collect()} == packed - {90_000}
 
 
 # -- more on single operators
