@@ -103,25 +103,6 @@ def atr(n: int, tr: str = "true_range") -> Column:
     return full(F.avg(tr).over(frame(n)), n)
 
 
-def atr_percentile(atr_col: str, length: int) -> Column:
-    """Share of the last ``length`` bars' ATR (column ``atr_col``) at or below the current one, in percent (mt5)."""
-    values = F.collect_list(atr_col).over(frame(length))
-    count = F.size(F.filter(values, lambda v: v <= F.col(atr_col)))
-    return full(F.when(F.col(atr_col).isNotNull(), count * 100 / F.size(values)), length)
-
-
-def atr_percentile_sqx(n: int, length: int, tr: str = "true_range") -> tuple[Column, callable]:
-    """The expanding mean true range, and the percentile of the column that holds it: 0 with less than two bars or no range."""
-    length = max(length, 10)
-
-    def percentile(mean: str) -> Column:
-        values = F.collect_list(mean).over(frame(length))
-        count = F.size(F.filter(values, lambda v: v <= F.col(mean)))
-        return F.when((F.size(values) >= 2) & (F.col(mean) > 0), count * 100 / F.size(values)).otherwise(0.0)
-
-    return F.avg(tr).over(frame(n)), percentile
-
-
 def session_range(side: str, hour: int, bars: int, local: str = "local_time") -> Column:
     """Extreme of a local day's first ``bars`` bars at or after ``hour``, from the bar that completes them to the day's end."""
     day = Window.partitionBy("symbol", F.to_date(local)).orderBy("ts_ms")
@@ -222,17 +203,6 @@ def cci(typical_col: str, n: int) -> Column:
 # -- the additional pack
 
 
-def bars_since_extreme(src: str, n: int, kind: str) -> Column:
-    """Bars since the highest or lowest of the last n; the oldest of equals counts."""
-    values = F.collect_list(src).over(frame(n))
-    extreme = F.array_max(values) if kind == "high" else F.array_min(values)
-    return full((F.lit(n) - F.array_position(values, extreme)).cast("double"), n)
-
-
-def aroon(n: int) -> dict[str, Column]:
-    return {"up": 100 - bars_since_extreme("high", n, "high") * 100 / n, "down": 100 - bars_since_extreme("low", n, "low") * 100 / n}
-
-
 def average_volume(n: int) -> Column:
     volume = F.when(F.col("real_volume") > 0, F.col("real_volume")).otherwise(F.col("tick_volume"))
     return full(F.avg(volume).over(frame(n)), n)

@@ -22,6 +22,7 @@ from ..operators import robustness as Z
 from ..operators import rules as R
 from ..operators import search as G
 from ..operators import stats as S
+from ..operators.indicators import ordered as H
 from ..operators.indicators import recursive as X
 from ..operators.indicators import sessions as N
 from ..operators.indicators import windowed as I
@@ -271,10 +272,9 @@ l AS (SELECT *, list(atr) FILTER (atr IS NOT NULL) OVER {over(50)} AS v, list(at
 SELECT symbol, ts_ms, {s6(when_full("CASE WHEN atr IS NOT NULL THEN len(list_filter(v, lambda x: x <= atr)) * 100 / len(v) END", 50))} AS mt5, {s6("CASE WHEN len(vx) >= 2 AND atr_x > 0 THEN len(list_filter(vx, lambda x: x <= atr_x)) * 100 / len(vx) ELSE 0 END")} AS sqx FROM l"""
 )
 def ind_atr_percentile(spark, sf_dir):
-    b = T.hourly(spark, sf_dir).withColumn("true_range", I.true_range())
-    mean, percentile = I.atr_percentile_sqx(14, 50)
-    b = b.withColumns({"atr": settle(I.atr(14), 1e9), "atr_x": settle(mean, 1e9)})
-    return values(b.withColumns({"mt5": I.atr_percentile("atr", 50), "sqx": percentile("atr_x")}), KEYS, {"mt5": "mt5", "sqx": "sqx"})
+    means = lambda b: b.withColumn("true_range", I.true_range()).withColumns({"atr": settle(I.atr(14), 1e9), "atr_x": settle(F.avg("true_range").over(I.frame(14)), 1e9)})
+    b = H.with_ordered(I.in_blocks(T.hourly(spark, sf_dir), 14, means), {"mt5": ("percent", "atr", 50), "sqx": ("percent", "atr_x", 50)})
+    return values(b, KEYS, {"mt5": H.percentile_mt5("mt5", 50), "sqx": H.percentile_sqx("sqx", "atr_x")})
 
 
 def _swing_sql() -> str:
@@ -351,7 +351,8 @@ def ind_cci(spark, sf_dir):
     f"WITH {BARS}, l AS (SELECT *, list(high) OVER {over(14)} AS vh, list(low) OVER {over(14)} AS vl FROM bars) SELECT symbol, ts_ms, {s6(when_full('100 - (14 - list_position(vh, list_max(vh))) * 100 / 14', 14))} AS up, {s6(when_full('100 - (14 - list_position(vl, list_min(vl))) * 100 / 14', 14))} AS down FROM l"
 )
 def ind_aroon(spark, sf_dir):
-    return feature(I.aroon(14), spark, sf_dir)
+    b = H.with_ordered(T.hourly(spark, sf_dir), {"up": ("high", "high", 14), "down": ("low", "low", 14)})
+    return values(b, KEYS, {"up": H.aroon("up", 14), "down": H.aroon("down", 14)})
 
 
 @query(indicators({"avg_volume": when_full(f"avg(tick_volume) OVER {over(14)}", 14), "rvol": when_full(f"tick_volume / avg(tick_volume) OVER {over(14)}", 14), "volume_z": f"coalesce(CASE WHEN stddev_pop(tick_volume) OVER {over(14)} > 0 THEN (tick_volume - avg(tick_volume) OVER {over(14)}) / stddev_pop(tick_volume) OVER {over(14)} END, 0)"}))

@@ -227,3 +227,61 @@ def test_stationary_bars_against_a_loop(spark):
             assert [r["open"], r["close"], r["high"], r["low"]] == pytest.approx([o, close, max(o, close) * 1.0001, min(o, close) * 0.9999], rel=1e-9)
             assert (r["tick_volume"], r["real_volume"], r["spread_points"]) == (i, 2 * i, i % 4)
     assert 3 < sum(lengths) / len(lengths) < 8 and max(lengths) <= 4 * mean
+
+
+# -- order statistics of trailing windows
+
+
+@pytest.mark.parametrize("length", [1, 2, 7, 50, 500])
+def test_trailing_ranks_and_extremes_against_loops(length):
+    from candlewick.operators.indicators import ordered
+
+    rng = np.random.default_rng(length)
+    values = rng.integers(0, 12, 230) / 4
+    values[rng.random(230) < 0.03] = np.nan
+    known = rng.random(230) > 0.1
+    below, count = ordered.trailing_ranks(values, known, length)
+    high, low = (ordered.extreme_age(np.where(np.isnan(values), 1.0, values), known, length, k) for k in ("high", "low"))
+    for i in range(230):
+        at = [j for j in range(max(0, i - length + 1), i + 1) if known[j]]
+        assert count[i] == len(at)
+        if known[i]:
+            assert below[i] == sum(values[j] <= values[i] or np.isnan(values[i]) for j in at)
+        w = [1.0 if np.isnan(values[j]) else values[j] for j in at]
+        assert high[i] == (len(w) - 1 - w.index(max(w)) if w else -1)
+        assert low[i] == (len(w) - 1 - w.index(min(w)) if w else -1)
+
+
+def test_a_long_window_costs_little_more_than_a_short_one():
+    import time
+
+    from candlewick.operators.indicators import ordered
+
+    values, known = np.random.default_rng(0).random(70_000), np.ones(70_000, dtype=bool)
+
+    def took(length):
+        best = float("inf")
+        for _ in range(5):
+            began = time.perf_counter()
+            ordered.trailing_ranks(values, known, length)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(5000) < 2 * took(50)
+
+
+def test_ordered_columns_over_many_blocks(spark):
+    from candlewick.operators.indicators import ordered
+
+    rng = random.Random(3)
+    data = {s: [None if rng.random() < 0.1 else float(rng.randint(0, 9)) for _ in range(n)] for s, n in (("a", 80), ("b", 3), (None, 30))}
+    rows = spark.createDataFrame([(s, t, x) for s, xs in data.items() for t, x in enumerate(xs)], "symbol string, ts_ms long, x double").repartition(3)
+    got = {(r["symbol"], r["ts_ms"]): r for r in ordered.with_ordered(rows, {"p": ("percent", "x", 12), "h": ("high", "x", 5)}, size=8).collect()}
+    assert len(got) == 113
+    for s, xs in data.items():
+        for i, x in enumerate(xs):
+            w, v = [y for y in xs[max(0, i - 11) : i + 1] if y is not None], [y for y in xs[max(0, i - 4) : i + 1] if y is not None]
+            r = got[s, i]
+            assert r["p_count"] == len(w)
+            assert r["p"] == (None if x is None else pytest.approx(100 * sum(y <= x for y in w) / len(w)))
+            assert r["h"] == (len(v) - 1 - v.index(max(v)) if v else None)
