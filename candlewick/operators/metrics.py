@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide
+from ..functions.scratch import Scratch
 from .bars import in_time
-from .series import BLOCK, before, running
+from .series import BLOCK, before, lookup, numbered, running
 
 
 def trade_metrics(trades: DataFrame, keys: list[str], initial: float = 10_000.0) -> DataFrame:
@@ -145,10 +146,10 @@ def coverage(elites: DataFrame, axes: list[str], values: int = 3) -> DataFrame:
 
 
 def cvar(values: DataFrame, keys: list[str], col: str, q: float) -> DataFrame:
-    """Mean of the lowest ceil(n q) values, one at least."""
-    w = Window.partitionBy(*keys)
-    ranked = values.withColumn("_at", F.row_number().over(w.orderBy(col))).withColumn("_n", F.greatest(F.ceil(F.count(F.lit(1)).over(w) * q), F.lit(1)))
-    return ranked.where("_at <= _n").groupBy(*keys).agg(F.avg(col).alias("cvar"))
+    """Mean of the lowest ceil(n q) values, one at least; values are numbered by ranges, so a key may have any number of them."""
+    sizes = values.groupBy(*keys).agg(F.greatest(F.ceil(F.count("*") * q), F.lit(1)).alias("_m"))
+    ranked = numbered(values.select(*keys, col), keys, [F.asc(col)], Scratch(values.sparkSession, "cvar"))
+    return lookup(ranked, sizes, keys).where("_n < _m").groupBy(*keys).agg(F.avg(col).alias("cvar"))
 
 
 def longest_idle(days: DataFrame, keys: list[str]) -> DataFrame:

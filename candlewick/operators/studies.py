@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nearest_rank
+from ..functions.scratch import Scratch
 from .metrics import longest_idle, trade_metrics
+from .series import numbered
 
 
 def median(value: Column) -> Column:
@@ -168,12 +170,36 @@ ELITE_SORTS = {
 
 
 def elites(table: DataFrame, sort: str = "evidence", text: str = "", conditions: int | None = None) -> DataFrame:
-    """Elites whose id or fingerprint holds ``text`` in any case, with that many entry conditions, in a named order (missing last; ties by id)."""
+    """matching() elites in a named order (missing last; ties by id)."""
+    return matching(table, text, conditions).orderBy(*[F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in ELITE_SORTS[sort]], "id")
+
+
+def matching(table: DataFrame, text: str = "", conditions: int | None = None) -> DataFrame:
+    """Elites whose id or fingerprint holds ``text`` in any case, with that many entry conditions."""
     needle = text.strip().lower()
     kept = table if conditions is None else table.where(F.col("entry_conditions") == conditions)
     if needle:
         kept = kept.where(F.contains(F.lower("id"), F.lit(needle)) | F.contains(F.lower("fingerprint"), F.lit(needle)))
-    return kept.orderBy(*[F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in ELITE_SORTS[sort]], "id")
+    return kept
+
+
+def places(table: DataFrame) -> DataFrame:
+    """(sort, place, id) of elites in every named order, from 1: one range sort numbers all orders at once.
+
+    A falling key is sorted by its negative; keys of text come first, as only the order by grade has one.
+    """
+    widest = max(map(len, ELITE_SORTS.values()))
+
+    def keys(names: list[str]) -> list[Column]:
+        text = [F.col(k) for k in names if k == "grade"]
+        rest = [(-F.col(k[1:]) if k.startswith("-") else F.col(k)).cast("double") for k in names if k != "grade"]
+        rest += [F.lit(None).cast("double")] * (widest - len(rest))
+        return [(text or [F.lit(None).cast("string")])[0].alias("_text"), *[c.alias(f"_k{i}") for i, c in enumerate(rest)]]
+
+    each = table.select("id", F.inline(F.array(*[F.struct(F.lit(sort).alias("sort"), *keys(names)) for sort, names in ELITE_SORTS.items()])))
+    order = [F.asc_nulls_last(c) for c in ("_text", *[f"_k{i}" for i in range(widest)])]
+    ranked = numbered(each, ["sort"], [*order, F.asc("id")], Scratch(table.sparkSession, "elites"))
+    return ranked.select("sort", (F.col("_n") + 1).cast("int").alias("place"), "id")
 
 
 def first_trades(trades: DataFrame, keys: list[str], most: int = 2000) -> DataFrame:

@@ -231,12 +231,7 @@ def _order_sql(sort: str) -> str:
 @query(f"WITH {_ELITES} " + " UNION ALL ".join(f"SELECT '{s}' AS sort, row_number() OVER (ORDER BY {_order_sql(s)})::INT AS place, id FROM el WHERE entry_conditions = 1 AND (contains(lower(id), '7') OR contains(fingerprint, '7'))" for s in D.ELITE_SORTS))
 def elite_table(spark, sf_dir):
     """All eight orders of the elites that match a text and a number of conditions, with their places."""
-    e, out = _elites(spark, sf_dir), None
-    for sort in D.ELITE_SORTS:
-        keys = [F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in D.ELITE_SORTS[sort]]
-        rows = D.elites(e, sort, "7", 1).select(F.lit(sort).alias("sort"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys, "id")).alias("place"), "id")
-        out = rows if out is None else out.unionAll(rows)
-    return out
+    return D.places(D.matching(_elites(spark, sf_dir), "7", 1))
 
 
 @query(f"WITH {TRADES}, r AS (SELECT run_id, trade_no, row_number() OVER (PARTITION BY run_id ORDER BY trade_no) AS k FROM trades) SELECT run_id, trade_no FROM r WHERE k <= 2000")
