@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from bisect import bisect_left
+from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import Scratch
-from .series import BLOCK, numbered, running
+from .series import BLOCK, before, numbered, running
 
 
 def interval_join(decisions: DataFrame, minutes: DataFrame, interval: int) -> DataFrame:
@@ -78,33 +81,71 @@ def as_of(left: DataFrame, right: DataFrame, value: str, size: int = BLOCK) -> D
     return running(rows, ["symbol"], {f"asof_{value}": ("last", F.col(f"asof_{value}"))}, size).where("_side = 1").drop("_side", "_n")
 
 
-def align_trades(reference: DataFrame, external: DataFrame, within_ms: int = 86_400_000) -> DataFrame:
-    """One-to-one matches of trades (run_id, trade_no, side, entry_ms, entry_price) in the reference's order.
+def align_trades(reference: DataFrame, external: DataFrame, within_ms: int = 86_400_000, deltas: Sequence[str] = (), size: int = BLOCK) -> DataFrame:
+    """One-to-one matches of trades (run_id, trade_no, side, entry_ms, entry_price) in the reference's order: ref_no and ext_no.
 
-    Each reference trade takes the unused external one of its run and side nearest in entry time (within ``within_ms``),
-    ties by entry price, then number. Candidates come from a join on buckets of ``within_ms``; the greedy choice streams
-    through a run's candidates in order and holds only the numbers already taken. Leftovers of both sides are kept with NULLs.
+    Each reference trade, by number, takes the unused external one of its run and side nearest in entry time (within
+    ``within_ms``), ties by entry price, then number. Leftovers of both sides, and trades without a run, side or time, are kept
+    with NULLs. For each of the ``deltas``, columns of both sides, external less reference is added as delta_<column>.
+
+    A run and side is cut wherever the merged times leave more than ``within_ms``: no match reaches over such a gap, so the
+    pieces are chosen from independently. Pieces are numbered by running values over blocks; a task holds one piece.
     """
-    key = lambda c: F.expr(f"{c} div {within_ms}")
-    left = reference.select("run_id", "side", F.col("trade_no").alias("ref_no"), F.col("entry_ms").alias("_at"), F.col("entry_price").alias("_price")).withColumn("_key", key("_at"))
-    right = external.select("run_id", "side", F.col("trade_no").alias("ext_no"), F.col("entry_ms").alias("_at2"), F.col("entry_price").alias("_price2")).withColumn("_key", F.explode(F.array(key("_at2") - 1, key("_at2"), key("_at2") + 1)))
-    near = left.join(right, ["run_id", "side", "_key"]).select("run_id", "ref_no", "ext_no", F.abs(F.col("_at") - F.col("_at2")).alias("_gap"), F.abs(F.col("_price") - F.col("_price2")).alias("_off")).where(F.col("_gap") <= within_ms)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, last, used = object(), None, set()
-        for batch in batches:
-            out = []
-            for own, ref, ext in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if own != run:
-                    run, last, used = own, None, set()
-                if ref != last and ext not in used:
-                    last = ref
-                    used.add(ext)
-                    out.append((own, ref, ext))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, batch.schema.types[i]) for i, c in enumerate(columns)], names=["run_id", "ref_no", "ext_no"])
-
-    ordered = near.repartition("run_id").sortWithinPartitions("run_id", "ref_no", "_gap", "_off", "ext_no").select("run_id", "ref_no", "ext_no")
-    matched = ordered.mapInArrow(choose, ordered.schema)
-    refs, exts = reference.select("run_id", F.col("trade_no").alias("ref_no")), external.select("run_id", F.col("trade_no").alias("ext_no"))
-    return refs.join(matched, ["run_id", "ref_no"], "left").join(exts, ["run_id", "ext_no"], "full")
+    columns = ["run_id", "side", "trade_no", "entry_ms", "entry_price"]
+    both = reference.select(*columns, F.lit(True).alias("_ours")).unionByName(external.select(*columns, F.lit(False).alias("_ours"))).dropna(subset=["run_id", "side", "trade_no", "entry_ms"])
+    keys = ["run_id", "side"]
+    scratch = Scratch(reference.sparkSession, "align")
+    led = scratch.cut(before(numbered(both, keys, [F.asc("entry_ms")], scratch), keys, {"_last": "entry_ms"}, size))
+    pieces = running(led, keys, {"_piece": ("sum", F.when(F.col("entry_ms") - F.col("_last") > within_ms, 1).otherwise(0))}, size)
+    run, number = both.schema["run_id"].dataType.simpleString(), both.schema["trade_no"].dataType.simpleString()
+
+    def choose(piece: pa.Table) -> pa.Table:
+        return _matches(piece, within_ms)
+
+    matched = pieces.groupBy(*keys, "_piece").applyInArrow(choose, f"run_id {run}, ref_no {number}, ext_no {number}")
+    own = lambda t, name, prefix: t.select("run_id", F.col("trade_no").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in deltas])
+    joined = own(reference, "ref_no", "_r_").join(matched, ["run_id", "ref_no"], "left").join(own(external, "ext_no", "_x_"), ["run_id", "ext_no"], "full")
+    return joined.select("run_id", "ext_no", "ref_no", *[(F.col(f"_x_{c}") - F.col(f"_r_{c}")).alias(f"delta_{c}") for c in deltas])
+
+
+def _matches(piece: pa.Table, within: int) -> pa.Table:
+    """Greedy matches of one piece: unused external trades are found from a time outwards, past runs of used ones."""
+    piece = piece.combine_chunks()
+    ours = piece.filter(piece.column("_ours")).sort_by("trade_no")
+    theirs = piece.filter(pa.compute.invert(piece.column("_ours"))).sort_by([("entry_ms", "ascending"), ("trade_no", "ascending")])
+    times, prices, numbers = (theirs.column(c).to_pylist() for c in ("entry_ms", "entry_price", "trade_no"))
+    n = len(times)
+    left, right = list(range(-1, n)), list(range(n + 1))  # nearest unused place at or before i - 1, at or after i
+
+    def find(links: list[int], i: int) -> int:
+        path = []
+        while links[i] != i - (links is left):
+            path.append(i)
+            i = links[i] + (links is left)
+        for j in path:
+            links[j] = links[i]
+        return links[i]
+
+    pairs = []
+    for number, at, price in zip(*(ours.column(c).to_pylist() for c in ("trade_no", "entry_ms", "entry_price")), strict=True):
+        middle = bisect_left(times, at)
+        down, up = find(left, middle), find(right, middle)
+        gaps = [abs(times[i] - at) for i in (down, up) if 0 <= i < n]
+        gap = min(gaps, default=within + 1)
+        if gap > within:
+            continue
+        alike = []
+        while down >= 0 and at - times[down] == gap:
+            alike.append(down)
+            down = find(left, down)
+        while up < n and times[up] - at == gap:
+            alike.append(up)
+            up = find(right, up + 1)
+        off = lambda i: abs(prices[i] - price) if price is not None and prices[i] is not None else math.inf  # noqa: E731, B023
+        best = min(alike, key=lambda i: (off(i), numbers[i]))  # noqa: B023
+        left[best + 1], right[best] = left[best], right[best + 1]
+        pairs.append((number, numbers[best]))
+    run = piece.column("run_id").combine_chunks()
+    kind = piece.schema.field("trade_no").type
+    own = run.take(pa.array([0] * len(pairs), pa.int32())) if len(pairs) else run.slice(0, 0)
+    return pa.Table.from_arrays([own, pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=["run_id", "ref_no", "ext_no"])

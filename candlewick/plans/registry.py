@@ -936,6 +936,26 @@ def parity_alignment(spark, sf_dir):
     return J.align_trades(replay_scout(spark, sf_dir).select(columns), replay_judge(spark, sf_dir).select(columns))
 
 
+#: The trades and a copy of six sevenths of them, some hours and cents apart; candidates of each in the order of choice, then one choice after the other.
+_ALIGNED = f"""{TRADES}, x AS (SELECT run_id, trade_no, side, entry_ms + (trade_no % 5 - 2) * 7200000 AS entry_ms, exit_ms + (trade_no % 3) * 3600000 AS exit_ms, entry_price + (trade_no % 4) AS entry_price, net_profit - trade_no % 2 AS net_profit FROM trades WHERE trade_no % 7 <> 3),
+a AS (SELECT *, row_number() OVER (PARTITION BY run_id, side ORDER BY trade_no) AS i FROM trades),
+c AS (SELECT a.run_id, a.side, a.i, list(x.trade_no ORDER BY abs(x.entry_ms - a.entry_ms), abs(x.entry_price - a.entry_price), x.trade_no) AS l FROM a JOIN x ON x.run_id = a.run_id AND x.side = a.side AND x.entry_ms BETWEEN a.entry_ms - 86400000 AND a.entry_ms + 86400000 GROUP BY 1, 2, 3),
+q AS (SELECT a.run_id, a.side, a.i, a.trade_no, coalesce(l, []::BIGINT[]) AS l FROM a LEFT JOIN c USING (run_id, side, i)),
+g AS (SELECT run_id, side, i, trade_no, l[1] AS ext, [l[1]] AS used FROM q WHERE i = 1 UNION ALL SELECT run_id, side, i, trade_no, ext, list_append(used, ext) FROM (SELECT q.run_id, q.side, q.i, q.trade_no, used, list_filter(l, lambda e: NOT list_contains(used, e))[1] AS ext FROM g JOIN q ON q.run_id = g.run_id AND q.side = g.side AND q.i = g.i + 1))"""
+
+
+@query(
+    f"""WITH RECURSIVE {_ALIGNED} SELECT coalesce(r.run_id, x.run_id) AS run_id, r.trade_no AS ref_no, x.trade_no AS ext_no, x.entry_ms - r.entry_ms AS delta_entry_ms, x.exit_ms - r.exit_ms AS delta_exit_ms, {s6("x.entry_price - r.entry_price")} AS delta_entry_price, {s6("x.net_profit - r.net_profit")} AS delta_net_profit
+FROM (SELECT t.*, g.ext FROM trades t JOIN g USING (run_id, trade_no)) r FULL JOIN x ON x.run_id = r.run_id AND x.trade_no = r.ext"""
+)
+def trade_alignment(spark, sf_dir):
+    """The trades matched one to one with a copy that lacks a seventh of them and is some hours and units of price apart."""
+    t, k = T.trades(spark, sf_dir), F.col("trade_no")
+    moved = {"entry_ms": F.col("entry_ms") + (k % 5 - 2) * 2 * B.HOUR, "exit_ms": F.col("exit_ms") + k % 3 * B.HOUR, "entry_price": F.col("entry_price") + k % 4, "net_profit": F.col("net_profit") - k % 2}
+    made = J.align_trades(t, t.where(k % 7 != 3).withColumns(moved), deltas=list(moved))
+    return values(made, ["run_id", "ref_no", "ext_no", "delta_entry_ms", "delta_exit_ms"], {c: c for c in ("delta_entry_price", "delta_net_profit")})
+
+
 @query("SELECT l_returnflag AS reason, count(*) AS count FROM lineitem GROUP BY 1")
 def rejection_funnel(spark, sf_dir):
     return Z.funnel(T.load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("reason")), "reason")

@@ -285,3 +285,28 @@ def test_ordered_columns_over_many_blocks(spark):
             assert r["p_count"] == len(w)
             assert r["p"] == (None if x is None else pytest.approx(100 * sum(y <= x for y in w) / len(w)))
             assert r["h"] == (len(v) - 1 - v.index(max(v)) if v else None)
+
+
+# -- one-to-one matches
+
+
+def test_alignment_against_the_sequential_choice(spark):
+    """Runs with ties of time and price, NULLs, dense and sparse stretches: the same as choosing one trade after the other."""
+    from candlewick.operators.joins import align_trades
+
+    rng = random.Random(12)
+    day = 86_400_000
+    trade = lambda k, step: ("ab"[k % 2], k, rng.choice(["long", "short"]), rng.randint(0, 40) * step, rng.choice([1.0, 2.0, 2.5, None]), float(k))
+    ours, theirs = ([trade(k, day // 3) if k < 60 else trade(k, 4 * day) for k in range(100)] for _ in range(2))
+    ours += [("a", 500, None, 5, 1.0, 1.0), ("c", 501, "long", None, 1.0, 1.0)]
+    theirs += [("a", 600, "long", None, 1.0, 1.0)]
+    kinds = "run_id string, trade_no long, side string, entry_ms long, entry_price double, net double"
+    used, expected = set(), []
+    for run, no, side, at, price, net in sorted(ours, key=lambda t: t[1]):
+        near = [(abs(t[3] - at), abs(t[4] - price) if t[4] is not None and price is not None else float("inf"), t[1], t[5]) for t in theirs if t[0] == run and t[2] == side and None not in (at, side, t[3]) and t[1] not in used and abs(t[3] - at) <= day]
+        best = min(near, default=None)
+        used.add(best[2] if best else None)
+        expected.append((run, no, best[2] if best else None, best[3] - net if best else None))
+    expected += [(t[0], None, t[1], None) for t in theirs if t[1] not in used]
+    got = align_trades(spark.createDataFrame(ours, kinds), spark.createDataFrame(theirs, kinds), deltas=["net"], size=16).collect()
+    assert sorted(((r["run_id"], r["ref_no"], r["ext_no"], r["delta_net"]) for r in got), key=repr) == sorted(expected, key=repr)
