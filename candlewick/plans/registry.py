@@ -27,6 +27,8 @@ from ..operators.indicators import recursive as X
 from ..operators.indicators import sessions as N
 from ..operators.indicators import windowed as I
 from ..operators.indicators import zones as V
+from ..functions.scratch import Scratch
+from ..sources.market import read_folder, write_dialects
 from . import tables as T
 
 #: Bars of the events in SQL.
@@ -956,6 +958,27 @@ def trade_alignment(spark, sf_dir):
     return values(made, ["run_id", "ref_no", "ext_no", "delta_entry_ms", "delta_exit_ms"], {c: c for c in ("delta_entry_price", "delta_net_profit")})
 
 
+def _imported(spark, sf_dir):
+    """Bars written to the shared folder in four dialects, some with a price, volume or time that doesn't parse, and read back."""
+    path = Scratch(spark, "market").path()
+    hour = F.expr("ts_ms div 3600000")
+    bad = lambda k, c, text: F.when(hour % 41 == k, F.lit(text)).otherwise(F.col(c).cast("string"))
+    broken = T.hourly(spark, sf_dir).withColumns({"high": bad(3, "high", "n/a"), "tick_volume": bad(5, "tick_volume", "many"), "close": bad(7, "close", "NaN")})
+    write_dialects(broken, path)
+    return read_folder(spark, path, F.url_decode(F.regexp_extract("file", "/symbol=([^/]+)/", 1)))
+
+
+@query(f"WITH {BARS} SELECT symbol, ts_ms, {s6('open')} AS open, {s6('high')} AS high, {s6('low')} AS low, {s6('close')} AS close, tick_volume FROM bars WHERE ts_ms // 3600000 % 41 NOT IN (3, 5, 7)")
+def market_import(spark, sf_dir):
+    return values(_imported(spark, sf_dir)[0], [*KEYS, "tick_volume"], {c: c for c in ("open", "high", "low", "close")})
+
+
+@query(f"WITH {BARS} SELECT symbol, CASE WHEN ts_ms // 3600000 % 41 = 5 THEN 'volume' ELSE 'price' END AS reason, count(*) AS lines FROM bars WHERE ts_ms // 3600000 % 41 IN (3, 5, 7) GROUP BY 1, 2")
+def market_rejects(spark, sf_dir):
+    rejects = _imported(spark, sf_dir)[1]
+    return rejects.groupBy(F.url_decode(F.regexp_extract("file", "/symbol=([^/]+)/", 1)).alias("symbol"), "reason").agg(F.count("*").alias("lines"))
+
+
 @query("SELECT l_returnflag AS reason, count(*) AS count FROM lineitem GROUP BY 1")
 def rejection_funnel(spark, sf_dir):
     return Z.funnel(T.load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("reason")), "reason")
