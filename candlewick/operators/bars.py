@@ -131,6 +131,29 @@ def content_hash(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count("*").alias("rows"), F.sum(row).cast("string").alias("content_hash"))
 
 
+def content_root(rows: DataFrame, keys: list[str], order: list, columns: Sequence[str], leaf: int = 1024) -> DataFrame:
+    """(keys, rows, root): the root of a hash tree over each key's rows in ``order``, as hex of SHA-256.
+
+    A changed, moved, missing or repeated row changes the root; how rows are partitioned does not. A row's text is that of its
+    columns, each led by its length and ~ for a NULL; rows are numbered by ranges, ``leaf`` rows make a leaf and as many nodes the
+    next node, so no task holds more; a node that is alone is its own parent. ``columns`` should be whole numbers or text:
+    other engines write doubles in another way.
+    """
+    cell = lambda c: F.coalesce(F.concat(F.char_length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("~"))
+    placed = numbered(rows.select(*keys, *{*columns, *(o for o in order if isinstance(o, str))} - set(keys)), keys, order, Scratch(rows.sparkSession, "roots"))
+    nodes = placed.select(*keys, F.col("_n").alias("_i"), F.concat_ws(",", *map(cell, columns)).alias("_t"), F.lit(1).cast("long").alias("_rows"))
+    most, kind = placed.agg(F.max("_n")).first()[0], "leaf"
+    while True:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"])  # ``leaf`` nodes
+        joined = F.sha2(F.concat_ws("\n", F.lit(kind), listed), 256)
+        made = nodes.groupBy(*keys, F.expr(f"_i div {leaf}").alias("_j")).agg(joined.alias("_h"), F.first("_t").alias("_only"), F.count("*").alias("_k"), F.sum("_rows").alias("_rows"))
+        own = F.col("_h") if kind == "leaf" else F.when(F.col("_k") == 1, F.col("_only")).otherwise(F.col("_h"))
+        nodes, kind = made.select(*keys, F.col("_j").alias("_i"), own.alias("_t"), "_rows"), "node"
+        most = (most or 0) // leaf
+        if most == 0:
+            return nodes.select(*keys, F.col("_rows").alias("rows"), F.col("_t").alias("root"))
+
+
 def slice_time(bars: DataFrame, start_ms: int, stop_ms: int, pad_days: int = 0) -> DataFrame:
     """Rows in [start - pad, stop)."""
     return bars.where((F.col("ts_ms") >= start_ms - pad_days * DAY) & (F.col("ts_ms") < stop_ms))

@@ -310,3 +310,26 @@ def test_alignment_against_the_sequential_choice(spark):
     expected += [(t[0], None, t[1], None) for t in theirs if t[1] not in used]
     got = align_trades(spark.createDataFrame(ours, kinds), spark.createDataFrame(theirs, kinds), deltas=["net"], size=16).collect()
     assert sorted(((r["run_id"], r["ref_no"], r["ext_no"], r["delta_net"]) for r in got), key=repr) == sorted(expected, key=repr)
+
+
+def test_content_root_sees_order_changes_and_repeats(spark):
+    import hashlib
+
+    from candlewick.operators.bars import content_root
+
+    def root(rows, parts=2, leaf=4):
+        df = spark.createDataFrame([("k", *r) for r in rows], "key string, t long, x string, y long").repartition(parts)
+        r = content_root(df, ["key"], ["t"], ["t", "x", "y"], leaf).first()
+        assert r["rows"] == len(rows)
+        return r["root"]
+
+    rows = [(t, None if t % 5 == 2 else f"v{t % 3}", t * t) for t in range(41)]
+    cell = lambda v: "~" if v is None else f"{len(str(v))}:{v}"
+    level, kind = [",".join(map(cell, r)) for r in rows], "leaf"
+    while len(level) > 1 or kind == "leaf":
+        level = [level[i] if kind == "node" and len(level[i : i + 4]) == 1 else hashlib.sha256("\n".join([kind, *level[i : i + 4]]).encode()).hexdigest() for i in range(0, len(level), 4)]
+        kind = "node"
+    assert root(rows) == root(rows, 7) == level[0]
+    swapped = [(t, *(rows[t ^ 1][1:] if t in (8, 9) else r)) for t, *r in rows]
+    changed = [(t, x, y + (t == 30)) for t, x, y in rows]
+    assert len({root(rows), root(swapped), root(changed), root(rows[:-1]), root([*rows, rows[-1]]), root(rows[:1])}) == 6
