@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stream_bars(ticks: DataFrame, width: str = "1 minute", late: str = "2 minutes") -> DataFrame:
+def stream_bars(ticks: DataFrame, width: str = "1 minute", late: str = "2 minutes", unique: list[str] | None = None) -> DataFrame:
     """Tumbling bars of (symbol, ts timestamp, price, volume, seq); a bar is final once the watermark passes its end.
 
-    The same aggregates as the batch form, so state is one row a symbol and open bar.
+    The same aggregates as the batch form, so state is one row a symbol and open bar. Of quotes that repeat the columns
+    ``unique`` within the watermark the first counts.
     """
-    made = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", width)).agg(
+    rows = ticks.withWatermark("ts", late)
+    rows = rows.dropDuplicatesWithinWatermark(unique) if unique else rows
+    made = rows.groupBy("symbol", F.window("ts", width)).agg(
         F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("volume").alias("tick_volume")
     )
     return made.select("symbol", F.unix_millis(F.col("window.start")).alias("ts_ms"), "open", "high", "low", "close", "tick_volume")
