@@ -29,6 +29,8 @@ from ..operators.indicators import windowed as I
 from ..operators.indicators import zones as V
 from ..functions.scratch import Scratch
 from ..sources.market import read_folder, write_dialects
+from ..streaming.bars import stream_bars
+from ..streaming.ordered import stream_filled
 from . import tables as T
 
 #: Bars of the events in SQL.
@@ -996,6 +998,34 @@ def market_rejects(spark, sf_dir):
     return rejects.groupBy(F.url_decode(F.regexp_extract("file", "/symbol=([^/]+)/", 1)).alias("symbol"), "reason").agg(F.count("*").alias("lines"))
 
 
+def _streamed(spark, sf_dir, make, late="2 minutes"):
+    """What a stream over the events writes until it has read them all: final rows only."""
+    scratch = Scratch(spark, "stream")
+    source, out, given = scratch.path(), scratch.path(), T.load(spark, sf_dir, "events")
+    given.write.parquet(source)  # a stream's source is a folder
+    events = spark.readStream.schema(given.schema).parquet(source)
+    ticks = events.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1).cast("long").alias("volume"), F.col("event_id").alias("seq"), (F.col("event_id") % 4).cast("int").alias("spread_points"))
+    made = make(ticks, late=late)
+    made.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.path()).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
+
+
+_PASSED = "(SELECT max(epoch_us(ts) // 1000) - 120000 FROM events)"
+
+
+@query(f"WITH {BARS.replace('ORDER BY ts, event_id', 'ORDER BY event_id')} SELECT symbol, ts_ms, {s6('open')} AS open, {s6('high')} AS high, {s6('low')} AS low, {s6('close')} AS close, tick_volume FROM bars WHERE ts_ms + 3600000 <= {_PASSED}")
+def stream_hours(spark, sf_dir):
+    """Hours of the events as a stream makes them: those that the watermark has passed."""
+    made = _streamed(spark, sf_dir, lambda t, late: stream_bars(t, "1 hour", late))
+    return values(made, [*KEYS, "tick_volume"], {c: c for c in ("open", "high", "low", "close")})
+
+
+@query(f"WITH t AS (SELECT event_type AS symbol, epoch_us(ts) // 1000 AS ts_ms, event_id AS seq, value AS price, event_id % 4 AS spread FROM events), f AS (SELECT symbol, ts_ms, seq, coalesce(last_value(nullif(spread, 0) IGNORE NULLS) OVER w, 0)::INT AS spread_points, CASE WHEN row_number() OVER w >= 20 THEN avg(price) OVER (PARTITION BY symbol ORDER BY ts_ms, seq ROWS 19 PRECEDING) END AS m FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms, seq)) SELECT symbol, ts_ms, seq, spread_points, {s6('m')} AS mean FROM f WHERE ts_ms <= {_PASSED}")
+def stream_ordered(spark, sf_dir):
+    """Events in order behind the watermark, with filled spreads and the mean of twenty prices."""
+    return values(_streamed(spark, sf_dir, lambda t, late: stream_filled(t, 20, late)), [*KEYS, "seq", "spread_points"], {"mean": "mean"})
+
+
 @query("SELECT l_returnflag AS reason, count(*) AS count FROM lineitem GROUP BY 1")
 def rejection_funnel(spark, sf_dir):
     return Z.funnel(T.load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("reason")), "reason")
