@@ -185,15 +185,15 @@ _SYNTHETIC = f"""{BARS}, n AS (SELECT *, row_number() OVER w - 1 AS i, ln(greate
 q0 AS (SELECT *, {draws.trial_keys_sql(7, {"a": draws.HIGH, "b": draws.LOW, "g": draws.TURN})} FROM (SELECT symbol, m, c0, unnest(range(0, 3)) AS trial FROM c)), q AS (SELECT * FROM {draws.mixed_sql("q0", ["a", "b", "g"])}),
 g0 AS (SELECT symbol, m, c0, trial, i, a, b, {draws.counted_sql("g", "i")} FROM q JOIN n USING (symbol) WHERE i > 0), s AS (SELECT *, max(CASE WHEN i = 1 OR g < {round(2**32 / 24)} THEN i END) OVER (PARTITION BY symbol, trial ORDER BY i) AS s FROM {draws.mixed_sql("g0", ["g"])}),
 b0 AS (SELECT * REPLACE ({draws.counted_sql("a", "bg")}, {draws.counted_sql("b", "bg")}) FROM (SELECT *, s + (i - s) // 96 * 96 AS bg FROM s)), f AS (SELECT symbol, trial, c0, i, 1 + ({draws.index_sql("m")} + i - bg) % m AS src FROM {draws.mixed_sql("b0", ["a", "b"])}),
-y AS (SELECT f.symbol, trial, f.i, c0 * exp(sum(r) OVER (PARTITION BY f.symbol, trial ORDER BY f.i)) AS c, c0 FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.src), z AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY symbol, trial ORDER BY i), c0) AS o FROM y),
+y0 AS (SELECT f.symbol, trial, f.i, ln(greatest(c0, 1e-12)) + sum(r) OVER (PARTITION BY f.symbol, trial ORDER BY f.i) AS y, c0 FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.src), y AS (SELECT *, exp(y + greatest(ln(1e-12) - min(y) OVER (PARTITION BY symbol, trial ORDER BY i), 0)) AS c FROM y0), z AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY symbol, trial ORDER BY i), c0) AS o FROM y),
 syn AS (SELECT n.symbol, q.trial::INT AS trial, n.ts_ms, CASE WHEN n.i = 0 THEN n.open ELSE o END AS open, CASE WHEN n.i = 0 THEN n.high ELSE greatest(o, c) * 1.0001 END AS high, CASE WHEN n.i = 0 THEN n.low ELSE least(o, c) * 0.9999 END AS low, CASE WHEN n.i = 0 THEN n.close ELSE c END AS close, n.tick_volume, n.spread_points FROM n JOIN q USING (symbol) LEFT JOIN z ON z.symbol = n.symbol AND z.trial = q.trial AND z.i = n.i)"""
 
 
-@query(f"WITH {_SYNTHETIC} SELECT symbol, trial, ts_ms, {s6('open')} AS open, {s6('high')} AS high, {s6('low')} AS low, {s6('close')} AS close, tick_volume, spread_points FROM syn")
+@query(f"WITH {_SYNTHETIC} SELECT symbol, trial, ts_ms, {s6('ln(open)')} AS ln_open, {s6('ln(high)')} AS ln_high, {s6('ln(low)')} AS ln_low, {s6('ln(close)')} AS ln_close, tick_volume, spread_points FROM syn")
 def stationary_bars(spark, sf_dir):
-    """Three synthetic series of every symbol's hours, in blocks of a day on average."""
+    """Three synthetic series of every symbol's hours, in blocks of a day on average; prices as logarithms, as paths reach 1e12."""
     made = Z.stationary_bars(T.hourly(spark, sf_dir), 3, 24, 7)
-    return values(made, ["symbol", "trial", "ts_ms", "tick_volume", "spread_points"], {k: k for k in ("open", "high", "low", "close")})
+    return values(made, ["symbol", "trial", "ts_ms", "tick_volume", "spread_points"], {f"ln_{k}": F.log(k) for k in ("open", "high", "low", "close")})
 
 
 @query()

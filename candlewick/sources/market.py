@@ -94,7 +94,7 @@ def read_folder(spark: SparkSession, path: str, symbol: Column, zone: str = "Etc
     given = lambda c: c.isNotNull() & (c != "")
     when = F.when(given(cell("DATE")) & given(cell("TIME")), F.concat_ws(" ", cell("DATE"), cell("TIME"))).otherwise(F.coalesce(cell(*ALIASES["STAMP"]), cell("TIME"), cell("DATE")))
     optional = {"tick_volume": ("TICK_VOLUME", "long"), "real_volume": ("REAL_VOLUME", "long"), "spread_points": ("SPREAD", "int")}
-    made = cells.select("file", "line", "text", symbol.alias("symbol"), stamp(F.regexp_replace(when, r"^(\d{4})(\d\d)(\d\d)( |$)", "$1.$2.$3$4"), zone).alias("ts_ms"), *[number(cell(c)).alias(c.lower()) for c in ("OPEN", "HIGH", "LOW", "CLOSE")],
+    made = cells.select("file", "line", "text", symbol.alias("symbol"), F.element_at(F.transform(F.array(F.regexp_replace(when, r"^(\d{4})(\d\d)(\d\d)( |$)", "$1.$2.$3$4")), lambda t: stamp(t, zone)), 1).alias("ts_ms"), *[number(cell(c)).alias(c.lower()) for c in ("OPEN", "HIGH", "LOW", "CLOSE")],
         *[number(cell(*ALIASES[a]), k).alias(n) for n, (a, k) in optional.items()], *[given(cell(*ALIASES[a])).alias(f"_{n}") for n, (a, _) in optional.items()])
     priced = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("open", "high", "low", "close")])
     sound = reduce(lambda a, b: a & b, [F.col(n).isNotNull() | ~F.coalesce(F.col(f"_{n}"), F.lit(False)) for n in optional])
