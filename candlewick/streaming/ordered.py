@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,44 +14,73 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 OUT = "symbol string, ts_ms long, seq long, price double, spread_points int, mean double"
 
 
+#: Rows that come out in one frame.
+FRAME = 65_536
+ROW = np.dtype([("ts_ms", "<i8"), ("seq", "<i8"), ("price", "<f8"), ("spread", "<i4")])
+
+
 class InOrder(StatefulProcessor):
-    """Per symbol: rows not yet passed by the watermark, the last spread that is not zero, and the last n prices."""
+    """Per symbol: rows not yet passed by the watermark, the last spread that is not zero, and the last n prices.
+
+    Rows that wait are kept as packed bytes, one value for each frame they came in: 28 bytes a row in the state and in the task.
+    """
 
     def __init__(self, n: int) -> None:
         self.n = n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "ts_ms long, seq long, price double, spread int")
+        self.held = handle.getListState("held", "rows binary")
         self.past = handle.getValueState("past", "spread int, recent string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        new = [(int(t), int(s), float(p), int(x)) for frame in rows for t, s, p, x in zip(frame["ts_ms"], frame["seq"], frame["price"], frame["spread_points"].fillna(0), strict=True) if t >= passed]
-        if new:
-            self.held.appendList(new)
-            self.handle.registerTimer(min(r[0] for r in new))
+        passed, first = timerValues.getCurrentWatermarkInMs(), None
+        for frame in rows:
+            frame = frame[frame["ts_ms"] >= passed]
+            if not len(frame):
+                continue
+            new = np.empty(len(frame), ROW)
+            new["ts_ms"], new["seq"], new["price"], new["spread"] = frame["ts_ms"], frame["seq"], frame["price"], frame["spread_points"].fillna(0)
+            self.held.appendValue((new.tobytes(),))
+            first = min(int(new["ts_ms"].min()), first) if first is not None else int(new["ts_ms"].min())
+        if first is not None:
+            self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.held.get())
-        ready, rest = [r for r in held if r[0] <= passed], [r for r in held if r[0] > passed]
+        ready, rest = [], []
+        for (part,) in self.held.get() if self.held.exists() else ():
+            part = np.frombuffer(part, ROW)
+            out = part["ts_ms"] <= passed
+            ready.append(part[out])
+            if not out.all():
+                rest.append(part[~out])
         if rest:
-            self.held.put(rest)
-            self.handle.registerTimer(rest[0][0])
+            self.held.put([(part.tobytes(),) for part in rest])
+            self.handle.registerTimer(min(int(part["ts_ms"].min()) for part in rest))
         else:
             self.held.clear()
-        if not ready:
+        ready = np.concatenate([*ready, np.empty(0, ROW)])
+        if not len(ready):
             return
+        order = np.lexsort((ready["price"], ready["seq"], ready["ts_ms"]))
         spread, recent = tuple(self.past.get()) if self.past.exists() else (0, "[]")
-        recent, out = json.loads(recent), []
-        for at, seq, price, own in ready:
-            spread = own or spread
-            recent = [*recent, price][-self.n :]
-            out.append((key[0], at, seq, price, spread, sum(recent) / self.n if len(recent) == self.n else None))
+        recent = json.loads(recent)
+        for at in range(0, len(order), FRAME):
+            own = ready[order[at : at + FRAME]]
+            last = np.maximum.accumulate(np.where(own["spread"] != 0, np.arange(len(own)), -1))
+            filled = np.where(last >= 0, own["spread"][last], spread)
+            prices = np.concatenate([np.array(recent[-(self.n - 1) :] if self.n > 1 else [], float), own["price"]])
+            total = np.zeros(max(len(prices) - self.n + 1, 0))
+            for k in range(self.n if len(total) else 0):  # each from its oldest price on
+                total += prices[k : k + len(total)]
+            mean = np.full(len(own), np.nan)  # comes out as NULL
+            if len(total):
+                mean[-len(total) :] = total[-len(own) :] / self.n
+            spread, recent = int(filled[-1]), prices[-self.n :].tolist()
+            yield pd.DataFrame({"symbol": key[0], "ts_ms": own["ts_ms"], "seq": own["seq"], "price": own["price"], "spread_points": filled.astype("int32"), "mean": mean})
         self.past.update((spread, json.dumps(recent)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"mean": "float64"})
 
     def close(self) -> None:
         pass

@@ -89,3 +89,49 @@ def test_sessions(spark, run):
     passed = max(r[1] for r in every) - LATE
     mine = sorted(map(tuple, got))
     assert set(mine) <= set(made) and {m for m in made if m[2] < passed} <= set(mine) and len(mine) == len(set(mine))
+
+
+def test_rows_that_wait_take_few_bytes_in_a_task(tmp_path):
+    """200,000 rows of one symbol in one batch: the processor alone, with its state on disk, holds less than 150 bytes of each."""
+    import pickle
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    class OnDisk:
+        def __init__(self):
+            self.files, self.value = 0, None
+
+        def appendList(self, rows):  # noqa: N802
+            (tmp_path / str(self.files)).write_bytes(pickle.dumps(rows))
+            self.files += 1
+
+        def appendValue(self, row):  # noqa: N802
+            self.appendList([row])
+
+        def get(self):
+            return self.value or (r for i in range(self.files) for r in pickle.loads((tmp_path / str(i)).read_bytes()))
+
+        def exists(self):
+            return bool(self.files or self.value)
+
+        def clear(self):
+            self.files = 0
+
+        def update(self, value):
+            self.value = value
+
+    held, past, timers = OnDisk(), OnDisk(), []
+    processor = ordered.InOrder(20)
+    processor.init(SimpleNamespace(getListState=lambda *_: held, getValueState=lambda *_: past, registerTimer=timers.append))
+    n, size = 200_000, 10_000
+    made = lambda i: pd.DataFrame({"ts_ms": np.arange(i, i + size)[::-1] + 1, "seq": np.arange(i, i + size), "price": np.arange(i, i + size) * 0.1, "spread_points": np.arange(i, i + size) % 4})
+    tracemalloc.start()
+    list(processor.handleInputRows(("X",), (made(i) for i in range(0, n, size)), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    seen = sum(len(f) for f in processor.handleExpiredTimer(("X",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 2 * n), None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and min(timers) == 1
+    assert peak / n < 150, peak / n
