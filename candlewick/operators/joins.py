@@ -7,8 +7,8 @@ from bisect import bisect_left
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,22 +102,34 @@ def align_trades(reference: DataFrame, external: DataFrame, within_ms: int = 86_
     def choose(piece: pa.Table) -> pa.Table:
         return _matches(piece, within_ms)
 
-    matched = pieces.groupBy(*keys, "_piece").applyInArrow(choose, f"run_id {run}, ref_no {number}, ext_no {number}")
+    matched = pieces.select(*columns, "_ours", "_piece").groupBy(*keys, "_piece").applyInArrow(choose, f"run_id {run}, ref_no {number}, ext_no {number}")
     own = lambda t, name, prefix: t.select("run_id", F.col("trade_no").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in deltas])
     joined = own(reference, "ref_no", "_r_").join(matched, ["run_id", "ref_no"], "left").join(own(external, "ext_no", "_x_"), ["run_id", "ext_no"], "full")
     return joined.select("run_id", "ext_no", "ref_no", *[(F.col(f"_x_{c}") - F.col(f"_r_{c}")).alias(f"delta_{c}") for c in deltas])
 
 
 def _matches(piece: pa.Table, within: int) -> pa.Table:
-    """Greedy matches of one piece: unused external trades are found from a time outwards, past runs of used ones."""
-    piece = piece.combine_chunks()
-    ours = piece.filter(piece.column("_ours")).sort_by("trade_no")
-    theirs = piece.filter(pa.compute.invert(piece.column("_ours"))).sort_by([("entry_ms", "ascending"), ("trade_no", "ascending")])
-    times, prices, numbers = (theirs.column(c).to_pylist() for c in ("entry_ms", "entry_price", "trade_no"))
+    """Greedy matches of one piece: unused external trades are found from a time outwards, past runs of used ones.
+
+    Columns are numpy arrays that the loop reads through memoryviews, links are 32-bit: some bytes a trade beyond the piece itself.
+    """
+    column = lambda name: piece.column(name).to_numpy()
+    mine = np.asarray(column("_ours"), bool)
+    ours, theirs = np.flatnonzero(mine).astype(np.int32), np.flatnonzero(~mine).astype(np.int32)
+    at, number = column("entry_ms"), column("trade_no")
+    ours = ours[np.argsort(number[ours], kind="stable")]
+    theirs = theirs[np.argsort(number[theirs], kind="stable")]
+    theirs = theirs[np.argsort(at[theirs], kind="stable")]
+    price = np.asarray(column("entry_price"), float)
+    asked, offered = (memoryview(np.ascontiguousarray(price[side])) for side in (ours, theirs))
+    wanted, times = (memoryview(np.ascontiguousarray(at[side].astype(np.int64))) for side in (ours, theirs))
+    numbers, owners = number[theirs], number[ours]
+    del at, number, price, mine
     n = len(times)
-    left, right = list(range(-1, n)), list(range(n + 1))  # nearest unused place at or before i - 1, at or after i
+    left, right = memoryview(np.arange(-1, n, dtype=np.int32)), memoryview(np.arange(n + 1, dtype=np.int32))  # nearest unused place at or before i - 1, at or after i
+    chosen = memoryview(np.full(len(wanted), -1, np.int32))
 
-    def find(links: list[int], i: int) -> int:
+    def find(links: memoryview, i: int) -> int:
         path = []
         while links[i] != i - (links is left):
             path.append(i)
@@ -126,26 +138,37 @@ def _matches(piece: pa.Table, within: int) -> pa.Table:
             links[j] = links[i]
         return links[i]
 
-    pairs = []
-    for number, at, price in zip(*(ours.column(c).to_pylist() for c in ("trade_no", "entry_ms", "entry_price")), strict=True):
+    for k, at in enumerate(wanted):
+        price = asked[k]
         middle = bisect_left(times, at)
         down, up = find(left, middle), find(right, middle)
         gaps = [abs(times[i] - at) for i in (down, up) if 0 <= i < n]
         gap = min(gaps, default=within + 1)
         if gap > within:
             continue
-        alike = []
+        best, nearest = -1, math.inf
+
+        def closer(i: int) -> bool:
+            """Nearer in price than the best so far; of equals the lower number. A missing price is infinitely far."""
+            nonlocal nearest
+            off = abs(offered[i] - price)  # noqa: B023
+            off = math.inf if off != off else off
+            if best < 0 or off < nearest or (off == nearest and numbers[i] < numbers[best]):  # noqa: B023
+                nearest = off
+                return True
+            return False
+
         while down >= 0 and at - times[down] == gap:
-            alike.append(down)
+            best = down if closer(down) else best
             down = find(left, down)
         while up < n and times[up] - at == gap:
-            alike.append(up)
+            best = up if closer(up) else best
             up = find(right, up + 1)
-        off = lambda i: abs(prices[i] - price) if price is not None and prices[i] is not None else math.inf  # noqa: E731, B023
-        best = min(alike, key=lambda i: (off(i), numbers[i]))  # noqa: B023
         left[best + 1], right[best] = left[best], right[best + 1]
-        pairs.append((number, numbers[best]))
-    run = piece.column("run_id").combine_chunks()
+        chosen[k] = best
+    chosen = np.asarray(chosen)
+    used = chosen >= 0
+    run = piece.column("run_id").slice(0, 1).combine_chunks()
     kind = piece.schema.field("trade_no").type
-    own = run.take(pa.array([0] * len(pairs), pa.int32())) if len(pairs) else run.slice(0, 0)
-    return pa.Table.from_arrays([own, pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=["run_id", "ref_no", "ext_no"])
+    own = run.take(pa.array(np.zeros(used.sum(), np.int32))) if used.any() else run.slice(0, 0)
+    return pa.Table.from_arrays([own, pa.array(owners[used], kind), pa.array(numbers[chosen[used]], kind)], names=["run_id", "ref_no", "ext_no"])

@@ -333,3 +333,21 @@ def test_content_root_sees_order_changes_and_repeats(spark):
     swapped = [(t, *(rows[t ^ 1][1:] if t in (8, 9) else r)) for t, *r in rows]
     changed = [(t, x, y + (t == 30)) for t, x, y in rows]
     assert len({root(rows), root(swapped), root(changed), root(rows[:-1]), root([*rows, rows[-1]]), root(rows[:1])}) == 6
+
+
+@pytest.mark.parametrize("n", [20_000, 40_000])
+def test_matches_of_a_piece_take_few_bytes_a_trade(n):
+    """What a piece without gaps needs beyond its own table, for twice as many trades no more a trade."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from candlewick.operators.joins import _matches
+
+    i = np.arange(n)
+    piece = pa.table({"run_id": ["r"] * n, "side": ["long"] * n, "trade_no": i, "entry_ms": i // 2 * 1000, "entry_price": i * 0.5, "_ours": i % 2 == 0, "_piece": i * 0})
+    tracemalloc.start()
+    made = _matches(piece, 86_400_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.column("ref_no").to_pylist() == [*range(0, n, 2)] and made.column("ext_no").to_pylist() == [*range(1, n, 2)]
+    assert peak / n < 80, peak / n
