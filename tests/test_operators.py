@@ -270,6 +270,19 @@ def test_correlation_pairs_meet_across_blocks(spark, monkeypatch):
     assert set(got) == set(wanted) and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in wanted.items())
 
 
+def test_correlation_pairs_hold_no_cohort_in_a_task(spark, monkeypatch):
+    """Ids are numbered by ranges, not by a window over their cohort; pieces of few pairs and paths of floats give the same rows."""
+    monkeypatch.setattr(S, "_BLOCK", 7)
+    rows = [(f"c{i % 2}", i, [float(i * k % 11) for k in range(1, 6)] if i % 5 else None if i % 10 else [2.0, float(i)]) for i in range(1, 41)]
+    made = lambda kind: S.correlation_pairs(spark.createDataFrame(rows, f"cohort string, id long, signature array<{kind}>"), ["cohort"], "id", "signature")
+    whole = {tuple(r)[:3]: r["corr"] for r in made("double").collect()}
+    monkeypatch.setattr(S, "_SIDE", 3, raising=False)
+    pieces = made("float")
+    assert "Window" not in pieces._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r)[:3]: r["corr"] for r in pieces.collect()}
+    assert len(got) == 2 * (20 * 19 // 2) and got.keys() == whole.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in whole.items())
+
+
 def test_equity_sharpe_counts_every_point(spark):
     """Below zero and from zero on too: returns of 100, -50, 0, 10 from 100 are 0, -1.5, -1 and undefined."""
     t = spark.createDataFrame([("x", i, float(e)) for i, e in enumerate((100, -50, 0, 10))], "symbol string, ts_ms long, equity double")
