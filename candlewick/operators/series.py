@@ -100,18 +100,15 @@ def before(rows: DataFrame, keys: list[str], made: dict[str, str], size: int = B
 
 
 def prefix_maps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For maps y -> a*y + b applied one after the other: factor and offset of the first i together, by doubling.
+    """For maps y -> a*y + b applied one after the other: factor and offset of the first i together.
 
-    Doubling ends when all factors that are left are too small to matter.
+    Offsets are added row by row, so that from 0 on they are bit by bit what a loop gives.
     """
-    p, q, reach = a.copy(), b.copy(), 1
-    while reach < len(p):
-        q[reach:] = q[reach:] + p[reach:] * q[:-reach]
-        p[reach:] = p[reach:] * p[:-reach]
-        reach *= 2
-        if (np.abs(p[reach:]) <= 1e-300).all():
-            break
-    return p, q
+    y, q = 0.0, []
+    for factor, offset in zip(a.tolist(), b.tolist(), strict=True):
+        y = factor * y + offset
+        q.append(y)
+    return np.multiply.accumulate(a), np.array(q)
 
 
 def affine(rows: DataFrame, keys: list[str], made: dict[str, tuple[Column, Column]], scratch: Scratch, size: int = BLOCK) -> DataFrame:
@@ -119,7 +116,7 @@ def affine(rows: DataFrame, keys: list[str], made: dict[str, tuple[Column, Colum
 
     A NULL among a and b leaves y as it is. Maps compose associatively: one pass makes each block's prefix maps as arrays
     and writes them; the last of each block, composed in order of the blocks, is what the next ones start from.
-    Sums differ from those of a row-by-row loop in their last digits only.
+    A key's first block is bit by bit what a row-by-row loop gives; later ones differ from it in their last digits only.
     """
     names = list(made)
     known = {n: a.isNotNull() & b.isNotNull() for n, (a, b) in made.items()}
