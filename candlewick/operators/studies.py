@@ -254,8 +254,9 @@ def shown_equity(equity: DataFrame, keys: list[str], target: int, bounds: list[i
     w = Window.partitionBy(*keys)
     numbered = equity.withColumn("_i", F.row_number().over(w.orderBy("ts_ms")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     step = F.greatest((F.col("_n") - 1) / float(max(target - 1, 1)), F.lit(1.0))
-    # point i is a step's if some k has floor(k * step) = i
-    hit = F.floor(F.ceil(F.col("_i") / step) * step) == F.col("_i")
+    # point i is a step's if some k has floor(k * step) = i; i / step may round up past that k
+    k = F.ceil(F.col("_i") / step)
+    hit = (F.floor(k * step) == F.col("_i")) | (F.floor((k - 1) * step) == F.col("_i"))
     keep = (F.col("_n") <= target) | (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | hit
     for b in bounds:
         first = F.min(F.when(F.col("ts_ms") >= b, F.col("_i"))).over(w)
