@@ -44,17 +44,19 @@ def spikes(bars: DataFrame, times: float = 20) -> DataFrame:
     return wide.join(usual, "symbol").where(F.col("range") > times * F.col("usual")).select("symbol", "ts_ms", "range")
 
 
-def report(bars: DataFrame, zone: str = "Etc/UTC", ingest: DataFrame | None = None) -> DataFrame:
+def report(bars: DataFrame, zone: str = "Etc/UTC", ingest: DataFrame | None = None, unpriced: bool = True) -> DataFrame:
     """One row per symbol: counts of each check, score (100 less capped penalties, rounded) and grade (pass from 90, warn from 70).
 
     ``ingest`` tells of each symbol how it was read: source_rows, duplicates (rows removed) and was_sorted; without it
-    nothing was removed and all was in order.
+    nothing was removed and all was in order. Bars that lack a finite price are invalid; without ``unpriced`` only those are
+    whose prices contradict each other, NaN being above all.
     """
+    impossible = invalid_ohlc() if unpriced else F.expr("high < low OR high < open OR high < close OR low > open OR low > close")
     wall = clock.local(F.col("ts_ms"), zone)
     base = bars.groupBy("symbol").agg(
         F.count("*").alias("bars"),
         F.count_if(F.col("high") == F.col("low")).alias("zero_range"),
-        F.count_if(invalid_ohlc()).alias("invalid"),
+        F.count_if(impossible).alias("invalid"),
         F.count_if(clock.day_of_week(wall).isin(0, 6)).alias("weekend"),
     )
     holes = gaps(bars, zone).groupBy("symbol").agg(F.count("*").alias("gap_events"), F.sum("missing").cast("long").alias("missing"))
