@@ -351,3 +351,65 @@ def test_matches_of_a_piece_take_few_bytes_a_trade(n):
     tracemalloc.stop()
     assert made.column("ref_no").to_pylist() == [*range(0, n, 2)] and made.column("ext_no").to_pylist() == [*range(1, n, 2)]
     assert peak / n < 80, peak / n
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_matches_of_one_time_take_few_steps_a_trade(n):
+    """All trades of a day share its time: a choice looks prices up instead of passing all that are left, whatever their number."""
+    import sys
+
+    import pyarrow as pa
+    from candlewick.operators.joins import _matches
+
+    i, calls = np.arange(n), [0]
+    piece = pa.table({"run_id": ["r"] * 2 * n, "side": ["long"] * 2 * n, "trade_no": [*i, *i], "entry_ms": i.repeat(2) * 0, "entry_price": [*(i * 7919 % n * 1.0), *(i * 7919 % n + 0.25)], "_ours": [True] * n + [False] * n})
+
+    def count(frame, event, arg):
+        calls[0] += event == "call"
+
+    sys.setprofile(count)
+    try:
+        made = _matches(piece, 86_400_000)
+    finally:
+        sys.setprofile(None)
+    assert made.num_rows == n and calls[0] / n < 30, calls[0] / n
+
+
+def test_matches_of_shared_times_and_prices_against_the_sequential_choice():
+    """Many trades a moment, before 1970 too; prices equal, missing, infinite, and as far only by rounding."""
+    import math
+
+    import pyarrow as pa
+    from candlewick.operators.joins import _matches
+
+    rng, day = random.Random(5), 86_400_000
+    for at in range(300):
+        prices = [[1.0, 2.0, 2.5, None, math.inf, math.nan], [1e17, 1e17 + 16, 1.0, 2.0, 3.0, 1e308, -1e308], [float(k) for k in range(9)]][at % 3]
+        sides = [rng.random() < 0.5 for _ in range(rng.randint(1, 60))]
+        rows = [(no, (rng.randint(0, 5) - 3) * day // 3, rng.choice(prices), ours) for no, ours in zip(rng.sample(range(99), len(sides)), sides, strict=True)]
+        free, expected = {r for r in rows if not r[3]}, []
+        for no, time, price, ours in sorted(rows, key=lambda r: r[0]):
+            off = lambda r: math.inf if None in (r[2], price) or math.isnan(r[2] - price) else abs(r[2] - price)  # noqa: B023, E731
+            near = [(abs(r[1] - time), off(r), r[0], r) for r in free if abs(r[1] - time) <= day]
+            if ours and near:
+                free.remove(min(near, key=lambda r: r[:3])[3])
+                expected.append((no, min(near, key=lambda r: r[:3])[2]))
+        no, time, price, ours = zip(*rows, strict=True)
+        made = _matches(pa.table({"run_id": ["r"] * len(rows), "trade_no": no, "entry_ms": time, "entry_price": pa.array(price, pa.float64()), "_ours": ours}), day)
+        assert [*zip(made["ref_no"].to_pylist(), made["ext_no"].to_pylist(), strict=True)] == expected
+
+
+def test_alignment_is_cut_between_stretches_of_a_day(spark):
+    """Times around 1970 a day or a millisecond more apart: a cut falls on longer gaps only."""
+    from candlewick.operators.joins import align_trades
+
+    day, kinds = 86_400_000, "run_id string, trade_no long, side string, entry_ms long, entry_price double"
+    ours = [("r", k, "long", t, 1.0) for k, t in enumerate((-3 * day, -day, 0, day + 1, 3 * day, -1))]
+    theirs = [("r", 10 + k, "long", t, 1.0) for k, t in enumerate((-2 * day, 1, 2 * day + 2, 4 * day, -2 * day - 1))]
+    got = {(r["ref_no"], r["ext_no"]) for r in align_trades(spark.createDataFrame(ours, kinds), spark.createDataFrame(theirs, kinds), size=2).collect()}
+    left, expected = list(theirs), set()
+    for _, no, _, at, _ in ours:
+        found = min(((abs(x[3] - at), x[1], x) for x in left if abs(x[3] - at) <= day), default=(0, None, None))
+        expected.add((no, found[1]))
+        left = [x for x in left if x is not found[2]]
+    assert got == expected | {(None, x[1]) for x in left}
