@@ -348,3 +348,50 @@ def test_report_adds_up_in_the_order_of_the_sql(spark):
     row = Q.report(b, ingest=told).first()
     assert (row["invalid"], row["weekend"], row["spikes"], row["gap_events"]) == (11, 0, 0, 0)
     assert row["score"] == round(100 - (11 / 40 * 100 + 14 / 200 * 100 + 2)) == 63
+
+
+def test_runs_in_chunks_walk_the_same_trials(spark, monkeypatch):
+    """Runs put together from chunks, with NULLs and skips, beside short ones: bit by bit what one array gives, and the run's own path too."""
+    n = 5_003
+    t = spark.range(n + 12).select(F.when(F.col("id") < n, "long").when(F.col("id") < n + 9, "short").otherwise("none").alias("run_id"), F.when(F.col("id") < n, F.col("id")).when(F.col("id") < n + 9, F.col("id") - n).otherwise(F.col("id") - n - 9).alias("idx"), F.when((F.col("id") % 13 > 0) & (F.col("id") < n + 9), F.pmod(F.col("id") * 37, F.lit(101)) - 50.3).alias("profit"))
+    shown = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    trials = lambda: shown(S.block_bootstrap(t, ["run_id"], trials=23, skip=0.1))
+    whole, path = trials(), shown(S.profit_path(t, ["run_id"]))
+    monkeypatch.setattr(S, "_SHORT", 100)
+    monkeypatch.setattr(S, "_CHUNK", 64)
+    assert trials() == whole and len(whole) == 3 * 23
+    assert shown(S.profit_path(t, ["run_id"])) == path and len(path) == 3
+    balance = top = 10_000.0
+    worst, total = 0.0, 0.0
+    for i in range(n):
+        total += (i * 37 % 101 - 50.3) if i % 13 else 0.0
+        balance = 10_000.0 + total
+        top = max(top, balance)
+        worst = max(worst, (top - balance) / top * 100)
+    assert {r[0]: r[1:] for r in path}["long"] == (total, worst) and {r[0]: r[1:] for r in path}["none"] == (None, None)
+
+
+def test_runs_in_chunks_want_every_index(spark, monkeypatch):
+    monkeypatch.setattr(S, "_SHORT", 2)
+    monkeypatch.setattr(S, "_CHUNK", 4)
+    for places in ((0, 1, 2, 4, 5), (0, 1, 1, 3, 4), (1, 2, 3, 4, 5), (0, 1, 2, 3, 8)):
+        t = spark.createDataFrame([("r", i, 1.0) for i in places], "run_id string, idx long, profit double")
+        with pytest.raises(Exception, match="idx has to run from 0"):
+            S.block_bootstrap(t, ["run_id"], trials=1).collect()
+
+
+def test_draws_of_four_million_trades_meet_them_in_a_task(spark):
+    """A run of more than 2^22 trades: no row is made for a block drawn, and no window holds the run."""
+    import numpy as np
+    from candlewick.functions import draws
+
+    n = (1 << 22) + 5
+    t = spark.range(n).select(F.lit("r").alias("run_id"), F.col("id").alias("idx"), (F.col("id") % 7 - 3).cast("double").alias("profit"))
+    trials, own = S.block_bootstrap(t, ["run_id"], trials=2), S.profit_path(t, ["run_id"])
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (trials, own)]
+    assert "_start" not in plans[0] and "Window" not in plans[1]
+    got = {r["trial"]: r["net"] for r in trials.collect()}
+    for trial in range(2):
+        at = np.arange(n)
+        assert got[trial] == float(((draws.index(n, 42, trial, at // 5) + at % 5) % n % 7 - 3).sum())
+    assert own.first()["net"] == float((np.arange(n) % 7 - 3).sum())
